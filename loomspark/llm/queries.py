@@ -35,13 +35,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import byte_dedup
 
-    return byte_dedup(table(spark, sf_dir, "documents"))
+    return byte_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import word_window_dedup
 
-    return word_window_dedup(table(spark, sf_dir, "documents"))
+    return word_window_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
