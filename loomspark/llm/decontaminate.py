@@ -42,61 +42,59 @@ class WuManber:
                 self.classes.append(self._tables(own))
 
     @staticmethod
-    def _code(t: np.ndarray, end: np.ndarray, block: int) -> np.ndarray:
-        code = t[end].astype(np.int64)
+    def _code(t: np.ndarray, end: np.ndarray, block: int, bits: int) -> np.ndarray:
+        """A hash of the `block` bytes that end at each of `end`."""
+        code = t[end].astype(np.uint64)
         for k in range(1, block):
-            code = code << 8 | t[end - k]
-        return code if block == 2 else (code * 0x9E3779B1 >> 13) & 0x3FFFF
+            code = code << np.uint64(8) | t[end - k]
+        return (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
     def _tables(self, own: list[int]):
         m = min(len(self.patterns[k]) for k in own)
-        block = 2 if m < 8 else 3
+        block = 2 if m < 8 else 4 if m < 16 else 8
+        bits = max(16, min(24, (4 * m * len(own)).bit_length()))  # sparse, so that most blocks of a text are in no pattern
         heads = np.frombuffer(b"".join(self.patterns[k][:m] for k in own), dtype=np.uint8).reshape(len(own), m)
-        shift = np.full(1 << (16 if block == 2 else 18), m - block + 1, dtype=np.int64)
+        shift = np.full(1 << bits, m - block + 1, dtype=np.uint8 if m < 256 else np.int32)
         for j in range(block - 1, m):
-            codes = self._code(heads.reshape(-1), np.arange(len(own)) * m + j, block)
+            codes = self._code(heads.reshape(-1), np.arange(len(own)) * m + j, block, bits)
             np.minimum.at(shift, codes, m - 1 - j)
         order = np.argsort(codes, kind="stable")  # of the last blocks
         buckets, start = np.unique(codes[order], return_index=True)
         bounds = np.append(start, len(order))
-        first = np.zeros(len(shift), dtype=np.int64)
-        count = np.zeros(len(shift), dtype=np.int64)
-        first[buckets], count[buckets] = start, np.diff(bounds)
         members = np.asarray(own, dtype=np.int64)[order]
         prefix = heads[order, :3].astype(np.int64) @ np.array([65536, 256, 1])
-        return m, block, shift, first, count, members, prefix
+        return m, block, bits, shift, buckets, bounds, members, prefix
 
     def search(self, text: bytes) -> list[tuple[int, int]]:
         """(start, pattern) of every occurrence."""
         t, found = np.frombuffer(text, dtype=np.uint8), []
-        for m, block, shift, first, count, members, prefix in self.classes:
+        for m, block, bits, shift, buckets, bounds, members, prefix in self.classes:
             if len(t) < m:
                 continue
             cursor = np.arange(m - 1, len(t), self.STRETCH, dtype=np.int64)
             stop = np.minimum(cursor + self.STRETCH, len(t))
-            ends = []
             while len(cursor):
-                step = shift[self._code(t, cursor, block)]
-                hit = step == 0
-                if hit.any():
-                    ends.append(cursor[hit])
+                code = self._code(t, cursor, block, bits)
+                step = shift[code]
+                hit = np.flatnonzero(step == 0)
+                for k in range(0, len(hit), 4096):
+                    self._compare(text, t, cursor[hit[k : k + 4096]] - (m - 1), code[hit[k : k + 4096]], buckets, bounds, members, prefix, found)
                 cursor = cursor + np.maximum(step, 1)
                 going = cursor < stop
                 if not going.all():
                     cursor, stop = cursor[going], stop[going]
-            if not ends:
-                continue
-            end = np.concatenate(ends)
-            code = self._code(t, end, block)
-            n = count[code]
-            at = C.ranges(first[code], n)
-            begin = np.repeat(end - (m - 1), n)
-            same = (t[begin].astype(np.int64) << 16 | t[begin + 1].astype(np.int64) << 8 | t[begin + 2]) == prefix[at]
-            for b, k in zip(begin[same].tolist(), members[at[same]].tolist(), strict=True):
-                if text.startswith(self.patterns[k], b):
-                    found.append((b, k))
         return found
 
+    def _compare(self, text, t, begin, code, buckets, bounds, members, prefix, found) -> None:
+        """Tests the patterns of the bucket at each place: the first bytes, then all."""
+        k = np.searchsorted(buckets, code)
+        n = bounds[k + 1] - bounds[k]
+        at, begin = C.ranges(bounds[k], n), np.repeat(begin, n)
+        same = (t[begin].astype(np.int64) << 16 | t[begin + 1].astype(np.int64) << 8 | t[begin + 2]) == prefix[at]
+        for b, p in zip(begin[same].tolist(), members[at[same]].tolist(), strict=True):
+            if text.startswith(self.patterns[p], b):
+                found.append((b, p))
+
 
 def windows(items: list[tuple[int, bytes]], width: int) -> dict[bytes, list[int]]:
     """Each distinct window, with a space at both ends, and the items that have it."""
