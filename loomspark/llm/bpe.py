@@ -25,7 +25,7 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE
 UNEVEN = regex.compile(rf" (?=[{SPACE}]|$)")
 CUT = regex.compile(rf"(?= [^{SPACE}])", flags=regex.V1)
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 
 
 def byte_symbols() -> list[str]:
@@ -59,6 +59,7 @@ class Bpe:
             if made[k] < 0:
                 made[k], left[k], right[k] = r, *pair
         self.left, self.right, self.made = left, right, made
+        self.rank_to = np.array([k for _, k in self.rank.values()], dtype=np.int64)
         codes = np.array([a * size + b for a, b in self.rank], dtype=np.int64)
         order = np.argsort(codes)
         self.pair_codes, self.pair_ranks, self.size = codes[order], np.array([r for r, _ in self.rank.values()], dtype=np.int64)[order], size
@@ -159,26 +160,32 @@ class Bpe:
         order = np.lexsort((p, w))
         return w[order], t[order]
 
-    def _merge(self, word: bytes) -> list[int]:
-        """Exact merging: the lowest rank first, from the left."""
-        parts = [int(self.single[b]) for b in word]
-        while len(parts) > 1:
-            low = min((self.rank.get(p, (1 << 40, -1)) for p in zip(parts, parts[1:])), default=(1 << 40, -1))
-            if low[1] < 0:
-                break
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and self.rank.get((parts[k], parts[k + 1])) == low:
-                    out.append(low[1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return parts
+    def _merge_all(self, words: list[bytes]) -> list[np.ndarray]:
+        """Exact merging of many short words side by side: in each round every word merges its leftmost pair of lowest rank."""
+        out: list = [None] * len(words)
+        text, off = C.joined(words)
+        tok, word = self.single[text], np.repeat(np.arange(len(words)), np.diff(off))
+        while len(tok):
+            code = tok[:-1] * self.size + tok[1:]
+            at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+            rank = np.full(len(tok), 1 << 40)
+            rank[:-1] = np.where((self.pair_codes[at] == code) & (word[:-1] == word[1:]), self.pair_ranks[at], 1 << 40)
+            begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            counts = np.diff(np.append(begins, len(tok)))
+            low = np.minimum.reduceat(rank, begins)
+            ended = low == 1 << 40
+            for k in np.flatnonzero(ended).tolist():
+                out[word[begins[k]]] = tok[begins[k] : begins[k] + counts[k]]
+            spot = np.flatnonzero((rank == np.repeat(low, counts)) & (rank < 1 << 40))
+            spot = spot[np.append(True, word[spot[1:]] != word[spot[:-1]])] if len(spot) else spot
+            tok[spot] = self.rank_to[rank[spot]]
+            keep = ~np.repeat(ended, counts)
+            keep[spot + 1] = False
+            tok, word = tok[keep], word[keep]
+        return out
 
     def _merge_long(self, word: bytes) -> list[int]:
-        """The same for a very long word, in n log n steps: a heap of pairs over a linked list."""
+        """Exact merging of a long word in n log n steps: a heap of pairs over a linked list."""
         import heapq
 
         tok = [int(self.single[b]) for b in word]
@@ -217,15 +224,17 @@ class Bpe:
             ok = np.zeros(len(pairs), dtype=bool)
             ok[valid] = self._apart_ok(pairs[valid] // self.size, pairs[valid] % self.size)
             good[w[side[~ok[where]]]] = False
-        bounds = np.searchsorted(w, np.arange(len(words) + 1))
-        out = []
+        bounds = np.searchsorted(w, np.arange(len(words) + 1)).tolist()
+        out = [t[a:b] for a, b in zip(bounds, bounds[1:])]
+        failed = np.flatnonzero(~good).tolist()
+        short = [k for k in failed if len(words[k]) < 64]
+        for k, got in zip(short, self._merge_all([words[k] for k in short]), strict=True):
+            out[k] = got
+        for k in failed:
+            if len(words[k]) >= 64:
+                out[k] = np.array(self._merge_long(words[k]), dtype=np.int64)
         self.counts["proposed"] += len(words)
-        for k, fine in enumerate(good.tolist()):
-            if fine:
-                out.append(t[bounds[k] : bounds[k + 1]])
-            else:
-                self.counts["merged"] += 1
-                out.append(np.array((self._merge if len(words[k]) < 64 else self._merge_long)(words[k]), dtype=np.int64))
+        self.counts["merged"] += len(failed)
         return out
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
