@@ -21,7 +21,7 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
     mid = p + F.try_divide(F.lit(z * z / 2), n)
     half = z * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z * z / 4), n * n))
     whole = 1 + F.try_divide(F.lit(z * z), n)
-    return F.greatest(F.lit(0.0), (mid - half) / whole), F.least(F.lit(1.0), (mid + half) / whole)
+    return F.when(n > 0, F.greatest(F.lit(0.0), (mid - half) / whole)), F.when(n > 0, F.least(F.lit(1.0), (mid + half) / whole))
 
 
 def phi(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
