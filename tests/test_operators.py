@@ -212,3 +212,57 @@ def test_session_windows_of_a_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("s").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/cp").start()
     q.awaitTermination()
     assert sorted(r.n_events for r in spark.table("s").collect()) == [1, 2]
+
+
+def test_matching_of_centers_is_exact():
+    import numpy as np
+
+    from loomspark.operators import models as M
+
+    r = np.random.default_rng(1)
+    for n in (3, 8):
+        x = r.normal(size=(n, 4))
+        turn = r.permutation(n)
+        match, total = M.matched_centers(x, x[turn])
+        assert [turn[j] for j in match] == list(range(n)) and total == pytest.approx(0)
+
+
+def test_leaf_order_keeps_neighbours_together():
+    import numpy as np
+
+    from loomspark.operators import models as M
+
+    assert M.leaf_order(np.array([[0.0], [10.0], [0.1], [10.2]])) in ([0, 2, 1, 3], [1, 3, 0, 2])
+    assert M.leaf_order(np.zeros((0, 1))) == []
+
+
+def test_tree_sends_missing_values_where_they_fit(spark):
+    from loomspark.operators import models as M
+
+    rows = [(1.0, "a")] * 6 + [(2.0, "b")] * 6 + [(None, "b")] * 4
+    tree = M.explain_labels(spark.createDataFrame(rows, "x double, l string"), "l", ["x"], 2)
+    assert (tree[0]["axis"], tree[0]["threshold"], tree[0]["missing_goes"]) == ("x", 1.0, "right")
+    assert sorted((r["label"], r["n"]) for r in tree[1:]) == [("a", 6), ("b", 10)]
+
+
+def test_principal_axes(spark):
+    from loomspark.operators import models as M
+
+    df = spark.createDataFrame([(k, [float(k), 2.0 * k]) for k in range(5)], "k int, v array<double>")
+    scores, shares = M.principal_axes(df, "k", "v")
+    assert shares[0] == pytest.approx(1) and [round(r.scores[0], 4) for r in scores.orderBy("k").collect()][2] == 0
+
+
+def test_cache_decides_what_is_asked(spark):
+    from loomspark.operators import judging as L
+
+    asks = spark.createDataFrame([(1, "p"), (2, "q"), (3, "r")], "id int, prompt_hash string")
+    cache = spark.createDataFrame([(1, "p", "old", False, 1), (1, "p", "new", False, 2), (1, "p", "bad", True, 3), (2, "other", "x", False, 1), (3, "r", "bad", True, 1)], "id int, prompt_hash string, answer string, failed boolean, position int")
+    seen = []
+
+    def answer(df):
+        seen.extend(r.id for r in df.collect())
+        return df.withColumn("answer", F.lit("asked"))
+
+    assert {r.id: (r.answer, r.cached) for r in L.judged(asks, cache, ["id"], answer).collect()} == {1: ("new", True), 2: ("asked", False), 3: ("asked", False)}
+    assert sorted(seen) == [2, 3]
