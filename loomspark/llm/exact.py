@@ -11,6 +11,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import common as C
 
@@ -154,8 +155,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_equal(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with their columns; of wholly repeated rows one."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    """The rows of docs that exact_dedup keeps, with their columns; of rows that repeat id and text one.
+
+    Rows meet by id and digest, so a text that very many share is spread over as many keys as it has ids.
+    """
+    name = lambda doc, sha: F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("-")), sha)
+    kept = exact_dedup(docs).where("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias("__kept"))
     sha = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256)
-    joined = docs.withColumn("__own", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    own = docs.withColumn("__row", name(docs["doc_id"], sha))
+    joined = own.join(kept, F.col("__row") == F.col("__kept"), "left_semi")
+    once = F.row_number().over(W.partitionBy("__row").orderBy("__row"))
+    return joined.withColumn("__n", once).where("__n = 1").drop("__n", "__row")

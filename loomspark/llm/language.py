@@ -18,7 +18,7 @@ LETTER = regex.compile(r"\p{L}")
 #: Lengths of the n-grams tried for a word that the sample lacks, with a mark at either end of the word.
 GRAMS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -100,7 +100,7 @@ def sample(docs: DataFrame, sample_docs: int) -> DataFrame:
     return some.orderBy("rank", *order, "lang").limit(sample_docs).select("doc_id", "lang")
 
 
-def fit(docs: DataFrame, sample_docs: int = 4000) -> LanguageModel:
+def fit(docs: DataFrame, sample_docs: int = 2000) -> LanguageModel:
     """Learns from the whole texts of a bounded sample: sample_docs documents whose crc32(doc_id) mod 5 is not 0."""
     chosen = sample(docs, sample_docs).withColumnRenamed("lang", "__lang")
     training = C.texts(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "__lang")  # sample_docs rows at most
@@ -120,7 +120,14 @@ def fit(docs: DataFrame, sample_docs: int = 4000) -> LanguageModel:
 _SCORERS: dict = {}
 
 
-def identify(docs: DataFrame, sample_docs: int = 4000) -> DataFrame:
+def _scorer(shared) -> Scorer:
+    model = shared.value
+    if _SCORERS.get("of") is not model:
+        _SCORERS.update({"of": model, "scorer": Scorer(model)})
+    return _SCORERS["scorer"]
+
+
+def identify(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, one row for each row of docs.
 
     `und` with score 0 where the text is null or has no letter, or nothing could be learned. held_out: crc32(doc_id as
@@ -129,11 +136,22 @@ def identify(docs: DataFrame, sample_docs: int = 4000) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_docs))  # bounded by the sample
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        model = shared.value
-        if _SCORERS.get("of") is not model:
-            _SCORERS.update({"of": model, "scorer": Scorer(model)})
-        got = [_SCORERS["scorer"].predict(x) for x in piece.column("text").to_pylist()]
+        scorer = _scorer(shared)
+        got = [scorer.predict(x) for x in piece.column("text").to_pylist()]
         return C.batch_of(["doc_id", "lang_pred", "score"], [C.ids(piece), [x for x, _ in got], [x for _, x in got]], [pa.int64(), pa.string(), pa.float64()])
 
     out = C.map_slices(C.texts(docs), run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(C.crc_fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is not `und`: one pass, nothing is dealt out."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_docs))  # bounded by the sample
+
+    def run(batches):
+        for batch in batches:
+            for piece in C.slices(batch):
+                scorer = _scorer(shared)
+                yield piece.filter(pa.array([scorer.predict(x)[0] != "und" for x in piece.column("text").to_pylist()], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
