@@ -24,9 +24,8 @@ MARK = "▁".encode()
 END = b"\n"
 #: Weight of the prior, in pieces, against the expected counts.
 PRIOR = 1000.0
-#: Words whose lattice is laid out together, and words whose probability a worker remembers.
+#: Words whose lattice is laid out together.
 TOGETHER = 40_000
-REMEMBERED = 600_000
 
 
 class Vocabulary:
@@ -157,48 +156,37 @@ def _logs(p: np.ndarray) -> np.ndarray:
         return np.log(p)
 
 
-def fit(docs: DataFrame, path: str) -> np.ndarray:
-    """Log weights of the pieces and, last, of the end: expected counts over all whole training documents."""
-
-    def count(batches):
-        v = vocabulary(path)
-        logs, total = _logs(v.prior), np.zeros(len(v.prior))
-        for batch in batches:
-            for piece in C.slices(batch, 4 * C.STEP_BYTES):
-                ids: dict = defaultdict()
-                ids.default_factory = ids.__len__
-                chunks = C.raw(piece)
-                at = [np.fromiter(map(ids.__getitem__, t.lower().split()), dtype=np.int64) for t in chunks]
-                total[v.end] += len(chunks)
-                if ids:
-                    total += expected_pieces(v, list(ids), np.bincount(np.concatenate(at), minlength=len(ids)).astype(np.float64), logs)
-        k = np.flatnonzero(total)
-        yield C.batch_of(["piece", "n"], [k, total[k]], [pa.int32(), pa.float64()])
-
-    training = C.texts(docs).where(C.crc_fold(F.col("doc_id"), 7) != 2)
-    got = training.mapInArrow(count, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row for each piece of the vocabulary at most
+def fit(counted: DataFrame, path: str, rounds: int = 2) -> np.ndarray:
+    """Log weights of the pieces and, last, of the end: expected counts over all training documents, from the prior on,
+    taken anew under the last weights in each round. counted has every distinct word once, with its count."""
     prior = vocabulary(path).prior
-    total = PRIOR * prior
-    np.add.at(total, got.column("piece").to_numpy(), got.column("n").to_numpy())
-    return _logs(total / total.sum())
-
-
-BODY = "kind int, batch long, bucket int, words binary, sizes binary, counts binary, docs binary, tokens binary, scores binary, owners binary, places binary, times binary"
+    logs = _logs(prior)
+    for _ in range(rounds):
+        shared = counted.sparkSession.sparkContext.broadcast(logs)  # a weight for each piece of the vocabulary
+
+        def expect(batches, shared=shared):
+            v = vocabulary(path)
+            total = np.zeros(len(v.prior))
+            for batch in batches:
+                for words, sizes, counts in zip(*(batch.column(c).to_pylist() for c in ("words", "sizes", "counts")), strict=True):
+                    ends, c = np.cumsum(np.frombuffer(sizes, "<u4")).tolist(), np.frombuffer(counts, "<i8")
+                    own = [(words[a:b], n) for a, b, n in zip([0, *ends], ends, c.tolist()) if n]
+                    total[v.end] += sum(n for w, n in own if w == END)
+                    own = [x for x in own if x[0] != END]
+                    if own:
+                        total += expected_pieces(v, [w for w, _ in own], np.array([n for _, n in own], dtype=np.float64), shared.value)
+            k = np.flatnonzero(total)
+            yield C.batch_of(["piece", "n"], [k, total[k]], [pa.int32(), pa.float64()])
+
+        got = counted.select("words", "sizes", "counts").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row for each piece at most
+        total = PRIOR * prior
+        np.add.at(total, got.column("piece").to_numpy(), got.column("n").to_numpy())
+        logs = _logs(total / total.sum())
+    return logs
+
+
+BODY = "kind int, batch long, bucket int, words binary, sizes binary, counts binary, docs binary, tokens binary, owners binary, places binary, times binary"
 NAMES = [x.split()[0] for x in BODY.split(", ")]
-_KNOWN: dict = {}
-
-
-def _probabilities(words: list[bytes], path: str, model) -> np.ndarray:
-    """log10 of each word's probability, with a worker's memory."""
-    logs = model.value
-    if _KNOWN.get("of") is not logs or len(_KNOWN["log"]) > REMEMBERED:
-        _KNOWN.update({"of": logs, "log": {}})
-    known = _KNOWN["log"]
-    new = [w for w in words if w not in known and w != END]
-    known.update(zip(new, (word_logs(vocabulary(path), new, logs) / np.log(10)).tolist(), strict=True))
-    known[END] = float(logs[-1] / np.log(10))
-    return np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
-
 
 def score_documents(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row for each row of docs.
@@ -208,7 +196,6 @@ def score_documents(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model
     """
     path = C.vocabulary_path(vocabulary_file)
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, path))  # a weight for each piece of the vocabulary
     n = C.parts(spark)
     rows = C.texts(docs).withColumn("fold", C.crc_fold(F.col("doc_id"), 7))
 
@@ -228,7 +215,6 @@ def score_documents(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model
         del at
         doc = np.repeat(np.arange(len(tokens)), tokens)
         words = list(ids)
-        score = np.bincount(doc, _probabilities(words, path, model)[word], len(tokens))
         fold = np.array([-1 if x is None else x for x in piece.column("fold").to_pylist()])
         train = np.bincount(word[((fold >= 0) & (fold != 2))[doc]], minlength=len(words))
         bucket = np.fromiter((zlib.crc32(w) % n for w in words), dtype=np.int64, count=len(words))
@@ -245,52 +231,74 @@ def score_documents(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model
         cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
             own = [words[k] for k in order[a:b].tolist()]
-            yield C.batch_of(NAMES, [[0], [uid], [int(bucket[order[a]])], [b"".join(own)], [np.array([len(w) for w in own], dtype="<u4").tobytes()], [train[order[a:b]].astype("<i8").tobytes()], *[[None]] * 6], [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 9])
+            yield C.batch_of(NAMES, [[0], [uid], [int(bucket[order[a]])], [b"".join(own)], [np.array([len(w) for w in own], dtype="<u4").tobytes()], [train[order[a:b]].astype("<i8").tobytes()], *[[None]] * 5], [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 8])
         docs_ = np.array([x or 0 for x in C.ids(piece)], dtype="<i8").tobytes() + bytes(x is None for x in C.ids(piece)) + bytes((fold == 2).tolist())
-        yield C.batch_of(NAMES, [[1], [uid], [-1], [None], [None], [None], [docs_], [tokens.astype("<i8").tobytes()], [score.astype("<f8").tobytes()], [per_word.tobytes()], [np.repeat(where, many).astype("<u2").tobytes()], [small.tobytes()]], [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 9])
+        yield C.batch_of(NAMES, [[1], [uid], [-1], [None], [None], [None], [docs_], [tokens.astype("<i8").tobytes()], [per_word.tobytes()], [np.repeat(where, many).astype("<u2").tobytes()], [small.tobytes()]], [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 8])
 
-    def total(batches):
-        """Counts of a bucket's words over all training documents; back to each batch go those of its own words."""
+    def by_bucket(batches, columns):
+        """The rows of one bucket at a time; those of a bucket follow each other."""
         held, bucket = [], None
-
-        def close():
-            ids: dict = defaultdict()
-            ids.default_factory = ids.__len__
-            lists = []
-            for uid, words, sizes, counts in held:
-                ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
-                lists.append((uid, np.fromiter(map(ids.__getitem__, [words[a:b] for a, b in zip([0, *ends], ends)]), dtype=np.int64, count=len(ends)), np.frombuffer(counts, "<i8")))
-            c = np.zeros(len(ids), dtype=np.int64)
-            for _, k, counts in lists:
-                np.add.at(c, k, counts)
-            m = len(lists)
-            return C.batch_of(["batch", "bucket", "counts", "distinct", "tokens"], [[x[0] for x in lists], [bucket] * m, [c[k].astype("<i8").tobytes() for _, k, _ in lists], [int((c > 0).sum())] + [0] * (m - 1), [int(c.sum())] + [0] * (m - 1)], [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()])
-
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "batch", "words", "sizes", "counts")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", *columns)), strict=True):
                 if row[0] != bucket and held:
-                    yield close()
+                    yield bucket, held
                     held = []
                 bucket = row[0]
                 held.append(row[1:])
         if held:
-            yield close()
+            yield bucket, held
+
+    def numbered(rows):
+        """The distinct words of (batch, words, sizes, counts) rows, and each row's places among them."""
+        ids: dict = defaultdict()
+        ids.default_factory = ids.__len__
+        lists = []
+        for uid, words, sizes, counts in rows:
+            ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
+            lists.append((uid, np.fromiter(map(ids.__getitem__, [words[a:b] for a, b in zip([0, *ends], ends)]), dtype=np.int64, count=len(ends)), np.frombuffer(counts, "<i8")))
+        c = np.zeros(len(ids), dtype=np.int64)
+        for _, k, counts in lists:
+            np.add.at(c, k, counts)
+        return list(ids), c, lists
+
+    def total(batches):
+        """Each distinct word of a bucket once, with its count over all training documents."""
+        for bucket, rows in by_bucket(batches, ("batch", "words", "sizes", "counts")):
+            words, c, _ = numbered(rows)
+            for k in range(0, len(words), 100_000):
+                own, n_ = words[k : k + 100_000], c[k : k + 100_000]
+                yield C.batch_of(["bucket", "words", "sizes", "counts", "distinct", "tokens"], [[bucket], [b"".join(own)], [np.array([len(w) for w in own], dtype="<u4").tobytes()], [n_.astype("<i8").tobytes()], [int((n_ > 0).sum())], [int(n_.sum())]], [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()])
 
     made = C.materialise(rows.mapInArrow(gather, BODY), "lm-words")
-    lists = made.where("kind = 0").select("bucket", "batch", "words", "sizes", "counts")
-    counted = C.materialise(lists.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(total, "batch long, bucket int, counts binary, distinct long, tokens long"), "lm-counts")
+    lists = made.where("kind = 0").select("bucket", "batch", "words", "sizes", "counts").repartition(n, "bucket").sortWithinPartitions("bucket")
+    counted = C.materialise(lists.mapInArrow(total, "bucket int, words binary, sizes binary, counts binary, distinct long, tokens long"), "lm-counts")
     distinct, all_tokens = counted.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    model = spark.sparkContext.broadcast(fit(counted, path))  # a weight for each piece of the vocabulary
+
+    def reply(batches):
+        """To each batch the counts and the log probabilities of its own words, in the batch's order."""
+        v = vocabulary(path)
+        for bucket, rows in by_bucket(batches, ("batch", "words", "sizes", "counts")):
+            words, c, lists_ = numbered(rows)
+            logs = np.full(len(words), model.value[v.end])
+            own = [k for k, w in enumerate(words) if w != END]
+            if own:
+                logs[own] = word_logs(v, [words[k] for k in own], model.value)
+            logs /= np.log(10)
+            for uid, k, _ in lists_:
+                yield C.batch_of(["batch", "bucket", "counts", "logs"], [[uid], [bucket], [c[k].astype("<i8").tobytes()], [logs[k].astype("<f8").tobytes()]], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
     def finish(batches):
         """A batch's counts come bucket by bucket, its body last."""
-        counts: list = []
+        counts, logs = [], []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "counts", "docs", "tokens", "scores", "owners", "places", "times")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "counts", "docs", "tokens", "logs", "owners", "places", "times")), strict=True):
                 if row[0] >= 0:
                     counts.append(np.frombuffer(row[1], "<i8"))
+                    logs.append(np.frombuffer(row[4], "<f8"))
                     continue
-                c = np.concatenate(counts)
-                counts = []
+                c, log = np.concatenate(counts), np.concatenate(logs)
+                counts, logs = [], []
                 tokens = np.frombuffer(row[3], "<i8")
                 m = len(tokens)
                 ids = np.frombuffer(row[2], "<i8", m).tolist()
@@ -299,11 +307,11 @@ def score_documents(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model
                 weight = np.repeat(np.log10((c + 1) / (all_tokens + distinct + 1)), per_word)
                 base = np.bincount(where, times * weight, m)
                 known = np.bincount(where, times * np.repeat(c > 0, per_word), m).astype(np.int64)
-                yield C.batch_of(["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"], [[None if z else d for d, z in zip(ids, null)], [bool(x) for x in held], tokens, known, base, np.frombuffer(row[4], "<f8")], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])
+                yield C.batch_of(["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"], [[None if z else d for d, z in zip(ids, null)], [bool(x) for x in held], tokens, known, base, np.bincount(where, times * np.repeat(log, per_word), m)], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])
 
     none = F.lit(None).cast("binary")
-    body = made.where("kind = 1").select("batch", "bucket", none.alias("counts"), "docs", "tokens", "scores", "owners", "places", "times")
-    reply = counted.select("batch", "bucket", "counts", *[none.alias(c) for c in ("docs", "tokens", "scores", "owners", "places", "times")])
-    met = body.unionByName(reply).repartition(n, "batch").sortWithinPartitions("batch", F.col("bucket") < 0, "bucket")
+    body = made.where("kind = 1").select("batch", "bucket", none.alias("counts"), none.alias("logs"), "docs", "tokens", "owners", "places", "times")
+    answers = lists.mapInArrow(reply, "batch long, bucket int, counts binary, logs binary").select("*", *[none.alias(c) for c in ("docs", "tokens", "owners", "places", "times")])
+    met = body.unionByName(answers).repartition(n, "batch").sortWithinPartitions("batch", F.col("bucket") < 0, "bucket")
     out = met.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(all_tokens)).cast("long").alias("train_tokens"), "base_score", "score")
