@@ -81,13 +81,10 @@ def word_window_dedup(docs: DataFrame, width: int = 13, sketch_bits: int = 26) -
     def anchors(piece):
         w = Words(C.raw(piece))
         at, keys = w.windows(width)
-        doc = w.doc[at]
-        order = np.lexsort((keys, doc))
-        doc, keys = doc[order], keys[order]
-        return keys[np.append(True, (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1]))] if len(keys) else keys
+        return V.once_a_document(keys, w.doc[at])
 
     twice = spark.sparkContext.broadcast(V.repeated_cells(read.select("text"), anchors, sketch_bits))
-    n = 4 * C.parts(spark)
+    n = C.parts(spark)
 
     def gather(batches):
         held, size = [], 0
@@ -107,12 +104,12 @@ def word_window_dedup(docs: DataFrame, width: int = 13, sketch_bits: int = 26) -
             for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
                 k = order[a:b]
                 own, row = np.unique(np.stack([doc[k], key[k]]), axis=1, return_inverse=True)
-                out.append((int(bucket[k[0]]), h1[k].tobytes(), h2[k].tobytes(), row.astype("<u4").tobytes(), pos[k].astype("<u4").tobytes(), own[0].astype("<i8").tobytes(), own[1].astype("<i8").tobytes(), None, None))
+                out.append((int(bucket[k[0]]), h1[k].tobytes(), h2[k].tobytes(), V.squeeze(row.astype("<u4")), V.squeeze(pos[k].astype("<u4")), V.squeeze(own[0].astype("<i8")), V.squeeze(own[1].astype("<i4")), None, None))
             held.clear()
             return C.batch_of(ENTRY_NAMES, [list(x) for x in zip(*out, strict=True)], [pa.int32()] + [pa.binary()] * 8)
 
         for batch in batches:
-            for piece in C.slices(batch, C.STEP_BYTES // 2):
+            for piece in C.slices(batch, V.PIECE):
                 w = Words(C.raw(piece))
                 at, keys = w.windows(width)
                 some = V.Sketch.repeated(twice.value, sketch_bits, keys)
@@ -133,13 +130,13 @@ def word_window_dedup(docs: DataFrame, width: int = 13, sketch_bits: int = 26) -
             yield flush()
 
     def settle(batches):
-        held, bucket = [], None
+        held, bucket, out = [], None, V.Outbox(n)
 
         def close():
             cols = []
             for h1, h2, row, pos, own, keys in held:
-                row = np.frombuffer(row, "<u4")
-                cols.append((np.frombuffer(own, "<i8")[row], np.frombuffer(keys, "<i8")[row], np.frombuffer(pos, "<u4").astype(np.int64), np.frombuffer(h1, "<u8"), np.frombuffer(h2, "<u4")))
+                row = V.loosen(row, "<u4")
+                cols.append((V.loosen(own, "<i8")[row], V.loosen(keys, "<i4").astype(np.int64)[row], V.loosen(pos, "<u4").astype(np.int64), np.frombuffer(h1, "<u8"), np.frombuffer(h2, "<u4")))
             doc, key, pos, h1, h2 = _split(cols)
             held.clear()
             order = np.lexsort((doc, h2, h1))
@@ -147,7 +144,7 @@ def word_window_dedup(docs: DataFrame, width: int = 13, sketch_bits: int = 26) -
             fresh = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
             later = doc > doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
             k = order[later]
-            return list(V.packed_spans(doc[later], key[k], pos[k], np.ones(len(k), dtype=np.int64), n))
+            out.add(doc[later], key[k], pos[k], np.ones(len(k), dtype=np.int64))
 
         for batch in batches:
             passed = []
@@ -156,14 +153,15 @@ def word_window_dedup(docs: DataFrame, width: int = 13, sketch_bits: int = 26) -
                     passed.append((-1 - row[0], *row[5:]))
                     continue
                 if row[0] != bucket and held:
-                    if got := close():
-                        yield V.span_batch(got)
+                    close()
                 bucket = row[0]
                 held.append(row[1:7])
             if passed:
                 yield V.span_batch(passed)
-        if held and (got := close()):
-            yield V.span_batch(got)
+            yield from out.full()
+        if held:
+            close()
+        yield from out.rest()
 
     spans = read.mapInArrow(gather, ENTRIES).repartition(C.parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(settle, V.SPANS)
     runs = V.runs_by_document(spans)

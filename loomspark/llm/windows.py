@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Bytes of text that are hashed together: their 64-bit hashes then fit a processor's cache.
+PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = C.mixed(np.arange(1, 257, dtype=np.uint64))
 _POWERS: dict[int, np.ndarray] = {}
@@ -55,6 +58,13 @@ def lowest(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(x) - w + 1], out[w - have : w - have + len(x) - w + 1])
 
 
+def once_a_document(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The keys, sorted, with most of what one document has twice left out."""
+    order = np.argsort(keys)
+    keys, doc = keys[order], doc[order]
+    return keys[np.append(True, (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
 class Sketch:
     """Count-min sketch of counters that stop at two, as bit sets: cells met once at least, and twice at least.
 
@@ -85,7 +95,7 @@ class Sketch:
         return (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
 
     def add(self, keys: np.ndarray) -> None:
-        """keys: well mixed, one for each document that has it."""
+        """keys: well mixed, one at least for each document that has it."""
         for row in range(self.ROWS):
             cells, n = np.unique(self.cells(keys, self.bits, row), return_counts=True)
             self._set(self.twice, cells[(n > 1) | self.has(self.once, cells)])
@@ -103,9 +113,16 @@ def repeated_cells(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]
 
     def gather(batches):
         own = Sketch(bits)
+        held, size = [], 0
         for batch in batches:
-            for piece in C.slices(batch, C.STEP_BYTES // 2):
-                own.add(keys(piece))
+            for piece in C.slices(batch, PIECE):
+                held.append(keys(piece))
+                size += len(held[-1])
+                if size > 500_000:
+                    own.add(np.concatenate(held))
+                    held, size = [], 0
+        if held:
+            own.add(np.concatenate(held))
         for k, at in enumerate(range(0, len(own.once), Sketch.SLICE)):
             once, twice = own.once[at : at + Sketch.SLICE], own.twice[at : at + Sketch.SLICE]
             if once.any():
@@ -135,7 +152,16 @@ def repeated_cells(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a key: rows alike in both are alike in every result; a null doc_id is no smaller than any."""
-    return C.texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    return C.texts(docs).withColumn("key", F.hash("doc_id", "text").cast("long"))
+
+
+def squeeze(x: np.ndarray | bytes) -> bytes:
+    """What goes over the wire in one value: compressed, since ids, places and texts there repeat a lot."""
+    return zstandard.compress(bytes(x) if isinstance(x, bytes) else x.tobytes(), 1 if not isinstance(x, bytes) else 3)
+
+
+def loosen(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x), kind)
 
 
 #: Removed windows on their way back: for a bucket of documents, the document, its key, first window and length of runs.
@@ -163,13 +189,37 @@ def packed_spans(doc: np.ndarray, key: np.ndarray, start: np.ndarray, length: np
     cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
     for a, b in zip(cuts, np.append(cuts[1:], len(order))):
         k = order[a:b]
-        yield int(bucket[k[0]]), doc[k].astype("<i8").tobytes(), key[k].astype("<i8").tobytes(), start[k].astype("<u4").tobytes(), (end - start)[k].astype("<u4").tobytes()
+        yield int(bucket[k[0]]), squeeze(doc[k].astype("<i8")), squeeze(key[k].astype("<i4")), squeeze(start[k].astype("<u4")), squeeze((end - start)[k].astype("<u4"))
 
 
 def span_batch(rows: list[tuple]) -> pa.RecordBatch:
     return C.batch_of(SPAN_NAMES, [list(x) for x in zip(*rows, strict=True)], [pa.int32()] + [pa.binary()] * 4)
 
 
+class Outbox:
+    """Gathers removed runs of a task, so that few rows of SPANS leave it."""
+
+    FULL = 1_000_000
+
+    def __init__(self, n: int):
+        self.n, self.held, self.size = n, [], 0
+
+    def add(self, doc: np.ndarray, key: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        if len(doc):
+            self.held.append((doc, key, start, length))
+            self.size += len(doc)
+
+    def full(self):
+        if self.size >= self.FULL:
+            yield from self.rest()
+
+    def rest(self):
+        if self.held:
+            rows = list(packed_spans(*(np.concatenate(x) for x in zip(*self.held, strict=True)), self.n))
+            self.held, self.size = [], 0
+            yield span_batch(rows)
+
+
 def runs_by_document(spans: DataFrame) -> DataFrame:
     """doc_id, key, starts, lens: the removed runs of windows of each document that has any, from rows of SPANS."""
 
@@ -177,8 +227,7 @@ def runs_by_document(spans: DataFrame) -> DataFrame:
         held, bucket = [], None
 
         def close():
-            doc, key = (np.concatenate([np.frombuffer(h[k], "<i8") for h in held]) for k in (0, 1))
-            start, length = (np.concatenate([np.frombuffer(h[k], "<u4") for h in held]).astype(np.int64) for k in (2, 3))
+            doc, key, start, length = (np.concatenate([loosen(h[k], kind) for h in held]).astype(np.int64) for k, kind in enumerate(("<i8", "<i4", "<u4", "<u4")))
             order = np.lexsort((start, key, doc))
             doc, key, start, length = (x[order] for x in (doc, key, start, length))
             cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
