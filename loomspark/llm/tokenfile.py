@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -42,6 +43,8 @@ def pack(values: np.ndarray, bits: int) -> bytes:
     if not len(values):
         return b""
     wide = np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4)
+    if bits % 8 == 0:  # whole bytes
+        return wide[:, : bits // 8].tobytes()
     return np.packbits(np.unpackbits(wide, axis=1, bitorder="little")[:, :bits], bitorder="little").tobytes()
 
 
@@ -49,6 +52,10 @@ def unpack(payload: np.ndarray, first: int, count: int, bits: int) -> np.ndarray
     """`count` values from bit first * bits on: each is cut out of the eight bytes at its place."""
     if not count:
         return np.empty(0, dtype=np.uint32)
+    if bits % 8 == 0:
+        wide = np.zeros((count, 4), dtype=np.uint8)
+        wide[:, : bits // 8] = payload[first * bits // 8 : (first + count) * bits // 8].reshape(count, -1)
+        return wide.view("<u4").reshape(-1)
     at = (first + np.arange(count, dtype=np.int64)) * bits
     low = int(at[0] >> 3)
     data = np.concatenate([payload[low : int(at[-1] >> 3) + 8], np.zeros(8, dtype=np.uint8)])
@@ -104,13 +111,21 @@ class TokenFile:
         return self.ids(0, self.n_ids)
 
 
+#: Fixed values of the word format, for lower-case Latin text: the words that merges never leave.
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00e0-\u00f6\u00f8-\u024f\u00df]+|[0-9]|[^\\sa-z0-9\u00e0-\u00f6\u00f8-\u024f\u00df]+")
+#: Text for which WORD holds: every character is its own normal form and has one lower-case form, and white space is
+#: what the tokenizer takes for it too.
+LATIN = re.compile("[\t-\r -~\u00a0\u00c0-\u012f\u0131-\u024f]*")
+
+
 class ChunkEncoder:
-    """The library's ids of whole texts, from those of their chunks between white space.
+    """The library's ids of whole texts, from those of their parts, which a worker remembers.
 
     Sound for tokenizers that drop white space before anything else sees it: no word, merge or normal form spans it.
+    Latin text is cut into its words, other text at white space only.
     """
 
-    REMEMBERED = 400_000
+    REMEMBERED = 900_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -119,18 +134,24 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size()
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
+    def _cut(self, text: str) -> list[str]:
+        if LATIN.fullmatch(text) and not any(s in text for s in self.special):
+            return WORD.findall(text.lower())
+        return CHUNK.findall(text) if ODD.search(text) else text.split()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [CHUNK.findall(t) if ODD.search(t) else t.split() for t in texts]
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
-        known = self.known
-        new = [x for x in {x for c in cut for x in c} if x not in known]
+        cut = [self._cut(t) for t in texts]
+        new = list(set().union(*cut) - self.known.keys())
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
-            known.update(zip(some, (np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+            self.known.update(zip(some, (array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        known = self.known.__getitem__
+        return [b"".join(map(known, c)) for c in cut]
 
 
 @cache
