@@ -22,7 +22,7 @@ PART = 16
 #: Stretches of a task that are handed on together.
 GATHERED = 200_000
 #: Bytes of text that one suffix array covers, unless one anchor's stretches alone are more.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Alphabets up to this size are sorted by induction; larger ones arise in the recursion only.
 ALPHABET = 1024
 
@@ -57,7 +57,7 @@ def _induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, counts: np.n
     n = len(s)
     ends = np.cumsum(counts)
     starts = ends - counts
-    sa = np.full(n, -1, dtype=np.int64)
+    sa = np.full(n, -1, dtype=np.int32)
     present = np.flatnonzero(counts)
     lows = np.zeros(len(counts), dtype=np.int64)
     low_counts = np.bincount(s[leftmost], minlength=len(counts))
@@ -114,7 +114,7 @@ def _ranked(names: np.ndarray) -> np.ndarray:
             return order
         follow = open_ + far
         key = np.where(follow < m, rank[np.minimum(follow, m - 1)], -1)
-        k = np.lexsort((key, rank[open_]))
+        k = np.argsort(rank[open_] * (m + 1) + key + 1)
         open_, key, own = open_[k], key[k], rank[open_[k]]
         new = np.append(True, own[1:] != own[:-1])
         place = np.flatnonzero(new)
@@ -132,7 +132,7 @@ def _sorted_suffixes(s: np.ndarray, symbols: int) -> np.ndarray:
     if n < 3:
         return np.argsort(s, kind="stable")
     small = _types(s)
-    leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    leftmost = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     counts = np.bincount(s, minlength=symbols)
     sa = _induce(s, small, leftmost, counts)
     is_left = np.zeros(n, dtype=bool)
@@ -255,8 +255,8 @@ class Stretches:
         self.anchor = C.mixed(anchor[begin])
 
 
-ENTRIES = "bucket int, anchor binary, print binary, length binary, text binary, stretch binary, row binary, pos binary, docs binary, keys binary"
-ENTRY_NAMES = ["bucket", "anchor", "print", "length", "text", "stretch", "row", "pos", "docs", "keys"]
+ENTRIES = "bucket int, anchor binary, length binary, text binary, stretch binary, row binary, pos binary, docs binary, keys binary"
+ENTRY_NAMES = ["bucket", "anchor", "length", "text", "stretch", "row", "pos", "docs", "keys"]
 
 
 def _runs_within(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,23 +264,25 @@ def _runs_within(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _settled(held: list, width: int, n: int) -> list[tuple]:
-    """Rows of SPANS for all occurrences of a bucket's stretches."""
+def _settled(held: list, width: int) -> list[np.ndarray]:
+    """Document, key, first window and length of the removed runs, for all occurrences of a bucket's stretches."""
     anchor, print_, length, texts = [], [], [], []
     stretch, doc, key, pos = [], [], [], []
     at = 0
-    for a, p, size, text, s, row, where, docs, keys in held:
-        size = np.frombuffer(size, "<u4").astype(np.int64)
+    for a, size, text, s, row, where, docs, keys in held:
+        size, text = V.loosen(size, "<u4").astype(np.int64), V.loosen(text, np.uint8)
         anchor.append(np.frombuffer(a, "<u8"))
-        print_.append(np.frombuffer(p, "<u8"))
         length.append(size)
         ends = np.cumsum(size)
-        texts += [text[x:y] for x, y in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-        row = np.frombuffer(row, "<u4")
-        stretch.append(np.frombuffer(s, "<u4").astype(np.int64) + at)
-        doc.append(np.frombuffer(docs, "<i8")[row])
-        key.append(np.frombuffer(keys, "<i8")[row])
-        pos.append(np.frombuffer(where, "<u4").astype(np.int64))
+        print_.append(V.Rolling(text).of(ends - size, ends))
+        whole = text.tobytes()
+        del text
+        texts += [whole[x:y] for x, y in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+        row = V.loosen(row, "<u4")
+        stretch.append(V.loosen(s, "<u4").astype(np.int64) + at)
+        doc.append(V.loosen(docs, "<i8")[row])
+        key.append(V.loosen(keys, "<i4").astype(np.int64)[row])
+        pos.append(V.loosen(where, "<u4").astype(np.int64))
         at += len(size)
     anchor, print_, length, stretch, doc, key, pos = map(np.concatenate, (anchor, print_, length, stretch, doc, key, pos))
     # Equal stretches of different tasks become one.
@@ -293,7 +295,6 @@ def _settled(held: list, width: int, n: int) -> list[tuple]:
     anchor, stretch = anchor[kept], of[stretch]
     first = np.full(len(kept), np.iinfo(np.int64).max)
     np.minimum.at(first, stretch, doc)
-    out = []
     # Whole stretches that a smaller document has.
     later = doc > first[stretch]
     windows = length[kept] - width + 1
@@ -323,9 +324,7 @@ def _settled(held: list, width: int, n: int) -> list[tuple]:
                 rows = by_stretch[bounds[own[c]] : bounds[own[c] + 1]]
                 rows = rows[~later[rows]]
                 spans.append((doc[rows], key[rows], pos[rows] + (u - off[c]), np.full(len(rows), v - u)))
-    got = [np.concatenate(c) for c in zip(*spans, strict=True)]
-    out.extend(V.packed_spans(*got, n))
-    return out
+    return [np.concatenate(c) for c in zip(*spans, strict=True)]
 
 
 def byte_dedup(docs: DataFrame, width: int = 50, sketch_bits: int = 27) -> DataFrame:
@@ -342,12 +341,11 @@ def byte_dedup(docs: DataFrame, width: int = 50, sketch_bits: int = 27) -> DataF
 
     def anchors(piece):
         s = Stretches(C.raw(piece), width)
-        order = np.lexsort((s.anchor, s.doc))
-        doc, keys = s.doc[order], s.anchor[order]
-        return keys[np.append(True, (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1]))] if len(keys) else keys
+        return V.once_a_document(s.anchor, s.doc)
 
     twice = spark.sparkContext.broadcast(V.repeated_cells(read.select("text"), anchors, sketch_bits))
-    n = 4 * C.parts(spark)
+    n = C.parts(spark)
+    shards = 4 * n
 
     def gather(batches):
         held, size = [], 0
@@ -361,7 +359,7 @@ def byte_dedup(docs: DataFrame, width: int = 50, sketch_bits: int = 27) -> DataF
             fresh = np.append(True, (a[1:] != a[:-1]) | (p[1:] != p[:-1]) | (e[1:] != e[:-1]))
             of = np.cumsum(fresh) - 1
             kept = order[fresh]
-            bucket = (anchor[kept] >> np.uint64(40)).astype(np.int64) % n
+            bucket = (anchor[kept] >> np.uint64(40)).astype(np.int64) % shards
             by = np.argsort(bucket, kind="stable")
             occ = np.argsort(bucket[of], kind="stable")
             cuts = np.searchsorted(bucket[by], np.unique(bucket))
@@ -376,11 +374,11 @@ def byte_dedup(docs: DataFrame, width: int = 50, sketch_bits: int = 27) -> DataF
                 at = order[rows_]
                 table, row = np.unique(np.stack([doc[at], key[at]]), axis=1, return_inverse=True)
                 k = kept[own]
-                out.append((int(bucket[own[0]]), anchor[k].tobytes(), print_[k].tobytes(), length[k].astype("<u4").tobytes(), b"".join([texts[i] for i in k.tolist()]), place[of[rows_]].astype("<u4").tobytes(), row.astype("<u4").tobytes(), pos[at].astype("<u4").tobytes(), table[0].astype("<i8").tobytes(), table[1].astype("<i8").tobytes()))
-            return C.batch_of(ENTRY_NAMES, [list(x) for x in zip(*out, strict=True)], [pa.int32()] + [pa.binary()] * 9)
+                out.append((int(bucket[own[0]]), anchor[k].tobytes(), V.squeeze(length[k].astype("<u4")), V.squeeze(b"".join([texts[i] for i in k.tolist()])), V.squeeze(place[of[rows_]].astype("<u4")), V.squeeze(row.astype("<u4")), V.squeeze(pos[at].astype("<u4")), V.squeeze(table[0].astype("<i8")), V.squeeze(table[1].astype("<i4"))))
+            return C.batch_of(ENTRY_NAMES, [list(x) for x in zip(*out, strict=True)], [pa.int32()] + [pa.binary()] * 8)
 
         for batch in batches:
-            for piece in C.slices(batch, C.STEP_BYTES // 2):
+            for piece in C.slices(batch, V.PIECE):
                 s = Stretches(C.raw(piece), width)
                 some = np.flatnonzero(V.Sketch.repeated(twice.value, sketch_bits, s.anchor))
                 if not len(some):
@@ -398,17 +396,18 @@ def byte_dedup(docs: DataFrame, width: int = 50, sketch_bits: int = 27) -> DataF
             yield flush()
 
     def settle(batches):
-        held, bucket = [], None
+        held, bucket, out = [], None, V.Outbox(n)
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ENTRY_NAMES), strict=True):
                 if row[0] != bucket and held:
-                    if got := _settled(held, width, n):
-                        yield V.span_batch(got)
+                    out.add(*_settled(held, width))
                     held = []
                 bucket = row[0]
                 held.append(row[1:])
-        if held and (got := _settled(held, width, n)):
-            yield V.span_batch(got)
+            yield from out.full()
+        if held:
+            out.add(*_settled(held, width))
+        yield from out.rest()
 
     spans = read.mapInArrow(gather, ENTRIES).repartition(C.parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(settle, V.SPANS)
     runs = V.runs_by_document(spans)
