@@ -18,13 +18,19 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
+#: Members of a key up to which all its links are candidates, where each is verified later: a link of a shortest
+#: forest that fails could hide others that hold.
+DENSE = 16
 #: Members of a key from which they are dealt out anew.
 CROWD = 2048
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """Bit by bit the majority of the shingles' hashes; ties and texts without words give zeros."""
+def fingerprint(text: bytes, shingle: int = 3, distinct: bool = False) -> int:
+    """Bit by bit the majority of the shingles' hashes; ties and texts without words give zeros. distinct: each word
+    once, in order, before shingles are made."""
     words = text.lower().split()  # of bytes: both touch ASCII only
+    if distinct:
+        words = list(dict.fromkeys(words))
     if not words:
         return 0
     whole = b" ".join(words)
@@ -44,13 +50,14 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, print (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = 3, distinct: bool = False) -> DataFrame:
+    """doc_id, node (the text's own 64-bit hash), print (the fingerprint), as signed longs."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        return C.batch_of(["doc_id", "print"], [C.ids(piece), [signed(fingerprint(t, shingle)) for t in C.raw(piece)]], [pa.int64(), pa.int64()])
+        raw = C.raw(piece)
+        return C.batch_of(["doc_id", "node", "print"], [C.ids(piece), [signed(xxhash.xxh3_64_intdigest(t)) for t in raw], [signed(fingerprint(t, shingle, distinct)) for t in raw]], [pa.int64()] * 3)
 
-    return C.map_slices(C.texts(docs), run, "doc_id long, print long")
+    return C.map_slices(C.texts(docs), run, "doc_id long, node long, print long")
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -72,17 +79,53 @@ def _keys(fp: np.ndarray, parts: list[tuple[int, int]], wild: bool = True) -> tu
     return np.array(kinds, dtype=np.int64), np.stack(values, axis=1)
 
 
-def links(fp: np.ndarray, bits: int, wild: int) -> list[tuple[int, int]]:
-    """Index pairs that differ at `bits` places or fewer, just enough to join all that such pairs join.
+def _closest(fp: np.ndarray, bits: int, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """The links of a shortest spanning forest: in each round every group takes its closest link to another one."""
+    n = len(fp)
+    label, out = np.arange(n), []
+    step = max(1, (1 << 20) // n)
+    while True:
+        best = np.full(n, 1 << 60)  # of each group: distance, then both ends, smaller one first
+        for k in range(0, n, step):
+            d = np.bitwise_count(fp[k : k + step, None] ^ fp[None, :]).astype(np.int64)
+            ok = (d <= bits) & (label[k : k + step, None] != label[None, :])
+            if side is not None:
+                ok &= side[k : k + step, None] != side[None, :]
+            i, j = np.nonzero(ok)
+            if len(i):
+                low, high = np.minimum(i + k, j), np.maximum(i + k, j)
+                np.minimum.at(best, label[i + k], (d[i, j] << 48) | (low << 24) | high)
+        took = np.unique(best[best < 1 << 60])
+        if not len(took):
+            return out
+        for e in took.tolist():
+            a, b = e >> 24 & 0xFFFFFF, e & 0xFFFFFF
+            x, y = label[a], label[b]
+            if x != y:
+                label[label == max(x, y)] = min(x, y)
+                out.append((a, b))
+
+
+def links(fp: np.ndarray, bits: int, wild: int, dense: int = 0) -> list[tuple[int, int]]:
+    """Index pairs that differ at `bits` places or fewer, just enough to join all that such pairs join; all of them
+    where there are `dense` members at most.
 
     wild: the bit set aside plus one, or 0. Only pairs that differ there count: others share the unaltered key.
     """
     n = len(fp)
-    if wild:
-        side = (fp >> np.uint64(wild - 1)) & np.uint64(1)
-        if side.all() or not side.any():
-            return []
-    parent = np.arange(n)
+    side = (fp >> np.uint64(max(wild, 1) - 1)) & np.uint64(1)
+    if wild and (side.all() or not side.any()):
+        return []
+    if n <= dense:
+        i, j = np.triu_indices(n, 1)
+        ok = (np.bitwise_count(fp[i] ^ fp[j]) <= bits) & ((side[i] != side[j]) if wild else True)
+        return list(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
+    varying = int(np.bitwise_or.reduce(fp) ^ np.bitwise_and.reduce(fp))
+    free = [b for b in range(64) if varying >> b & 1]
+    near = 1 + len(free) * (1 + (len(free) - 1) * (1 + (len(free) - 2) / 3) / 2)
+    if n <= 4096 or n < 16 * near or bits > 3:
+        return _closest(fp, bits, side if wild else None)
+    parent, out = np.arange(n), []
 
     def root(x):
         while parent[x] != x:
@@ -90,8 +133,6 @@ def links(fp: np.ndarray, bits: int, wild: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    out = []
-
     def unite(i, j):
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             x, y = root(a), root(b)
@@ -99,21 +140,6 @@ def links(fp: np.ndarray, bits: int, wild: int) -> list[tuple[int, int]]:
                 parent[max(x, y)] = min(x, y)
                 out.append((a, b))
 
-    varying = int(np.bitwise_or.reduce(fp) ^ np.bitwise_and.reduce(fp))
-    free = [b for b in range(64) if varying >> b & 1]
-    near = 1 + len(free) * (1 + (len(free) - 1) * (1 + (len(free) - 2) / 3) / 2)
-    if n <= 4096 or n < 16 * near or bits > 3:
-        step = max(1, (1 << 20) // n)
-        for k in range(0, n, step):
-            d = np.bitwise_count(fp[k : k + step, None] ^ fp[None, :])
-            ok = d <= bits
-            if wild:
-                ok &= side[k : k + step, None] != side[None, :]
-            i, j = np.nonzero(ok)
-            i = i + k
-            some = i < j
-            unite(i[some], j[some])
-        return out
     order = np.argsort(fp)
     ranked = fp[order]
     for d in range(1, bits + 1):  # few bits vary: try every way to differ
@@ -129,7 +155,7 @@ def links(fp: np.ndarray, bits: int, wild: int) -> list[tuple[int, int]]:
     return out
 
 
-def _file(parts, rest: bool):
+def _file(parts, rest: bool, bits: int):
     """Mapper: the keys of each fingerprint. rest: rows already have a key (kind, value), and get a second one."""
 
     def run(batches):
@@ -149,8 +175,9 @@ def _file(parts, rest: bool):
                         a = int(code) >> 8
                         width = next(w for x, w in parts if x == a)
                         left = [b for b in range(64) if not a <= b < a + width]
-                        half = len(left) // 2
-                        kinds, values = _variants(fp[own], [left[:half], left[half:]])
+                        many = (bits + 2) // 2
+                        cuts = [len(left) * x // many for x in range(many + 1)]
+                        kinds, values = _variants(fp[own], [left[x:y] for x, y in zip(cuts, cuts[1:])])
                         m = len(kinds)
                         yield C.batch_of(["kind", "value", "kind2", "value2", "print"], [np.repeat(kind[own], m), np.repeat(value[own], m), np.tile(kinds, len(own)), values.reshape(-1).view(np.int64), np.repeat(fp[own], m).view(np.int64)], [pa.int64()] * 5)
 
@@ -167,7 +194,7 @@ def _variants(fp: np.ndarray, groups: list[list[int]]) -> tuple[np.ndarray, np.n
     return np.array(kinds, dtype=np.int64), np.stack(values, axis=1)
 
 
-def _meet(bits: int, last: bool):
+def _meet(bits: int, last: bool, dense: int):
     """Reducer over rows sorted by key. A key's members are held up to CROWD; of a larger one they are passed on."""
     names = ["kind", "value", "kind2", "value2"] if last else ["kind", "value"]
 
@@ -180,7 +207,7 @@ def _meet(bits: int, last: bool):
             fp = np.unique(np.concatenate(held))
             if len(fp) < 2:
                 return None
-            got = links(fp, bits, held_key[0] & 0xFF)
+            got = links(fp, bits, held_key[0] & 0xFF, dense)
             if not got:
                 return None
             i, j = np.array(got).T
@@ -236,15 +263,16 @@ def _meet(bits: int, last: bool):
 EDGE = "a long, b long, kind long, value long"
 
 
-def near_links(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of the column `print`, enough to join all within `bits` of each other."""
+def near_links(prints: DataFrame, bits: int = 3, dense: int = 0) -> DataFrame:
+    """Links (a, b) between distinct fingerprints of the column `print`, enough to join all within `bits` of each other;
+    under keys of `dense` members at most, all links."""
     parts = segments(bits)
     n = C.parts(prints.sparkSession)
-    filed = prints.select("print").distinct().mapInArrow(_file(parts, False), "kind long, value long, print long")
-    met = C.materialise(filed.repartition(n, "kind", "value").sortWithinPartitions("kind", "value").mapInArrow(_meet(bits, False), EDGE), "links")
-    again = met.where("kind >= 0").select("kind", "value", F.col("a").alias("print")).mapInArrow(_file(parts, True), "kind long, value long, kind2 long, value2 long, print long")
+    filed = prints.select("print").distinct().mapInArrow(_file(parts, False, bits), "kind long, value long, print long")
+    met = C.materialise(filed.repartition(n, "kind", "value").sortWithinPartitions("kind", "value").mapInArrow(_meet(bits, False, dense), EDGE), "links")
+    again = met.where("kind >= 0").select("kind", "value", F.col("a").alias("print")).mapInArrow(_file(parts, True, bits), "kind long, value long, kind2 long, value2 long, print long")
     keys = ["kind", "value", "kind2", "value2"]
-    crowds = again.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_meet(bits, True), EDGE)
+    crowds = again.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_meet(bits, True, dense), EDGE)
     return met.where("kind < 0").select("a", "b").unionByName(crowds.select("a", "b")).distinct()
 
 
@@ -263,7 +291,54 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 3) -> Data
     return prints.join(of_print, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_near(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles in order; fewer words make one shingle, none make none."""
+    words = text.lower().split()
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))] if words else [], dtype="<u8"))
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 5) -> DataFrame:
+    """doc_id, component_id: texts are linked whose sets of shingles have a Jaccard similarity of `similarity` or more.
+
+    Candidates are the links of near_links between fingerprints of the texts' distinct words; each is then verified on
+    the whole shingle sets. Equal texts are linked as they are, and so are all without words. Nulls count as empty.
+    """
+    prints = C.materialise(fingerprints(docs, 1, True), "prints")
+    nodes = prints.groupBy("node").agg(F.first("print").alias("print"), F.min("doc_id").alias("first"))
+    heads = nodes.groupBy("print").agg(F.min("node").alias("head"))
+    between = near_links(prints, bits, DENSE).join(heads.select(F.col("print").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("print").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    inside = nodes.join(heads, "print").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    pairs = C.materialise(between.unionByName(inside).distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+
+    def sets(piece: pa.RecordBatch) -> pa.RecordBatch:
+        got = [(n, shingle_set(t, shingle).tobytes()) for n, t in zip(piece.column("__node").to_pylist(), C.raw(piece), strict=True) if n == signed(xxhash.xxh3_64_intdigest(t))]
+        return C.batch_of(["node", "shingles"], [[n for n, _ in got], [x for _, x in got]], [pa.int64(), pa.binary()])
+
+    # A node's text is that of its smallest doc_id; where rows repeat that id, their own hashes tell them apart.
+    named_by = nodes.join(wanted, "node", "left_semi").select(F.coalesce("first", F.lit(-1)).alias("__id"), F.col("node").alias("__node"))
+    own = C.texts(docs).withColumn("__id", F.coalesce("doc_id", F.lit(-1))).join(named_by, "__id").select("__node", "text")
+    known = C.materialise(C.map_slices(own, sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    met = pairs.join(known.select(F.col("node").alias("x"), F.col("shingles").alias("s")), "x").join(known.select(F.col("node").alias("y"), F.col("shingles").alias("t")), "y")
+    links_ = met.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a long, b long")
+    joined = components(links_)
+    named = joined.join(nodes, "node").groupBy("root").agg(F.min("first").alias("component_id"))
+    of_node = nodes.join(joined, "node", "left").join(named, "root", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(of_node, "node").select("doc_id", "component_id")
+
+
+def keep_one_of_near(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 5) -> DataFrame:
     """The rows of docs, with their columns, of which each component keeps that with the smallest doc_id."""
-    kept = simhash_components(docs, shingle, bits).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = similar_components(docs, shingle, similarity, bits).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")

@@ -83,7 +83,7 @@ def word_window_dedup(docs: DataFrame, width: int = 13, sketch_bits: int = 26) -
         at, keys = w.windows(width)
         return V.once_a_document(keys, w.doc[at])
 
-    twice = spark.sparkContext.broadcast(V.repeated_cells(read.select("text"), anchors, sketch_bits))
+    twice = spark.sparkContext.broadcast(V.repeated_cells(read.select("text"), anchors, sketch_bits)[0])
     n = C.parts(spark)
 
     def gather(batches):

@@ -2,7 +2,8 @@
 
 A window of `width` bytes is known by its anchor, the smallest hash among its 16-byte parts. Stretches of windows with
 a common anchor are cut out of the texts, and those whose anchor may be in two documents go to the shard of the anchor:
-equal windows always meet in one shard. A shard's different stretches are joined, with separators, and their suffixes
+equal windows always meet in one shard. (Stretches of an anchor that is very common go window by window, each to the
+shard of its own hash.) A shard's different stretches are joined, with separators, and their suffixes
 sorted by induced sorting; permuted common prefixes then tell which windows are equal, whatever stretch they are in.
 """
 
@@ -343,7 +344,8 @@ def byte_dedup(docs: DataFrame, width: int = 50, sketch_bits: int = 27) -> DataF
         s = Stretches(C.raw(piece), width)
         return V.once_a_document(s.anchor, s.doc)
 
-    twice = spark.sparkContext.broadcast(V.repeated_cells(read.select("text"), anchors, sketch_bits))
+    cells, often = V.repeated_cells(read.select("text"), anchors, sketch_bits)
+    twice, common = spark.sparkContext.broadcast(cells), spark.sparkContext.broadcast(often)
     n = C.parts(spark)
     shards = 4 * n
 
@@ -383,12 +385,18 @@ def byte_dedup(docs: DataFrame, width: int = 50, sketch_bits: int = 27) -> DataF
                 some = np.flatnonzero(V.Sketch.repeated(twice.value, sketch_bits, s.anchor))
                 if not len(some):
                     continue
-                start, end, d = s.start[some], s.end[some], s.doc[some]
+                start, end, d, anchor = s.start[some], s.end[some], s.doc[some], s.anchor[some]
+                if (many := np.isin(anchor, common.value)).any():  # spread over as many shards as there are windows
+                    n_windows = end[many] - start[many] - width + 1
+                    each = C.ranges(start[many], n_windows)
+                    d = np.concatenate([d[~many], np.repeat(d[many], n_windows)])
+                    start, end = np.concatenate([start[~many], each]), np.concatenate([end[~many], each + width])
+                    anchor = np.concatenate([anchor[~many], s.rolling.of(each, each + width)])
                 doc = piece.column("doc_id").to_numpy(zero_copy_only=False)
                 key = piece.column("key").to_numpy(zero_copy_only=False)
                 whole = s.t.tobytes()
-                held.append((s.anchor[some], s.rolling.of(start, end), end - start, doc[d], key[d], start - s.off[d], [whole[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]))
-                size += len(some)
+                held.append((anchor, s.rolling.of(start, end), end - start, doc[d], key[d], start - s.off[d], [whole[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]))
+                size += len(start)
                 if size >= GATHERED:
                     yield flush()
                     size = 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -107,22 +108,42 @@ class Sketch:
         return np.logical_and.reduce([cls.has(twice, cls.cells(keys, bits, row)) for row in range(cls.ROWS)])
 
 
-def repeated_cells(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
-    """The cells that are met twice, over all documents. Each task's sketch leaves in slices, which are merged apart
-    from each other; the driver gets one bit for each cell, a size that `bits` fixes whatever the input."""
+#: Share of a task's documents, and number of them, from which a key counts as common there.
+COMMON, LEAST = 0.02, 64
+#: Common keys that are reported at most, the most frequent ones first.
+REPORTED = 100_000
+
+
+def repeated_cells(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that are met twice, over all documents, and keys that are common in some part of them.
+
+    Each task's sketch leaves in slices, which are merged apart from each other; the driver gets one bit for each
+    cell, a size that `bits` fixes whatever the input, and REPORTED keys at most. Which keys are reported only decides
+    how work is spread.
+    """
 
     def gather(batches):
-        own = Sketch(bits)
-        held, size = [], 0
+        own, common = Sketch(bits), Counter()
+        held, size, docs_ = [], 0, 0
+
+        def settle():
+            joined = np.concatenate(held)
+            own.add(joined)
+            found, n = np.unique(joined, return_counts=True)
+            some = n >= max(LEAST, COMMON * docs_)
+            common.update(dict(zip(found[some].tolist(), n[some].tolist(), strict=True)))
+
         for batch in batches:
             for piece in C.slices(batch, PIECE):
                 held.append(keys(piece))
-                size += len(held[-1])
+                size, docs_ = size + len(held[-1]), docs_ + piece.num_rows
                 if size > 500_000:
-                    own.add(np.concatenate(held))
-                    held, size = [], 0
+                    settle()
+                    held, size, docs_ = [], 0, 0
         if held:
-            own.add(np.concatenate(held))
+            settle()
+        if common:
+            yield C.batch_of(["slice", "once", "twice"], [[-1], [np.array(list(common), dtype="<u8").tobytes()], [np.array(list(common.values()), dtype="<u8").tobytes()]], [pa.int32(), pa.binary(), pa.binary()])
         for k, at in enumerate(range(0, len(own.once), Sketch.SLICE)):
             once, twice = own.once[at : at + Sketch.SLICE], own.twice[at : at + Sketch.SLICE]
             if once.any():
@@ -130,8 +151,13 @@ def repeated_cells(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]
 
     def merge(batches):
         held: dict[int, list] = {}
+        common: Counter = Counter()
         for batch in batches:
             for k, once, twice in zip(*(batch.column(c).to_pylist() for c in ("slice", "once", "twice")), strict=True):
+                if k < 0:
+                    for key, n in zip(np.frombuffer(once, "<u8").tolist(), np.frombuffer(twice, "<u8").tolist(), strict=True):
+                        common[key] += n
+                    continue
                 once, twice = (np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in (once, twice))
                 if k in held:
                     have = held[k]
@@ -139,15 +165,22 @@ def repeated_cells(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]
                     have[0] |= once
                 else:
                     held[k] = [once.copy(), twice.copy()]
+        if common:
+            top = sorted(common, key=lambda x: (-common[x], x))[:REPORTED]
+            yield C.batch_of(["slice", "twice"], [[-1], [np.array(top, dtype="<u8").tobytes()]], [pa.int32(), pa.binary()])
         for k, (_, twice) in held.items():
             yield C.batch_of(["slice", "twice"], [[k], [zlib.compress(twice.tobytes(), 1)]], [pa.int32(), pa.binary()])
 
     merged = docs.mapInArrow(gather, "slice int, once binary, twice binary").repartition(C.parts(docs.sparkSession), "slice").mapInArrow(merge, "slice int, twice binary")
     out = np.zeros(Sketch.ROWS << (bits - 3), dtype=np.uint8)
+    often = np.empty(0, dtype=np.uint64)
     for row in merged.toLocalIterator():
+        if row[0] < 0:
+            often = np.sort(np.frombuffer(bytes(row[1]), "<u8"))
+            continue
         got = np.frombuffer(zlib.decompress(bytes(row[1])), dtype=np.uint8)
         out[row[0] * Sketch.SLICE : row[0] * Sketch.SLICE + len(got)] = got
-    return out
+    return out, often
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -171,7 +171,59 @@ def test_simhash_prints_and_components(docs, texts):
                 parent[y] = x
     got = {r.doc_id: r for r in simhash.simhash_components(docs).collect()}
     assert all((got[k].fingerprint, got[k].component_id) == (f"{prints[k]:016x}", root(k)) for k in range(len(texts)))
-    assert {r.doc_id for r in simhash.keep_one_of_near(docs).collect()} == {root(k) for k in range(len(texts))}
+
+
+def similar_roots(texts, ids):
+    """Of each id the smallest id that links of a Jaccard similarity of 0.8 on five-word shingles lead to."""
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := texts[k].encode().lower().split()) else set() for k in ids}
+    parent = {k: k for k in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b])
+            if b < a and (texts[a] == texts[b] or both >= 0.8 * len(sets[a] | sets[b])):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {k: root(k) for k in ids}
+
+
+def near_copies(seed=11, groups=6, copies=8):
+    """Long texts with copies of one changed word each, and texts of like words in another order."""
+    r = random.Random(seed)
+    out = []
+    for g in range(groups):
+        base = [f"w{r.randrange(400)}" for _ in range(220)]
+        for _ in range(copies):
+            w = list(base)
+            w[r.randrange(len(w))] = f"new{r.randrange(9)}"
+            out.append(" ".join(w))
+        r.shuffle(base)
+        out.append(" ".join(base))
+    return out
+
+
+def test_near_copies_are_verified(spark):
+    texts = near_copies()
+    want = similar_roots(texts, range(len(texts)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(frame(spark, texts)).collect()}
+    assert all(want[k] == want[c] for k, c in got.items())  # nothing is linked that is not alike
+    assert sum(got[k] == want[k] for k in want) >= 0.9 * len(want)
+    kept = simhash.keep_one_of_near(frame(spark, texts))
+    assert {r.doc_id for r in kept.collect()} == set(got.values()) and "digest" in kept.columns
+
+
+def test_near_copies_of_odd_rows(spark, empty, docs, texts):
+    assert simhash.keep_one_of_near(empty).count() == 0
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
+    whole = similar_roots([t or "" for t in texts], range(len(texts)))
+    assert len(got) == len(texts) and all(whole[k] == whole[c] for k, c in got.items())  # nothing is linked that is not alike
+    rows = spark.createDataFrame([(None, "a b c d e f g"), (7, "a b c d e f g"), (7, "z y x"), (2, None), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.keep_one_of_near(rows).collect()) == [(False, 2), (False, 7), (False, 7)]
 
 
 @pytest.mark.parametrize("crowd", [2048, 10])
@@ -316,6 +368,18 @@ def test_a_full_sketch_changes_nothing(docs, op):
     assert sorted(map(tuple, f(docs, sketch_bits=21 if op == "words" else 21).collect())) == sorted(map(tuple, f(docs).collect()))
 
 
+@pytest.mark.parametrize("op", ["words", "bytes"])
+def test_common_anchors_change_nothing(docs, op, monkeypatch):
+    """With every anchor held common, the result is the same."""
+    from loomspark.llm import windows
+
+    f = substrings.word_window_dedup if op == "words" else suffixes.byte_dedup
+    want = sorted(map(tuple, f(docs).collect()))
+    monkeypatch.setattr(windows, "COMMON", 0.0)
+    monkeypatch.setattr(windows, "LEAST", 1)
+    assert sorted(map(tuple, f(docs).collect())) == want
+
+
 def test_decontamination(spark, docs, texts):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     fold = lambda t: pattern.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
@@ -454,21 +518,8 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path, texts):
     spark.createDataFrame([(1, texts[8])], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
     kept = {t: k for k, t in enumerate(texts) if any(c.isalpha() for c in t or "")}  # the largest id of equal texts
-    left = sorted(kept.values())
-    prints = {k: simhash.fingerprint(texts[k].encode()) for k in left}
-    parent = {k: k for k in left}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in left:
-        for b in left:
-            if b < a and (prints[a] ^ prints[b]).bit_count() <= 3:
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    left = [k for k in left if root(k) == k]
+    roots = similar_roots([t or "" for t in texts], sorted(kept.values()))
+    left = [k for k in roots if roots[k] == k]
     item = [x.decode() for x in decontaminate.folded(texts[8].encode())]
     windows = {tuple(item[k : k + 10]) for k in range(max(1, len(item) - 9))}
 
