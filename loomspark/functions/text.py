@@ -93,12 +93,15 @@ def joined_hash(*parts: Column) -> Column:
 
 def multiset_recall(needle: Column, haystack: Column) -> Column:
     """Share of the needle's entries, repeats counted, that the haystack has; 1 for an empty needle."""
-    hits = F.aggregate(
-        F.array_distinct(needle),
-        F.lit(0).cast("long"),
-        lambda n, x: n + F.least(F.size(F.filter(needle, lambda y: y == x)), F.size(F.filter(haystack, lambda y: y == x))).cast("long"),
-    )
-    return F.when(F.size(needle) == 0, F.lit(1.0)).otherwise(hits / F.nullif(F.size(needle), F.lit(0)))
+
+    def of(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        times = lambda x, y: F.size(F.filter(x, lambda z: z == y))
+        hits = F.aggregate(F.array_distinct(a), F.lit(0).cast("long"), lambda n, y: n + F.least(times(a, y), times(b, y)).cast("long"))
+        return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(hits / F.nullif(F.size(a), F.lit(0)))
+
+    # One element, so that both arrays are made once and not for every entry.
+    return F.get(F.transform(F.array(F.struct(needle.alias("a"), haystack.alias("b"))), of), F.lit(0))
 
 
 def json_list(x: Column) -> Column:
