@@ -18,6 +18,8 @@ LETTER = regex.compile(r"\p{L}")
 #: Lengths of the n-grams tried for a word that the sample lacks, with a mark at either end of the word.
 GRAMS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
+#: Languages up to whose number their counts are broadcast.
+MOST_LANGUAGES = 10_000
 REMEMBERED = 150_000
 
 
@@ -95,9 +97,15 @@ class Scorer:
 def sample(docs: DataFrame, sample_docs: int) -> DataFrame:
     """doc_id and lang of the documents to learn from: sample_docs at most, dealt evenly over the languages."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang")).where("lang is not null and doc_id is not null").where(C.crc_fold(F.col("doc_id"), 5) != 0)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= sample_docs)
-    return some.orderBy("rank", *order, "lang").limit(sample_docs).select("doc_id", "lang")
+    # A language's smallest hashes: those below a bound that about twice as many pass, then exactly, so that few rows of
+    # a very common language meet.
+    rows = rows.withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    if counts.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES:
+        counts = F.broadcast(counts)  # else the rows are dealt out by language
+    few = rows.join(counts, "lang").where(F.col("hash").cast("double") * F.col("n") <= F.lit(float((2 * sample_docs + 100) << 31)))
+    some = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("hash", "doc_id"))).where(F.col("rank") <= sample_docs)
+    return some.orderBy("rank", "hash", "doc_id", "lang").limit(sample_docs).select("doc_id", "lang")
 
 
 def fit(docs: DataFrame, sample_docs: int = 2000) -> LanguageModel:
