@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-#: Members of a key up to which all its links are candidates, where each is verified later: a link of a shortest
-#: forest that fails could hide others that hold.
+#: Members of a key up to which all its links are candidates, where each is verified later; of larger ones a shortest
+#: forest is tried first, and what its failing links leave apart is compared in blocks.
 DENSE = 16
+#: Texts, and bytes of their shingles, of one block when texts that candidates leave apart are compared with each other.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Members of a key from which they are dealt out anew.
 CROWD = 2048
 
@@ -298,16 +300,102 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))] if words else [], dtype="<u8"))
 
 
+def _alike(rows: pa.Table, bits: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (node, node) that hold between texts of different labels, just enough to join all that such links join.
+
+    Fingerprints within `bits` and, of two blocks, pairs across them only. A set met with many others is counted against
+    all at once, by the texts of each shingle.
+    """
+    node, label, own, lo, hi = (rows[c].to_numpy() for c in ("node", "label", "own", "lo", "hi"))
+    fp = rows["print"].to_numpy().view(np.uint64)
+    sets = [np.frombuffer(x, "<u8") for x in rows["shingles"].to_pylist()]
+    n, size = len(sets), np.array([len(x) for x in sets])
+    root = np.unique(label, return_inverse=True)[1]
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    posts = np.repeat(np.arange(n), size)[np.argsort(token, kind="stable")]
+    begin, at = np.cumsum(times) - times, np.concatenate([[0], np.cumsum(size)])
+    out = []
+    for i in range(n - 1):
+        ok = (root[i + 1 :] != root[i]) & (np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= bits)
+        ok &= np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]) - 1e-9
+        if lo[0] != hi[0]:
+            ok &= own[i + 1 :] != own[i]
+        if not len(j := np.flatnonzero(ok) + i + 1):
+            continue
+        if len(j) <= 16:
+            both = np.array([len(np.intersect1d(sets[i], sets[k], assume_unique=True)) for k in j])
+        else:
+            mine = token[at[i] : at[i + 1]]
+            wide = times[mine]
+            places = np.arange(wide.sum()) + np.repeat(begin[mine] - np.cumsum(wide) + wide, wide)
+            both = np.bincount(posts[places], minlength=n)[j]
+        for k in j[both >= similarity * (size[i] + size[j] - both) - 1e-9].tolist():
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                out.append((int(node[i]), int(node[k])))
+    return out
+
+
+def _blocks(bits: int, similarity: float):
+    """Reducer over rows sorted by group, lo, hi: the links of each such key."""
+
+    def run(batches):
+        held_key, held = None, []
+
+        def close():
+            got = _alike(pa.Table.from_batches(held), bits, similarity) if sum(map(len, held)) > 1 else []
+            return C.batch_of(["a", "b"], [[a for a, _ in got], [b for _, b in got]], [pa.int64()] * 2)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy() for c in ("group", "lo", "hi")]
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
+                key = tuple(int(c[a]) for c in cols)
+                if key != held_key:
+                    if held:
+                        yield close()
+                    held_key, held = key, []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield close()
+
+    return run
+
+
+def _left_apart(nodes: DataFrame, pairs: DataFrame, held: DataFrame, known: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """Links (a, b) that hold where a candidate's failure could hide them: between texts that candidates join, directly
+    or by others, and that verified links do not.
+
+    All pairs within `bits` lie inside a group that candidates join. A group is done when its verified links join it, or
+    when all its pairs were candidates. Of others every text meets every block of its group, with its shingles.
+    """
+    groups = C.materialise(components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("node", F.col("root").alias("group")), "groups")
+    tried = pairs.join(groups, F.col("x") == F.col("node")).groupBy("group").agg(F.count("*").alias("tried"))
+    labels = components(held).select("node", F.col("root").alias("label"))
+    labelled = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = labelled.groupBy("group").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    still = apart.join(tried, "group").where("tried < n * (n - 1) div 2").select("group", "n")
+    rows = C.materialise(labelled.join(still, "group").join(nodes.select("node", "print"), "node").join(known, "node"), "apart")
+    many = rows.groupBy("group").agg(F.ceil(F.greatest(F.first("n") / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES, F.lit(1))).alias("many"))
+    dealt = rows.join(many, "group").withColumn("own", F.pmod(F.xxhash64("node"), "many")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
+    keys = ["group", "lo", "hi"]
+    met = dealt.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "print", "shingles")
+    return met.repartition(C.parts(nodes.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(_blocks(bits, similarity), "a long, b long")
+
+
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 5) -> DataFrame:
     """doc_id, component_id: texts are linked whose sets of shingles have a Jaccard similarity of `similarity` or more.
 
-    Candidates are the links of near_links between fingerprints of the texts' distinct words; each is then verified on
-    the whole shingle sets. Equal texts are linked as they are, and so are all without words. Nulls count as empty.
+    Candidates are pairs whose fingerprints of distinct words differ at `bits` places or fewer, equal ones included. The
+    links of near_links and of each fingerprint's texts to one of them are verified first, on the whole shingle sets;
+    what those leave apart is compared in full. Equal texts are linked as they are, and so are all without words. Nulls count as empty.
     """
     prints = C.materialise(fingerprints(docs, 1, True), "prints")
     nodes = prints.groupBy("node").agg(F.first("print").alias("print"), F.min("doc_id").alias("first"))
     heads = nodes.groupBy("print").agg(F.min("node").alias("head"))
-    between = near_links(prints, bits, DENSE).join(heads.select(F.col("print").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("print").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    between = near_links(prints, bits, DENSE).join(heads.select(F.col("print").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("print").alias("b"), F.col("head").alias("y")), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     inside = nodes.join(heads, "print").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
     pairs = C.materialise(between.unionByName(inside).distinct(), "candidates")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
@@ -331,8 +419,8 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
             yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
     met = pairs.join(known.select(F.col("node").alias("x"), F.col("shingles").alias("s")), "x").join(known.select(F.col("node").alias("y"), F.col("shingles").alias("t")), "y")
-    links_ = met.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a long, b long")
-    joined = components(links_)
+    held = C.materialise(met.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a long, b long"), "held")
+    joined = components(held.unionByName(_left_apart(nodes, pairs, held, known, bits, similarity)))
     named = joined.join(nodes, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     of_node = nodes.join(joined, "node", "left").join(named, "root", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
     return prints.join(of_node, "node").select("doc_id", "component_id")

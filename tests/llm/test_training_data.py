@@ -217,6 +217,45 @@ def test_near_copies_are_verified(spark):
     assert {r.doc_id for r in kept.collect()} == set(got.values()) and "digest" in kept.columns
 
 
+def candidate_roots(texts, bits=5):
+    """Of each id the smallest id that links of similar_roots between fingerprints within `bits` lead to."""
+    n = range(len(texts))
+    words = [t.encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    prints = [simhash.fingerprint(t.encode(), 1, True) for t in texts]
+    root = list(n)
+    for a in n:
+        for b in range(a):
+            if root[a] != root[b] and (prints[a] ^ prints[b]).bit_count() <= bits and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    return dict(zip(n, root, strict=True))
+
+
+def moved(r, words, moves, new=0):
+    """A copy with words exchanged, which keeps the fingerprint, and `new` words replaced."""
+    w = list(words)
+    at = r.sample(range(0, len(w), 6), 2 * moves + new)
+    for a, b in zip(at[:moves], at[moves : 2 * moves], strict=True):
+        w[a], w[b] = w[b], w[a]
+    for a in at[2 * moves :]:
+        w[a] = f"new{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("block", [512, 60])
+def test_near_copies_of_a_crowd(spark, monkeypatch, block):
+    """Copies alike to one text and not to each other, on crowded keys: the closest links fail, others hold."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = random.Random(5)
+    hub = [f"w{k}" for k in range(451)]
+    texts = [moved(r, hub, 3, 2) for _ in range(400)] + [" ".join(hub)]
+    assert len({simhash.fingerprint(t.encode(), 1, True) for t in texts}) > 16
+    want = candidate_roots(texts)
+    assert max(Counter(want.values()).values()) > 300
+    assert {x.doc_id: x.component_id for x in simhash.similar_components(frame(spark, texts)).collect()} == want
+
+
 def test_near_copies_of_odd_rows(spark, empty, docs, texts):
     assert simhash.keep_one_of_near(empty).count() == 0
     got = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
