@@ -301,16 +301,16 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
 
 
 def _alike(rows: pa.Table, bits: int, similarity: float) -> list[tuple[int, int]]:
-    """Links (node, node) that hold between texts of different labels, just enough to join all that such links join.
+    """Links (node, node) that hold, just enough to join all that such links join.
 
     Fingerprints within `bits` and, of two blocks, pairs across them only. A set met with many others is counted against
     all at once, by the texts of each shingle.
     """
-    node, label, own, lo, hi = (rows[c].to_numpy() for c in ("node", "label", "own", "lo", "hi"))
+    node, own, lo, hi = (rows[c].to_numpy() for c in ("node", "own", "lo", "hi"))
     fp = rows["print"].to_numpy().view(np.uint64)
     sets = [np.frombuffer(x, "<u8") for x in rows["shingles"].to_pylist()]
     n, size = len(sets), np.array([len(x) for x in sets])
-    root = np.unique(label, return_inverse=True)[1]
+    root = np.arange(n)
     _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     posts = np.repeat(np.arange(n), size)[np.argsort(token, kind="stable")]
     begin, at = np.cumsum(times) - times, np.concatenate([[0], np.cumsum(size)])
@@ -364,24 +364,20 @@ def _blocks(bits: int, similarity: float):
     return run
 
 
-def _left_apart(nodes: DataFrame, pairs: DataFrame, held: DataFrame, known: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """Links (a, b) that hold where a candidate's failure could hide them: between texts that candidates join, directly
-    or by others, and that verified links do not.
+def _left_apart(nodes: DataFrame, checked: DataFrame, known: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """Links (a, b) that hold where a candidate's failure could hide them. checked: candidates (a, b, holds).
 
-    All pairs within `bits` lie inside a group that candidates join. A group is done when its verified links join it, or
+    All pairs within `bits` lie inside a group that candidates join. A group is done when all its candidates hold, or
     when all its pairs were candidates. Of others every text meets every block of its group, with its shingles.
     """
-    groups = C.materialise(components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("node", F.col("root").alias("group")), "groups")
-    tried = pairs.join(groups, F.col("x") == F.col("node")).groupBy("group").agg(F.count("*").alias("tried"))
-    labels = components(held).select("node", F.col("root").alias("label"))
-    labelled = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = labelled.groupBy("group").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    still = apart.join(tried, "group").where("tried < n * (n - 1) div 2").select("group", "n")
-    rows = C.materialise(labelled.join(still, "group").join(nodes.select("node", "print"), "node").join(known, "node"), "apart")
+    groups = C.materialise(components(checked.select("a", "b")).select("node", F.col("root").alias("group")), "groups")
+    tried = checked.join(groups, F.col("a") == F.col("node")).groupBy("group").agg(F.count("*").alias("tried"), F.count_if(~F.col("holds")).alias("lost")).where("lost > 0")
+    still = groups.groupBy("group").agg(F.count("*").alias("n")).join(tried, "group").where("tried < n * (n - 1) div 2").select("group", "n")
+    rows = C.materialise(groups.join(still, "group").join(nodes.select("node", "print"), "node").join(known, "node"), "apart")
     many = rows.groupBy("group").agg(F.ceil(F.greatest(F.first("n") / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES, F.lit(1))).alias("many"))
     dealt = rows.join(many, "group").withColumn("own", F.pmod(F.xxhash64("node"), "many")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
     keys = ["group", "lo", "hi"]
-    met = dealt.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "print", "shingles")
+    met = dealt.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "print", "shingles")
     return met.repartition(C.parts(nodes.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(_blocks(bits, similarity), "a long, b long")
 
 
@@ -416,11 +412,11 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
                 a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+            yield C.batch_of(["a", "b", "holds"], [batch.column("a"), batch.column("b"), keep], [pa.int64(), pa.int64(), pa.bool_()])
 
     met = pairs.join(known.select(F.col("node").alias("x"), F.col("shingles").alias("s")), "x").join(known.select(F.col("node").alias("y"), F.col("shingles").alias("t")), "y")
-    held = C.materialise(met.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a long, b long"), "held")
-    joined = components(held.unionByName(_left_apart(nodes, pairs, held, known, bits, similarity)))
+    checked = C.materialise(met.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a long, b long, holds boolean"), "checked")
+    joined = components(checked.where("holds").select("a", "b").unionByName(_left_apart(nodes, checked, known, bits, similarity)))
     named = joined.join(nodes, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     of_node = nodes.join(joined, "node", "left").join(named, "root", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
     return prints.join(of_node, "node").select("doc_id", "component_id")

@@ -256,6 +256,21 @@ def test_near_copies_of_a_crowd(spark, monkeypatch, block):
     assert {x.doc_id: x.component_id for x in simhash.similar_components(frame(spark, texts)).collect()} == want
 
 
+def test_near_copies_of_one_fingerprint(spark):
+    """Texts of the same distinct words, of which the head is like none or few of the others."""
+    r = random.Random(8)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(300)]
+        hub = " ".join(base)
+        other = r.sample(base, len(base))
+        near = [moved(r, base, 2) for _ in range(6)]
+        texts += [" ".join(other), hub, *near[: g % 6 + 1], *([moved(r, other, 1)] if g % 2 else [])]
+    assert len({simhash.fingerprint(t.encode(), 1, True) for t in texts}) <= 12
+    want = candidate_roots(texts)
+    assert {x.doc_id: x.component_id for x in simhash.similar_components(frame(spark, texts)).collect()} == want
+
+
 def test_near_copies_of_odd_rows(spark, empty, docs, texts):
     assert simhash.keep_one_of_near(empty).count() == 0
     got = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
