@@ -153,13 +153,17 @@ def identify(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is not `und`: one pass, nothing is dealt out."""
+    """The rows of docs, with all their columns, whose language is not `und`: one pass, nothing is dealt out.
+
+    Where nothing could be learned, those whose text has a letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_docs))  # bounded by the sample
 
     def run(batches):
         for batch in batches:
             for piece in C.slices(batch):
                 scorer = _scorer(shared)
-                yield piece.filter(pa.array([scorer.predict(x)[0] != "und" for x in piece.column("text").to_pylist()], type=pa.bool_()))
+                known = (lambda x: scorer.predict(x)[0] != "und") if scorer.model.langs else (lambda x: bool(x and LETTER.search(x)))
+                yield piece.filter(pa.array([known(x) for x in piece.column("text").to_pylist()], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -364,6 +364,11 @@ def test_language_of_texts_without_letters(docs, texts):
     assert kept.columns == docs.columns and kept.count() == sum(r.lang_pred != "und" for r in got.values())
 
 
+def test_language_keeps_texts_where_none_is_known(spark):
+    rows = spark.createDataFrame([(1, "clean text", None), (2, None, None), (3, "12 !", None), (4, "", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in language.keep_known(rows).collect()] == [1]
+
+
 def test_language_backs_off():
     model = language.LanguageModel([("en", "night", 9), ("de", "nacht", 9)])
     assert model.word_scores("nightly").argmax() == model.langs.index("en") and model.word_scores("nachts").argmax() == model.langs.index("de")
