@@ -15,15 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; a longer text makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
+#: Bytes of one Arrow batch between Spark and a worker; a longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Spark hands to a worker at once by bytes, not by rows alone; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """The two columns that operators read; other columns, whatever their names, stay behind."""
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
@@ -36,14 +46,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete_on_exit(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps neither repeat it nor depend on its executors."""
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/loomspark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    delete_on_exit(spark, where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.__dict__["_written"] = where
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `materialise` that nothing will read any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__["_written"])
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that df has no column of, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def parts(spark: SparkSession) -> int:
@@ -119,6 +154,35 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lens), lens)
 
 
+class Remembered:
+    """What a worker keeps of earlier batches: key to bytes, at most `most` bytes with what Python adds to each.
+
+    `new` has all keys of the batch at hand. When it fills up, it becomes the older half and the half before it goes, so
+    keys that come again and again stay.
+    """
+
+    #: Bytes that a key and its value take besides their characters.
+    EACH = 180
+
+    def __init__(self, most: int = 32 << 20):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size, self.most = 0, most
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of keys that are not known, after the others have been moved to `new`."""
+        if self.size > self.most // 2:
+            self.old, self.new, self.size = self.new, {}, 0
+        keys = keys - self.new.keys()
+        again = keys & self.old.keys()
+        self.learn({k: self.old.pop(k) for k in again})
+        return list(keys - again)
+
+    def learn(self, found: dict[str, bytes]) -> None:
+        self.new.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + self.EACH * len(found)
+
+
 def batch_of(schema_names: list[str], columns: list, types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=schema_names)
 

@@ -2,9 +2,10 @@
 
 A window of `width` words is counted by its anchor, the smallest hash among its five-word parts: a part is in at least
 as many documents as any window around it, so the estimate is never below the window's count, and a document has far
-fewer anchors than windows. The second pass groups only windows whose anchor may be in two documents, by 96 bits of
-hash. Windows that a task itself meets twice are settled there, so a passage that very many documents share leaves a
-task once.
+fewer anchors than windows. The second pass groups only windows whose anchor may be in two documents, by two hashes of
+64 bits each that share no step: a chain of bijective mixes over the bytes of each word, then over the words. Words of
+up to eight bytes never share a hash; any two others do in one of 2 ** 128 pairs. Windows that a task itself meets twice
+are settled there, so a passage that very many documents share leaves a task once.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as C
 from . import windows as V
@@ -22,11 +23,36 @@ from . import windows as V
 #: Words of the parts that anchors are chosen from.
 PART = 5
 #: Windows of a task that are grouped and handed on together.
-GATHERED = 400_000
+GATHERED = 200_000
+#: Words of more bytes are hashed one by one.
+LONG = 256
+#: Starts and factors of the two hashes.
+LANES = ((0x243F6A8885A308D3, 0x9E3779B97F4A7C15), (0x13198A2E03707344, 0xD6E8FEB86659FD93))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
+def word_hashes(t: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each word: eight bytes a step, for all words that have as many."""
+    n = ends - starts
+    padded = np.concatenate([t, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(t) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    out = [np.full(len(n), seed, dtype=np.uint64) for seed, _ in LANES]
+    live, done = np.flatnonzero(n <= LONG), 0
+    while len(live):
+        left = np.minimum(n[live] - done, 8).astype(np.uint64)
+        block = eight[starts[live] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        for h, (_, factor) in zip(out, LANES, strict=True):
+            h[live] = C.mixed((h[live] + np.uint64(done)) * np.uint64(factor) ^ block)
+        done += 8
+        live = live[n[live] > done]
+    for k in np.flatnonzero(n > LONG).tolist():
+        digest = xxhash.xxh3_128_digest(t[starts[k] : ends[k]].tobytes())
+        for h, half in zip(out, (digest[:8], digest[8:]), strict=True):
+            h[k] = int.from_bytes(half, "little")
+    return [C.mixed(h + n.astype(np.uint64) * np.uint64(factor)) for h, (_, factor) in zip(out, LANES, strict=True)]
+
+
 class Words:
     """Word hashes of a piece's documents."""
 
@@ -35,27 +61,27 @@ class Words:
         blank = _SPACE[t]
         starts = np.flatnonzero(~blank & np.append(True, blank[:-1])) if len(t) else np.empty(0, dtype=np.int64)
         ends = np.flatnonzero(blank & np.append(False, ~blank[:-1])) if len(t) else starts
-        self.hashes = V.Rolling(t).of(starts, ends)
+        self.lanes = word_hashes(t, starts, ends)
         self.doc = np.searchsorted(off, starts, side="right") - 1
         self.counts = np.bincount(self.doc, minlength=len(chunks))
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions (in the piece) of all windows, and their anchors."""
-        h = self.hashes
-        if len(h) < width:
+        n = len(self.doc)
+        if n < width:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
         part = min(PART, width)
-        anchors = C.mixed(V.lowest(self.combined(part, 0xD6E8FEB86659FD93), width - part + 1))
-        at = np.flatnonzero(self.doc[: len(h) - width + 1] == self.doc[width - 1 :])
+        anchors = C.mixed(V.lowest(self.chained(0, np.arange(n - part + 1), part), width - part + 1))
+        at = np.flatnonzero(self.doc[: n - width + 1] == self.doc[width - 1 :])
         return at, anchors[at]
 
-    def combined(self, n: int, base: int) -> np.ndarray:
-        h, m = self.hashes, len(self.hashes) - n + 1
-        out = h[:m].copy()
-        for k in range(1, n):
-            out *= np.uint64(base)
-            out += h[k : k + m]
-        return C.mixed(out)
+    def chained(self, lane: int, at: np.ndarray, n: int) -> np.ndarray:
+        """A hash of the n words from each place on."""
+        h, (seed, factor) = self.lanes[lane], LANES[lane]
+        out = np.full(len(at), seed, dtype=np.uint64)
+        for k in range(n):
+            out = C.mixed(out * np.uint64(factor) + h[at + k])
+        return out
 
 
 ENTRIES = "bucket int, h1 binary, h2 binary, row binary, pos binary, docs binary, keys binary, starts binary, lens binary"
@@ -66,17 +92,20 @@ def _split(x: list[np.ndarray]):
     return [np.concatenate(c) for c in zip(*x, strict=True)]
 
 
-def word_window_dedup(docs: DataFrame, width: int = 13, sketch_bits: int = 26) -> DataFrame:
+def word_window_dedup(docs: DataFrame, width: int = 13, sketch_bits: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text, one row for each row of docs.
 
     Removed is each word in a window of `width` words whose sequence also starts in a document with a smaller doc_id.
     Null text has no words; a document of fewer words than a window keeps all; rows with a null doc_id keep all and
-    remove nothing. Rows that repeat a doc_id do not remove from each other. sketch_bits sets the prefilter's size
-    (2 ** (sketch_bits + 1) bits broadcast) and speed, never the result.
+    remove nothing. Rows that repeat a doc_id do not remove from each other; an empty table gives an empty result.
+    Long texts are hashed in pieces of their own. Other columns of docs, whatever their names, are not read.
+    sketch_bits sets the prefilter's size (2 ** (sketch_bits + 1) bits broadcast; by default it follows the input, see
+    windows.fitting_bits) and speed, never the result.
     """
     spark = docs.sparkSession
     rows = V.keyed(docs)
     read = rows.where("doc_id is not null and text is not null")
+    sketch_bits = sketch_bits or V.fitting_bits(docs)
 
     def anchors(piece):
         w = Words(C.raw(piece))
@@ -120,8 +149,7 @@ def word_window_dedup(docs: DataFrame, width: int = 13, sketch_bits: int = 26) -
                 doc = piece.column("doc_id").to_numpy(zero_copy_only=False)
                 key = piece.column("key").to_numpy(zero_copy_only=False)
                 d = w.doc[at]
-                h1, h2 = w.combined(width, 0xC2B2AE3D27D4EB4F)[at], (w.combined(width, 0x165667B19E3779F9)[at] >> np.uint64(32)).astype("<u4")
-                held.append((doc[d], key[d], at - begin[d], h1, h2))
+                held.append((doc[d], key[d], at - begin[d], w.chained(0, at, width), w.chained(1, at, width)))
                 size += len(at)
                 if size >= GATHERED:
                     yield flush()
@@ -136,7 +164,7 @@ def word_window_dedup(docs: DataFrame, width: int = 13, sketch_bits: int = 26) -
             cols = []
             for h1, h2, row, pos, own, keys in held:
                 row = V.loosen(row, "<u4")
-                cols.append((V.loosen(own, "<i8")[row], V.loosen(keys, "<i4").astype(np.int64)[row], V.loosen(pos, "<u4").astype(np.int64), np.frombuffer(h1, "<u8"), np.frombuffer(h2, "<u4")))
+                cols.append((V.loosen(own, "<i8")[row], V.loosen(keys, "<i4").astype(np.int64)[row], V.loosen(pos, "<u4").astype(np.int64), np.frombuffer(h1, "<u8"), np.frombuffer(h2, "<u8")))
             doc, key, pos, h1, h2 = _split(cols)
             held.clear()
             order = np.lexsort((doc, h2, h1))

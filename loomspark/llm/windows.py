@@ -108,6 +108,16 @@ class Sketch:
         return np.logical_and.reduce([cls.has(twice, cls.cells(keys, bits, row)) for row in range(cls.ROWS)])
 
 
+#: The least and the most bits of a sketch that follows its input: two broadcast bit sets of 2 ** bits bits.
+FEWEST, MOST = 20, 27
+
+
+def fitting_bits(docs: DataFrame) -> int:
+    """Bits of a sketch with about one cell for every two bytes that Spark expects docs to have, between FEWEST and MOST."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST, max(FEWEST, (size // 4).bit_length()))
+
+
 #: Share of a task's documents, and number of them, from which a key counts as common there.
 COMMON, LEAST = 0.02, 64
 #: Common keys that are reported at most, the most frequent ones first.
