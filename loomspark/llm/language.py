@@ -20,78 +20,121 @@ GRAMS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
 #: Languages up to whose number their counts are broadcast.
 MOST_LANGUAGES = 10_000
-REMEMBERED = 150_000
+#: Bytes of the rows that a worker remembers, and of what Python adds to each.
+REMEMBERED, EACH = 24 << 20, 200
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(word: str, n: int) -> list[str]:
-    w = f"\x02{word}\x03"
-    return [w[k : k + n] for k in range(len(w) - n + 1)] if n > 1 else list(word)
+def gram_hashes(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the n-grams of all words, with a mark at either end (none for single characters), and the place
+    in `words` of each."""
+    points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    ends = np.cumsum(sizes)
+    first, count = (ends - sizes, np.maximum(sizes - n + 1, 0)) if n > 1 else (ends - sizes + 1, sizes - 2)
+    at = C.ranges(first, count)
+    h = np.zeros(len(at), dtype=np.uint64)
+    for k in range(n):
+        h = C.mixed(h * _STEP + points[at + k] + np.uint64(1))
+    return h, np.repeat(np.arange(len(words)), count)
 
 
 class LanguageModel:
+    """Log frequencies for each language: of words, and of the n-grams of each length in GRAMS, which are known by hash."""
+
     def __init__(self, counts: list[tuple[str, str, int]]):
         self.langs = sorted({lang for lang, _, _ in counts})
         at = {lang: k for k, lang in enumerate(self.langs)}
-        words: dict = defaultdict(lambda: [0] * len(self.langs))
-        tables = {n: defaultdict(lambda: [0] * len(self.langs)) for n in GRAMS}
-        for lang, word, n in counts:
-            words[word][at[lang]] += n
-        for word, row in words.items():
-            for n, t in tables.items():
-                for g in grams(word, n):
-                    have = t[g]
-                    for k, x in enumerate(row):
-                        have[k] += x
-        self.rows = {"": self._logs(words)} | {n: self._logs(t) for n, t in tables.items()}
+        self.words = {w: k for k, w in enumerate(dict.fromkeys(w for _, w, _ in counts))}
+        table = np.zeros((len(self.words), len(self.langs)))
+        np.add.at(table, ([self.words[w] for _, w, _ in counts], [at[lang] for lang, _, _ in counts]), [n for _, _, n in counts])
+        self.word_logs, self.grams = self._logs(table), {}
+        words = list(self.words)
+        for n in GRAMS:
+            hashes, owner = gram_hashes(words, n)
+            keys, place = np.unique(hashes, return_inverse=True)
+            summed = np.zeros((len(keys), len(self.langs)))
+            for k in range(len(self.langs)):
+                summed[:, k] = np.bincount(place, table[owner, k], len(keys))
+            self.grams[n] = keys, self._logs(summed)
 
     @staticmethod
-    def _logs(table: dict) -> tuple[dict, np.ndarray]:
-        counts = np.array(list(table.values()), dtype=np.float64) if table else np.zeros((0, 1))
-        logs = np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (len(table) + 1)))
-        return {k: n for n, k in enumerate(table)}, logs.astype(np.float32)
-
-    def word_scores(self, word: str) -> np.ndarray:
-        """Per language; of an unseen word the mean over its longest n-grams of which any is known."""
-        index, logs = self.rows[""]
-        if (k := index.get(word)) is not None:
-            return logs[k]
+    def _logs(counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (len(counts) + 1))).astype(np.float32)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word, a column for each language; of an unseen word the mean over its longest n-grams of
+        which any is known, zeros where none is."""
+        out = np.zeros((len(words), len(self.langs)))
+        row = np.fromiter((self.words.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        out[row >= 0] = self.word_logs[row[row >= 0]]
+        open_ = np.flatnonzero(row < 0)
         for n in GRAMS:
-            index, logs = self.rows[n]
-            known = [k for g in grams(word, n) if (k := index.get(g)) is not None]
-            if known:
-                return logs[known].mean(axis=0)
-        return np.zeros(len(self.langs), dtype=np.float32)
+            keys, logs = self.grams[n]
+            if not len(open_) or not len(keys):
+                break
+            hashes, owner = gram_hashes([words[k] for k in open_.tolist()], n)
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            there = keys[at] == hashes
+            at, owner = at[there], owner[there]
+            n_known = np.bincount(owner, minlength=len(open_))
+            some = n_known > 0
+            for k in range(len(self.langs)):
+                out[open_[some], k] = np.bincount(owner, logs[at, k], len(open_))[some] / n_known[some]
+            open_ = open_[~some]
+        return out
 
 
 class Scorer:
-    """A worker's memory of the words it has met."""
+    """A worker's memory of what white space parts in the texts it has met: the sum of the scores of the words in it."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        self.most = REMEMBERED // (8 * len(model.langs) + EACH)
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.logs = np.zeros((1024, len(self.model.langs)), dtype=np.float32)
-
-    def _row(self, word: str) -> int:
-        k = self.at[word] = len(self.at)
-        if k >= len(self.logs):
-            self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-        self.logs[k] = self.model.word_scores(word)
-        return k
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not LETTER.search(text) or not self.model.langs:
-            return "und", 0.0
-        if len(self.at) > REMEMBERED:
+        self.sums = np.zeros((0, len(self.model.langs)))
+        self.letters = np.zeros(0, dtype=bool)
+
+    def _learn(self, chunks: list[str]) -> None:
+        cut = [LETTERS.findall(c) for c in chunks]
+        words = list(dict.fromkeys(w for c in cut for w in c))
+        place = {w: k for k, w in enumerate(words)}
+        scores = self.model.scores(words)
+        owner = np.repeat(np.arange(len(chunks)), [len(c) for c in cut])
+        at = np.fromiter((place[w] for c in cut for w in c), dtype=np.int64, count=len(owner))
+        sums = np.stack([np.bincount(owner, scores[at, k], len(chunks)) for k in range(len(self.model.langs))], axis=1)
+        self.at.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks))))
+        self.sums = np.concatenate([self.sums, sums])
+        self.letters = np.concatenate([self.letters, np.fromiter((LETTER.search(c) is not None for c in chunks), dtype=bool, count=len(chunks))])
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The language and its score of each text."""
+        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+        if not self.model.langs:
+            return langs, scores
+        cut = [t.lower().split() if t else [] for t in texts]
+        every = set().union(*cut)
+        if len(self.at) + len(new := every - self.at.keys()) > self.most:
             self.clear()
-        words = Counter(LETTERS.findall(text.lower()))
-        at = self.at
-        rows = [at[w] if w in at else self._row(w) for w in words]
-        total = np.fromiter(words.values(), dtype=np.float64, count=len(words)) @ self.logs[rows].astype(np.float64)
-        best = int(total.argmax())
-        return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+            new = every
+        if new:
+            self._learn(sorted(new))
+        sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        at = np.fromiter((self.at[c] for own in cut for c in own), dtype=np.int64, count=int(sizes.sum()))
+        own = np.flatnonzero(sizes)
+        if not len(own):
+            return langs, scores
+        begin = (np.cumsum(sizes) - sizes)[own]
+        lettered = np.logical_or.reduceat(self.letters[at], begin)
+        total = np.stack([np.add.reduceat(self.sums[at, k], begin) for k in range(len(self.model.langs))], axis=1)
+        best = total.argmax(axis=1)
+        share = 1.0 / np.exp(total - total[np.arange(len(own)), best][:, None]).sum(axis=1)
+        for k in np.flatnonzero(lettered).tolist():
+            langs[own[k]], scores[own[k]] = self.model.langs[best[k]], float(share[k])
+        return langs, scores
 
 
 def sample(docs: DataFrame, sample_docs: int) -> DataFrame:
@@ -108,7 +151,7 @@ def sample(docs: DataFrame, sample_docs: int) -> DataFrame:
     return some.orderBy("rank", "hash", "doc_id", "lang").limit(sample_docs).select("doc_id", "lang")
 
 
-def fit(docs: DataFrame, sample_docs: int = 2000) -> LanguageModel:
+def fit(docs: DataFrame, sample_docs: int = 4000) -> LanguageModel:
     """Learns from the whole texts of a bounded sample: sample_docs documents whose crc32(doc_id) mod 5 is not 0."""
     chosen = sample(docs, sample_docs).withColumnRenamed("lang", "__lang")
     training = C.texts(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "__lang")  # sample_docs rows at most
@@ -135,35 +178,37 @@ def _scorer(shared) -> Scorer:
     return _SCORERS["scorer"]
 
 
-def identify(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, one row for each row of docs.
+def identify(docs: DataFrame, sample_docs: int = 4000) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, one row for each row of docs, repeated rows too; an empty table gives none.
 
-    `und` with score 0 where the text is null or has no letter, or nothing could be learned. held_out: crc32(doc_id as
-    text) mod 5 is 0 (false for a null doc_id). Of equally likely languages the first by name is taken.
+    `und` with score 0 where the text is null, empty or has no letter, or nothing could be learned. held_out:
+    crc32(doc_id as text) mod 5 is 0 (false for a null doc_id). Of equally likely languages the first by name is taken.
+    Texts are read whole, in pieces of bounded bytes. Other columns of docs, whatever their names, are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_docs))  # bounded by the sample
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        scorer = _scorer(shared)
-        got = [scorer.predict(x) for x in piece.column("text").to_pylist()]
-        return C.batch_of(["doc_id", "lang_pred", "score"], [C.ids(piece), [x for x, _ in got], [x for _, x in got]], [pa.int64(), pa.string(), pa.float64()])
+        langs, scores = _scorer(shared).predict(piece.column("text").to_pylist())
+        return C.batch_of(["doc_id", "lang_pred", "score"], [C.ids(piece), langs, scores], [pa.int64(), pa.string(), pa.float64()])
 
     out = C.map_slices(C.texts(docs), run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(C.crc_fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
+def keep_known(docs: DataFrame, sample_docs: int = 4000) -> DataFrame:
     """The rows of docs, with all their columns, whose language is not `und`: one pass, nothing is dealt out.
 
-    Where nothing could be learned, those whose text has a letter.
+    Null and empty texts and those without a letter go; repeated rows stay or go together; an empty table stays empty.
+    Where nothing could be learned, texts with a letter stay. Other columns pass through under any names.
     """
+    C.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_docs))  # bounded by the sample
 
     def run(batches):
         for batch in batches:
             for piece in C.slices(batch):
-                scorer = _scorer(shared)
-                known = (lambda x: scorer.predict(x)[0] != "und") if scorer.model.langs else (lambda x: bool(x and LETTER.search(x)))
-                yield piece.filter(pa.array([known(x) for x in piece.column("text").to_pylist()], type=pa.bool_()))
+                scorer, texts = _scorer(shared), piece.column("text").to_pylist()
+                known = [x != "und" for x in scorer.predict(texts)[0]] if scorer.model.langs else [bool(x and LETTER.search(x)) for x in texts]
+                yield piece.filter(pa.array(known, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
