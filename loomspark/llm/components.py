@@ -21,19 +21,19 @@ def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every linked node; root is the component's smallest node.
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every linked node; root is the component's smallest node. Without links it is empty.
 
-    Each round is written to the shared folder; the driver sees a count and a sum only.
+    Each round is written to the shared folder, and the one before it deleted; the driver sees a count and a sum only.
+    Rounds go on until nothing changes, which takes about the logarithm of the longest path.
     """
     pairs = C.materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
     before = None
-    for _ in range(rounds):
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or tuple(state) == before:
+    while True:
+        state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state[0] == 0 or state == before:
             break
-        before = tuple(state)
+        before, last = state, pairs
         pairs = C.materialise(_stars(_stars(pairs, True), False), "pairs")
-    else:
-        raise RuntimeError("components did not settle")
+        C.discard(last)
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -159,10 +159,11 @@ def keep_one_of_equal(docs: DataFrame) -> DataFrame:
 
     Rows meet by id and digest, so a text that very many share is spread over as many keys as it has ids.
     """
+    row, mark, n = C.spare_names(docs, "row", "mark", "n")
     name = lambda doc, sha: F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("-")), sha)
-    kept = exact_dedup(docs).where("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias("__kept"))
+    kept = exact_dedup(docs).where("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias(mark))
     sha = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256)
-    own = docs.withColumn("__row", name(docs["doc_id"], sha))
-    joined = own.join(kept, F.col("__row") == F.col("__kept"), "left_semi")
-    once = F.row_number().over(W.partitionBy("__row").orderBy("__row"))
-    return joined.withColumn("__n", once).where("__n = 1").drop("__n", "__row")
+    own = docs.withColumn(row, name(docs["doc_id"].cast("long"), sha))
+    joined = own.join(kept, F.col(row) == F.col(mark), "left_semi")
+    once = F.row_number().over(W.partitionBy(row).orderBy(row))
+    return joined.withColumn(n, once).where(F.col(n) == 1).drop(n, row)

@@ -9,11 +9,15 @@ one piece: its members are filed again under variants of what is left of the fin
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import common as C
 from .components import components
@@ -22,17 +26,24 @@ from .components import components
 #: forest is tried first, and what its failing links leave apart is compared in blocks.
 DENSE = 16
 #: Texts, and bytes of their shingles, of one block when texts that candidates leave apart are compared with each other.
-BLOCK, BLOCK_BYTES = 512, 16 << 20
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Fingerprints by independent hashes, of which one must be near: each finds most pairs that the others miss.
+PRINTS = tuple(f"print{k}" for k in range(3))
 #: Members of a key from which they are dealt out anew.
-CROWD = 2048
+CROWD = 4096
+
+
+def _majority(h: np.ndarray) -> int:
+    """Bit by bit the majority of 64-bit hashes; ties give zeros."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: bytes, shingle: int = 3, distinct: bool = False) -> int:
-    """Bit by bit the majority of the shingles' hashes; ties and texts without words give zeros. distinct: each word
-    once, in order, before shingles are made."""
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The majority of the shingles' hashes; zero for texts without words."""
     words = text.lower().split()  # of bytes: both touch ASCII only
-    if distinct:
-        words = list(dict.fromkeys(words))
     if not words:
         return 0
     whole = b" ".join(words)
@@ -41,25 +52,27 @@ def fingerprint(text: bytes, shingle: int = 3, distinct: bool = False) -> int:
     n = max(1, len(words) - shingle + 1)
     last = ends[len(words) - n :]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(whole[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 1 << 16):
-        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return _majority(np.array([digest(whole[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], dtype="<u8"))
+
+
+def word_fingerprints(text: bytes) -> list[int]:
+    """Fingerprints, by independent hashes, of a text's distinct words."""
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(w, 42) for w in set(text.lower().split())], dtype="<u8")
+    return [_majority(C.mixed(h + np.uint64(k)) if k else h) for k in range(len(PRINTS))]
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, distinct: bool = False) -> DataFrame:
-    """doc_id, node (the text's own 64-bit hash), print (the fingerprint), as signed longs."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, print (the fingerprint, as a signed long)."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        raw = C.raw(piece)
-        return C.batch_of(["doc_id", "node", "print"], [C.ids(piece), [signed(xxhash.xxh3_64_intdigest(t)) for t in raw], [signed(fingerprint(t, shingle, distinct)) for t in raw]], [pa.int64()] * 3)
+        return C.batch_of(["doc_id", "print"], [C.ids(piece), [signed(fingerprint(t, shingle)) for t in C.raw(piece)]], [pa.int64()] * 2)
 
-    return C.map_slices(C.texts(docs), run, "doc_id long, node long, print long")
+    return C.map_slices(C.texts(docs), run, "doc_id long, print long")
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -303,11 +316,11 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
 def _alike(rows: pa.Table, bits: int, similarity: float) -> list[tuple[int, int]]:
     """Links (node, node) that hold, just enough to join all that such links join.
 
-    Fingerprints within `bits` and, of two blocks, pairs across them only. A set met with many others is counted against
+    One of the fingerprints within `bits` and, of two blocks, pairs across them only. A set met with many others is counted against
     all at once, by the texts of each shingle.
     """
     node, own, lo, hi = (rows[c].to_numpy() for c in ("node", "own", "lo", "hi"))
-    fp = rows["print"].to_numpy().view(np.uint64)
+    prints = [rows[c].to_numpy().view(np.uint64) for c in PRINTS]
     sets = [np.frombuffer(x, "<u8") for x in rows["shingles"].to_pylist()]
     n, size = len(sets), np.array([len(x) for x in sets])
     root = np.arange(n)
@@ -316,7 +329,8 @@ def _alike(rows: pa.Table, bits: int, similarity: float) -> list[tuple[int, int]
     begin, at = np.cumsum(times) - times, np.concatenate([[0], np.cumsum(size)])
     out = []
     for i in range(n - 1):
-        ok = (root[i + 1 :] != root[i]) & (np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= bits)
+        ok = np.logical_or.reduce([np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= bits for fp in prints])
+        ok &= root[i + 1 :] != root[i]
         ok &= np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]) - 1e-9
         if lo[0] != hi[0]:
             ok &= own[i + 1 :] != own[i]
@@ -367,49 +381,59 @@ def _blocks(bits: int, similarity: float):
 def _left_apart(nodes: DataFrame, checked: DataFrame, known: DataFrame, bits: int, similarity: float) -> DataFrame:
     """Links (a, b) that hold where a candidate's failure could hide them. checked: candidates (a, b, holds).
 
-    All pairs within `bits` lie inside a group that candidates join. A group is done when all its candidates hold, or
-    when all its pairs were candidates. Of others every text meets every block of its group, with its shingles.
+    All pairs with a fingerprint within `bits` lie inside a group that candidates join. A group is done when all its
+    candidates hold, or when all its pairs were candidates. Of others every text meets every block of its group, with
+    its shingles.
     """
     groups = C.materialise(components(checked.select("a", "b")).select("node", F.col("root").alias("group")), "groups")
     tried = checked.join(groups, F.col("a") == F.col("node")).groupBy("group").agg(F.count("*").alias("tried"), F.count_if(~F.col("holds")).alias("lost")).where("lost > 0")
     still = groups.groupBy("group").agg(F.count("*").alias("n")).join(tried, "group").where("tried < n * (n - 1) div 2").select("group", "n")
-    rows = C.materialise(groups.join(still, "group").join(nodes.select("node", "print"), "node").join(known, "node"), "apart")
+    rows = C.materialise(groups.join(still, "group").join(nodes.select("node", *PRINTS), "node").join(known, "node"), "apart")
     many = rows.groupBy("group").agg(F.ceil(F.greatest(F.first("n") / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES, F.lit(1))).alias("many"))
     dealt = rows.join(many, "group").withColumn("own", F.pmod(F.xxhash64("node"), "many")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
     keys = ["group", "lo", "hi"]
-    met = dealt.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "print", "shingles")
+    met = dealt.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", *PRINTS, "shingles")
     return met.repartition(C.parts(nodes.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(_blocks(bits, similarity), "a long, b long")
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 5) -> DataFrame:
-    """doc_id, component_id: texts are linked whose sets of shingles have a Jaccard similarity of `similarity` or more.
+def _candidates(nodes: DataFrame, column: str, bits: int) -> DataFrame:
+    """x, y: the links of near_links between one text each of the fingerprints, and of each fingerprint's texts to it."""
+    heads = nodes.groupBy(F.col(column).alias("print")).agg(F.min("node").alias("head"))
+    between = near_links(heads.select("print"), bits, DENSE).join(heads.select(F.col("print").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("print").alias("b"), F.col("head").alias("y")), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    inside = nodes.join(heads, nodes[column] == heads["print"]).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    return between.unionByName(inside)
 
-    Candidates are pairs whose fingerprints of distinct words differ at `bits` places or fewer, equal ones included. The
-    links of near_links and of each fingerprint's texts to one of them are verified first, on the whole shingle sets;
-    what those leave apart is compared in full. Equal texts are linked as they are, and so are all without words. Nulls count as empty.
-    """
-    prints = C.materialise(fingerprints(docs, 1, True), "prints")
-    nodes = prints.groupBy("node").agg(F.first("print").alias("print"), F.min("doc_id").alias("first"))
-    heads = nodes.groupBy("print").agg(F.min("node").alias("head"))
-    between = near_links(prints, bits, DENSE).join(heads.select(F.col("print").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("print").alias("b"), F.col("head").alias("y")), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    inside = nodes.join(heads, "print").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
-    pairs = C.materialise(between.unionByName(inside).distinct(), "candidates")
+
+def _similar(docs: DataFrame, shingle: int, similarity: float, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, hash), distinct texts (hash, node, first: the smallest doc_id), and the components (node, root) of
+    their links. A text is known by its SHA-256, a node by a number."""
+
+    def prints_of(piece: pa.RecordBatch) -> pa.RecordBatch:
+        raw = C.raw(piece)
+        prints = zip(*[map(signed, word_fingerprints(t)) for t in raw])
+        return C.batch_of(["doc_id", "hash", *PRINTS], [C.ids(piece), [hashlib.sha256(t).digest() for t in raw], *map(list, prints)], [pa.int64(), pa.binary(), *[pa.int64()] * len(PRINTS)])
+
+    prints = C.materialise(C.map_slices(C.texts(docs), prints_of, "doc_id long, hash binary, " + ", ".join(f"{c} long" for c in PRINTS)), "prints")
+    nodes = prints.groupBy("hash").agg(*[F.first(c).alias(c) for c in PRINTS], F.min("doc_id").alias("first"))
+    nodes = C.materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    pairs = functools.reduce(DataFrame.unionByName, [_candidates(nodes, c, bits) for c in PRINTS])
+    pairs = C.materialise(pairs.distinct(), "candidates")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
 
     def sets(piece: pa.RecordBatch) -> pa.RecordBatch:
-        got = [(n, shingle_set(t, shingle).tobytes()) for n, t in zip(piece.column("__node").to_pylist(), C.raw(piece), strict=True) if n == signed(xxhash.xxh3_64_intdigest(t))]
+        got = [(n, shingle_set(t, shingle).tobytes()) for n, h, t in zip(piece.column("node").to_pylist(), piece.column("hash").to_pylist(), C.raw(piece), strict=True) if h == hashlib.sha256(t).digest()]
         return C.batch_of(["node", "shingles"], [[n for n, _ in got], [x for _, x in got]], [pa.int64(), pa.binary()])
 
     # A node's text is that of its smallest doc_id; where rows repeat that id, their own hashes tell them apart.
-    named_by = nodes.join(wanted, "node", "left_semi").select(F.coalesce("first", F.lit(-1)).alias("__id"), F.col("node").alias("__node"))
-    own = C.texts(docs).withColumn("__id", F.coalesce("doc_id", F.lit(-1))).join(named_by, "__id").select("__node", "text")
+    named_by = nodes.join(wanted, "node", "left_semi").select(F.coalesce("first", F.lit(-1)).alias("id"), "node", "hash")
+    own = C.texts(docs).withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(named_by, "id").select("node", "hash", "text")
     known = C.materialise(C.map_slices(own, sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
 
     def verify(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+            for a, b in zip(batch.column("s"), batch.column("t"), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield C.batch_of(["a", "b", "holds"], [batch.column("a"), batch.column("b"), keep], [pa.int64(), pa.int64(), pa.bool_()])
@@ -417,12 +441,38 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     met = pairs.join(known.select(F.col("node").alias("x"), F.col("shingles").alias("s")), "x").join(known.select(F.col("node").alias("y"), F.col("shingles").alias("t")), "y")
     checked = C.materialise(met.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a long, b long, holds boolean"), "checked")
     joined = components(checked.where("holds").select("a", "b").unionByName(_left_apart(nodes, checked, known, bits, similarity)))
+    C.discard(pairs, known, checked)
+    return prints.select("doc_id", "hash"), nodes.select("hash", "node", "first"), joined
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 5) -> DataFrame:
+    """doc_id, component_id, one row for each row of docs: texts are linked whose sets of shingles have a Jaccard
+    similarity of `similarity` or more.
+
+    Candidates are pairs of which one of the PRINTS fingerprints of the distinct words, by independent hashes, differs at
+    `bits` places or fewer, equal ones included. Links that join each group of them are verified first, on the whole shingle
+    sets; where one fails, all texts of the group are compared in full. Equal texts are one, and so are all without
+    words, nulls among them. component_id is the smallest doc_id, null where all are; repeated rows share it; an empty
+    table gives an empty result. Other columns of docs, whatever their names, are not read.
+    """
+    prints, nodes, joined = _similar(docs, shingle, similarity, bits)
     named = joined.join(nodes, "node").groupBy("root").agg(F.min("first").alias("component_id"))
-    of_node = nodes.join(joined, "node", "left").join(named, "root", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(of_node, "node").select("doc_id", "component_id")
+    of_text = nodes.join(joined, "node", "left").join(named, "root", "left").select("hash", F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(of_text, "hash").select("doc_id", "component_id")
 
 
 def keep_one_of_near(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 5) -> DataFrame:
-    """The rows of docs, with their columns, of which each component keeps that with the smallest doc_id."""
-    kept = similar_components(docs, shingle, similarity, bits).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs, with their columns under any names, of which each component of similar_components keeps one.
+
+    That with the smallest doc_id stays, a null one only where there is no other; of different texts under that id the
+    one with the smallest SHA-256; of rows that repeat id and text one. Null texts count as empty.
+    """
+    _, nodes, joined = _similar(docs, shingle, similarity, bits)
+    best = joined.join(nodes, "node").groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "hash", "node")).alias("best")).select("best.node")
+    gone = joined.select("node").join(best, "node", "left_anti")
+    row, kept, n = C.spare_names(docs, "row", "kept", "n")
+    name = lambda doc, sha: F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("-")), sha)
+    stay = nodes.join(gone, "node", "left_anti").select(name(F.col("first"), F.lower(F.hex("hash"))).alias(kept))
+    own = docs.withColumn(row, name(docs["doc_id"].cast("long"), F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256)))
+    once = F.row_number().over(W.partitionBy(row).orderBy(row))
+    return own.join(stay, F.col(row) == F.col(kept), "left_semi").withColumn(n, once).where(F.col(n) == 1).drop(n, row)
