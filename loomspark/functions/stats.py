@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -71,3 +75,50 @@ def _log_choose(n: Column, k: Column) -> Column:
 def mode_order(n: Column, value: Column) -> list[Column]:
     """The order whose first row is the mode: most frequent, then smallest."""
     return [n.desc(), value.asc()]
+
+
+def _upper_gamma(a: float, x: float) -> float:
+    """The regularised upper incomplete gamma function: by its power series below the bend, by a fraction above it."""
+    if x <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1 - scale * total)
+    value, n = 0.0, int(60 + 20 * math.sqrt(a) + 400 / x)
+    for k in range(n, 0, -1):  # from the innermost fraction outwards
+        value = k * (k - a) / (x + 2 * k + 1 - a - value)
+    return scale / (x + 1 - a - value)
+
+
+def _beta(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction from the innermost part outwards."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(1 - x, b, a)
+    value = 0.0
+    for m in range(int(200 + 5 * math.sqrt(max(a, b))), 0, -1):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        value = even / (1 + odd / (1 + value))
+    first = -(a + b) * x / (a + 1)
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    return front / (1 + first / (1 + value))
+
+
+@F.pandas_udf(T.DoubleType())
+def chi_square_tail(x: pd.Series, df: pd.Series) -> pd.Series:
+    """P(X >= x) of a chi-square variable; for summary rows, not for data."""
+    return pd.Series([None if pd.isna(v) or not d > 0 else _upper_gamma(d / 2, v / 2) for v, d in zip(x, df, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+    """P(X >= f) of an F variable; for summary rows, not for data."""
+    return pd.Series([None if pd.isna(v) or not (a > 0 and b > 0) else _beta(b / (b + a * v), b / 2, a / 2) for v, a, b in zip(f, d1, d2, strict=True)], dtype="float64")

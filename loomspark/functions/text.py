@@ -64,22 +64,24 @@ def after(x: Column, marker: str) -> Column:
     return F.regexp_extract(x, rf"(?s){marker}(.*)", 1)
 
 
-#: Kinds of secrets, in the order in which they are replaced.
+# Forms of credentials, in the order in which they are replaced, and what stands in for them.
 SECRETS = (
-    ("key", r"\b(?:sk|pk|ghp|AKIA)[-_]?[A-Za-z0-9]{16,}\b"),
-    ("email", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"),
-    ("address", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
-    ("phone", r"\+[0-9][0-9 ()-]{7,}[0-9]"),
+    (r"sk-(?:proj-)?[A-Za-z0-9_-]{20,}", "[REDACTED_OPENAI_KEY]"),
+    (r"AIza[0-9A-Za-z_-]{30,}", "[REDACTED_GOOGLE_KEY]"),
+    (r"AKIA[0-9A-Z]{16}", "[REDACTED_AWS_KEY]"),
+    (r"gh(?:p|o|u|s|r)_[A-Za-z0-9]{20,}", "[REDACTED_GITHUB_TOKEN]"),
+    (r"github_pat_[A-Za-z0-9_]{40,}", "[REDACTED_GITHUB_TOKEN]"),
+    (r"xox(?:b|a|p|r|s)-[A-Za-z0-9-]{10,}", "[REDACTED_SLACK_TOKEN]"),
 )
 
 
 def redacted(x: Column) -> tuple[Column, Column]:
-    """The text with secrets replaced by their kinds, and how many were."""
-    n = F.lit(0)
-    for kind, pattern in SECRETS:
-        n = n + F.regexp_count(x, F.lit(pattern))
-        x = F.regexp_replace(x, pattern, f"[{kind}]")
-    return x, n.cast("long")
+    """The text with credentials replaced, and how many were. Binary content (it holds a NUL) stays as it is."""
+    binary, n, out = F.contains(x, F.lit("\0")), F.lit(0), x
+    for pattern, marker in SECRETS:
+        n = n + F.regexp_count(out, F.lit(pattern))
+        out = F.regexp_replace(out, pattern, marker)
+    return F.when(binary, x).otherwise(out), F.when(binary, F.lit(0)).otherwise(n).cast("long")
 
 
 def pseudonym(x: Column, salt: str) -> Column:

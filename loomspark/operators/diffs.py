@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from ..functions.text import meaningful_lines, squeezed
+from ..functions.text import meaningful_lines, multiset_recall, squeezed
 
 
 def unified_patch(df: DataFrame, keys: list[str], patch: str) -> DataFrame:
@@ -77,32 +77,70 @@ def replay(df: DataFrame, keys: list[str], order: str, kind: str, old: str, new:
     return df.groupBy(*keys).agg(F.aggregate(steps, start, step).alias("s")).select(*keys, "s.content", "s.misses")
 
 
+def patch_sections(text: Column) -> Column:
+    """The files of a `*** Begin Patch` text, in order: an array of (operation, path, added, deleted), lines squeezed and
+    non-empty. A file may come more than once."""
+    head = r"^\*\*\* (Add|Update|Delete) File: (.+)$"
+    parts = F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), r"(?m)^(?=\*\*\* (?:Add|Update|Delete) File: .)"), lambda x: x.rlike("^" + head.replace("^", "").replace("$", "")))
+
+    def section(x: Column) -> Column:
+        lines = F.split(x, "\n")
+        said = lambda mark: F.filter(F.transform(F.filter(lines, lambda y: F.startswith(y, F.lit(mark))), lambda y: squeezed(F.substring(y, 2, 1 << 30))), lambda y: y != "")
+        first = F.element_at(lines, 1)
+        return F.struct(F.lower(F.regexp_extract(first, head, 1)).alias("operation"), F.trim(F.regexp_extract(first, head, 2)).alias("path"), said("+").alias("added"), said("-").alias("deleted"))
+
+    return F.coalesce(F.transform(parts, section), F.array().cast("array<struct<operation: string, path: string, added: array<string>, deleted: array<string>>>"))
+
+
+def _changes(a: list[str], b: list[str]) -> list:
+    return [o for o in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal"]
+
+
 @F.pandas_udf(T.StructType([T.StructField("added", T.ArrayType(T.StringType())), T.StructField("deleted", T.ArrayType(T.StringType()))]))
 def edit_delta(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Lines that only the new, and only the old text has at a place, by longest matching blocks."""
+    """Lines that only the new, and only the old text has at a place, by longest matching blocks of the squeezed,
+    non-empty lines; null counts as empty."""
     rows = []
     for a, b in zip(old.fillna(""), new.fillna(""), strict=True):
-        a, b = a.splitlines(), b.splitlines()
-        ops = [o for o in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal"]
+        a, b = ([" ".join(x.split()) for x in t.splitlines() if x.strip()] for t in (a, b))
+        ops = _changes(a, b)
         rows.append(([x for o in ops for x in b[o[3] : o[4]]], [x for o in ops for x in a[o[1] : o[2]]]))
     return pd.DataFrame(rows, columns=["added", "deleted"])
 
 
+@F.pandas_udf(T.LongType())
+def changed_lines(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Added and deleted lines of a diff without context, of the lines as they are; null counts as empty."""
+    return pd.Series([sum(o[2] - o[1] + o[4] - o[3] for o in _changes(a.splitlines(), b.splitlines())) for a, b in zip(old.fillna(""), new.fillna(""), strict=True)], dtype="int64")
+
+
+#: Likeness from which a line counts as found.
+ALIKE = 0.8
+
+
 @F.pandas_udf(T.DoubleType())
 def fuzzy_recall(needle: pd.Series, haystack: pd.Series) -> pd.Series:
-    """Share of needle lines with a likeness of 0.8 or more to a line of the haystack that no earlier one has taken."""
+    """Mean, over the needle's lines, of the likeness to the best haystack line that no earlier one has taken (ties: the
+    first); likenesses below ALIKE count as 0 but take their line. 1 for an empty needle."""
     out = []
     for a, b in zip(needle, haystack, strict=True):
-        a, free, hits = list(a if a is not None else []), list(b if b is not None else []), 0
+        a, free, total = list(a if a is not None else []), list(b if b is not None else []), 0.0
         for x in a:
-            best = max(((difflib.SequenceMatcher(None, x, y, autojunk=False).ratio(), -k) for k, y in enumerate(free)), default=(0, 0))
-            if best[0] >= 0.8:
-                hits += 1
-                free.pop(-best[1])
-        out.append(hits / len(a) if a else 1.0)
+            if not free:
+                break
+            likeness = [difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for y in free]
+            best = max(likeness)
+            free.pop(likeness.index(best))
+            total += best if best >= ALIKE else 0.0
+        out.append(total / len(a) if a else 1.0)
     return pd.Series(out, dtype="float64")
 
 
+def text_recall(needle: Column, haystack: Column) -> Column:
+    """The larger of the exact recall with repeats and the fuzzy one."""
+    return F.greatest(multiset_recall(needle, haystack), fuzzy_recall(needle, haystack))
+
+
 def edge_confidence(path_found: Column, recall: Column, has_text: Column) -> Column:
     """The ladder of an edit's link to a commit; an edit without text is held strong when its path is found."""
     return F.when(~path_found, None).when(~has_text, "strong").when(recall >= 0.999, "exact").when(recall >= 0.7, "strong").when(recall >= 0.3, "moderate").otherwise("weak")

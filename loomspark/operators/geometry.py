@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors as V
+from ..sources.tables import workspace
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -16,30 +17,124 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def nearest(df: DataFrame, key: str, vector: str, centers: DataFrame, label: str) -> DataFrame:
-    """key, cluster, distance to the nearest of a few centres (ties: the smaller label)."""
-    pairs = df.select(key, V.doubles(F.col(vector)).alias("__v")).crossJoin(F.broadcast(centers.select(label, "center")))  # centers: k rows
-    return pairs.groupBy(key).agg(F.min(F.struct(V.euclidean(F.col("__v"), F.col("center")).alias("d"), F.col(label).alias("l"))).alias("m")).select(key, F.col("m.l").alias("cluster"), F.col("m.d").alias("distance"))
+    """key, cluster, distance to the nearest of a few centres (ties: the smaller label). One row of all centres meets
+    every point; nothing is shuffled."""
+    every = centers.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("center").alias("c"))).alias("__c"))  # k centres in one row
+    points = df.select(key, V.doubles(F.col(vector)).alias("__v")).crossJoin(F.broadcast(every))
+    best = F.array_min(F.transform("__c", lambda x: F.struct(V.euclidean(F.col("__v"), x["c"]).alias("d"), x["l"].alias("l"))))
+    return points.select(key, best.alias("m")).select(key, F.col("m.l").alias("cluster"), F.col("m.d").alias("distance"))
 
 
-def kmeans(df: DataFrame, key: str, vector: str, start: DataFrame, label: str, rounds: int = 10) -> DataFrame:
-    """Lloyd's rounds from given centres; an empty cluster keeps its centre. key, cluster, distance."""
-    centers = start.select(label, "center")
-    points = df.select(key, vector)
-    for _ in range(rounds):
-        assigned = nearest(points, key, vector, centers, label).select(key, F.col("cluster").alias(label))
-        moved = centroids(points.join(assigned, key), label, vector).select(label, F.col("center").alias("moved"))
-        rows = centers.join(moved, label, "left").select(label, F.coalesce("moved", "center").alias("center")).collect()  # k rows
-        centers = df.sparkSession.createDataFrame(rows, schema=start.select(label, "center").schema)
-    return nearest(points, key, vector, centers, label)
+def kmeans(df: DataFrame, key: str, vector: str, k: int, seed: int = 0, starts: int = 10, rounds: int = 300, masked: bool = False) -> tuple[DataFrame, dict]:
+    """key, cluster, distance by the best of several starts, and its centers and inertia. Rows without a vector are left out.
 
+    A start is the k rows with the smallest hashes under its seed. All starts advance in one pass: each row finds its
+    nearest centre of every start, and sums by start and cluster come from partial aggregates; the driver holds the
+    centres alone. An empty cluster takes another row by hash. Rounds end when no start changes.
 
-def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """key, silhouette by Euclidean distance: exact, over pairs of a sample of bounded size that the caller chooses."""
-    a = df.select(F.col(key).alias("__a"), F.col(label).alias("__la"), V.doubles(F.col(vector)).alias("__va"))
-    b = df.select(F.col(key).alias("__b"), F.col(label).alias("__lb"), V.doubles(F.col(vector)).alias("__vb"))
-    means = a.crossJoin(b).where("__a <> __b").groupBy("__a", "__la", "__lb").agg(F.avg(V.euclidean(F.col("__va"), F.col("__vb"))).alias("d"))
-    per = means.groupBy("__a").agg(F.max(F.when(F.col("__la") == F.col("__lb"), F.col("d"))).alias("own"), F.min(F.when(F.col("__la") != F.col("__lb"), F.col("d"))).alias("other"))
-    return per.select(F.col("__a").alias(key), F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("other", "own")), F.lit(0.0)).alias("silhouette"))
+    masked: nulls in a vector are left out of distances (mean squares) and means; a start's nulls count as zero, an axis
+    that no member has and an empty cluster keep their centre.
+    """
+    where = workspace(df.sparkSession)  # every round reads the points again
+    df.where(F.col(vector).isNotNull()).select(key, V.doubles(F.col(vector)).alias("v")).write.parquet(where)
+    points = df.sparkSession.read.parquet(where)
+    first = points.select(F.size("v").alias("n")).first()
+    if first is None:
+        return points.select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("distance")), {"centers": [], "inertia": 0.0}
+    width = first[0]
+
+    def drawn(n: int, salt: str) -> list[list[float]]:
+        rows = points.orderBy(F.xxhash64(F.lit(f"{seed}:{salt}"), key), key).limit(n).collect()
+        return [[0.0 if x is None else x for x in r["v"]] for r in rows]
+
+    centers = [drawn(k, str(s)) for s in range(starts)]
+
+    def measured(v: Column, c: Column) -> Column:
+        if not masked:
+            return V.squared_distance(v, c)
+        rms = V.masked_rms(v, c)
+        return F.coalesce(rms * rms, F.lit(float("inf")))
+
+    def assigned(options: list[list[list[float]]]) -> DataFrame:
+        """A row for each point and start: s, v, cluster, d."""
+        every = F.broadcast(df.sparkSession.createDataFrame([(options,)], "c array<array<array<double>>>"))  # one row
+        best = lambda rows: F.array_min(F.transform(rows, lambda c, i: F.struct(measured(F.col("v"), c).alias("d"), i.alias("cluster"))))
+        return points.crossJoin(every).select(key, "v", F.posexplode(F.transform("c", best)).alias("s", "m")).select(key, "v", "s", "m.cluster", "m.d")
+
+    live, inertia = set(range(starts)), {}
+    for turn in range(rounds):
+        some = sorted(live)
+        sums = assigned([centers[s] for s in some]).groupBy("s", "cluster").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(width)]).alias("mean"), F.sum("d").alias("d")).collect()  # starts x k rows
+        inertia |= {s: 0.0 for s in some}
+        moved = {(some[r["s"]], r["cluster"]): r["mean"] for r in sums}
+        for r in sums:
+            inertia[some[r["s"]]] += r["d"]
+        for s in some:
+            new = []
+            for c, old in enumerate(centers[s]):
+                mean = moved.get((s, c))
+                if mean is None:
+                    new.append(old if masked else drawn(1, f"{s}:{turn}:{c}")[0])
+                else:
+                    new.append([o if m is None else m for m, o in zip(mean, old, strict=True)])
+            if all(abs(x - y) <= 1e-8 + 1e-5 * abs(y) for a, b in zip(new, centers[s], strict=True) for x, y in zip(a, b, strict=True)):
+                live.discard(s)
+            centers[s] = new
+        if not live:
+            break
+    best = min(range(starts), key=lambda s: (round(inertia[s], 9), s))
+    out = assigned([centers[best]]).select(key, "cluster", F.sqrt("d").alias("distance"))
+    return out, {"centers": centers[best], "inertia": inertia[best]}
+
+
+def pair_agreement(df: DataFrame, own: str, other: str) -> DataFrame:
+    """strength: the least share, over clusters of two or more, of a cluster's pairs that the other labels keep together.
+    From counts: no pair is ever made."""
+    n = df.groupBy(own, other).agg(F.count("*").alias("n"))
+    per = n.groupBy(own).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same"), F.sum("n").alias("all")).where("all > 1")
+    return per.agg(F.min(F.try_divide("same", F.col("all") * (F.col("all") - 1) / 2)).alias("strength"))
+
+
+def prediction_strength(train: DataFrame, test: DataFrame, key: str, vector: str, k: int, seed: int = 0, starts: int = 10, rounds: int = 300) -> DataFrame:
+    """strength of k clusters: how far the pairs of each cluster of the test rows stay together under the train rows' centres."""
+    _, learned = kmeans(train, key, vector, k, seed, starts, rounds)
+    own, _ = kmeans(test, key, vector, k, seed + 1, starts, rounds)
+    centers = test.sparkSession.createDataFrame(list(enumerate(learned["centers"])), "label int, center array<double>")
+    via = nearest(test, key, vector, centers, "label").select(key, F.col("cluster").alias("via"))
+    return pair_agreement(own.join(via, key), "cluster", "via")
+
+
+#: Anchors that meet all rows at once.
+ANCHORS = 4096
+
+
+def distances(df: DataFrame, key: str, vector: str, label: str, anchors: DataFrame | None = None, measure=V.euclidean) -> DataFrame:
+    """a, la, b, lb, d: of every anchor (rows of df, all by default) the distance to all other rows.
+
+    Anchors meet the rows in blocks of about ANCHORS, each broadcast, so that neither side is shuffled; what follows
+    sums or ranks by anchor. The work is anchors times rows, as the measure asks: give fewer anchors for large tables.
+    """
+    side = lambda rows, n: rows.select(F.col(key).alias(n), F.col(label).alias(f"l{n}"), V.doubles(F.col(vector)).alias(f"v{n}"))
+    first, second = side(df if anchors is None else anchors, "a"), side(df, "b")
+    blocks = -(-first.count() // ANCHORS) or 1
+    out = None
+    for k in range(blocks):
+        block = first if blocks == 1 else first.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == k)
+        met = second.crossJoin(F.broadcast(block)).where("a <> b").select("a", "la", "b", "lb", measure(F.col("va"), F.col("vb")).alias("d"))
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def silhouette(df: DataFrame, key: str, vector: str, label: str, anchors: DataFrame | None = None, masked: bool = False) -> DataFrame:
+    """key, silhouette of every anchor (all rows by default) by exact distances to all rows; partial sums are kept, pairs
+    are not. A row alone in its cluster has 0. masked: root mean square over the places that both rows have, pairs
+    without any left out; a row without a distance on either side is left out."""
+    d = distances(df, key, vector, label, anchors, V.masked_rms if masked else V.euclidean)
+    means = d.groupBy("a", "la", "lb").agg(F.avg("d").alias("d"))
+    per = means.groupBy("a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("other"))
+    if masked:
+        per = per.where("own is not null and other is not null")
+    return per.select(F.col("a").alias(key), F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("other", "own")), F.lit(0.0)).alias("silhouette"))
 
 
 def standardised(df: DataFrame, entity: str, axis: str, value: str, ddof: int = 0) -> DataFrame:
@@ -47,3 +142,15 @@ def standardised(df: DataFrame, entity: str, axis: str, value: str, ddof: int =
     w = W.partitionBy(axis)
     sd = F.stddev_pop(value).over(w) if ddof == 0 else F.stddev_samp(value).over(w)
     return df.select(entity, axis, F.coalesce(F.try_divide(F.col(value) - F.avg(value).over(w), sd), F.lit(0.0)).alias(value))
+
+
+def row_centered(df: DataFrame, entity: str, axis: str, value: str) -> DataFrame:
+    """Long form; each entity's values less their mean."""
+    return df.select(entity, axis, (F.col(value) - F.avg(value).over(W.partitionBy(entity))).alias(value))
+
+
+def row_scaled(df: DataFrame, entity: str, axis: str, value: str) -> DataFrame:
+    """Long form; each entity's values to mean 0 and sample deviation 1. Entities whose values are all alike are left out."""
+    w = W.partitionBy(entity)
+    sd = F.stddev_samp(value).over(w)
+    return df.select(entity, axis, F.try_divide(F.col(value) - F.avg(value).over(w), sd).alias(value), sd.alias("__sd")).where("__sd > 0").drop("__sd")

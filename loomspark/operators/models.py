@@ -6,8 +6,6 @@ matrix with a row for each axis or cluster.
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,24 +38,37 @@ def principal_axes(df: DataFrame, key: str, vector: str, k: int = 2) -> tuple[Da
 
 
 def matched_centers(a: np.ndarray, b: np.ndarray) -> tuple[list[int], float]:
-    """For each row of a the row of b in the assignment of least total distance: exact, by subsets."""
-    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
-    n = len(a)
-    if n <= 6:
-        best = min(permutations(range(n)), key=lambda p: (sum(d[k, j] for k, j in enumerate(p)), p))
-        return list(best), float(sum(d[k, j] for k, j in enumerate(best)))
-    cost: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for k in range(n):
-        step: dict[int, tuple[float, list[int]]] = {}
-        for used, (c, chosen) in cost.items():
-            for j in range(n):
-                if not used >> j & 1:
-                    m = used | 1 << j
-                    if m not in step or (c + d[k, j], [*chosen, j]) < step[m]:
-                        step[m] = (c + d[k, j], [*chosen, j])
-        cost = step
-    total, chosen = cost[(1 << n) - 1]
-    return chosen, float(total)
+    """For each row of a the row of b in the assignment of least total distance (b has as many rows or more).
+
+    Rows of a are added one at a time along a shortest path of reduced costs, so the work is cubic.
+    """
+    cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    n, m = cost.shape
+    row_price, column_price, taken_by = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for row in range(n):
+        reach, came_from, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, dtype=bool)
+        at, here, far = row, -1, 0.0
+        while True:
+            through = far + cost[at] - row_price[at] - column_price
+            closer = ~done & (through < reach)
+            reach[closer], came_from[closer] = through[closer], here
+            here = int(np.where(done, np.inf, reach).argmin())
+            far = reach[here]
+            done[here] = True
+            if taken_by[here] < 0:
+                break
+            at = int(taken_by[here])
+        row_price[row] += far
+        for j in np.flatnonzero(done):
+            if taken_by[j] >= 0:
+                row_price[taken_by[j]] += far - reach[j]
+            column_price[j] -= far - reach[j]
+        while here >= 0:  # shift the path by one
+            before = int(came_from[here])
+            taken_by[here] = taken_by[before] if before >= 0 else row
+            here = before
+    match = [int(np.flatnonzero(taken_by == k)[0]) for k in range(n)]
+    return match, float(sum(cost[k, j] for k, j in enumerate(match)))
 
 
 def leaf_order(x: np.ndarray) -> list[int]:
@@ -89,10 +100,25 @@ def best_split(counts: pd.DataFrame, axes: list[str]) -> tuple[str, float, str]
     return best and best[1:]
 
 
-def explain_labels(df: DataFrame, label: str, axes: list[str], depth: int = 3, least: int = 5) -> list[dict]:
+def binned(df: DataFrame, axes: list[str], bins: int) -> DataFrame:
+    """Values of the axes raised to the next of `bins` quantiles; values of axes that have no more distinct ones stay."""
+    steps = F.array(*[F.lit((k + 1) / bins) for k in range(bins)])
+    found = df.agg(*[F.struct(F.approx_count_distinct(a, 0.01).alias("n"), F.percentile_approx(a, steps, 20_000).alias("q")).alias(a) for a in axes]).first()  # one row
+    out = df
+    for a in axes:
+        if found[a]["q"] and found[a]["n"] > bins:
+            cuts = sorted(set(found[a]["q"]))
+            value = F.col(a)
+            next_cut = F.get(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= value), F.lit(0))  # noqa: B023
+            out = out.withColumn(a, F.when(value.isNotNull(), F.coalesce(next_cut, F.lit(cuts[-1]))))
+    return out
+
+
+def explain_labels(df: DataFrame, label: str, axes: list[str], depth: int = 3, least: int = 5, bins: int = 200) -> list[dict]:
     """A tree as rows (node, depth, axis, threshold, missing_goes, label, n). Each level is one aggregation over all
-    rows, to counts of the distinct values of each axis; round or bin continuous axes first."""
-    current, out = df.withColumn("__node", F.lit(1)), []
+    rows, to counts of the distinct values of each axis, which are its quantiles where it has more than `bins`: the
+    driver gets nodes x axes x bins x labels counts at most."""
+    current, out = binned(df, axes, bins).withColumn("__node", F.lit(1)), []
     for level in range(depth + 1):
         long = current.select("__node", label, *axes).unpivot(["__node", label], axes, "axis", "value")
         counts = long.groupBy("__node", "axis", "value", F.col(label).alias("label")).agg(F.count("*").alias("n")).toPandas()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.stats import laplace_confidence
+from ..functions.text import squeezed
 
 AXES = 14
 
@@ -62,6 +63,30 @@ def profiles(turns: DataFrame, threshold: float, least_sessions: int) -> DataFra
     return per.withColumn("confidence", conf).where((F.col("high") != F.col("low")) & (conf >= threshold) & (F.col("sessions") >= least_sessions)).select("user_id", "axis", F.when(F.col("high") > F.col("low"), "high").otherwise("low").alias("direction"), F.round("confidence", 6).alias("confidence"), "sessions")
 
 
+def evidence_profiles(records: DataFrame, threshold: float, least_sessions: int) -> DataFrame:
+    """user_id, axis, direction, confidence, high_confidence, high_turns, low_turns, supporting, contradicting (sessions).
+
+    records: user_id, axis, session, turn_number, label (high, low or other). As many turns for as against give no
+    direction and a confidence of 0.
+    """
+    high, low = F.count_if(F.col("label") == "high"), F.count_if(F.col("label") == "low")
+    session = lambda label: F.countDistinct(F.when(F.col("label") == label, F.col("session")))
+    per = records.groupBy("user_id", "axis").agg(high.alias("high_turns"), low.alias("low_turns"), session("high").alias("__h"), session("low").alias("__l"))
+    direction = F.when(F.col("high_turns") > F.col("low_turns"), "high").when(F.col("low_turns") > F.col("high_turns"), "low")
+    confidence = F.when(direction.isNull(), 0.0).otherwise(laplace_confidence(F.col("high_turns"), F.col("low_turns")))
+    own, other = F.when(direction == "high", F.col("__h")).when(direction == "low", F.col("__l")).otherwise(0), F.when(direction == "high", F.col("__l")).when(direction == "low", F.col("__h")).otherwise(0)
+    sure = direction.isNotNull() & (confidence >= threshold) & (own >= least_sessions)
+    return per.select("user_id", "axis", direction.alias("direction"), F.round(confidence, 4).alias("confidence"), sure.alias("high_confidence"), "high_turns", "low_turns", own.alias("supporting"), other.alias("contradicting"))
+
+
+def ordered_evidence(records: DataFrame, message: Column) -> DataFrame:
+    """user_id, axis, place, label, session, turn_number, message: the turns that speak for a side and say something, in
+    order; a row each, so that no list grows with a user."""
+    rows = records.withColumn("message", squeezed(message)).where("label in ('high', 'low') and message <> ''")
+    place = F.row_number().over(W.partitionBy("user_id", "axis").orderBy("session", "turn_number"))
+    return rows.select("user_id", "axis", place.alias("place"), "label", "session", "turn_number", "message")
+
+
 def confidence_band(c: Column) -> Column:
     return F.when(c >= 0.85, "consistent").when(c >= 0.7, "default").when(c >= 0.5, "tentative")
 

@@ -11,9 +11,31 @@ def hashed(keys: list[str], seed) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"), 256)
 
 
+def numbered(df: DataFrame, keys: list[str], seed, by: list[str] | None = None, name: str = "place") -> DataFrame:
+    """Adds each row's number, from 1, in the order of a hash of its keys (within `by`).
+
+    Rows are numbered within the 4096 stretches that the first digits of the hash make, and stretches by their counts, so
+    that no task sorts the whole table.
+    """
+    by = by or []
+    rows = df.withColumn("__h", hashed([*by, *keys], seed)).withColumn("__s", F.substring("__h", 1, 3))
+    counts = rows.groupBy(*by, "__s").agg(F.count("*").alias("__n"))
+    w = W.partitionBy(*by).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(*by, "__s", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.row_number().over(W.partitionBy(*by, "__s").orderBy("__h", *keys))
+    return rows.join(before, [*by, "__s"]).withColumn(name, place).drop("__h", "__s", "__before")
+
+
 def shuffled(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """Adds place: the row's number in an order by hash. For tables that one task can number."""
-    return df.withColumn("place", F.row_number().over(W.orderBy(hashed(keys, seed), *keys)))
+    """Adds place: the row's number in an order by hash."""
+    return numbered(df, keys, seed)
+
+
+def random_parts(df: DataFrame, keys: list[str], seed: int, replicates: int, fraction: float) -> DataFrame:
+    """Adds replicate and part: in each replicate floor(n * fraction) rows, by hash, are `first`, the others `rest`."""
+    each = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    n = df.agg(F.floor(F.count("*") * F.lit(fraction)).alias("__first"))  # one row
+    return numbered(each, keys, seed, ["replicate"], "__place").crossJoin(F.broadcast(n)).withColumn("part", F.when(F.col("__place") <= F.col("__first"), "first").otherwise("rest")).drop("__place", "__first")
 
 
 def sample_rows(df: DataFrame, keys: list[str], seed: int, n: int) -> DataFrame:
@@ -24,18 +46,19 @@ def sample_rows(df: DataFrame, keys: list[str], seed: int, n: int) -> DataFrame:
 def bootstrap_weights(groups: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
     """replicate, key, weight: how often each group is drawn when as many are drawn, with replacement, as there are.
 
-    Each draw picks a group by a hash, by its number; only the groups that were drawn have rows.
+    Each draw picks a group by a hash, by its number; only the groups that were drawn have rows. Draws are dealt over
+    all tasks; the driver gets one count.
     """
-    numbered = groups.select(key).distinct().withColumn("__i", F.row_number().over(W.orderBy(key)) - 1)
-    n = numbered.agg(F.count("*").alias("__n"))
-    draws = n.where("__n > 0").select("__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("__n", "replicate", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))).alias("__d"))
-    picked = draws.select("replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "__d"), F.col("__n")).cast("int").alias("__i"))
-    return picked.groupBy("replicate", "__i").agg(F.count("*").alias("weight")).join(numbered, "__i").select("replicate", key, "weight")
+    every = numbered(groups.select(key).distinct(), [key], seed, name="__i").withColumn("__i", F.col("__i") - 1)
+    n = groups.select(key).distinct().count()
+    draws = groups.sparkSession.range(replicates * n).select(F.expr(f"cast(id div {max(n, 1)} as int)").alias("replicate"), F.expr(f"cast(id % {max(n, 1)} as int)").alias("__d"))
+    picked = draws.select("replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "__d"), F.lit(max(n, 1))).alias("__i"))
+    return picked.groupBy("replicate", "__i").agg(F.count("*").alias("weight")).join(every, "__i").select("replicate", key, "weight")
 
 
 def permuted(df: DataFrame, key: str, label: str, replicates: int, seed: int) -> DataFrame:
     """replicate, key, label: the labels dealt anew over the keys."""
     each = df.select(key, label).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    spot = each.withColumn("__i", F.row_number().over(W.partitionBy("replicate").orderBy(key))).select("replicate", key, "__i")
-    dealt = each.withColumn("__i", F.row_number().over(W.partitionBy("replicate").orderBy(F.xxhash64(F.lit(seed), "replicate", key), key))).select("replicate", "__i", label)
+    spot = numbered(each, [key], f"{seed}:spots", ["replicate"], "__i").select("replicate", key, "__i")
+    dealt = numbered(each, [key], f"{seed}:labels", ["replicate"], "__i").select("replicate", "__i", label)
     return spot.join(dealt, ["replicate", "__i"]).drop("__i")

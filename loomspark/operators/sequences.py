@@ -54,16 +54,27 @@ def running_mean(df: DataFrame, keys: list[str], order: list[str], value: str) -
 
 
 def first_stable(df: DataFrame, keys: list[str], order: str, good: Column) -> DataFrame:
-    """Of each key the first place from which on every row is good; null where the last one is not. One aggregate:
-    it is the first good place after the last bad one."""
-    per = df.withColumn("__g", F.coalesce(good, F.lit(False))).groupBy(*keys).agg(F.max(F.when(~F.col("__g"), F.col(order))).alias("__bad"), F.array_sort(F.collect_list(F.when(F.col("__g"), F.col(order)))).alias("__good"))
-    after = F.filter("__good", lambda x: F.col("__bad").isNull() | (x > F.col("__bad")))
-    return per.select(*keys, F.try_element_at(after, F.lit(1)).alias("stable_from"))
-
-
-def step_up(df: DataFrame, p: str) -> DataFrame:
-    """Adds q: Benjamini-Hochberg adjusted p values of the whole table, a family of tests and so small."""
-    n = F.count(p).over(W.partitionBy())
-    rank = F.row_number().over(W.orderBy(p))
-    raw = df.withColumn("__r", rank).withColumn("__q", F.col(p) * n / F.col("__r"))
-    return raw.withColumn("q", F.least(F.lit(1.0), F.min("__q").over(W.orderBy("__r").rowsBetween(0, W.unboundedFollowing)))).drop("__r", "__q")
+    """Of each key the first place from which on every row is good; null where the last one is not: the first place
+    after the last bad one. One shuffle by the keys, and no list of places."""
+    bad = F.max(F.when(~F.coalesce(good, F.lit(False)), F.col(order))).over(W.partitionBy(*keys))
+    after = df.withColumn("__bad", bad)
+    return after.groupBy(*keys).agg(F.min(F.when(F.col("__bad").isNull() | (F.col(order) > F.col("__bad")), F.col(order))).alias("stable_from"))
+
+
+def step_up(df: DataFrame, p: str, bins: int = 1000) -> DataFrame:
+    """Adds q: Benjamini-Hochberg adjusted p values of the whole table; null p values have none and do not count.
+
+    Equal p values share a q, so distinct ones are ranked with their counts: within bins of the p value, then over one
+    row for each bin.
+    """
+    tests = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n")).withColumn("__bin", F.floor(F.col("__p") * bins))
+    below = W.orderBy("__bin")
+    bin_ = tests.groupBy("__bin").agg(F.sum("__n").alias("__all"))
+    offsets = bin_.select("__bin", (F.sum("__all").over(below) - F.col("__all")).alias("__before"), F.sum("__all").over(W.partitionBy()).alias("__total"))  # a row for each bin
+    w = W.partitionBy("__bin").orderBy("__p")
+    ranked = tests.join(F.broadcast(offsets), "__bin").withColumn("__q", F.col("__p") * F.col("__total") / (F.col("__before") + F.sum("__n").over(w)))
+    lowest = ranked.groupBy("__bin").agg(F.min("__q").alias("__m"))
+    later = lowest.select("__bin", F.min("__m").over(below.rowsBetween(1, W.unboundedFollowing)).alias("__later"))  # a row for each bin
+    own = F.min("__q").over(w.rowsBetween(0, W.unboundedFollowing))
+    q = ranked.join(F.broadcast(later), "__bin").select("__p", F.least(F.lit(1.0), own, F.col("__later")).alias("q"))
+    return df.join(q, F.col(p).eqNullSafe(F.col("__p")), "left").drop("__p")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..functions import stats as ST
+from ..functions import vectors as V
+from .resampling import bootstrap_weights
 
 
 def group_moments(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
@@ -46,20 +50,47 @@ def cell_counts(df: DataFrame, by: list[str], a: Column, b: Column) -> DataFrame
 
 
 def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
-    """chi2, df of independence, and Cramer's v."""
+    """chi2, df, p of independence, and Cramer's v. Nulls are left out."""
+    df = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
     cells = df.groupBy(row, column).agg(F.count("*").alias("o"))
     rows, cols, all_ = cells.groupBy(row).agg(F.sum("o").alias("r")), cells.groupBy(column).agg(F.sum("o").alias("c")), cells.agg(F.sum("o").alias("n"))
     grid = rows.crossJoin(cols).join(cells, [row, column], "left").crossJoin(all_)  # distinct values by distinct values
     e = F.col("r") * F.col("c") / F.col("n")
     per = grid.agg(F.sum((F.coalesce("o", F.lit(0)) - e) * (F.coalesce("o", F.lit(0)) - e) / e).alias("chi2"), F.countDistinct(row).alias("rows"), F.countDistinct(column).alias("cols"), F.max("n").alias("n"))
-    return per.select("chi2", ((F.col("rows") - 1) * (F.col("cols") - 1)).alias("df"), F.sqrt(F.try_divide("chi2", F.col("n") * (F.least("rows", "cols") - 1))).alias("v"))
+    free = (F.col("rows") - 1) * (F.col("cols") - 1)
+    return per.select("chi2", free.alias("df"), ST.chi_square_tail("chi2", free).alias("p"), F.sqrt(F.try_divide("chi2", F.col("n") * (F.least("rows", "cols") - 1))).alias("v"))
 
 
 def anova_f(moments: DataFrame) -> DataFrame:
-    """f, df_between, df_within of one-way analysis."""
+    """f, df_between, df_within, p of one-way analysis."""
     n, k = F.sum("n"), F.count("*")
     per = moments.agg(n.alias("n"), k.cast("double").alias("k"), (F.sum(F.col("n") * F.col("mean") * F.col("mean")) - F.try_divide(F.sum(F.col("n") * F.col("mean")) * F.sum(F.col("n") * F.col("mean")), n)).alias("ssb"), F.sum("m2").alias("ssw"))
-    return per.select(F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k"))).alias("f"), (F.col("k") - 1).cast("long").alias("df_between"), (F.col("n") - F.col("k")).cast("long").alias("df_within"))
+    d1, d2 = F.col("k") - 1, F.col("n") - F.col("k")
+    got = per.select(F.try_divide(F.try_divide(F.col("ssb"), d1), F.try_divide(F.col("ssw"), d2)).alias("f"), d1.cast("long").alias("df_between"), d2.cast("long").alias("df_within"))
+    return got.withColumn("p", ST.f_tail("f", F.col("df_between").cast("double"), F.col("df_within").cast("double")))
+
+
+def associations(df: DataFrame, label: str, categorical: list[str], numeric: list[str]) -> DataFrame:
+    """feature, kind, statistic, df, df_within, p: how a label goes with each feature, by contingency or by variance.
+
+    Nulls are left out; groups of one row do not enter the variances; a feature with fewer than two values or groups has
+    no statistic.
+    """
+    out = []
+    for c in categorical:
+        got = chi_square(df, label, c)
+        out.append(got.select(F.lit(c).alias("feature"), F.lit("categorical").alias("kind"), F.when(F.col("df") > 0, F.col("chi2")).alias("statistic"), "df", F.lit(None).cast("long").alias("df_within"), "p"))
+    for c in numeric:
+        got = anova_f(group_moments(df.where(F.col(label).isNotNull()), [], label, c).where("n >= 2"))
+        out.append(got.select(F.lit(c).alias("feature"), F.lit("numeric").alias("kind"), F.when(F.col("df_between") > 0, F.col("f")).alias("statistic"), F.col("df_between").alias("df"), "df_within", "p"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def association_shares(df: DataFrame, label: str, feature: str, top: int = 2) -> DataFrame:
+    """label, feature value, share: the most frequent values of each group."""
+    n = df.where(F.col(feature).isNotNull()).groupBy(label, feature).agg(F.count("*").alias("n"))
+    ranked = n.withColumns({"share": F.col("n") / F.sum("n").over(W.partitionBy(label)), "__r": F.row_number().over(W.partitionBy(label).orderBy(F.desc("n"), feature))})
+    return ranked.where(F.col("__r") <= top).select(label, F.col(feature).alias("value"), "share")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -84,23 +115,120 @@ def leave_one_out_prior(per_user: DataFrame, axis: str, pos: str, neg: str, stre
     return out.withColumn("posterior", (F.col(pos) + strength * F.col("prior")) / (F.col(pos) + F.col(neg) + strength)).drop("__p", "__n")
 
 
-def retrieval(early: DataFrame, late: DataFrame, entity: str, axis: str, value: str) -> DataFrame:
-    """entity, rank, own, nearest: where the entity's own later profile ranks among all, by root mean square distance
-    with each axis scaled by its deviation over early profiles. Joined on the axis; ties go to the smaller entity."""
-    sd = early.groupBy(axis).agg(F.stddev_samp(value).alias("__sd")).withColumn("__sd", F.when(F.coalesce("__sd", F.lit(0.0)) == 0, 1.0).otherwise(F.col("__sd")))
-    a = early.join(F.broadcast(sd), axis).select(F.col(entity).alias("a"), axis, (F.col(value) / F.col("__sd")).alias("va"))  # a row for each axis
-    b = late.join(F.broadcast(sd), axis).select(F.col(entity).alias("b"), axis, (F.col(value) / F.col("__sd")).alias("vb"))
-    d = a.join(b, axis).groupBy("a", "b").agg(F.sqrt(F.avg((F.col("va") - F.col("vb")) * (F.col("va") - F.col("vb")))).alias("d"))
-    own = d.where("a = b").select("a", F.col("d").alias("own"))
-    per = d.join(own, "a").groupBy("a").agg((F.count_if((F.col("d") < F.col("own")) | ((F.col("d") == F.col("own")) & (F.col("b") < F.col("a")))) + 1).alias("rank"), F.first("own").alias("own"), F.min(F.when(F.col("a") != F.col("b"), F.col("d"))).alias("nearest"))
-    return per.select(F.col("a").alias(entity), "rank", "own", "nearest")
+def future_observations(train: DataFrame, test: DataFrame, entity: str, axis: str, score: str, strength: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """Held-out observations with what earlier ones foretell, and the profiles behind it.
+
+    train, test: entity, axis, score (not zero; its sign counts). Only entities with both count, in the population too.
+    First result, a row for each test row: entity, axis, y, pos, n, population_p (the others' smoothed share), user_p (the
+    own counts shrunk to it), minority, surprisal. Second: entity, axis, p of every profile and axis.
+    """
+    both = train.select(entity).distinct().join(test.select(entity).distinct(), entity, "left_semi")
+    own = train.join(both, entity, "left_semi").groupBy(entity, axis).agg(F.count_if(F.col(score) > 0).alias("pos"), F.count("*").alias("n"))
+    total = F.broadcast(own.groupBy(axis).agg(F.sum("pos").alias("__p"), F.sum("n").alias("__n")))  # a row for each axis
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    prior = (zero("__p") - zero("pos") + 0.5) / (zero("__n") - zero("n") + 1.0)
+
+    def judged(rows):
+        out = rows.join(own, [entity, axis], "left").join(total, axis, "left").withColumns({"pos": zero("pos"), "n": zero("n"), "population_p": prior}).drop("__p", "__n")
+        return out.withColumn("user_p", (strength * F.col("population_p") + F.col("pos")) / (strength + F.col("n")))
+
+    y = (F.col(score) > 0).cast("int")
+    seen = judged(test.join(both, entity, "left_semi").select(entity, axis, y.alias("y")))
+    minority = F.when(F.col("y") == 1, F.col("population_p") < 0.5).otherwise(F.col("population_p") >= 0.5)
+    seen = seen.withColumns({"minority": minority, "surprisal": -F.ln(F.when(F.col("y") == 1, F.col("population_p")).otherwise(1 - F.col("population_p")))})
+    axes = own.select(axis).union(test.select(axis)).distinct()  # few
+    return seen, judged(both.crossJoin(F.broadcast(axes))).select(entity, axis, F.col("user_p").alias("p"))
+
+
+def trust_gates(observations: DataFrame, entity: str, supports: list[int], pairs: list[tuple[int, float]], softness: list[int], replicates: int = 0, seed: int = 0) -> DataFrame:
+    """method, n_observations, personalized, coverage, log_loss, improvement, mean_user_gain, users_personalized,
+    users_improved: what is lost when own profiles are trusted always, from a support on, from a support and a consistency
+    on, or the more the larger and clearer the support. With replicates also ci_low and ci_high of the mean gain, by
+    drawing entities anew."""
+    n, pos = F.col("n"), F.col("pos")
+    consistency = F.coalesce(F.try_divide(F.greatest(pos, n - pos), n), F.lit(0.0))
+    margin = F.coalesce(F.try_divide(F.abs(2 * pos - n), n), F.lit(0.0))
+    pop, own = F.col("population_p"), F.col("user_p")
+    gate = lambda name, ok: (name, ok, F.when(ok, own).otherwise(pop))
+    methods = [("always", F.lit(True), own)]
+    methods += [gate(f"support>={s}", n >= s) for s in supports]
+    methods += [gate(f"support>={s},consistency>={c}", (n >= s) & (consistency >= c)) for s, c in pairs]
+    for k in softness:
+        trust = n / (n + F.lit(float(k))) * margin
+        methods.append((f"continuous {k}", trust > 0, (1 - trust) * pop + trust * own))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), ok.alias("personal"), p.alias("p")) for m, ok, p in methods]))
+    rows = observations.select(entity, "y", "population_p", each.alias("m")).select(entity, "m.method", "m.personal", ST.log_loss(F.col("y"), F.col("population_p")).alias("base"), ST.log_loss(F.col("y"), F.col("m.p")).alias("loss"))
+    per = rows.groupBy("method", entity).agg(F.count("*").alias("rows"), F.count_if("personal").alias("personal"), F.sum("loss").alias("loss"), F.sum(F.col("base") - F.col("loss")).alias("gain")).withColumn("mean_gain", F.col("gain") / F.col("rows"))
+    out = per.groupBy("method").agg(
+        F.sum("rows").alias("n_observations"), F.sum("personal").alias("personalized"), (F.sum("personal") / F.sum("rows")).alias("coverage"), (F.sum("loss") / F.sum("rows")).alias("log_loss"), (F.sum("gain") / F.sum("rows")).alias("improvement"),
+        F.avg("mean_gain").alias("mean_user_gain"), F.count_if(F.col("personal") > 0).alias("users_personalized"), F.count_if(F.col("mean_gain") > 0).alias("users_improved"),
+    )
+    if not replicates:
+        return out
+    drawn = per.join(bootstrap_weights(observations.select(entity).distinct(), entity, replicates, seed), entity)
+    means = drawn.groupBy("method", "replicate").agg((F.sum(F.col("mean_gain") * F.col("weight")) / F.sum("weight")).alias("m"))
+    ci = means.groupBy("method").agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"))
+    return out.join(ci, "method")
+
+
+#: Queries that meet all candidates at once.
+QUERIES = 1024
+
+
+def packed(df: DataFrame, entity: str, axis: str, value: Column, axes: list) -> DataFrame:
+    """entity, v: the values in the order of the axes, null where there is none."""
+    m = F.map_from_entries(F.collect_list(F.struct(axis, value.alias("__v"))))  # a value for each axis
+    return df.groupBy(entity).agg(m.alias("__m")).select(entity, F.array(*[F.col("__m")[a] for a in axes]).alias("v"))
+
+
+def ranked_against(queries: DataFrame, candidates: DataFrame, score: Column, keys: list[str]) -> DataFrame:
+    """keys, rank, best_other: where each query's own candidate (column b equal to a) ranks among all, smallest score
+    first; ties go to the smaller candidate; scores are rounded to nine digits. Queries without an own candidate are left
+    out.
+
+    queries: keys (a among them) and what score needs; candidates: b and the same. Queries meet the candidates in
+    blocks, broadcast one after the other; only counts come out.
+    """
+    own = queries.join(candidates, F.col("a") == F.col("b")).select(*queries.columns, F.round(score, 9).alias("own")).where("own is not null")
+    blocks = -(-own.count() // QUERIES) or 1
+    out = []
+    for k in range(blocks):
+        block = own if blocks == 1 else own.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == k)
+        met = candidates.crossJoin(F.broadcast(block)).withColumn("__s", F.round(score, 9))
+        better = (F.col("__s") < F.col("own")) | ((F.col("__s") == F.col("own")) & (F.col("b") < F.col("a")))
+        out.append(met.groupBy(*keys).agg((F.count_if(better) + 1).alias("rank"), F.min(F.when(F.col("a") != F.col("b"), F.col("__s"))).alias("best_other")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def likelihood_retrieval(observations: DataFrame, profiles: DataFrame, entity: str, axis: str, queries: Column) -> DataFrame:
+    """entity, mode, n_observations, rank: where the own profile ranks among all by the mean log likelihood of the held-out
+    observations: of all, of those that go with the others' majority, of those against it, and weighted by surprisal."""
+    axes = sorted(r[0] for r in profiles.select(axis).distinct().collect())  # few
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), w.alias("w")) for m, w in (("all", F.lit(1.0)), ("majority", F.when(~F.col("minority"), 1.0)), ("minority", F.when(F.col("minority"), 1.0)), ("surprisal", F.col("surprisal")))])
+    rows = observations.where(queries).select(F.col(entity).alias("a"), axis, "y", F.explode(modes).alias("m")).select("a", "m.mode", axis, "y", "m.w").where("w is not null")
+    cell = lambda a, y: F.coalesce(F.sum(F.when((F.col(axis) == a) & (F.col("y") == y), F.col("w"))), F.lit(0.0))
+    asked = rows.groupBy("a", "mode").agg(F.count("*").alias("n_observations"), F.sum("w").alias("all"), F.array(*[cell(a, y) for a in axes for y in (1, 0)]).alias("w"))
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("p")))
+    logs = profiles.withColumn("__l", F.array(F.ln(p), F.ln(1 - p)))
+    known = packed(logs, entity, axis, F.col("__l"), axes).select(F.col(entity).alias("b"), F.flatten("v").alias("l"))
+    return ranked_against(asked, known, -F.try_divide(V.dot(F.col("w"), F.col("l")), F.col("all")), ["a", "mode", "n_observations"]).select(F.col("a").alias(entity), "mode", "n_observations", "rank")
+
+
+def retrieval(early: DataFrame, late: DataFrame, entity: str, axis: str, value: str, queries: Column) -> DataFrame:
+    """entity, rank, nearest: where the entity's own later profile ranks among all, by root mean square distance over the
+    axes that both have, each scaled by its deviation over early profiles. queries: the entities that are asked for."""
+    sd = {r[0]: r[1] or 1.0 for r in early.groupBy(axis).agg(F.stddev_samp(value)).collect()}  # a row for each axis
+    axes = sorted(sd)
+    scale = F.create_map(*[x for a in axes for x in (F.lit(a), F.lit(float(sd[a])))])
+    side = lambda df, n, v: packed(df.where(F.col(value).isNotNull() & F.col(axis).isin(axes)), entity, axis, F.col(value) / scale[F.col(axis)], axes).select(F.col(entity).alias(n), F.col("v").alias(v))
+    asked, known = side(early.where(queries), "a", "va"), side(late, "b", "vb")
+    got = ranked_against(asked, known, V.masked_rms(F.col("va"), F.col("vb")), ["a"])
+    return got.select(F.col("a").alias(entity), "rank", F.col("best_other").alias("nearest"))
 
 
 def discriminability(distances: DataFrame, a: str, b: str, la: str, lb: str, d: str) -> DataFrame:
     """score: how often a row's distance to another of its label is below that to one of another label; ties count half,
     labels weigh alike. From ranks within each anchor: sorted once, not joined to itself."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy(a).orderBy(d)
     same = (F.col(la) == F.col(lb)).cast("double")
     run = distances.where(F.col(a) != F.col(b)).withColumns({"__s": same, "__below": F.sum(1 - same).over(w.rangeBetween(W.unboundedPreceding, W.currentRow)), "__at": F.sum(1 - same).over(W.partitionBy(a, d)), "__all": F.sum(1 - same).over(W.partitionBy(a))})

@@ -215,10 +215,10 @@ def a40_work_estimate(t):
     return per.agg((F.sum("n") * 2).alias("calls"), F.to_json(F.struct(F.count("*").alias("users"), F.sum("n").alias("turns"))).alias("summary"))
 
 
-@query("SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.n, b.n) AS n, coalesce(a.t, '') AS said, coalesce(b.t, '') AS answered FROM (SELECT conv_id, left(text, 15) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') a FULL JOIN (SELECT conv_id, left(text, 15) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant') b ON a.conv_id = b.conv_id AND a.n = b.n")
+@query("SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.n, b.n) AS n, coalesce(a.t, '') AS said, coalesce(b.t, '') AS answered FROM (SELECT conv_id, text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') a FULL JOIN (SELECT conv_id, text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant') b ON a.conv_id = b.conv_id AND a.n = b.n")
 def a44_zipped_dialogue(t):
     n = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long")
-    side = lambda role, name: t.conversations.where(F.col("role") == role).select("conv_id", n.alias("n"), F.substring("text", 1, 15).alias(name))
+    side = lambda role, name: t.conversations.where(F.col("role") == role).select("conv_id", n.alias("n"), F.col("text").alias(name))
     return side("user", "said").join(side("assistant", "answered"), ["conv_id", "n"], "full").select("conv_id", "n", F.coalesce("said", F.lit("")).alias("said"), F.coalesce("answered", F.lit("")).alias("answered"))
 
 

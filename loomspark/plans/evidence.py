@@ -9,20 +9,69 @@ from ..operators import evidence as E
 from .catalogue import query
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'edit' WHEN 1 THEN 'read' WHEN 2 THEN 'search' WHEN 3 THEN 'shell' ELSE 'other' END AS family FROM nation")
+_TOOLS = (
+    ("Multi-Edit", "code_write", "full"), ("read_file", "local_research", "compact"), ("Grep!", "local_research", "compact"), ("Bash ", "shell", "full"), ("mcp__context-mode__execute", "shell", "full"),
+    ("TodoWrite", "orchestration", "marker"), ("ExitPlanMode", "planning", "full"), ("Task", "subagent", "full"), ("WebFetch", "external_or_browser", "compact"), ("unheard of", "generic", "compact"),
+)
+
+
+@query(f"SELECT n_nationkey, family, shown FROM nation JOIN (VALUES {', '.join(f'({k}, {chr(39)}{f}{chr(39)}, {chr(39)}{s}{chr(39)})' for k, (_, f, s) in enumerate(_TOOLS))}) v(k, family, shown) ON k = n_nationkey % 10")
 def x7_tool_families(t):
-    names = F.array(*map(F.lit, ("Multi-Edit", "read_file", "Grep!", "Bash ", "unheard of")))
-    return t.nation.select("n_nationkey", E.tool_family(F.get(names, (F.col("n_nationkey") % 5).cast("int"))).alias("family"))
+    names = F.array(*[F.lit(n) for n, _, _ in _TOOLS])
+    return t.nation.select("n_nationkey", E.tool_family(F.get(names, (F.col("n_nationkey") % 10).cast("int"))).alias("f")).select("n_nationkey", "f.family", "f.shown")
 
 
-@query("SELECT n_nationkey, CAST(0 AS INTEGER) AS action, 'f' || CAST(n_nationkey AS VARCHAR) AS path, 'a' AS old, n_name AS new FROM nation WHERE n_nationkey % 3 < 2 UNION ALL SELECT n_nationkey, 1, 'f' || CAST(n_nationkey AS VARCHAR), '', 'c' FROM nation WHERE n_nationkey % 3 = 1")
+@query("""SELECT p_partkey, CAST(0 AS INTEGER) AS action, 'f' || CAST(p_partkey AS VARCHAR) AS path, CASE p_partkey % 5 WHEN 0 THEN 'edit' WHEN 1 THEN 'edit' WHEN 2 THEN 'write' ELSE 'update' END AS operation,
+CASE WHEN p_partkey % 5 = 2 THEN p_name || '|' || p_brand ELSE p_name END AS added, CASE WHEN p_partkey % 5 IN (0, 1) THEN 'a' WHEN p_partkey % 5 = 2 THEN '' ELSE p_brand END AS deleted FROM part WHERE p_partkey % 5 < 4
+UNION ALL SELECT p_partkey, 2, 'f' || CAST(p_partkey AS VARCHAR), 'write', 'c', '' FROM part WHERE p_partkey % 5 = 1
+UNION ALL SELECT p_partkey, 1, 'g.py', 'add', p_type, '' FROM part WHERE p_partkey % 5 = 3""")
 def e8_write_actions(t):
-    k = F.col("n_nationkey")
-    path = F.concat(F.lit('"f'), k.cast("string"), F.lit('"'))
-    one = F.concat(F.lit('{"file_path":'), path, F.lit(',"old_string":"a","new_string":"'), "n_name", F.lit('"}'))
-    many = F.concat(F.lit('{"filePath":'), path, F.lit(',"edits":[{"oldString":"a","newString":"'), "n_name", F.lit('"},{"new":"c"}]}'))
-    rows = t.nation.select("n_nationkey", F.when(k % 3 == 2, "Bash").otherwise("MultiEdit").alias("tool"), F.when(k % 3 == 0, one).when(k % 3 == 1, many).otherwise(one).alias("payload"))
-    return E.write_actions(rows, ["n_nationkey"], "tool", "payload")
+    """One edit, a list of edits with an entry that is none, a new file, a patch of two files, and a tool that only reads."""
+    k, path = F.col("p_partkey") % 5, F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
+    one = F.to_json(F.struct(path.alias("filePath"), F.lit("a\nkept").alias("oldText"), F.concat("p_name", F.lit("\n kept ")).alias("newText")))
+    many = F.concat(F.lit('{"path":"'), path, F.lit('","edits":[{"oldString":"a","newString":"'), "p_name", F.lit('"},7,{"new_text":"c"}]}'))
+    new = F.to_json(F.struct(path.alias("file_path"), F.concat("p_name", F.lit("\n\n"), "p_brand").alias("content")))
+    patch = F.to_json(F.struct(F.concat(F.lit("*** Begin Patch\n*** Update File: "), path, F.lit("\n@@\n-"), "p_brand", F.lit("\n+"), "p_name", F.lit("\n kept\n*** Add File: g.py\n+"), "p_type", F.lit("\n*** End Patch")).alias("patchText")))
+    tool = F.get(F.array(*map(F.lit, ("edit", "MultiEdit", "Write", "apply-patch", "Read"))), k.cast("int"))
+    rows = t.part.select("p_partkey", tool.alias("tool"), F.when(k == 0, one).when(k == 1, many).when(k == 2, new).when(k == 3, patch).otherwise(one).alias("payload"))
+    got = E.write_actions(rows, ["p_partkey"], "tool", "payload")
+    return got.select("p_partkey", "action", "path", "operation", F.array_join("added", "|").alias("added"), F.array_join("deleted", "|").alias("deleted"))
+
+
+@query("""SELECT p_size AS session, p_partkey, 'c' || CAST(p_partkey AS VARCHAR) AS com, 'src/f' || CAST(p_partkey AS VARCHAR) || '.py' AS commit_path, round(s / 4.0, 4) AS added_recall,
+1.0::DOUBLE AS deleted_recall, round((s / 4.0 + 1) / 2, 4) AS changed_text_recall, round(s / 4.0, 4) AS survival_recall, CASE WHEN s = 4 THEN 'exact' WHEN s >= 2.8 THEN 'strong' WHEN s >= 1.2 THEN 'moderate' ELSE 'weak' END AS confidence,
+CASE p_partkey % 3 WHEN 0 THEN 'mixed' WHEN 1 THEN 'agent' ELSE '' END AS share
+FROM (SELECT *, least(4, p_partkey % 5 + CASE WHEN p_partkey % 5 < 4 AND p_partkey % 3 = 0 THEN 0.96875 ELSE 0 END) AS s FROM part)""")
+def e10_turn_commit_map(t):
+    """Edits of files matched to the commits of their session, by path and by what of their text is there."""
+    key = F.col("p_partkey").cast("string")
+    line = lambda n: F.md5(F.concat(key, F.lit(f":{n}")))
+    payload = F.to_json(F.struct(F.concat(F.lit("/home/w/src/f"), key, F.lit(".py")).alias("file_path"), F.lit("old one").alias("old_string"), F.concat_ws("\n", *map(line, (3, 0, 1, 2))).alias("new_string")))
+    calls = t.part.select(F.col("p_size").alias("session"), "p_partkey", F.lit("Edit").alias("tool"), payload.alias("payload"))
+    there = [F.when(F.col("p_partkey") % 5 > n, F.concat(F.lit("+"), line(n))) for n in range(4)]
+    near = F.when((F.col("p_partkey") % 5 < 4) & (F.col("p_partkey") % 3 == 0), F.concat(F.lit("+"), F.left(line(3), F.lit(31)), F.lit("X")))
+    file = F.concat(F.lit("src/f"), key, F.lit(".py"))
+    patch = F.concat_ws("\n", F.concat(F.lit("--- a/"), file), F.concat(F.lit("+++ b/"), file), F.lit("@@ -1 +1 @@"), F.lit("-old  one"), *there, near)
+    share = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('{"'), file, F.lit('":{"attribution":"mixed"}}'))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit('{"'), file, F.lit('":"agent"}')))
+    commits = t.part.select(F.col("p_size").alias("session"), F.concat(F.lit("c"), key).alias("com"), patch.alias("patch"), share.alias("attribution"))
+    actions = E.write_actions(calls, ["session", "p_partkey"], "tool", "payload")
+    return E.matched_edges(actions, commits, ["session"], ["p_partkey", "action"], "com", "patch", "attribution").drop("action")
+
+
+@query("SELECT conv_id, turn, max(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS user_turn FROM conversations")
+def e8_prompt_of_action(t):
+    return E.prompt_of_action(t.conversations, ["conv_id"], "turn", F.col("role") == "user").select("conv_id", "turn", "user_turn")
+
+
+@query("SELECT n_nationkey, path, content FROM (SELECT n_nationkey, 'a.py' AS path, n_name AS content FROM nation WHERE n_nationkey % 3 < 2 UNION ALL SELECT n_nationkey, 'b.py', 'kept' FROM nation WHERE n_nationkey % 3 = 1 UNION ALL SELECT n_nationkey, 'd.py', n_name FROM nation WHERE n_nationkey % 3 = 2)")
+def g6_snapshot_files(t):
+    """Contents as texts or in records, within a snapshot or not; backups' names are not contents."""
+    k = F.col("n_nationkey") % 3
+    plain = F.concat(F.lit('{"files":{"a.py":"'), "n_name", F.lit('","n.py":3}}'))
+    nested = F.concat(F.lit('{"snapshot":{"trackedFiles":{"a.py":{"contents":"'), "n_name", F.lit('"},"e.py":{}},"fileContents":{"b.py":"kept"}}}'))
+    backups = F.concat(F.lit('{"trackedFileBackups":{"c.py":"c@v1","d.py":{"text":"'), "n_name", F.lit('"}}}'))
+    rows = t.nation.select("n_nationkey", F.when(k == 0, plain).when(k == 1, nested).otherwise(backups).alias("j"))
+    return E.snapshot_files(rows, ["n_nationkey"], "j")
 
 
 @query("SELECT n_nationkey, '{\"id\":' || CAST(n_nationkey AS VARCHAR) || ',\"name\":\"x\"}' AS record FROM nation WHERE n_nationkey % 2 = 0")

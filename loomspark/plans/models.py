@@ -56,26 +56,42 @@ def x13_skill_text(t):
     return t.nation.select("n_nationkey", L.unfenced(F.concat(F.lit("```markdown\n"), inner, F.lit("\n```"))).alias("body"), F.array_join(L.missing_headings(F.concat(inner, more), ["Use", "Limits"]), ",").alias("missing"))
 
 
-@query("SELECT n_nationkey, n_name || chr(10) || 'second' AS text FROM nation")
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name || chr(10) || 'second' WHEN 1 THEN '  1' || chr(9) || n_name || chr(10) || 'second' || chr(10) || 'third' ELSE n_name END AS text FROM nation")
 def x12_unnumbered(t):
-    return t.nation.select("n_nationkey", L.unnumbered(F.concat(F.lit("  1\t"), "n_name", F.lit("\n  2\tsecond"))).alias("text"))
+    """Numbers go where most lines have one, and stay where few have."""
+    k, one = F.col("n_nationkey") % 3, F.concat(F.lit("  1\t"), "n_name")
+    text = F.when(k == 0, F.concat(one, F.lit("\n  2\tsecond"))).when(k == 1, F.concat(one, F.lit("\nsecond\nthird"))).otherwise(F.col("n_name"))
+    return t.nation.select("n_nationkey", L.unnumbered(text).alias("text"))
 
 
-@query("SELECT 1.0::DOUBLE AS shares, CAST(1 AS BIGINT) AS n")
+@query("WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT vec_id, round(sum((v - m) * (v - m)), 4) AS spread FROM x JOIN (SELECT i, avg(v) AS m FROM x GROUP BY 1) USING (i) GROUP BY 1")
 def c8_principal_axes(t):
-    """Explained shares of all axes add up to one; axes have no sign, so they have no SQL twin."""
-    _, shares = M.principal_axes(t.embeddings, "vec_id", "embedding", 10_000)
-    return t.spark.createDataFrame([(float(sum(shares)),)], "s double").agg(F.round(F.sum("s"), 4).alias("shares"), F.count("*").alias("n"))
+    """Turning to principal axes keeps each row's squared distance from the mean; the axes themselves have no SQL twin."""
+    scores, _ = M.principal_axes(t.embeddings, "vec_id", "embedding", 10_000)
+    return scores.select("vec_id", F.round(V.dot(F.col("scores"), F.col("scores")), 4).alias("spread"))
 
 
-@query("SELECT label AS a, label AS b FROM (SELECT DISTINCT label FROM embeddings)")
-def c11_matched_centers(t):
-    """Centres and the same centres in another order, matched back."""
-    rows = sorted((r.label, r.center) for r in G.centroids(t.embeddings, "label", "embedding").select("label", "center").collect())  # a row for each cluster
-    x = np.array([c for _, c in rows])
-    turned = np.roll(np.arange(len(rows)), 3)
-    match, _ = M.matched_centers(x, x[turned])
-    return t.spark.createDataFrame([(rows[k][0], rows[turned[j]][0]) for k, j in enumerate(match)], "a int, b int")
+@query()
+def c8_projection(t):
+    """Each row on the two axes of largest variance, with their shares."""
+    scores, shares = M.principal_axes(t.embeddings, "vec_id", "embedding")
+    return scores.select("vec_id", F.col("scores")[0].alias("x"), F.col("scores")[1].alias("y"), F.lit(shares[0]).alias("share_x"), F.lit(shares[1]).alias("share_y"))
+
+
+@query()
+def c11_stability(t):
+    """How far the centres of random parts of the rows lie from those of all, matched one to one."""
+    from ..operators.resampling import random_parts
+
+    e = t.embeddings.select("vec_id", "embedding")
+    _, whole = G.kmeans(e, "vec_id", "embedding", 4, seed=1, starts=3, rounds=10)
+    rows = []
+    for share in (0.5, 0.8):
+        part = random_parts(e, ["vec_id"], 9, 1, share).where("part = 'first'")
+        _, own = G.kmeans(part, "vec_id", "embedding", 4, seed=1, starts=3, rounds=10)
+        match, total = M.matched_centers(np.array(whole["centers"]), np.array(own["centers"]))
+        rows.append((share, total / len(match)))
+    return t.spark.createDataFrame(rows, "share double, mean_distance double")
 
 
 @query()
@@ -113,10 +129,10 @@ def a43_expected_cases(t):
     return e.join(t.customer, F.col("c_mktsegment") == F.col("want"), "left").groupBy("id", "want").agg((F.count("c_custkey") > 0).alias("found"))
 
 
-@query("WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 30) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(avg((a.v - b.v) * (a.v - b.v))), 6) AS d FROM x a JOIN x b ON a.i = b.i AND a.vec_id < b.vec_id WHERE (a.i + a.vec_id) % 3 <> 0 AND (b.i + b.vec_id) % 3 <> 0 GROUP BY 1, 2")
+@query("WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(avg((a.v - b.v) * (a.v - b.v))), 6) AS d FROM x a JOIN x b ON a.i = b.i AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0 WHERE (a.i + a.vec_id) % 3 <> 0 AND (b.i + b.vec_id) % 3 <> 0 GROUP BY 1, 2")
 def c10_masked_distances(t):
     """Places that either side lacks do not count."""
     masked = F.transform(V.doubles(F.col("embedding")), lambda v, i: F.when((i + 1 + F.col("vec_id")) % 3 != 0, v))
-    e = t.embeddings.where("vec_id < 30").select(F.col("vec_id").alias("a"), masked.alias("v"))
-    b = e.select(F.col("a").alias("b"), F.col("v").alias("w"))
-    return e.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(V.masked_rms(F.col("v"), F.col("w")), 6).alias("d"))  # a stated set of 30
+    e = t.embeddings.withColumn("masked", masked)
+    d = G.distances(e, "vec_id", "masked", "label", e.where("vec_id % 100 = 0"), V.masked_rms)  # a stated query set against all rows
+    return d.select("a", "b", F.round("d", 6).alias("d"))

@@ -46,6 +46,22 @@ def v910_profiles(t):
     return P.profiles(P.turn_scores(t.events), 0.6, 2)
 
 
+def _records(t):
+    label = F.when(F.col("score") > 0, "high").when(F.col("score") < 0, "low").otherwise("na")
+    return P.turn_scores(t.events).select("user_id", "axis", "session", "turn_number", label.alias("label"), "value")
+
+
+@query(f"WITH {TURNS}, p AS (SELECT user_id, axis, count(*) FILTER (WHERE score > 0) AS h, count(*) FILTER (WHERE score < 0) AS l, count(DISTINCT session) FILTER (WHERE score > 0) AS hs, count(DISTINCT session) FILTER (WHERE score < 0) AS ls FROM t GROUP BY 1, 2), q AS (SELECT *, CASE WHEN h > l THEN 'high' WHEN l > h THEN 'low' END AS direction, CASE WHEN h = l THEN 0.0::DOUBLE ELSE (greatest(h, l) + 1.0::DOUBLE) / (h + l + 2) END AS c FROM p) SELECT user_id, axis, direction, round(c, 4) AS confidence, h <> l AND c >= 0.6 AND CASE WHEN h > l THEN hs ELSE ls END >= 2 AS high_confidence, CAST(h AS BIGINT) AS high_turns, CAST(l AS BIGINT) AS low_turns, CAST(CASE WHEN h > l THEN hs WHEN l > h THEN ls ELSE 0 END AS BIGINT) AS supporting, CAST(CASE WHEN h > l THEN ls WHEN l > h THEN hs ELSE 0 END AS BIGINT) AS contradicting FROM q")
+def v10_evidence_profiles(t):
+    return P.evidence_profiles(_records(t), 0.6, 2)
+
+
+@query(f"WITH {TURNS} SELECT user_id, axis, CAST(row_number() OVER (PARTITION BY user_id, axis ORDER BY session, turn_number) AS INTEGER) AS place, CASE WHEN score > 0 THEN 'high' ELSE 'low' END AS label, session, turn_number, 'turn ' || turn_number AS message FROM t WHERE score <> 0 AND turn_number % 3 <> 0")
+def v10_ordered_evidence(t):
+    said = F.when(F.col("turn_number") % 3 != 0, F.concat(F.lit(" turn  "), F.col("turn_number").cast("string"))).otherwise(F.lit("  "))
+    return P.ordered_evidence(_records(t), said)
+
+
 @query(f"WITH {SESSIONS}, u AS (SELECT user_id, axis, sum(high) AS h, sum(low) AS l FROM v GROUP BY 1, 2), c AS (SELECT user_id, axis, CASE WHEN axis < 4 THEN CASE WHEN h > 0 THEN (h + 1.0) / (h + 2.0) END ELSE (greatest(h, l) + 1.0) / (h + l + 2.0) END AS c FROM u) SELECT user_id, axis, round(c, 6) AS confidence, CASE WHEN c >= 0.85 THEN 'consistent' WHEN c >= 0.7 THEN 'default' WHEN c >= 0.5 THEN 'tentative' END AS band FROM c")
 def v1112_bands(t):
     """The first four axes have one side only."""
@@ -66,9 +82,9 @@ def v14_folded_distinct(t):
     return P.distinct_folded(said, ["c_nationkey"], "said", [F.col("c_custkey")], 4).select("c_nationkey", "c_custkey")
 
 
-@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(substr(text, 1, 50)) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) WHERE s <= 160")
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) WHERE s <= 4000")
 def v15_bounded_lines(t):
-    return P.until_full(t.conversations.withColumn("line", F.substring("text", 1, 50)), ["conv_id"], "line", [F.col("turn")], 160).select("conv_id", "turn")
+    return P.until_full(t.conversations, ["conv_id"], "text", [F.col("turn")], 4000).select("conv_id", "turn")
 
 
 @query(f"WITH {SESSIONS} SELECT axis, round(count(*) FILTER (WHERE recent = majority AND (recent <> 0 OR majority <> 0)) / nullif(count(*) FILTER (WHERE recent <> 0 OR majority <> 0), 0), 6) AS agreement FROM v GROUP BY 1")

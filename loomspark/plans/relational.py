@@ -128,10 +128,19 @@ def j20_within_key(t):
     return t.lineitem.select("l_orderkey", "l_linenumber").join(other, "l_orderkey").where("l_linenumber < other").agg(F.count("*").alias("edges"))
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey AND a.n_regionkey = b.n_regionkey")
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey")
 def j2123_cross(t):
-    b = t.nation.select(F.col("n_nationkey").alias("b"), "n_regionkey")
-    return t.nation.select(F.col("n_nationkey").alias("a"), "n_regionkey").join(b, "n_regionkey").where("a <> b").select("a", "b")
+    """Each with every other of a small side; crossed() refuses one that is not small."""
+    return J.crossed(t.nation.select(F.col("n_nationkey").alias("a")), t.nation.select(F.col("n_nationkey").alias("b"))).where("a <> b")
+
+
+@query("SELECT vec_id, label AS other, round(sum(v * c) / sqrt(sum(v * v) * sum(c * c)), 6) AS cos FROM (SELECT vec_id, i, v, label, c FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) x JOIN (SELECT label, i, avg(v) AS c FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) y USING (i)) GROUP BY 1, 2")
+def j22_rows_by_clusters(t):
+    from ..operators.geometry import centroids
+
+    c = centroids(t.embeddings, "label", "embedding").select(F.col("label").alias("other"), "center")
+    pairs = J.crossed(t.embeddings.select("vec_id", V.doubles(F.col("embedding")).alias("v")), c)
+    return pairs.select("vec_id", "other", F.round(V.cosine(F.col("v"), F.col("center")), 6).alias("cos"))
 
 
 @query("""WITH c AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i, vec_id % 2 AS h FROM embeddings WHERE vec_id % 2 = 0) GROUP BY 1, 2),
@@ -175,9 +184,9 @@ def j28_cache_misses(t):
     return t.events.withColumn("h", F.sha2("event_type", 256)).join(cache, ["user_id", "h"], "left_anti").select("event_id")
 
 
-@query("SELECT conv_id, turn, coalesce(said, '') AS said FROM (SELECT a.conv_id, a.turn, left(b.text, 40) AS said FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'user')")
+@query("SELECT conv_id, turn, coalesce(said, '') AS said FROM (SELECT a.conv_id, a.turn, b.text AS said FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'user')")
 def j29_attached_text(t):
-    b = t.conversations.where("role = 'user'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.substring("text", 1, 40).alias("said"))
+    b = t.conversations.where("role = 'user'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("said"))
     return t.conversations.select("conv_id", "turn").join(b, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("said", F.lit("")).alias("said"))
 
 
@@ -209,7 +218,7 @@ def u4_union_distinct(t):
     return t.orders.select(F.col("o_custkey").alias("k")).union(t.events.select("user_id")).distinct()
 
 
-@query("SELECT kind, id, moment, row_number() OVER (ORDER BY moment, kind, id) AS place FROM (SELECT 'event' AS kind, event_id AS id, ts AS moment FROM events WHERE user_id = 5 UNION ALL SELECT 'order', o_orderkey, o_orderdate FROM orders WHERE o_custkey = 5)")
+@query("SELECT kind, id, moment, who, row_number() OVER (PARTITION BY who ORDER BY moment, kind, id) AS place FROM (SELECT user_id AS who, 'event' AS kind, event_id AS id, ts AS moment FROM events UNION ALL SELECT o_custkey, 'order', o_orderkey, o_orderdate FROM orders)")
 def u5_interleaved(t):
-    both = t.events.where("user_id = 5").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("moment")).unionByName(t.orders.where("o_custkey = 5").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("moment")))
-    return both.withColumn("place", F.row_number().over(W.orderBy("moment", "kind", "id")).cast("long"))
+    both = t.events.select(F.col("user_id").alias("who"), F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("moment")).unionByName(t.orders.select(F.col("o_custkey").alias("who"), F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("moment")))
+    return both.withColumn("place", F.row_number().over(W.partitionBy("who").orderBy("moment", "kind", "id")).cast("long"))

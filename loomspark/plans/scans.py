@@ -47,6 +47,27 @@ def s7_discovery(t):
     return S.inventory({name: t.spark.read.parquet(path) for name, path in found.items()})
 
 
+def _columns_sql() -> str:
+    """A row for each column of two tables: its kind, the name it is known by, rows and distinct values."""
+    known = {"n_name": "'name'", "n_regionkey": "'region'", "r_name": "'name'", "r_regionkey": "'region'"}
+    kinds = {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int", "r_regionkey": "int", "r_name": "string"}
+    return " UNION ALL ".join(f"SELECT '{'nation' if c[0] == 'n' else 'region'}' AS table_name, '{c}' AS column_name, '{kind}' AS dtype, CAST({known.get(c, 'NULL')} AS VARCHAR) AS logical, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct FROM {'nation' if c[0] == 'n' else 'region'}" for c, kind in kinds.items())
+
+
+@query(_columns_sql())
+def a41_schema_report(t):
+    return S.schema_report({"nation": t.nation, "region": t.region}, {"name": ["label", "n_name", "r_name"], "region": ["r_regionkey", "n_regionkey"]})
+
+
+@query("SELECT 'nations.n' || CAST(n_nationkey AS VARCHAR) || '.name' AS key, n_name AS value FROM nation UNION ALL SELECT 'nations.n' || CAST(n_nationkey AS VARCHAR) || '.even', CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END FROM nation")
+def s19_settings(t):
+    """A settings file of nested tables, written and read back."""
+    where = S.workspace(t.spark)
+    entry = F.concat(F.lit("[nations.n"), F.col("n_nationkey").cast("string"), F.lit(']\nname = "'), "n_name", F.lit('"\neven = '), (F.col("n_nationkey") % 2 == 0).cast("string"))
+    t.nation.agg(F.array_join(F.sort_array(F.collect_list(entry)), "\n").alias("value")).coalesce(1).write.text(where)  # 25 rows
+    return S.read_toml(t.spark, where)
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def s10_csv_round_trip(t):
     where = S.workspace(t.spark)
@@ -134,9 +155,9 @@ def k4_report(t):
     return lines.agg(F.concat(F.lit("## Events\n"), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"]), "\n")).alias("report"))
 
 
-@query("SELECT conv_id, string_agg('[' || CAST(turn AS VARCHAR) || '] ' || role || ': ' || substr(text, 1, 20), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg('[' || CAST(turn AS VARCHAR) || '] ' || role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
 def k7_transcripts(t):
-    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "role", F.lit(": "), F.substring("text", 1, 20))
+    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "role", F.lit(": "), "text")
     return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda s: s["line"]), "\n").alias("transcript"))
 
 

@@ -37,9 +37,9 @@ def w7_split_upwards(t):
     return Q.chronological_split(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], 0.75, upwards=True, least=3).select("o_orderkey", "part")
 
 
-@query("SELECT conv_id, turn, array_to_string(list(role || ': ' || left(text, 30)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), chr(10)) AS context FROM conversations")
+@query("SELECT conv_id, turn, array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), chr(10)) AS context FROM conversations")
 def w8_sliding_context(t):
-    line = F.concat("role", F.lit(": "), F.substring("text", 1, 30))
+    line = F.concat("role", F.lit(": "), "text")
     return Q.sliding_text(t.conversations, ["conv_id"], "turn", line, 5).select("conv_id", "turn", "context")
 
 

@@ -10,7 +10,7 @@ from ..operators import preferences as P
 from ..operators import resampling as R
 from ..operators import statistics as S
 from .catalogue import query
-from .preferences import SESSIONS
+from .preferences import SESSIONS, TURNS
 
 _M = f"WITH {SESSIONS}, m AS (SELECT axis, user_id, count(*)::DOUBLE AS n, avg(mean) AS mean, var_pop(mean) * count(*) AS m2 FROM v GROUP BY 1, 2)"
 
@@ -69,11 +69,11 @@ def t78_two_by_two(t):
     return n.select(*c, F.round(ST.phi(*c), 6).alias("phi"), F.round(ST.jaccard(*c[:3]), 6).alias("jaccard"), F.round(ST.lift(*c), 6).alias("lift"), F.round(ST.odds_ratio(*c), 6).alias("odds"))
 
 
-@query("""WITH c AS (SELECT user_id % 5 AS g, count(*) FILTER (WHERE event_type = 'error' AND value > 40) AS a, count(*) FILTER (WHERE event_type = 'error' AND NOT value > 40) AS b, count(*) FILTER (WHERE event_type <> 'error' AND value > 40) AS c, count(*) FILTER (WHERE event_type <> 'error' AND NOT value > 40) AS d FROM events WHERE event_id % 20 = 0 GROUP BY 1),
-p AS (SELECT g, k, a, exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1)) AS p FROM c, (SELECT unnest(range(0, 1000)) AS k) WHERE k BETWEEN greatest(0, a - d) AND least(a + b, a + c))
+@query("""WITH c AS (SELECT user_id % 5 AS g, count(*) FILTER (WHERE event_type = 'error' AND value > 40) AS a, count(*) FILTER (WHERE event_type = 'error' AND NOT value > 40) AS b, count(*) FILTER (WHERE event_type <> 'error' AND value > 40) AS c, count(*) FILTER (WHERE event_type <> 'error' AND NOT value > 40) AS d FROM events GROUP BY 1),
+p AS (SELECT g, k, a, exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1)) AS p FROM c, (SELECT unnest(range(0, 100000)) AS k) WHERE k BETWEEN greatest(0, a - d) AND least(a + b, a + c))
 SELECT g, round(least(1.0, sum(p.p) FILTER (WHERE p.p <= o.p * (1 + 1e-7))), 6) AS p FROM p JOIN (SELECT g AS og, p FROM p WHERE k = a) o ON g = og GROUP BY g""")
 def t8_fisher(t):
-    rows = t.events.where("event_id % 20 = 0").withColumn("g", F.col("user_id") % 5)
+    rows = t.events.withColumn("g", F.col("user_id") % 5)
     n = S.cell_counts(rows, ["g"], F.col("event_type") == "error", F.col("value") > 40)
     return n.select("g", F.round(S.fisher_two_sided("n11", "n10", "n01", "n00"), 6).alias("p"))
 
@@ -85,15 +85,46 @@ def t10_direction_agreement(t):
     return v.groupBy("axis").agg(F.count_if(both).alias("both_fired"), F.round(ST.ratio(F.count_if(F.col("recent") * F.col("majority") > 0), F.count_if(both)), 6).alias("agree"))
 
 
-@query("WITH c AS (SELECT lang, quality, count(*)::DOUBLE AS o FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2), n AS (SELECT sum(o) AS n FROM c), g AS (SELECT r.lang, q.quality, r.r * q.q / n AS e, n FROM (SELECT lang, sum(o) AS r FROM c GROUP BY 1) r, (SELECT quality, sum(o) AS q FROM c GROUP BY 1) q, n) SELECT round(sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e), 6) AS chi2, CAST((count(DISTINCT g.lang) - 1) * (count(DISTINCT g.quality) - 1) AS BIGINT) AS df FROM g LEFT JOIN c ON g.lang = c.lang AND g.quality = c.quality")
+#: Tails of the chi-square and the F distribution as power series, of columns (chi2, df) and (f, d1, d2).
+_CHI_TAIL = "(SELECT 1 - sum(exp(df / 2.0 * ln(chi2 / 2) - chi2 / 2 + n * ln(chi2 / 2) - lgamma(df / 2.0 + n + 1))) FROM range(0, 2000) r(n))"
+_F_TAIL = "(SELECT exp(d2 / 2.0 * ln(d2 / (d2 + d1 * f)) + d1 / 2.0 * ln(d1 * f / (d2 + d1 * f)) - ln(d2 / 2.0) - lgamma(d1 / 2.0) - lgamma(d2 / 2.0) + lgamma((d1 + d2) / 2.0)) * sum(exp(lgamma((d1 + d2) / 2.0 + n) - lgamma((d1 + d2) / 2.0) - lgamma(d2 / 2.0 + 1 + n) + lgamma(d2 / 2.0 + 1) + n * ln(d2 / (d2 + d1 * f)))) FROM range(0, 400000) r(n))"
+
+
+def _chi_sql(rows: str, a: str, b: str) -> str:
+    return f"(WITH c AS (SELECT {a} AS a, {b} AS b, count(*)::DOUBLE AS o FROM {rows} GROUP BY 1, 2), g AS (SELECT x.a, y.b, r * q / n AS e FROM (SELECT a, sum(o) AS r FROM c GROUP BY 1) x, (SELECT b, sum(o) AS q FROM c GROUP BY 1) y, (SELECT sum(o) AS n FROM c)) SELECT sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e) AS chi2, CAST((count(DISTINCT g.a) - 1) * (count(DISTINCT g.b) - 1) AS BIGINT) AS df FROM g LEFT JOIN c ON g.a = c.a AND g.b = c.b)"
+
+
+def _anova_sql(rows: str, a: str, v: str) -> str:
+    return f"(WITH m AS (SELECT {a} AS a, count(*)::DOUBLE AS n, avg({v}) AS mean, var_pop({v}) * count(*) AS m2 FROM {rows} GROUP BY 1) SELECT (sum(n * mean * mean) - sum(n * mean) * sum(n * mean) / sum(n)) / (count(*) - 1) / (sum(m2) / (sum(n) - count(*))) AS f, CAST(count(*) - 1 AS BIGINT) AS d1, CAST(sum(n) - count(*) AS BIGINT) AS d2 FROM m)"
+
+
+@query(f"SELECT round(chi2, 6) AS chi2, df, round({_CHI_TAIL}, 6) AS p FROM {_chi_sql('documents JOIN labels USING (doc_id)', 'lang', 'quality')}")
 def t12_chi_square(t):
     df = t.documents.select("doc_id", "lang").join(t.labels, "doc_id")
-    return S.chi_square(df, "lang", "quality").select(F.round("chi2", 6).alias("chi2"), "df")
+    return S.chi_square(df, "lang", "quality").select(F.round("chi2", 6).alias("chi2"), "df", F.round("p", 6).alias("p"))
 
 
-@query("WITH m AS (SELECT event_type, count(*)::DOUBLE AS n, avg(value) AS mean, var_pop(value) * count(*) AS m2 FROM events GROUP BY 1) SELECT round((sum(n * mean * mean) - sum(n * mean) * sum(n * mean) / sum(n)) / (count(*) - 1) / (sum(m2) / (sum(n) - count(*))), 5) AS f, CAST(count(*) - 1 AS BIGINT) AS df_between, CAST(sum(n) - count(*) AS BIGINT) AS df_within FROM m")
+@query(f"SELECT round(f, 5) AS f, d1 AS df_between, d2 AS df_within, round({_F_TAIL}, 5) AS p FROM {_anova_sql('events', 'event_type', 'value')}")
 def t12_anova(t):
-    return S.anova_f(S.group_moments(t.events, [], "event_type", "value")).withColumn("f", F.round("f", 5))
+    return S.anova_f(S.group_moments(t.events, [], "event_type", "value")).withColumns({"f": F.round("f", 5), "p": F.round("p", 5)})
+
+
+_C = "(SELECT c_custkey % 4 AS g, c_mktsegment, c_nationkey % 3 AS third, c_acctbal FROM customer)"
+
+
+@query(f"""SELECT 'c_mktsegment' AS feature, 'categorical' AS kind, round(chi2, 5) AS statistic, df, CAST(NULL AS BIGINT) AS df_within, round({_CHI_TAIL}, 5) AS p FROM {_chi_sql(_C, 'g', 'c_mktsegment')}
+UNION ALL SELECT 'third', 'categorical', round(chi2, 5), df, NULL, round({_CHI_TAIL}, 5) FROM {_chi_sql(_C, 'g', 'third')}
+UNION ALL SELECT 'c_acctbal', 'numeric', round(f, 5), d1, d2, round({_F_TAIL}, 5) FROM {_anova_sql(_C, 'g', 'c_acctbal')}""")
+def c16_associations(t):
+    """What outside features have to do with a grouping."""
+    rows = t.customer.select((F.col("c_custkey") % 4).alias("g"), "c_mktsegment", (F.col("c_nationkey") % 3).alias("third"), "c_acctbal")
+    return S.associations(rows, "g", ["c_mktsegment", "third"], ["c_acctbal"]).withColumns({"statistic": F.round("statistic", 5), "p": F.round("p", 5)})
+
+
+@query(f"SELECT g, value, round(n / sum(n) OVER (PARTITION BY g), 6) AS share FROM (SELECT g, c_mktsegment AS value, count(*) AS n FROM {_C} GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, value) <= 2")
+def c16_top_values(t):
+    rows = t.customer.select((F.col("c_custkey") % 4).alias("g"), "c_mktsegment")
+    return S.association_shares(rows, "g", "c_mktsegment").withColumn("share", F.round("share", 6))
 
 
 @query("SELECT user_id % 3 AS g, round((avg(value * k) - avg(value) * avg(k)) / (stddev_pop(value) * stddev_pop(k)), 6) AS r FROM (SELECT user_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY 1")
@@ -123,7 +154,7 @@ def t15_log_loss_gain(t):
 
 
 @query(f"{_U}, q AS (SELECT *, (greatest(pos, neg) + 1.0) / (pos + neg + 2.0) AS c FROM u) SELECT confidence, support, CAST(count(*) FILTER (WHERE c >= confidence AND pos + neg >= support) AS BIGINT) AS kept, round(count(*) FILTER (WHERE c >= confidence AND pos + neg >= support AND pos > neg) / nullif(count(*) FILTER (WHERE c >= confidence AND pos + neg >= support), 0), 6) AS accuracy FROM q, (SELECT unnest([0.5, 0.6, 0.7, 0.8]::DOUBLE[]) AS confidence), (SELECT unnest([1, 2, 4]) AS support) GROUP BY 1, 2")
-def t1718_threshold_grid(t):
+def t18_threshold_grid(t):
     per = _shrunk(t).withColumns({"c": ST.laplace_confidence(F.col("pos"), F.col("neg")), "s": F.col("pos") + F.col("neg")})
     return S.trust_grid(per, "c", "s", F.col("pos") > F.col("neg"), [0.5, 0.6, 0.7, 0.8], [1, 2, 4]).withColumn("accuracy", F.round("accuracy", 6))
 
@@ -131,12 +162,59 @@ def t1718_threshold_grid(t):
 _H = "WITH h AS (SELECT user_id, event_type AS axis, avg(value) FILTER (WHERE i <= n / 2) AS e, avg(value) FILTER (WHERE i > n / 2) AS l FROM (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) GROUP BY 1, 2)"
 
 
-@query(f"{_H}, s AS (SELECT axis, CASE WHEN coalesce(stddev_samp(e), 0) = 0 THEN 1 ELSE stddev_samp(e) END AS sd FROM h GROUP BY 1), d AS (SELECT a.user_id AS a, b.user_id AS b, round(sqrt(avg((a.e / sd - b.l / sd) * (a.e / sd - b.l / sd))), 9) AS d FROM h a JOIN h b ON a.axis = b.axis JOIN s ON a.axis = s.axis WHERE a.e IS NOT NULL AND b.l IS NOT NULL GROUP BY 1, 2) SELECT d.a AS user_id, CAST(count(*) FILTER (WHERE d.d < o.d OR (d.d = o.d AND d.b < d.a)) + 1 AS BIGINT) AS rank, round(min(d.d) FILTER (WHERE d.a <> d.b), 6) AS nearest FROM d JOIN d o ON d.a = o.a AND o.a = o.b GROUP BY 1")
+@query(f"{_H}, s AS (SELECT axis, CASE WHEN coalesce(stddev_samp(e), 0) = 0 THEN 1 ELSE stddev_samp(e) END AS sd FROM h GROUP BY 1), d AS (SELECT a.user_id AS a, b.user_id AS b, round(sqrt(avg((a.e / sd - b.l / sd) * (a.e / sd - b.l / sd))), 9) AS d FROM h a JOIN h b ON a.axis = b.axis JOIN s ON a.axis = s.axis WHERE a.e IS NOT NULL AND b.l IS NOT NULL AND a.user_id % 100 = 0 GROUP BY 1, 2) SELECT d.a AS user_id, CAST(count(*) FILTER (WHERE d.d < o.d OR (d.d = o.d AND d.b < d.a)) + 1 AS BIGINT) AS rank, round(min(d.d) FILTER (WHERE d.a <> d.b), 6) AS nearest FROM d JOIN d o ON d.a = o.a AND o.a = o.b GROUP BY 1")
 def t20_retrieval(t):
+    """Users whose id is divisible by 100 against all."""
     w = W.partitionBy("user_id", "event_type")
     rows = t.events.select("user_id", F.col("event_type").alias("axis"), "value", F.row_number().over(w.orderBy("event_id")).alias("i"), F.count("*").over(w).alias("n"))
     half = lambda past: rows.where(F.expr("i <= n / 2") if past else F.expr("i > n / 2")).groupBy("user_id", "axis").agg(F.avg("value").alias("value"))
-    return S.retrieval(half(True), half(False), "user_id", "axis", "value").select("user_id", "rank", F.round("nearest", 6).alias("nearest"))
+    return S.retrieval(half(True), half(False), "user_id", "axis", "value", F.col("user_id") % 100 == 0).select("user_id", "rank", F.round("nearest", 6).alias("nearest"))
+
+
+_FUTURE = f"""WITH {TURNS}, a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY turn_number) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM t WHERE score <> 0),
+both_ AS (SELECT user_id FROM a GROUP BY 1 HAVING count(*) FILTER (WHERE i <= 0.7 * n) > 0 AND count(*) FILTER (WHERE i > 0.7 * n) > 0),
+own AS (SELECT user_id, axis, count(*) FILTER (WHERE score > 0) AS pos, count(*) AS m FROM a SEMI JOIN both_ USING (user_id) WHERE i <= 0.7 * n GROUP BY 1, 2),
+tot AS (SELECT axis, sum(pos) AS p, sum(m) AS m FROM own GROUP BY 1),
+prof AS (SELECT user_id, axis, coalesce(pos, 0) AS pos, coalesce(own.m, 0) AS m, (coalesce(p, 0) - coalesce(pos, 0) + 0.5::DOUBLE) / (coalesce(tot.m, 0) - coalesce(own.m, 0) + 1) AS pp FROM both_ CROSS JOIN (SELECT DISTINCT axis FROM a) LEFT JOIN own USING (user_id, axis) LEFT JOIN tot USING (axis)),
+full_ AS (SELECT *, (10 * pp + pos) / (10 + m) AS up FROM prof),
+obs AS (SELECT user_id, axis, CAST(score > 0 AS INTEGER) AS y, pos, f.m, pp, up, CASE WHEN score > 0 THEN pp < 0.5 ELSE pp >= 0.5 END AS minority, -ln(CASE WHEN score > 0 THEN pp ELSE 1 - pp END) AS surprisal FROM a JOIN full_ f USING (user_id, axis) WHERE i > 0.7 * n)"""
+
+
+def _future(t):
+    rows = P.turn_scores(t.events).where("score <> 0")
+    w = W.partitionBy("user_id")
+    rows = rows.withColumns({"i": F.row_number().over(w.orderBy("turn_number")), "n": F.count("*").over(w)})
+    early = F.col("i") <= F.lit(0.7) * F.col("n")
+    return S.future_observations(rows.where(early), rows.where(~early), "user_id", "axis", "score")
+
+
+@query(f"""{_FUTURE}, g AS (SELECT *, CASE WHEN m > 0 THEN greatest(pos, m - pos) / m ELSE 0 END AS cons, CASE WHEN m > 0 THEN abs(2 * pos - m) / m ELSE 0 END AS margin FROM obs),
+e AS (SELECT user_id, y, pp, 'always' AS method, true AS ok, up AS q FROM g UNION ALL SELECT user_id, y, pp, 'support>=' || s, m >= s, CASE WHEN m >= s THEN up ELSE pp END FROM g, (SELECT unnest([1, 2, 3, 5, 10, 20]) AS s)
+UNION ALL SELECT user_id, y, pp, 'support>=' || s || ',consistency>=' || c, m >= s AND cons >= c, CASE WHEN m >= s AND cons >= c THEN up ELSE pp END FROM g, (SELECT unnest([2, 3, 5, 10]) AS s), (SELECT unnest([0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS c)
+UNION ALL SELECT user_id, y, pp, 'continuous ' || k, m / (m + k) * margin > 0, (1 - m / (m + k) * margin) * pp + m / (m + k) * margin * up FROM g, (SELECT unnest([1, 2, 3, 5, 10, 20]::DOUBLE[]) AS kk, CAST(kk AS INTEGER) AS k)),
+l AS (SELECT user_id, method, ok, -(y * ln(pp) + (1 - y) * ln(1 - pp)) AS base, -(y * ln(q) + (1 - y) * ln(1 - q)) AS loss FROM e),
+u AS (SELECT method, user_id, count(*) AS n, count(*) FILTER (WHERE ok) AS k, sum(loss) AS loss, sum(base - loss) AS gain FROM l GROUP BY 1, 2)
+SELECT method, CAST(sum(n) AS BIGINT) AS n_observations, CAST(sum(k) AS BIGINT) AS personalized, round(sum(k) / sum(n), 6) AS coverage, round(sum(loss) / sum(n), 6) AS log_loss, round(sum(gain) / sum(n), 6) AS improvement, round(avg(gain / n), 6) AS mean_user_gain, CAST(count(*) FILTER (WHERE k > 0) AS BIGINT) AS users_personalized, CAST(count(*) FILTER (WHERE gain / n > 0) AS BIGINT) AS users_improved FROM u GROUP BY 1""")
+def t17_trust_gates(t):
+    seen, _ = _future(t)
+    got = S.trust_gates(seen, "user_id", [1, 2, 3, 5, 10, 20], [(s, c) for s in (2, 3, 5, 10) for c in (0.6, 0.7, 0.8, 0.9)], [1, 2, 3, 5, 10, 20])
+    return got.withColumns({c: F.round(c, 6) for c in ("coverage", "log_loss", "improvement", "mean_user_gain")})
+
+
+@query()
+def t17_trust_intervals(t):
+    """The gain of trusting profiles always, with an interval over users drawn anew."""
+    seen, _ = _future(t)
+    return S.trust_gates(seen, "user_id", [5], [], [], replicates=50, seed=17).select("method", "mean_user_gain", "ci_low", "ci_high")
+
+
+@query(f"""{_FUTURE}, w AS (SELECT user_id, axis, y, mode, CASE mode WHEN 'all' THEN 1.0 WHEN 'majority' THEN CASE WHEN NOT minority THEN 1.0 END WHEN 'minority' THEN CASE WHEN minority THEN 1.0 END ELSE surprisal END AS w FROM obs, (SELECT unnest(['all', 'majority', 'minority', 'surprisal']) AS mode) WHERE user_id % 100 = 0),
+sc AS (SELECT w.user_id AS a, mode, f.user_id AS b, round(sum(w * ln(CASE WHEN y = 1 THEN up ELSE 1 - up END)) / sum(w), 9) AS s, count(*) AS n FROM w JOIN full_ f USING (axis) WHERE w IS NOT NULL GROUP BY 1, 2, 3)
+SELECT o.a AS user_id, o.mode, CAST(any_value(o.n) AS BIGINT) AS n_observations, CAST(count(*) FILTER (WHERE s.s > o.s OR (s.s = o.s AND s.b < o.a)) + 1 AS BIGINT) AS rank FROM sc s JOIN sc o ON s.a = o.a AND s.mode = o.mode AND o.a = o.b GROUP BY 1, 2""")
+def t16_likelihood_retrieval(t):
+    """Users whose id is divisible by 100 against all profiles, in four weightings."""
+    seen, profiles = _future(t)
+    return S.likelihood_retrieval(seen, profiles, "user_id", "axis", F.col("user_id") % 100 == 0)
 
 
 @query()
@@ -180,10 +258,15 @@ def b56_hashed_sample(t):
     return R.sample_rows(t.events.select("user_id").distinct(), ["user_id"], 15, 20)
 
 
-@query("SELECT t.task, c.condition, r.rep FROM (SELECT c_custkey AS task FROM customer WHERE c_custkey < 20) t, (SELECT unnest(['baseline', 'profile', 'skill']) AS condition) c, (SELECT unnest([1, 2]) AS rep) r WHERE NOT (task % 5 = 0 AND condition = 'skill')")
+@query("SELECT replicate, c_custkey, CASE WHEN row_number() OVER (PARTITION BY replicate ORDER BY sha256('6:' || CAST(replicate AS VARCHAR) || ':' || CAST(c_custkey AS VARCHAR)), c_custkey) <= floor(n * 0.7) THEN 'first' ELSE 'rest' END AS part FROM (SELECT c_custkey, count(*) OVER () AS n FROM customer), (SELECT unnest([0, 1, 2]) AS replicate)")
+def b6_random_splits(t):
+    return R.random_parts(t.customer.select("c_custkey"), ["c_custkey"], 6, 3, 0.7).select("replicate", "c_custkey", "part")
+
+
+@query("SELECT t.task, c.condition, r.rep FROM (SELECT c_custkey AS task FROM customer) t, (SELECT unnest(['baseline', 'profile', 'skill']) AS condition) c, (SELECT unnest([1, 2]) AS rep) r WHERE NOT (task % 5 = 0 AND condition = 'skill')")
 def l7_experiment_plan(t):
-    grid = t.customer.where("c_custkey < 20").select(F.col("c_custkey").alias("task"), F.explode(F.array(*map(F.lit, ("baseline", "profile", "skill")))).alias("condition")).withColumn("rep", F.explode(F.array(F.lit(1), F.lit(2))))
-    left_out = t.customer.where("c_custkey < 20 and c_custkey % 5 = 0").select(F.col("c_custkey").alias("task"), F.lit("skill").alias("condition"))
+    grid = t.customer.select(F.col("c_custkey").alias("task"), F.explode(F.array(*map(F.lit, ("baseline", "profile", "skill")))).alias("condition")).withColumn("rep", F.explode(F.array(F.lit(1), F.lit(2))))
+    left_out = t.customer.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("task"), F.lit("skill").alias("condition"))
     return grid.join(left_out, ["task", "condition"], "left_anti").select("task", "condition", "rep")
 
 

@@ -12,32 +12,14 @@ from ..operators import preferences as P
 from .catalogue import query
 from .preferences import SESSIONS
 
-_HALVES = f"WITH {SESSIONS}, h AS (SELECT *, row_number() OVER (PARTITION BY user_id, axis ORDER BY session) <= 2 AS early FROM v), e AS (SELECT user_id, axis, (sum(high) + 0.5::DOUBLE) / (sum(high) + sum(low) + 1) AS p FROM h WHERE early GROUP BY 1, 2), l AS (SELECT user_id, axis, sum(high) AS k, sum(low) AS m FROM h WHERE NOT early GROUP BY 1, 2), sc AS (SELECT l.user_id AS a, e.user_id AS b, round(sum(k * ln(p) + m * ln(1 - p)), 9) AS s, count(*) AS n FROM l JOIN e USING (axis) GROUP BY 1, 2), r AS (SELECT o.a, count(*) FILTER (WHERE s.s / s.n > o.s / o.n OR (s.s / s.n = o.s / o.n AND s.b < s.a)) + 1 AS rank FROM sc s JOIN sc o ON s.a = o.a AND o.a = o.b GROUP BY 1)"
-
-
-@query(f"{_HALVES} SELECT CAST(count(*) AS BIGINT) AS users, round(avg(1.0 / rank), 5) AS mrr, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 5) AS top5 FROM r")
-def t16_likelihood_retrieval(t):
-    """How well later sessions find their user: by the likelihood under every user's earlier share, joined on the axis."""
-    v = P.vectors(P.turn_scores(t.events), ["user_id", "session"])
-    h = v.withColumn("early", F.row_number().over(W.partitionBy("user_id", "axis").orderBy("session")) <= 2)
-    e = h.where("early").groupBy(F.col("user_id").alias("b"), "axis").agg(((F.sum("high") + 0.5) / (F.sum("high") + F.sum("low") + 1)).alias("p"))
-    late = h.where("not early").groupBy(F.col("user_id").alias("a"), "axis").agg(F.sum("high").alias("k"), F.sum("low").alias("m"))
-    s = late.join(e, "axis").groupBy("a", "b").agg((F.round(F.sum(F.col("k") * F.ln("p") + F.col("m") * F.ln(1 - F.col("p"))), 9) / F.count("*")).alias("s"))
-    own = s.where("a = b").select("a", F.col("s").alias("own"))
-    better = (F.col("s") > F.col("own")) | ((F.col("s") == F.col("own")) & (F.col("b") < F.col("a")))
-    r = s.join(own, "a").groupBy("a").agg((F.count_if(better) + 1).alias("rank"))
-    return r.agg(F.count("*").alias("users"), F.round(F.avg(1.0 / F.col("rank")), 5).alias("mrr"), F.round(F.avg((F.col("rank") <= 5).cast("double")), 5).alias("top5"))
-
-
 @query()
 def c6_k_sweep(t):
-    """Mean silhouette of k-means for several k, on a stated set of 60 vectors."""
-    e = t.embeddings.where("vec_id < 60").select("vec_id", V.doubles(F.col("embedding")).alias("embedding")).cache()
+    """Mean silhouette of k-means for several k; the best k is marked."""
+    e = t.embeddings.select("vec_id", V.doubles(F.col("embedding")).alias("embedding"))
     out = None
     for k in (2, 3, 5):
-        start = e.orderBy("vec_id").limit(k).select(F.col("vec_id").cast("int").alias("cluster"), F.col("embedding").alias("center"))
-        got = G.kmeans(e, "vec_id", "embedding", start, "cluster", 3)
-        s = G.silhouette(e.join(got.select("vec_id", "cluster"), "vec_id"), "vec_id", "embedding", "cluster").agg(F.avg("silhouette").alias("silhouette")).select(F.lit(k).alias("k"), "silhouette")
+        got, _ = G.kmeans(e, "vec_id", "embedding", k, seed=1, starts=3, rounds=10)
+        s = G.silhouette(e.join(got, "vec_id"), "vec_id", "embedding", "cluster").agg(F.avg("silhouette").alias("silhouette")).select(F.lit(k).alias("k"), "silhouette")
         out = s if out is None else out.unionByName(s)
     return out.withColumn("best", F.col("silhouette") == F.max("silhouette").over(W.partitionBy()))
 
@@ -64,13 +46,11 @@ def j13_clean_scan(t):
     return s.select("user_id", "day").join(per, ["user_id", "day"], "left").select("user_id", "day", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("concurrent", "colliding")])
 
 
-@query(f"WITH {SESSIONS}, p AS (SELECT user_id, axis, round(avg(mean), 4) AS m, row_number() OVER (PARTITION BY axis ORDER BY user_id) AS r FROM v GROUP BY 1, 2) SELECT axis, string_agg(CAST(user_id AS VARCHAR) || '=' || CASE WHEN m > 0 THEN '+' WHEN m < 0 THEN '-' ELSE '0' END, ' ' ORDER BY user_id) AS cells FROM p WHERE r <= 10 GROUP BY 1")
+@query(f"WITH {SESSIONS}, p AS (SELECT user_id, axis, round(avg(mean), 4) AS m FROM v GROUP BY 1, 2) SELECT axis, user_id, m, CASE WHEN m > 0 THEN '+' WHEN m < 0 THEN '-' ELSE '0' END AS cell FROM p")
 def k5_heatmap_rows(t):
-    """The data of a figure: a row for each axis, cells in order of the user."""
+    """The data of a figure: a cell for each axis and user."""
     v = P.vectors(P.turn_scores(t.events), ["user_id", "session"]).groupBy("user_id", "axis").agg(F.round(F.avg("mean"), 4).alias("m"))
-    ten = v.withColumn("r", F.row_number().over(W.partitionBy("axis").orderBy("user_id"))).where("r <= 10")
-    cell = F.concat(F.col("user_id").cast("string"), F.lit("="), F.when(F.col("m") > 0, "+").when(F.col("m") < 0, "-").otherwise("0"))
-    return ten.groupBy("axis").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("user_id", cell.alias("c")))), lambda s: s["c"]), " ").alias("cells"))
+    return v.select("axis", "user_id", "m", F.when(F.col("m") > 0, "+").when(F.col("m") < 0, "-").otherwise("0").alias("cell"))
 
 
 @query("SELECT conv_id, '{\"turns\":[' || string_agg('{\"turn\":' || CAST(turn AS VARCHAR) || ',\"role\":\"' || role || '\"}', ',' ORDER BY turn) || ']}' AS doc FROM conversations GROUP BY 1")

@@ -53,22 +53,31 @@ def x11_after_marker(t):
     return t.conversations.where(F.contains("text", F.lit(" the "))).select("conv_id", "turn", F.regexp_extract("text", "(?s)^.*? the (.*)", 1).alias("rest"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\b(?:sk|pk|ghp|AKIA)[-_]?[A-Za-z0-9]{16,}\b')) + len(regexp_extract_all(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+')) + len(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) AS BIGINT) AS n FROM documents""")
-def x16_redaction_counts(t):
-    kinds = dict(X.SECRETS)
-    n = F.lit(0)
-    for k in ("key", "email", "address"):
-        n = n + F.regexp_count("text", F.lit(kinds[k]))
-    return t.documents.select("doc_id", n.cast("long").alias("n"))
+def _redaction_sql() -> str:
+    """The replacements one after the other, with the number of each counted before it is made."""
+    text, counts = "x", []
+    for pattern, marker in X.SECRETS:
+        counts.append(f"len(regexp_extract_all({text}, '{pattern}'))")
+        text = f"regexp_replace({text}, '{pattern}', '{marker}', 'g')"
+    return f"SELECT doc_id, CAST({' + '.join(counts)} AS BIGINT) AS n, md5({text}) AS h"
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+', '[email]', 'g'), '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', '[address]', 'g')) AS h FROM documents""")
+@query(f"{_redaction_sql()} FROM (SELECT doc_id, text AS x FROM documents)")
 def x16_redacted(t):
-    kinds = dict(X.SECRETS)
-    x = F.col("text")
-    for k in ("email", "address"):
-        x = F.regexp_replace(x, kinds[k], f"[{k}]")
-    return t.documents.select("doc_id", F.md5(x).alias("h"))
+    text, n = X.redacted(F.col("text"))
+    return t.documents.select("doc_id", n.alias("n"), F.md5(text).alias("h"))
+
+
+_KEYS = ("sk-proj-", "AIza", "AKIA", "gho_", "github_pat_", "xoxb-", "ghx_", "sk_")
+
+
+@query(f"{_redaction_sql()} FROM (SELECT event_id AS doc_id, 'key: ' || ['{"', '".join(_KEYS)}'][event_id % 8 + 1] || upper(md5(CAST(event_id AS VARCHAR))) || upper(md5('b' || CAST(event_id AS VARCHAR))) || ' end' AS x FROM events)")
+def x16_redacted_kinds(t):
+    """Every kind of credential, and forms that are none."""
+    kind = F.get(F.array(*map(F.lit, _KEYS)), (F.col("event_id") % 8).cast("int"))
+    secret = F.upper(F.concat(F.md5(F.col("event_id").cast("string")), F.md5(F.concat(F.lit("b"), F.col("event_id").cast("string")))))
+    text, n = X.redacted(F.concat(F.lit("key: "), kind, secret, F.lit(" end")))
+    return t.events.select(F.col("event_id").alias("doc_id"), n.alias("n"), F.md5(text).alias("h"))
 
 
 @query("SELECT o_orderkey, o_orderdate + INTERVAL 90 MINUTE AS until, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS BIGINT) AS days, strftime(o_orderdate, '%Y-%m') AS month, CAST(epoch(o_orderdate) // 60 AS BIGINT) AS minutes FROM orders")
@@ -97,18 +106,22 @@ def h12_pseudonyms(t):
     return t.customer.select(k.alias("id"), X.pseudonym(k, "salt").alias("name"), X.joined_hash(F.col("c_name"), F.col("c_mktsegment")).alias("h"))
 
 
-@query("SELECT conv_id, turn, row_number() OVER (ORDER BY sha256('7:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)), conv_id, turn) AS place FROM conversations WHERE role = 'system'")
+@query("SELECT conv_id, turn, row_number() OVER (ORDER BY sha256('7:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)), conv_id, turn) AS place FROM conversations")
 def h3_seeded_shuffle(t):
     from ..operators.resampling import shuffled
 
-    return shuffled(t.conversations.where("role = 'system'"), ["conv_id", "turn"], 7).select("conv_id", "turn", F.col("place").cast("long").alias("place"))
+    return shuffled(t.conversations, ["conv_id", "turn"], 7).select("conv_id", "turn", F.col("place").cast("long").alias("place"))
 
 
-@query("WITH w AS (SELECT doc_id, list_slice(string_split(text, ' '), 1, 12) AS a, list_slice(string_split(text, ' '), 7, 30) AS b FROM documents) SELECT doc_id, round(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x)))))::DOUBLE / len(a), 6) AS recall FROM w")
+@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS i, len(string_split(text, ' ')) AS n FROM documents), c AS (SELECT doc_id, x, count(*) FILTER (WHERE i <= n // 2) AS a, count(*) FILTER (WHERE i > n // 2) AS b FROM w GROUP BY 1, 2) SELECT doc_id, round(CASE WHEN sum(a) = 0 THEN 1.0 ELSE sum(least(a, b)) / sum(a) END, 6) AS recall FROM c GROUP BY 1")
 def r2_multiset_recall(t):
-    w = F.split("text", " ", 31)  # the words that count, and the rest as one
-    a, b = F.slice(w, 1, 12), F.slice(w, 7, 24)
-    return t.documents.select("doc_id", F.round(X.multiset_recall(a, b), 6).alias("recall"))
+    """How much of a text's first half comes again in the second, by words."""
+    from ..operators.aggregates import multiset_recalls
+
+    w = F.split("text", " ")
+    half = F.floor(F.size(w) / 2).cast("int")
+    rows = t.documents.select("doc_id", F.slice(w, F.lit(1), half).alias("a"), F.slice(w, half + 1, F.size(w)).alias("b"))
+    return multiset_recalls(rows, ["doc_id"], "a", "b").withColumn("recall", F.round("recall", 6))
 
 
 @query("SELECT event_id, CAST(len(list_intersect([user_id % 4, user_id % 6], [event_id % 4, event_id % 6])) AS BIGINT) AS common, CAST(len(list_distinct([user_id % 4, user_id % 6, event_id % 4])) AS BIGINT) AS distinct_n FROM events")
@@ -149,19 +162,27 @@ def e5_patch_actions(t):
     return d.select("p_partkey", "kind", "path", F.array_join("added", "|").alias("added"), F.array_join("deleted", "|").alias("deleted"))
 
 
-@query("SELECT p_partkey, p_name AS added, p_brand AS deleted FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN '' WHEN 2 THEN p_name || '|' || p_brand ELSE '' END AS added,
+CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN '' WHEN 2 THEN '' ELSE p_brand END AS deleted, CAST(CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS BIGINT) AS n FROM part""")
 def e67_edit_delta(t):
-    text = lambda c: F.concat(F.lit("first\n"), c, F.lit("\nlast"))
-    d = D.edit_delta(text("p_brand"), text("p_name"))
-    return t.part.select("p_partkey", d.alias("d")).select("p_partkey", F.array_join("d.added", "|").alias("added"), F.array_join("d.deleted", "|").alias("deleted"))
+    """A line replaced, white space changed, lines inserted, a line taken out."""
+    k = F.col("p_partkey") % 4
+    old = F.when(k == 0, F.concat(F.lit("first\n"), "p_brand", F.lit("\nlast"))).when(k == 1, F.lit("a  b\n\nc")).when(k == 2, F.lit("first\nlast")).otherwise(F.concat(F.lit("first\n"), "p_brand", F.lit("\nlast")))
+    new = F.when(k == 0, F.concat(F.lit("first\n"), "p_name", F.lit("\nlast"))).when(k == 1, F.lit("a b\nc")).when(k == 2, F.concat(F.lit("first\n"), "p_name", F.lit("\n"), "p_brand", F.lit("\nlast"))).otherwise(F.lit("first\nlast"))
+    d = D.edit_delta(old, new)
+    return t.part.select("p_partkey", d.alias("d"), D.changed_lines(old, new).alias("n")).select("p_partkey", F.array_join("d.added", "|").alias("added"), F.array_join("d.deleted", "|").alias("deleted"), "n")
 
 
-@query("SELECT p_partkey, 0.5::DOUBLE AS recall, 'moderate' AS confidence FROM part")
+@query("""SELECT p_partkey, round((p_partkey % 4 + CASE WHEN p_partkey % 3 = 0 THEN 0.96875 ELSE 0 END) / 4.0, 6) AS recall,
+CASE WHEN p_partkey % 4 + CASE WHEN p_partkey % 3 = 0 THEN 0.96875 ELSE 0 END >= 2.8 THEN 'strong' WHEN p_partkey % 4 + CASE WHEN p_partkey % 3 = 0 THEN 0.96875 ELSE 0 END >= 1.2 THEN 'moderate' ELSE 'weak' END AS confidence FROM part""")
 def e910_fuzzy_edges(t):
-    needle = F.array(F.concat(F.lit("def "), "p_name", F.lit("(self):")), F.lit("zzzzzz"))
-    hay = F.array(F.concat(F.lit("def "), "p_name", F.lit("(self) :")), F.lit("other words here"))
-    d = t.part.select("p_partkey", D.fuzzy_recall(needle, hay).alias("recall"))
-    return d.select("p_partkey", "recall", D.edge_confidence(F.lit(True), F.col("recall"), F.lit(True)).alias("confidence"))
+    """Four needle lines of 32 digits: perhaps the first with one character changed, and as many others as the key says."""
+    line = lambda n: F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit(f":{n}")))
+    needle = F.array(*map(line, (3, 0, 1, 2)))
+    there = F.slice(needle, F.lit(2), (F.col("p_partkey") % 4).cast("int"))
+    near = F.when(F.col("p_partkey") % 3 == 0, F.array(F.concat(F.left(line(3), F.lit(31)), F.lit("X")))).otherwise(F.array().cast("array<string>"))
+    d = t.part.select("p_partkey", D.text_recall(needle, F.concat(there, near)).alias("recall"))
+    return d.select("p_partkey", F.round("recall", 6).alias("recall"), D.edge_confidence(F.lit(True), F.col("recall"), F.lit(True)).alias("confidence"))
 
 
 @query("SELECT p_partkey, 0.5::DOUBLE AS survival FROM part WHERE p_name <> p_brand")

@@ -58,6 +58,37 @@ def inventory(tables: dict[str, DataFrame]) -> DataFrame:
     return rows
 
 
+def schema_report(tables: dict[str, DataFrame], logical: dict[str, list[str]]) -> DataFrame:
+    """table_name, column_name, dtype, logical, n_rows, n_distinct of every column; logical is the name under which
+    `logical` knows it (the first of its candidates that the table has), null for other columns. One pass a table."""
+    out = None
+    for name, df in tables.items():
+        known = {next((c for c in cs if c in df.columns), None): k for k, cs in logical.items()}
+        counts = df.agg(F.count("*").alias("__rows"), *[F.countDistinct(c).alias(c) for c in df.columns])
+        cells = [F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("dtype"), F.lit(known.get(c)).cast("string").alias("logical"), F.col("__rows").alias("n_rows"), F.col(c).alias("n_distinct")) for c, kind in df.dtypes]
+        one = counts.select(F.lit(name).alias("table_name"), F.inline(F.array(*cells)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def read_toml(spark: SparkSession, path: str) -> DataFrame:
+    """key, value of a TOML file's entries; keys of tables are joined by dots, lists and dates are text. A small file, read
+    through Spark so that any store works."""
+    import tomllib
+
+    flat: list[tuple[str, str]] = []
+
+    def walk(prefix: str, x) -> None:
+        if isinstance(x, dict):
+            for k, v in x.items():
+                walk(f"{prefix}.{k}" if prefix else k, v)
+        else:
+            flat.append((prefix, str(x).lower() if isinstance(x, bool) else str(x)))
+
+    walk("", tomllib.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())))
+    return spark.createDataFrame(flat, "key string, value string")
+
+
 def read_csv(spark: SparkSession, paths: list[str] | str, schema: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.csv(paths, header=True, schema=schema)
     return df.select(*columns) if columns else df

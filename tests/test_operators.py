@@ -1,5 +1,6 @@
 """Small cases whose results are worked out by hand."""
 
+import json
 import math
 
 import pytest
@@ -10,6 +11,8 @@ from loomspark.functions import text as X
 from loomspark.functions import vectors as V
 from loomspark.operators import aggregates as A
 from loomspark.operators import diffs as D
+from loomspark.operators import evidence as E
+from loomspark.operators import geometry as G
 from loomspark.operators import joins as J
 from loomspark.operators import preferences as P
 from loomspark.operators import resampling as R
@@ -28,11 +31,6 @@ def test_multiset_recall_counts_repeats(spark):
     assert tuple(got) == (0.5, 1.0)
 
 
-def test_redaction(spark):
-    text, n = X.redacted(F.lit("mail a.b@c.org from 10.0.0.1 with sk-abcdefghijklmnop1234"))
-    assert tuple(one(spark, text, n)) == ("mail [email] from [address] with [key]", 3)
-
-
 def test_first_line_of_empty_text(spark):
     assert tuple(one(spark, X.first_line(F.lit("")), X.first_line(F.lit("a\nb")))) == ("", "a")
 
@@ -154,8 +152,188 @@ def test_permutation_keeps_labels(spark):
 
 
 def test_edit_delta_and_fuzzy_recall(spark):
-    got = one(spark, D.edit_delta(F.lit("a\nb\nc"), F.lit("a\nx\nc")), D.fuzzy_recall(F.array(F.lit("hello world"), F.lit("hello world")), F.array(F.lit("hello worlds"))))
-    assert got[0].added == ["x"] and got[0].deleted == ["b"] and got[1] == 0.5
+    got = one(spark, D.edit_delta(F.lit("a\nb\nc"), F.lit("a\nx\nc")), D.edit_delta(F.lit("a  b\n\nc"), F.lit(" a b\nc")), D.changed_lines(F.lit("a  b\n\nc"), F.lit("a b\nc")))
+    assert (got[0].added, got[0].deleted, got[1].added, got[1].deleted, got[2]) == (["x"], ["b"], [], [], 3)
+    words = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    recall = lambda a, b: one(spark, D.fuzzy_recall(words(*a), words(*b)), D.text_recall(words(*a), words(*b)))
+    assert recall(["abcdefghij"], ["abcdefghiX"]) == pytest.approx((0.9, 0.9))
+    assert recall(["hello world", "hello world"], ["hello worlds"]) == pytest.approx((22 / 23 / 2, 22 / 23 / 2))
+    assert recall(["zzzz", "abcd"], ["abcd"]) == (0.0, 0.5)  # the first takes the only line though it is unlike
+    assert recall([], ["x"]) == (1.0, 1.0) and recall(["x"], []) == (0.0, 0.0)
+    assert one(spark, X.multiset_recall(words("a", "a"), words("a")))[0] == 0.5
+
+
+def test_patch_sections(spark):
+    text = "*** Begin Patch\n*** Update File: a.py\n@@ x\n-old  one\n+new\n same\n+\n*** Delete File: b.py\r\n*** Update File: a.py\n+again\n*** End Patch"
+    got = one(spark, D.patch_sections(F.lit(text)), D.patch_sections(F.lit(None).cast("string")))
+    assert [(x.operation, x.path, x.added, x.deleted) for x in got[0]] == [("update", "a.py", ["new"], ["old one"]), ("delete", "b.py", [], []), ("update", "a.py", ["again"], [])] and got[1] == []
+
+
+def test_write_actions(spark):
+    edit = lambda **x: json.dumps(x)
+    rows = [
+        (1, "edit", edit(filePath="a", oldString="x\ny\nz", newString="x\nY\nz"), None),
+        (2, "multi-edit", edit(file_path="a", edits=[{"old_text": "p", "new_text": "q"}, "none", {"newText": "r"}]), None),
+        (3, "Write", edit(path="in", content="n"), "given"),
+        (4, "write_file", edit(content="n"), None),
+        (5, "Read", edit(file_path="a", content="n"), None),
+        (6, "apply_patch", edit(patchText="*** Add File: b\n+x"), None),
+        (7, "edit", "no json", None),
+        (8, None, edit(file_path="a"), None),
+        (9, "edit", edit(filePath="a", old_string=None, oldString="x", newString="x"), None),
+    ]
+    df = spark.createDataFrame(rows, "id int, tool string, payload string, file string")
+    got = sorted(tuple(r) for r in E.write_actions(df, ["id"], "tool", "payload", "file").collect())
+    assert got == [(1, 0, "a", "edit", ["Y"], ["y"]), (2, 0, "a", "edit", ["q"], ["p"]), (2, 2, "a", "write", ["r"], []), (3, 0, "given", "write", ["n"], []), (6, 0, "b", "add", ["x"], []), (9, 0, "a", "write", ["x"], [])]
+
+
+def test_edges_of_actions_and_commits(spark):
+    lines = lambda *x: list(x)
+    actions = spark.createDataFrame([("s", 1, "/w/src/a.py", lines("new"), lines("gone")), ("s", 2, "a.py", lines("new"), lines()), ("s", 3, "/w/lib/g.py", lines(), lines("old")), ("t", 4, "/w/src/a.py", lines("new"), lines())], "s string, id int, path string, added array<string>, deleted array<string>")
+    patch = "--- a/src/a.py\n+++ b/src/a.py\n@@\n+new\n--- a/tests/a.py\n+++ b/tests/a.py\n@@\n+else\n--- a/g.py\n+++ /dev/null\n@@\n-old\n"
+    commits = spark.createDataFrame([("s", "c1", patch, '{"src/a.py": {"attribution": "mixed"}, "g.py": "agent"}'), ("s", "c2", None, None)], "s string, c string, patch string, share string")
+    got = {r.id: r for r in E.matched_edges(actions, commits, ["s"], ["id"], "c", "patch", "share").collect()}
+    assert set(got) == {1, 3}  # a bare name that two files have is no match
+    assert (got[1].commit_path, got[1].added_recall, got[1].deleted_recall, got[1].survival_recall, got[1].changed_text_recall, got[1].confidence, got[1].share) == ("src/a.py", 1.0, 0.0, 1.0, 0.5, "exact", "mixed")
+    assert (got[3].commit_path, got[3].survival_recall, got[3].confidence, got[3].share) == ("g.py", 1.0, "exact", "agent")
+
+
+def test_prompt_of_action(spark):
+    df = spark.createDataFrame([("c", 1, "a"), ("c", 2, "user"), ("c", 3, "t"), ("c", 5, "user"), ("c", 6, "t")], "c string, turn int, role string")
+    assert {r.turn: r.user_turn for r in E.prompt_of_action(df, ["c"], "turn", F.col("role") == "user").collect()} == {1: None, 2: 2, 3: 2, 5: 5, 6: 5}
+
+
+def test_tool_families(spark):
+    names = ["TodoWrite", "multi_edit", "Bash", "mcp_contextMode_Execute", "Glob", "Agent", "Skill", "web-search", "x-Chrome-y", None]
+    got = one(spark, *[E.tool_family(F.lit(n).cast("string")) for n in names])
+    assert [x.family for x in got] == ["orchestration", "code_write", "shell", "shell", "local_research", "subagent", "planning", "external_or_browser", "external_or_browser", "generic"]
+
+
+def test_credentials_are_redacted(spark):
+    secrets = ["sk-proj-" + "a" * 24, "AIza" + "b" * 35, "AKIA" + "C" * 16, "ghs_" + "d" * 24, "github_pat_" + "e" * 44, "xoxp-" + "1" * 12]
+    text, n = X.redacted(F.lit("one " + " and ".join(secrets) + " end. sk-short AKIA12"))
+    got = one(spark, text, n, *X.redacted(F.lit("\0" + secrets[0])))
+    assert got[1] == 6 and not any(s in got[0] for s in secrets) and got[0].endswith("end. sk-short AKIA12") and got[0].count("[REDACTED_GITHUB_TOKEN]") == 2
+    assert got[2] == "\0" + secrets[0] and got[3] == 0
+
+
+def test_snapshot_files(spark):
+    docs = ['{"snapshot": {"files": {"a": "x"}}, "files": {"no": "y"}}', '{"trackedFileBackups": {"a": "ref", "b": {"text": "t"}}, "fileContents": {"c": {"content": 3, "text": "u"}, "d": {}}}', "[1]", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, j string")
+    assert sorted(map(tuple, E.snapshot_files(df, ["id"], "j").collect())) == [(0, "a", "x"), (1, "b", "t"), (1, "c", "u")]
+
+
+def test_nested_records_and_their_depth(spark):
+    df = spark.createDataFrame([(1, '{"a": [{"b": {"c": {"d": {"e": {"f": {"g": {"id": 7}}}}}}}]}')], "id int, j string")
+    assert [r.record for r in E.found_nested(df, ["id"], "j", ["id"]).collect()] == ['{"id":7}']
+    with pytest.raises(Exception, match="levels"):
+        E.found_nested(df, ["id"], "j", ["id"], 4).collect()
+
+
+def test_tails_of_distributions(spark):
+    tail = lambda f, *x: one(spark, f(*[F.lit(float(v)) for v in x]))[0]
+    for x, n in ((0.5, 1), (3.84, 1), (7.0, 2), (30.0, 12), (5.0, 12), (600.0, 400)):
+        if n % 2 == 0:  # a sum of Poisson terms
+            want = sum(math.exp(j * math.log(x / 2) - x / 2 - math.lgamma(j + 1)) for j in range(n // 2))
+        else:
+            want = math.erfc(math.sqrt(x / 2))
+        assert tail(ST.chi_square_tail, x, n) == pytest.approx(want, rel=1e-9)
+    for f, b in ((0.3, 7), (4.0, 9), (250.0, 30), (1.0, 5000)):  # with two degrees above there is a closed form
+        assert tail(ST.f_tail, f, 2, b) == pytest.approx((1 + 2 * f / b) ** (-b / 2), rel=1e-9)
+    for t in (0.5, 2.0, 40.0):  # F(1, 1) is a squared Cauchy variable
+        assert tail(ST.f_tail, t, 1, 1) == pytest.approx(1 - 2 / math.pi * math.atan(math.sqrt(t)), rel=1e-9)
+
+
+def test_kmeans_by_hand(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(c, 0.3, size=(40, 2)) for c in ((0, 0), (5, 5), (0, 5), (9, 0))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(999, None)], "k int, v array<double>")
+    got, model = G.kmeans(df, "k", "v", 4, seed=1, starts=10)
+    rows = {p.k: (p.cluster, p.distance) for p in got.collect()}
+    labels, centers = np.array([rows[k][0] for k in range(len(x))]), np.array(model["centers"])
+    assert len(rows) == 160 and [len(set(labels[k : k + 40])) for k in range(0, 160, 40)] == [1] * 4 and len(set(labels)) == 4
+    d = np.linalg.norm(x[:, None] - centers[None], axis=2)
+    assert (d.argmin(axis=1) == labels).all() and model["inertia"] == pytest.approx((d.min(axis=1) ** 2).sum()) and [rows[k][1] for k in range(160)] == pytest.approx(d.min(axis=1))
+    assert all(np.allclose(centers[c], x[labels == c].mean(axis=0), atol=1e-4) for c in range(4))
+    alike, model = G.kmeans(spark.createDataFrame([(k, [1.0]) for k in range(5)], "k int, v array<double>"), "k", "v", 3, starts=2)
+    assert model["inertia"] == 0 and {p.cluster for p in alike.collect()} == {0}  # empty clusters do no harm
+    assert G.kmeans(df.where("k = 999"), "k", "v", 2)[0].count() == 0
+
+
+def test_masked_kmeans(spark):
+    rows = [(0, [0.0, None]), (1, [None, 0.1]), (2, [0.1, 0.0]), (3, [5.0, None]), (4, [None, 5.0]), (5, [5.1, 5.0])]
+    got, model = G.kmeans(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v", 2, starts=20, masked=True)
+    label = {p.k: p.cluster for p in got.collect()}
+    assert label[0] == label[1] == label[2] != label[3] == label[4] == label[5] and sorted(map(tuple, model["centers"])) == [pytest.approx((0.05, 0.05)), pytest.approx((5.05, 5.0))]
+
+
+def test_blocks_of_anchors_do_not_matter(spark, monkeypatch):
+    df = spark.createDataFrame([(k, [float(k % 7), float(k % 3)], k % 4) for k in range(60)], "k int, v array<double>, l int")
+    whole = sorted(map(tuple, G.silhouette(df, "k", "v", "l").collect()))
+    monkeypatch.setattr(G, "ANCHORS", 9)
+    assert sorted(map(tuple, G.silhouette(df, "k", "v", "l").collect())) == [(k, pytest.approx(v)) for k, v in whole]
+    assert sorted(r.k for r in G.silhouette(df, "k", "v", "l", df.where("k < 5")).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_prediction_strength_of_clear_clusters(spark):
+    df = spark.createDataFrame([(k, [10.0 * (k % 3) + (k % 5) / 9]) for k in range(90)], "k int, v array<double>")
+    half = lambda h: df.where(F.floor(F.col("k") / 3) % 2 == h)
+    assert G.prediction_strength(half(0), half(1), "k", "v", 3, starts=5).first().strength == 1.0
+
+
+def test_numbers_in_hash_order(spark):
+    df = spark.createDataFrame([(k, k % 2) for k in range(500)], "k int, g int")
+    got = R.numbered(df, ["k"], 3, ["g"]).collect()
+    import hashlib
+
+    for g in (0, 1):
+        own = sorted((r.place, r.k) for r in got if r.g == g)
+        want = sorted((k for k in range(500) if k % 2 == g), key=lambda k: hashlib.sha256(f"3:{g}:{k}".encode()).hexdigest())
+        assert own == list(enumerate(want, 1))
+    parts = R.random_parts(df, ["k"], 1, 2, 0.3).collect()
+    assert {(x, p): sum(r.replicate == x and r.part == p for r in parts) for x in (0, 1) for p in ("first", "rest")} == {(0, "first"): 150, (0, "rest"): 350, (1, "first"): 150, (1, "rest"): 350}
+
+
+def test_step_up_by_hand(spark):
+    import random as rnd
+
+    r = rnd.Random(2)
+    p = [round(r.random() ** 2, 2) for _ in range(300)] + [1.0] * 40 + [0.0] * 5
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(p)] + [(-1, None)], "k int, p double")
+    order, best, want = sorted(range(len(p)), key=lambda k: p[k]), 1.0, {-1: None}
+    for rank in range(len(p), 0, -1):
+        k = order[rank - 1]
+        best = min(best, p[k] * len(p) / rank)
+        want[k] = best
+    got = {r.k: r.q for r in Q.step_up(df, "p").collect()}
+    assert got.keys() == want.keys() and all(got[k] == (pytest.approx(v) if v is not None else None) for k, v in want.items())
+
+
+def test_many_values_are_binned(spark):
+    from loomspark.operators import models as M
+
+    df = spark.range(5000).select((F.col("id") / 7).alias("x"), (F.col("id") % 3).cast("double").alias("y"), (F.col("id") >= 2500).cast("int").alias("l"))
+    few = M.binned(df, ["x", "y"], 50)
+    assert few.select("x").distinct().count() <= 50 and few.where("y in (0, 1, 2)").count() == 5000
+    tree = M.explain_labels(df, "l", ["x", "y"], 1, bins=50)
+    assert tree[0]["axis"] == "x" and abs(tree[0]["threshold"] - 2500 / 7) < 10
+
+
+def test_crossed_refuses_a_large_side(spark):
+    assert J.crossed(spark.range(3), spark.range(4).withColumnRenamed("id", "b"), 4).count() == 12
+    with pytest.raises(ValueError, match="more than"):
+        J.crossed(spark.range(3), spark.range(5).withColumnRenamed("id", "b"), 4)
+
+
+def test_retrieval_leaves_out_who_has_no_own_profile(spark):
+    from loomspark.operators import statistics as S2
+
+    a = spark.createDataFrame([(1, "x", 1.0), (2, "x", 5.0), (3, "x", 9.0), (4, "y", 1.0)], "u int, axis string, v double")
+    b = spark.createDataFrame([(1, "x", 1.0), (2, "x", 9.0), (3, "x", 4.0)], "u int, axis string, v double")
+    got = {r.u: (r["rank"], round(r.nearest, 3)) for r in S2.retrieval(a, b, "u", "axis", "v", F.col("u") > 0).collect()}
+    assert got == {1: (1, 0.75), 2: (3, 0.25), 3: (2, 0.0)}  # a tie goes to the smaller user
 
 
 def test_patch_of_a_deleted_file(spark):
