@@ -13,29 +13,40 @@ from loomspark.llm.simhash import keep_one_of_near
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told (null text, or none of its characters is a letter)."""
+    """Drops documents in which no language can be told: a null or empty text, or one without a letter.
+
+    Where no language could be learned, texts with a letter stay. Repeated rows go or stay together; an empty table stays
+    empty; long texts are read whole; other columns pass through under any names. So in all stages but the last.
+    """
     return keep_known(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays; a null id ranks below all others, a null text is an empty
+    one, and of rows that repeat id and text one stays."""
     return keep_one_of_equal(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, a similarity of 0.8 or more) the document with the smallest
+    doc_id stays; ties and nulls: see keep_one_of_near. Texts without words, nulls among them, are one group."""
     return keep_one_of_near(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of ten words of a benchmark item, or a shorter item whole; null and empty texts
+    and items match nothing."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document that is left; a null text counts as empty."""
     return round_trip(docs)
 
 
 STAGES = [("language", known_language), ("exact", exact), ("near", near), ("decontaminate", decontaminated), ("bpe", tokens)]
 
-#: Hashes of three stages, the learned languages and the tokens have no SQL form.
+#: Learned languages, fingerprints and merges have no SQL form; a test holds the rows against stages written out by hand.
 ORACLE_SQL = None
 
 
