@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 STEP_BYTES = 2 << 20
 #: Bytes of one Arrow batch between Spark and a worker; a longer row makes a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Rows that Spark decodes of a Parquet file at once.
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what Spark hands to a worker at once by bytes, not by rows alone; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(key)).rstrip("bB")) > BATCH_BYTES:
-        spark.conf.set(key, BATCH_BYTES)
+    """Bounds what Spark reads of a Parquet file, and hands to a worker, at once: rows here are whole texts or files, so
+    that thousands of them are no small batch. Smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)):
+        if int(str(spark.conf.get(key)).rstrip("bB")) > most:
+            spark.conf.set(key, most)
 
 
 def texts(docs: DataFrame) -> DataFrame:

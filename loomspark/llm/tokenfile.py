@@ -11,6 +11,7 @@ block starts (n_blocks + 1 unsigned 64-bit, in bytes of the payload); payload.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -31,7 +32,7 @@ ODD = re.compile("[\x1c-\x1f]")
 CHUNK = re.compile(r"(?:[^\s]|[\x1c-\x1f])+")
 BLOCK = 4096
 #: Ids after which a file ends.
-FILE_IDS = 2 << 20
+FILE_IDS = 1 << 19
 
 
 def bits_for(vocabulary: int) -> int:
@@ -118,6 +119,24 @@ WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00e0-\u00f6\u00f8-\u024f\u00df]
 LATIN = re.compile("[\t-\r -~\u00a0\u00c0-\u012f\u0131-\u024f]*")
 
 
+#: Fixed values of the word format, as its file states them: how texts are made normal, and where they are parted.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PARTED = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def fits(spec: dict) -> bool:
+    """Whether a tokenizer file is of the word format, for which parts of a text can be encoded one by one."""
+    normal, parted, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = parted.get("pretokenizers") or [{}]
+    return (
+        normal.get("normalizers") == NORMAL
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and steps[0]["pattern"] == {"Regex": PARTED}
+        and (steps[0]["behavior"], steps[0]["invert"], steps[1]["add_prefix_space"], steps[1]["use_regex"]) == ("Removed", True, False, False)
+        and (model.get("type"), model.get("dropout"), model.get("end_of_word_suffix")) == ("BPE", None, "</w>")
+    )
+
+
 class ChunkEncoder:
     """The library's ids of whole texts, from those of their parts, which a worker remembers.
 
@@ -125,32 +144,47 @@ class ChunkEncoder:
     Latin text is cut into its words, other text at white space only.
     """
 
-    REMEMBERED = 900_000
+    #: Parts that the library gets at once.
+    TOGETHER = 5_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if not fits(spec):
+            raise ValueError(f"{path} does not drop white space and part words as this encoder does")
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = C.Remembered(64 << 20)
 
     def _cut(self, text: str) -> list[str]:
         if LATIN.fullmatch(text) and not any(s in text for s in self.special):
             return WORD.findall(text.lower())
         return CHUNK.findall(text) if ODD.search(text) else text.split()
 
+    def _learn(self, parts: list[str]) -> None:
+        """Lower-case ASCII letters are their own normal form, one word and their own byte symbols: the library's model
+        takes them as they are. Other parts go through all of the library's steps."""
+        tokenize, other = self.library.model.tokenize, []
+        found = {}
+        for w in parts:
+            if w.isascii() and w.isalpha() and w.islower():
+                found[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
+            else:
+                other.append(w)
+        self.known.learn(found)
+        for k in range(0, len(other), self.TOGETHER):
+            some = other[k : k + self.TOGETHER]
+            self.known.learn(dict(zip(some, (array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True)))
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.REMEMBERED:
-            self.known.clear()
         cut = [self._cut(t) for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            self.known.update(zip(some, (array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        known = self.known.__getitem__
+        self._learn(self.known.missing(set().union(*cut)))
+        known = self.known.new.__getitem__
         return [b"".join(map(known, c)) for c in cut]
 
 
@@ -163,21 +197,24 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def write_tokens(docs: DataFrame, where: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1) -> None:
-    """Writes the table of files `where` (part, seq, first_doc, n_docs, n_ids, content), in ascending doc_id order.
+    """Writes the table of files `where` (part, seq, base, first_doc, n_docs, n_ids, content), in ascending doc_id order;
+    base counts the ids of the part's files before this one.
 
     Null text counts as empty and gives the end id alone. A null doc_id comes first. Rows that repeat an id keep an
-    order by text. An empty table gives no file.
+    order by text. An empty table gives no file. A text of more ids than a file has makes a file of its own. Other
+    columns of docs, whatever their names, are not read. A tokenizer file of another format than `fits` is refused.
     """
     path = C.vocabulary_path(tokenizer)
+    encoder(path)  # refuses here, not in a task
     spark = docs.sparkSession
     ordered = C.texts(docs).repartitionByRange(C.parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches):
         bits = bits_for(encoder(path).size)
-        key, seq, held_docs, held_ids, n = C.task_key(), 0, [], [], 0
+        key, seq, base, held_docs, held_ids, n = C.task_key(), 0, 0, [], [], 0
 
         def flush():
-            return C.batch_of(["part", "seq", "first_doc", "n_docs", "n_ids", "content"], [[key], [seq], [held_docs[0]], [len(held_docs)], [n], [write_file(held_docs, held_ids, bits)]], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])
+            return C.batch_of(["part", "seq", "base", "first_doc", "n_docs", "n_ids", "content"], [[key], [seq], [base], [held_docs[0]], [len(held_docs)], [n], [write_file(held_docs, held_ids, bits)]], [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()])
 
         for batch in batches:
             for piece in C.slices(batch):
@@ -185,47 +222,50 @@ def write_tokens(docs: DataFrame, where: str, tokenizer: str = "word_bpe_49k.jso
                     one = np.append(np.frombuffer(got, dtype="<u4"), np.uint32(end_id))
                     if held_docs and n + len(one) > FILE_IDS:
                         yield flush()
-                        seq, held_docs, held_ids, n = seq + 1, [], [], 0
+                        seq, base, held_docs, held_ids, n = seq + 1, base + n, [], [], 0
                     held_docs.append(doc)
                     held_ids.append(one)
                     n += len(one)
         if held_docs:
             yield flush()
 
-    ordered.mapInArrow(run, "part int, seq int, first_doc long, n_docs long, n_ids long, content binary").write.option("compression", "uncompressed").parquet(where)
+    ordered.mapInArrow(run, "part int, seq int, base long, first_doc long, n_docs long, n_ids long, content binary").write.option("compression", "uncompressed").parquet(where)
 
 
 def read_tokens(spark, where: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), from the files alone."""
+    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), from the files alone; a table without files gives no row."""
     return _from_files(spark, where, True)
 
 
 def _from_files(spark, where: str, with_ids: bool) -> DataFrame:
     files = spark.read.parquet(where)
-    # A row for each file, not for each document: few, and sorted by place.
-    places = files.select("part", "seq", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     whole = files.groupBy("part").agg(F.sum("n_ids").alias("all_ids"))
     whole = whole.select("part", F.coalesce(F.sum("all_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("part_base"))
-    last = F.broadcast  # a row for each writing task: bounded by the number of tasks
-    bases = places.join(last(whole), "part").select("part", "seq", (F.col("base") + F.col("part_base")).alias("file_start"))
+    # A row for each writing task, not for each file or document.
+    placed = files.join(F.broadcast(whole), "part").select((F.col("base") + F.col("part_base")).alias("start"), "content")
 
     def run(batches):
         for batch in batches:
-            for content, part, seq in zip(batch.column("content").to_pylist(), batch.column("part").to_pylist(), batch.column("seq").to_pylist(), strict=True):
-                f = TokenFile(content)
-                flat = f.all_ids().astype("<u4").tobytes()
-                begins = np.concatenate([[0], f.ends[:-1]])
-                cut = [flat[4 * a : 4 * b] for a, b in zip(begins.tolist(), f.ends.tolist(), strict=True)]
+            for k in range(batch.num_rows):
+                f = TokenFile(batch.column("content")[k].as_py())
+                flat = memoryview(f.all_ids().astype("<u4")).cast("B")
+                begins = np.concatenate([[0], f.ends[:-1]]).astype(np.int64)
+                cut = (flat[4 * a : 4 * b] for a, b in zip(begins.tolist(), f.ends.tolist(), strict=True))
                 docs = [None if no else d for d, no in zip(f.docs.tolist(), f.null.tolist(), strict=True)]
-                yield C.batch_of(["part", "seq", "doc_id", "begin", "n_tokens", "ids" if with_ids else "ids_crc32"], [[part] * f.n_docs, [seq] * f.n_docs, docs, begins, f.ends - begins, cut if with_ids else [zlib.crc32(x) for x in cut]], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_ids else pa.int64()])
+                yield C.batch_of(["doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"], [docs, begins + batch.column("start")[k].as_py(), f.ends - begins, [bytes(x) if with_ids else zlib.crc32(x) for x in cut]], [pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_ids else pa.int64()])
 
-    got = files.select("part", "seq", "content").mapInArrow(run, f"part int, seq int, doc_id long, begin long, n_tokens long, {'ids binary' if with_ids else 'ids_crc32 long'}")
-    return got.join(last(bases), ["part", "seq"]).select("doc_id", (F.col("begin") + F.col("file_start")).alias("start"), "n_tokens", "ids" if with_ids else "ids_crc32")
+    return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids binary' if with_ids else 'ids_crc32 long'}")
 
 
 def token_index(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, where: str | None = None) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, read back from files that it writes first."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from files that it writes first.
+
+    Nulls, ties, repeated rows, long texts and empty tables: see write_tokens. Without `where` the files go with the
+    session.
+    """
     spark = docs.sparkSession
-    where = where or f"{C.shared_dir(spark)}/loomspark/tokens-{uuid.uuid4().hex}"
+    if not where:
+        where = f"{C.shared_dir(spark)}/loomspark/tokens-{uuid.uuid4().hex}"
+        C.delete_on_exit(spark, where)
     write_tokens(docs, where, tokenizer, end_id)
     return _from_files(spark, where, False)
