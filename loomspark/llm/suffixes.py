@@ -21,10 +21,10 @@ from . import windows as V
 #: Bytes of the parts that anchors are chosen from.
 PART = 16
 #: Stretches of a task that are handed on together.
-GATHERED = 200_000
+GATHERED = 100_000
 #: Bytes of text that one suffix array covers, unless one anchor's stretches alone are more.
-SHARD_BYTES = 2 << 20
-#: Alphabets up to this size are sorted by induction; larger ones arise in the recursion only.
+SHARD_BYTES = 512 << 10
+#: Alphabets up to this size are induced bucket by bucket, larger ones (they arise in the recursion) suffix by suffix.
 ALPHABET = 1024
 
 
@@ -98,33 +98,71 @@ def _induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, counts: np.n
     return sa
 
 
-def _ranked(names: np.ndarray) -> np.ndarray:
-    """Suffixes of a string over a large alphabet in order: only groups of equals are looked at, twice as far each time."""
-    m = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(m, dtype=np.int64)
-    sorted_ = names[order]
-    fresh = np.append(True, sorted_[1:] != sorted_[:-1])
-    first = np.flatnonzero(fresh)
-    rank[order] = first[np.cumsum(fresh) - 1]
-    far = 1
-    while True:
-        size = np.bincount(rank, minlength=m)
-        open_ = order[size[rank[order]] > 1]
-        if not len(open_):
-            return order
-        follow = open_ + far
-        key = np.where(follow < m, rank[np.minimum(follow, m - 1)], -1)
-        k = np.argsort(rank[open_] * (m + 1) + key + 1)
-        open_, key, own = open_[k], key[k], rank[open_[k]]
-        new = np.append(True, own[1:] != own[:-1])
-        place = np.flatnonzero(new)
-        place = own + np.arange(len(own)) - place[np.cumsum(new) - 1]
-        fresh = new | np.append(True, key[1:] != key[:-1])
-        first = place[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        order[place] = open_
-        rank[open_] = first
-        far *= 2
+def _induce_each(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What _induce gives, for alphabets whose buckets hold few suffixes: one after the other, in plain lists.
+
+    An empty place holds suffix 0, which brings in none: the last suffix, at -1, is no larger-type one, and smaller-type
+    places are filled before the way back reads them.
+    """
+    n = len(s)
+    ends = np.cumsum(counts)
+    sa = np.zeros(n, dtype=np.int64)
+    _place(sa, ends - np.bincount(s[leftmost], minlength=len(counts)), s, leftmost, 1)
+    sa = sa.tolist()
+    head, tail = (ends - counts).tolist(), ends.tolist()
+    brought = np.where(small, -1, s).tolist()  # by the suffix behind: the bucket of a larger-type one
+    for p in sa:  # reads what it puts in further on
+        p -= 1
+        c = brought[p]
+        if c >= 0:
+            k = head[c]
+            sa[k] = p
+            head[c] = k + 1
+    brought = np.where(small, s, -1)
+    brought[-1] = -1  # the end is brought in by none
+    brought = brought.tolist()
+    for p in reversed(sa):
+        p -= 1
+        c = brought[p]
+        if c >= 0:
+            k = tail[c] - 1
+            sa[k] = p
+            tail[c] = k
+    sa[0] = n - 1
+    return np.array(sa, dtype=np.int32)
+
+
+def _names(s: np.ndarray, leftmost: np.ndarray, symbols: int) -> np.ndarray:
+    """The rank of each leftmost-smaller substring, equal ones alike: as many symbols as fit 63 bits are compared at
+    once, further ones among those that are equal so far. What begins like a longer one is larger than that."""
+    size = np.append(np.diff(leftmost) + 1, 1)
+    width = int(symbols).bit_length()
+    per, none = 63 // width, (1 << width) - 1
+
+    def key(k: np.ndarray, far: int) -> np.ndarray:
+        out = np.zeros(len(k), dtype=np.int64)
+        for x in range(far, far + per):
+            inside = size[k] > x
+            out = out << width | np.where(inside, s[np.where(inside, leftmost[k] + x, 0)], none)
+        return out
+
+    rank = np.zeros(len(leftmost), dtype=np.int64)
+    live, far = np.arange(len(leftmost)), 0
+    while len(live):
+        own, order = key(live, far), None
+        order = np.lexsort((own, rank[live])) if far else np.argsort(own)
+        live, own = live[order], own[order]
+        group = rank[live]
+        new = np.append(True, group[1:] != group[:-1])
+        fresh = new | np.append(True, own[1:] != own[:-1])
+        place = np.arange(len(live)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        first = np.flatnonzero(fresh)
+        rank[live] = group + place[first][np.cumsum(fresh) - 1]
+        many = np.repeat(np.diff(np.append(first, len(live))), np.diff(np.append(first, len(live)))) > 1
+        far += per
+        live = live[many & (size[live] > far)]
+        live = live[np.argsort(live)]
+    return np.unique(rank, return_inverse=True)[1]
 
 
 def _sorted_suffixes(s: np.ndarray, symbols: int) -> np.ndarray:
@@ -134,33 +172,11 @@ def _sorted_suffixes(s: np.ndarray, symbols: int) -> np.ndarray:
         return np.argsort(s, kind="stable")
     small = _types(s)
     leftmost = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
-    counts = np.bincount(s, minlength=symbols)
-    sa = _induce(s, small, leftmost, counts)
-    is_left = np.zeros(n, dtype=bool)
-    is_left[leftmost] = True
-    order = sa[is_left[sa]]  # by leftmost-smaller substring
-    if len(order) < 2:
-        return _induce(s, small, order, counts)
-    following = np.zeros(n, dtype=np.int64)
-    following[leftmost[:-1]] = leftmost[1:] - leftmost[:-1] + 1
-    following[leftmost[-1]] = 1
-    span = following[order]
-    equal = span[1:] == span[:-1]
-    live, k = np.flatnonzero(equal), 0
-    while len(live):
-        differ = s[order[live] + k] != s[order[live + 1] + k]
-        equal[live[differ]] = False
-        live = live[~differ]
-        k += 1
-        live = live[span[live] > k]
-    names = np.cumsum(np.append(False, ~equal))
-    reduced = np.empty(n, dtype=np.int64)
-    reduced[order] = names
-    reduced = reduced[leftmost]
-    if names[-1] + 1 < len(order):
-        again = _sorted_suffixes(reduced, int(names[-1]) + 1) if names[-1] < ALPHABET else _ranked(reduced)
-        order = leftmost[again]
-    return _induce(s, small, order, counts)
+    reduced = _names(s, leftmost, symbols)
+    many = int(reduced.max()) + 1
+    order = np.argsort(reduced) if many == len(reduced) else _sorted_suffixes(reduced, many)
+    induce = _induce if symbols <= ALPHABET else _induce_each
+    return induce(s, small, leftmost[order], np.bincount(s, minlength=symbols))
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -265,6 +281,14 @@ def _runs_within(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _distinct(order: np.ndarray, keys: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
+    """True where, in the given order, a stretch differs from the one before it: equal keys are a hint, the bytes decide."""
+    fresh = np.append(True, np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)) if len(order) else np.empty(0, dtype=bool)
+    for k in np.flatnonzero(~fresh).tolist():
+        fresh[k] = texts[order[k]] != texts[order[k - 1]]
+    return fresh
+
+
 def _settled(held: list, width: int) -> list[np.ndarray]:
     """Document, key, first window and length of the removed runs, for all occurrences of a bucket's stretches."""
     anchor, print_, length, texts = [], [], [], []
@@ -288,8 +312,7 @@ def _settled(held: list, width: int) -> list[np.ndarray]:
     anchor, print_, length, stretch, doc, key, pos = map(np.concatenate, (anchor, print_, length, stretch, doc, key, pos))
     # Equal stretches of different tasks become one.
     order = np.lexsort((length, print_, anchor))
-    a, p, size = anchor[order], print_[order], length[order]
-    fresh = np.append(True, (a[1:] != a[:-1]) | (p[1:] != p[:-1]) | (size[1:] != size[:-1]))
+    fresh = _distinct(order, [anchor, print_, length], texts)
     of = np.empty(len(order), dtype=np.int64)
     of[order] = np.cumsum(fresh) - 1
     kept = order[fresh]
@@ -328,17 +351,20 @@ def _settled(held: list, width: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*spans, strict=True)]
 
 
-def byte_dedup(docs: DataFrame, width: int = 50, sketch_bits: int = 27) -> DataFrame:
+def byte_dedup(docs: DataFrame, width: int = 50, sketch_bits: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (binary), one row for each row of docs.
 
     Removed is each byte covered by a string of `width` bytes that also starts in a document with a smaller doc_id;
     n_spans counts the maximal removed runs. Null text counts as empty; rows with a null doc_id keep all and remove
-    nothing; rows that repeat a doc_id do not remove from each other. sketch_bits sets the size of the filter on
-    anchors (2 ** (sketch_bits + 1) bits broadcast) and the speed, never the result.
+    nothing; rows that repeat a doc_id do not remove from each other; an empty table gives an empty result. Long texts
+    are cut into stretches like any other. Other columns of docs, whatever their names, are not read. sketch_bits sets
+    the size of the filter on anchors (2 ** (sketch_bits + 1) bits broadcast; by default it follows the input, see
+    windows.fitting_bits) and the speed, never the result.
     """
     spark = docs.sparkSession
     rows = V.keyed(docs)
     read = rows.where("doc_id is not null and text is not null")
+    sketch_bits = sketch_bits or V.fitting_bits(docs)
 
     def anchors(piece):
         s = Stretches(C.raw(piece), width)
@@ -357,8 +383,7 @@ def byte_dedup(docs: DataFrame, width: int = 50, sketch_bits: int = 27) -> DataF
             texts = [x for h in held for x in h[6]]
             held.clear()
             order = np.lexsort((length, print_, anchor))
-            a, p, e = anchor[order], print_[order], length[order]
-            fresh = np.append(True, (a[1:] != a[:-1]) | (p[1:] != p[:-1]) | (e[1:] != e[:-1]))
+            fresh = _distinct(order, [anchor, print_, length], texts)
             of = np.cumsum(fresh) - 1
             kept = order[fresh]
             bucket = (anchor[kept] >> np.uint64(40)).astype(np.int64) % shards
