@@ -24,8 +24,6 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE
 #: Where a text may be cut without changing its words: before a space that something other than white space follows.
 UNEVEN = regex.compile(rf" (?=[{SPACE}]|$)")
 CUT = regex.compile(rf"(?= [^{SPACE}])", flags=regex.V1)
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 1_200_000
 
 
 def byte_symbols() -> list[str]:
@@ -74,8 +72,7 @@ class Bpe:
         for k in sorted(usable.values(), key=lambda k: made[k]):  # a part that is unsound makes the whole unsound
             if made[k] >= 0:
                 self.sound[k] &= self.sound[left[k]] and self.sound[right[k]]
-        self.words: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.words, self.spaced = C.Remembered(8 << 20), C.Remembered(64 << 20)  # chunks, and chunks behind a space
         self.counts = {"proposed": 0, "merged": 0}
 
     def _trie(self, usable: dict[bytes, int]) -> None:
@@ -246,9 +243,6 @@ class Bpe:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self.words) + len(self.spaced) > REMEMBERED:
-            self.words.clear()
-            self.spaced.clear()
         plans, new, new_spaced = [], set(), set()
         for text in texts:
             plan = []
@@ -269,11 +263,11 @@ class Bpe:
                         new.add(head)
                     new_spaced.update(tail)
             plans.append(plan)
-        fresh = [x for x in new if x not in self.words]
-        self.words.update(zip(fresh, self._learn(fresh), strict=True))
-        fresh = [x for x in new_spaced if x not in self.spaced]
-        self.spaced.update(zip(fresh, self._learn([" " + x for x in fresh]), strict=True))
-        one, two = self.words.__getitem__, self.spaced.__getitem__
+        fresh = self.words.missing(new)
+        self.words.learn(dict(zip(fresh, self._learn(fresh), strict=True)))
+        fresh = self.spaced.missing(new_spaced)
+        self.spaced.learn(dict(zip(fresh, self._learn([" " + x for x in fresh]), strict=True)))
+        one, two = self.words.new.__getitem__, self.spaced.new.__getitem__
         out = []
         for plan in plans:
             got = []
@@ -300,7 +294,11 @@ ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
 def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), one row for each row of docs; null text counts as empty."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), one row for each row of docs, repeated rows too.
+
+    Null text counts as empty and has no ids; texts are encoded whole; an empty table gives an empty result. Other columns
+    of docs, whatever their names, are not read.
+    """
     path = C.vocabulary_path(tokenizer)
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
@@ -329,7 +327,8 @@ def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFram
 def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one pass, one row for each row of docs.
 
-    Null text counts as empty (no ids). Repeated rows give repeated results; an empty table an empty one.
+    Null text counts as empty (no ids); texts are encoded whole. Repeated rows give repeated results; an empty table an
+    empty one. Other columns of docs, whatever their names, are not read.
     """
     path = C.vocabulary_path(tokenizer)
 
