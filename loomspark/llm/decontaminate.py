@@ -106,17 +106,23 @@ def windows(items: list[tuple[int, bytes]], width: int) -> dict[bytes, list[int]
     return {k: sorted(v) for k, v in out.items()}
 
 
-def benchmark_blocks(benchmark: DataFrame, width: int, block_items: int) -> list:
-    """The stated test set, a block of items at a time: the broadcast of a block is bounded whatever the set's size."""
+#: Bytes of item texts after which a block ends.
+BLOCK_BYTES = 16 << 20
+
+
+def benchmark_blocks(benchmark: DataFrame, width: int, block_items: int):
+    """The stated test set, a block at a time: the driver holds one block, which is bounded in items and in bytes."""
     # null item_ids cannot be named in a result
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary")).toLocalIterator()
-    blocks, some = [], []
+    some, size, made = [], 0, 0
     for r in rows:
         some.append((r[0], bytes(r[1])))
-        if len(some) == block_items:
-            blocks.append(windows(some, width))
-            some = []
-    return [*blocks, windows(some, width)] if some or not blocks else blocks
+        size += len(r[1])
+        if len(some) == block_items or size >= BLOCK_BYTES:
+            yield windows(some, width)
+            some, size, made = [], 0, made + 1
+    if some or not made:
+        yield windows(some, width)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_items: int = 20_000) -> DataFrame:
@@ -124,13 +130,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
 
     A document word inside any occurrence of a window (`width` consecutive words of an item, or a shorter item whole)
     is hit. Null or empty texts have no words and no hits; items without words or without item_id match nothing;
-    repeated items and rows count as they stand. The benchmark is searched in blocks of block_items items.
+    repeated items and rows count as they stand; an empty table gives an empty result, an empty benchmark no hits. Texts
+    are read whole. Other columns of either table, whatever their names, are not read. The benchmark is searched in
+    blocks of block_items items, or of BLOCK_BYTES bytes.
     """
     spark = docs.sparkSession
-    blocks = benchmark_blocks(benchmark, width, block_items)
     out = C.texts(docs).withColumns({"hits": F.lit(None).cast("binary"), "found": F.lit(None).cast("array<long>"), "n_words": F.lit(0).cast("long")})
     schema = "doc_id long, text string, hits binary, found array<long>, n_words long"
-    for block in blocks:
+    for block in benchmark_blocks(benchmark, width, block_items):
         shared = spark.sparkContext.broadcast(block)
 
         def search(piece: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
@@ -178,7 +185,11 @@ def _machine(shared):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_items: int = 20_000) -> DataFrame:
-    """The rows of docs without a hit, with all their columns: a pass for each block of items, nothing is dealt out."""
+    """The rows of docs without a hit, with all their columns under any names: a pass for each block, nothing is dealt out.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; an empty table stays empty.
+    """
+    C.small_batches(docs.sparkSession)
     out = docs
     for block in benchmark_blocks(benchmark, width, block_items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
