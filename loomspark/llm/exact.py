@@ -1,7 +1,8 @@
 """Exact dedup with a cuckoo-filter index.
 
-Rows of equal text meet by their SHA-256. Each task first files its own rows in an index (so a text that a third of
-all rows share leaves a task as one row), then the tasks' live digests meet, dealt by digest, in a second index.
+Each task first files its own rows in an index, where a hit is verified against the text that the bucket stands for, so
+a text that a third of all rows share leaves a task as a few rows. Then the tasks' live digests meet, dealt by digest,
+in a second index, whose buckets hold SHA-256 and length of each text; those decide there.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from . import common as C
 class CuckooIndex:
     """Live digests with a value each. A bucket's four slots hold 16-bit prints beside the stored digests.
 
-    A print that matches is only a hint: the stored digest in that slot decides. When an insertion finds no place after
+    A print that matches is only a hint: the digest stored in that slot decides, and behind it what the value stands for. When an insertion finds no place after
     `kicks` moves, the table doubles and the stored digests are filed again, so no digest is ever lost.
     """
 
@@ -97,27 +98,41 @@ class CuckooIndex:
 LOCAL = "digest binary, batch long, top long, n long, ids array<long>"
 #: Rows of one text in one row of LOCAL.
 MOST_IDS = 10_000
+#: Bytes of different texts, and rows, that a task's index stands for at most; then it leaves and a new one begins.
+MOST_BYTES, MOST_ROWS = 16 << 20, 100_000
 
 
 def _local(batches):
-    """Files a task's rows; of each batch every distinct text leaves once (a very common one in rows of MOST_IDS ids)."""
+    """Files a task's rows; every distinct text leaves the index once (a very common one in rows of MOST_IDS ids)."""
     uid = C.counter()
-    for batch in batches:
-        index, groups = CuckooIndex(), []
-        for doc, text in zip(C.ids(batch), C.raw(batch), strict=True):
-            digest = hashlib.sha256(text).digest()
-            at = index.get(digest)
-            if at is None or len(groups[at][1]) >= MOST_IDS:
-                if at is not None:  # the full group is no longer live
-                    index.delete(digest)
-                index.insert(digest, len(groups))
-                groups.append((digest, [doc]))
-            else:
-                groups[at][1].append(doc)
-        for _, docs in groups:
+    index, groups, size, rows = CuckooIndex(), [], 0, 0
+
+    def leave():
+        for _, docs, _ in groups:
             docs.sort(key=lambda d: (d is not None, d or 0), reverse=True)
-        if groups:
-            yield C.batch_of(["digest", "batch", "top", "n", "ids"], [[g[0] for g in groups], [next(uid) for _ in groups], [g[1][0] for g in groups], [len(g[1]) for g in groups], [g[1] for g in groups]], [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
+        return C.batch_of(["digest", "batch", "top", "n", "ids"], [[g[0] for g in groups], [next(uid) for _ in groups], [g[1][0] for g in groups], [len(g[1]) for g in groups], [g[1] for g in groups]], [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
+
+    for batch in batches:
+        for piece in C.slices(batch):
+            for doc, text in zip(C.ids(piece), C.raw(piece), strict=True):
+                digest = hashlib.sha256(text).digest() + len(text).to_bytes(8, "big")
+                at = index.get(digest)
+                if at is not None and groups[at][2] != text:
+                    raise ValueError("two texts of one length and SHA-256")
+                if at is None or len(groups[at][1]) >= MOST_IDS:
+                    if at is not None:  # the full group is no longer live
+                        index.delete(digest)
+                    index.insert(digest, len(groups))
+                    groups.append((digest, [doc], text))
+                    size += len(text)
+                else:
+                    groups[at][1].append(doc)
+                rows += 1
+            if size >= MOST_BYTES or rows >= MOST_ROWS:
+                yield leave()
+                index, groups, size, rows = CuckooIndex(), [], 0, 0
+    if groups:
+        yield leave()
 
 
 def _global(batches):
@@ -141,22 +156,25 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs.
 
     Null text counts as empty. Of equal texts the row with the largest doc_id stays; a null doc_id ranks below all
-    others; of rows that repeat both text and doc_id exactly one stays. An empty table gives an empty result.
+    others; of rows that repeat both text and doc_id exactly one stays. An empty table gives an empty result. Other
+    columns of docs, whatever their names, are not read.
     """
+    n = C.parts(docs.sparkSession)
     local = C.materialise(C.texts(docs).mapInArrow(_local, LOCAL), "exact")
-    live = local.select("digest", "batch", "top", "n").repartition("digest").mapInArrow(_global, "digest binary, keep_id long, keep_batch long, group_size long")
+    live = local.select("digest", "batch", "top", "n").repartition(n, "digest").mapInArrow(_global, "digest binary, keep_id long, keep_batch long, group_size long")
     return local.join(live, "digest").select("*", F.posexplode("ids").alias("at", "doc_id")).select(
         "doc_id",
         "keep_id",
         "group_size",
         ((F.col("batch") == F.col("keep_batch")) & (F.col("at") == 0)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        F.lower(F.hex(F.substring("digest", 1, 32))).alias("text_sha256"),
     )
 
 
 def keep_one_of_equal(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with their columns; of rows that repeat id and text one.
+    """The rows of docs that exact_dedup keeps, with their columns under any names; of rows that repeat id and text one.
 
+    Nulls, ties and empty tables: see there.
     Rows meet by id and digest, so a text that very many share is spread over as many keys as it has ids.
     """
     row, mark, n = C.spare_names(docs, "row", "mark", "n")
