@@ -1,8 +1,9 @@
 """Language-model scores: the marginal probability of a text over all its segmentations into subwords.
 
-The vocabulary and its scores are those of a public subword model. A score is a rank there, so it gives a Zipf prior;
-expected counts of the pieces over all training documents, under that prior, make it the model's unigram weights. A
-text is a stream of independent pieces, closed by an end; the forward recursion sums over every segmentation of a word
+The vocabulary and its scores are those of a public subword model. A score there is a rank: pieces were merged in the
+order of their frequency. Zipf's law in Mandelbrot's form, with the offset usual for words, turns ranks into weights.
+The contract asks for learning from the training documents: the expected counts of the pieces over all of them, under
+those weights, are added to the weights of PRIOR pieces, twice. A text is a stream of independent pieces, closed by an end; the forward recursion sums over every segmentation of a word
 in log space. Beside it stands a word-unigram score with add-one smoothing from counts over all training documents.
 """
 
@@ -22,10 +23,14 @@ from . import common as C
 MARK = "▁".encode()
 #: No word holds white space, so the end of a text has a name of its own.
 END = b"\n"
-#: Weight of the prior, in pieces, against the expected counts.
+#: Mandelbrot's offset of the rank.
+OFFSET = 2.7
+#: Weight of the vocabulary's own scores, in pieces, against the expected counts.
 PRIOR = 1000.0
+#: Bytes of text whose words are numbered together.
+GATHERED = 8 << 20
 #: Words whose lattice is laid out together.
-TOGETHER = 40_000
+TOGETHER = 20_000
 
 
 class Vocabulary:
@@ -43,7 +48,7 @@ class Vocabulary:
                 prior[k] = 1e-7
             elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k) or "▁" in text[1:]):
                 pieces[text.encode()] = k
-                prior[k] = 1.0 / (10.0 - model.get_score(k))
+                prior[k] = 1.0 / (1.0 + OFFSET - model.get_score(k))  # the first rank is 0 here
         self.end = model.get_piece_size()
         prior[self.end] = 1e-2
         self.prior = prior / prior.sum()
@@ -189,10 +194,12 @@ BODY = "kind int, batch long, bucket int, words binary, sizes binary, counts bin
 NAMES = [x.split()[0] for x in BODY.split(", ")]
 
 def score_documents(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row for each row of docs.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row for each row of docs, repeated rows
+    too (each is learned from); an empty table gives none.
 
-    Null text counts as empty: one token, the end. held_out: crc32(doc_id as text) mod 7 is 2; a null doc_id is not
-    held out and not learned from. Without training documents the base is uniform and the pieces have their prior.
+    Null text counts as empty: one token, the end. Texts are read whole. held_out: crc32(doc_id as text) mod 7 is 2; a
+    null doc_id is not held out and not learned from. Without training documents the base is uniform and the pieces have
+    the vocabulary's weights. Other columns of docs, whatever their names, are not read.
     """
     path = C.vocabulary_path(vocabulary_file)
     spark = docs.sparkSession
@@ -200,18 +207,26 @@ def score_documents(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model
     rows = C.texts(docs).withColumn("fold", C.crc_fold(F.col("doc_id"), 7))
 
     def gather(batches):
-        uid = C.counter()
+        uid, held, size, rows = C.counter(), [], 0, 0
         for batch in batches:
-            for piece in C.slices(batch, 4 * C.STEP_BYTES):
-                for k in range(0, piece.num_rows, 60_000):
-                    yield from bodies(piece.slice(k, 60_000), next(uid))
+            for piece in C.slices(batch):
+                if held and rows + piece.num_rows > 60_000:
+                    yield from bodies(pa.Table.from_batches(held).combine_chunks().to_batches()[0], next(uid))
+                    held, size, rows = [], 0, 0
+                held.append(piece)
+                size, rows = size + piece.nbytes, rows + piece.num_rows
+                if size >= GATHERED:
+                    yield from bodies(pa.Table.from_batches(held).combine_chunks().to_batches()[0], next(uid))
+                    held, size, rows = [], 0, 0
+        if held:
+            yield from bodies(pa.Table.from_batches(held).combine_chunks().to_batches()[0], next(uid))
 
     def bodies(piece, uid):
         ids: dict = defaultdict()
         ids.default_factory = ids.__len__
-        at = [list(map(ids.__getitem__, [*t.lower().split(), END])) for t in C.raw(piece)]
+        at = [np.array(list(map(ids.__getitem__, [*t.lower().split(), END])), dtype=np.int32) for t in C.raw(piece)]
         tokens = np.fromiter(map(len, at), dtype=np.int64, count=len(at))
-        word = np.fromiter((x for a in at for x in a), dtype=np.int64, count=int(tokens.sum()))
+        word = np.concatenate(at).astype(np.int64)
         del at
         doc = np.repeat(np.arange(len(tokens)), tokens)
         words = list(ids)
