@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +133,8 @@ def _features(pieces):
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Forest:
     """Learns from labelled documents whose crc32(doc_id) mod 3 is not 1: sample_rows at most, chosen by a hash of the id.
 
-    A document with several labels has their rounded mean; null labels and ids are left out.
+    A document with several labels has their rounded mean; null labels and ids are left out. Of rows that repeat an id
+    that with the smallest hash of its text counts.
     """
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("double").alias("y")).where("doc_id is not null and y is not null").where(C.crc_fold(F.col("doc_id"), 3) != 1)
     chosen = marks.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("__y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -140,21 +142,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Forest
     def run(batches):
         for batch in batches:
             for piece, x in _features(C.slices(batch)):
-                yield C.batch_of(["doc_id", "y", "x"], [C.ids(piece), piece.column("__y").to_pylist(), list(x)], [pa.int64(), pa.float64(), pa.list_(pa.float64())])
+                marks = [xxhash.xxh3_64_intdigest(t) >> 1 for t in C.raw(piece)]
+                yield C.batch_of(["doc_id", "y", "mark", "x"], [C.ids(piece), piece.column("__y").to_pylist(), marks, list(x)], [pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())])
 
-    got = C.texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, y double, x array<double>").toArrow()  # sample_rows rows at most, where ids are unique
+    rows = C.texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, y double, mark long, x array<double>")
+    # Of rows that repeat an id one, so that no more than sample_rows rows reach the driver.
+    got = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("x", "mark").alias("x")).toArrow()
     if not got.num_rows:
         return boost(np.zeros((0, FEATURES)), np.zeros(0))
-    order = np.lexsort((got.column("y").to_numpy(), got.column("doc_id").to_numpy()))
+    order = np.argsort(got.column("doc_id").to_numpy())
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
     return boost(x[order], got.column("y").to_numpy()[order])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """doc_id, held_out, score, predicted, one row for each row of docs.
+    """doc_id, held_out, score, predicted, one row for each row of docs, repeated rows too; an empty table gives none.
 
-    Null text counts as empty and is scored like any other. held_out: crc32(doc_id as text) mod 3 is 1 (false for a
-    null doc_id). Without labels every score is 0.5.
+    Null text counts as empty and is scored like any other; texts are read whole. held_out: crc32(doc_id as text) mod 3
+    is 1 (false for a null doc_id). Without labels every score is 0.5. Of docs only doc_id and text are read, of labels
+    only doc_id and quality, whatever other columns there are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_rows))  # a fixed number of nodes
 
