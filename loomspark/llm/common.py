@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,9 +42,12 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset and one machine does all the work, one of
+    our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -296,7 +296,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 3) -> Data
 
     component_id is the smallest doc_id reachable over links, the document itself included. Texts that are null or
     without words have fingerprint zero and are linked like any other. A null doc_id joins components but never names
-    one that has another id. Repeated rows share a component; an empty table gives an empty result.
+    one that has another id. Texts are read whole. Repeated rows share a component; an empty table gives an empty result.
+    Other columns of docs, whatever their names, are not read.
     """
     prints = C.materialise(fingerprints(docs, shingle), "prints")
     first = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
@@ -386,7 +387,8 @@ def _left_apart(nodes: DataFrame, checked: DataFrame, known: DataFrame, bits: in
     its shingles.
     """
     groups = C.materialise(components(checked.select("a", "b")).select("node", F.col("root").alias("group")), "groups")
-    tried = checked.join(groups, F.col("a") == F.col("node")).groupBy("group").agg(F.count("*").alias("tried"), F.count_if(~F.col("holds")).alias("lost")).where("lost > 0")
+    of_node = checked.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("tried"), F.count_if(~F.col("holds")).alias("lost"))  # so that a text with very many candidates is one row
+    tried = of_node.join(groups, "node").groupBy("group").agg(F.sum("tried").alias("tried"), F.sum("lost").alias("lost")).where("lost > 0")
     still = groups.groupBy("group").agg(F.count("*").alias("n")).join(tried, "group").where("tried < n * (n - 1) div 2").select("group", "n")
     rows = C.materialise(groups.join(still, "group").join(nodes.select("node", *PRINTS), "node").join(known, "node"), "apart")
     many = rows.groupBy("group").agg(F.ceil(F.greatest(F.first("n") / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES, F.lit(1))).alias("many"))

@@ -21,7 +21,7 @@ from . import windows as V
 #: Bytes of the parts that anchors are chosen from.
 PART = 16
 #: Stretches of a task that are handed on together.
-GATHERED = 100_000
+GATHERED = 150_000
 #: Bytes of text that one suffix array covers, unless one anchor's stretches alone are more.
 SHARD_BYTES = 512 << 10
 #: Alphabets up to this size are induced bucket by bucket, larger ones (they arise in the recursion) suffix by suffix.
@@ -104,7 +104,7 @@ def _induce_each(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, counts:
     An empty place holds suffix 0, which brings in none: the last suffix, at -1, is no larger-type one, and smaller-type
     places are filled before the way back reads them.
     """
-    n = len(s)
+    n, s = len(s), s.astype(np.int64)
     ends = np.cumsum(counts)
     sa = np.zeros(n, dtype=np.int64)
     _place(sa, ends - np.bincount(s[leftmost], minlength=len(counts)), s, leftmost, 1)

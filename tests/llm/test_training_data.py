@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, components, decontaminate, exact, language, lm, quality, queries, simhash, substrings, suffixes, tokenfile
 from loomspark.llm.common import vocabulary_path
@@ -222,11 +223,11 @@ def candidate_roots(texts, bits=5):
     n = range(len(texts))
     words = [t.encode().lower().split() for t in texts]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
-    prints = [simhash.fingerprint(t.encode(), 1, True) for t in texts]
+    prints = [simhash.word_fingerprints(t.encode()) for t in texts]
     root = list(n)
     for a in n:
         for b in range(a):
-            if root[a] != root[b] and (prints[a] ^ prints[b]).bit_count() <= bits and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if root[a] != root[b] and min((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= bits and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = sorted((root[a], root[b]))
                 root = [x if r == y else r for r in root]
     return dict(zip(n, root, strict=True))
@@ -250,7 +251,7 @@ def test_near_copies_of_a_crowd(spark, monkeypatch, block):
     r = random.Random(5)
     hub = [f"w{k}" for k in range(451)]
     texts = [moved(r, hub, 3, 2) for _ in range(400)] + [" ".join(hub)]
-    assert len({simhash.fingerprint(t.encode(), 1, True) for t in texts}) > 16
+    assert len({simhash.word_fingerprints(t.encode())[0] for t in texts}) > 16
     want = candidate_roots(texts)
     assert max(Counter(want.values()).values()) > 300
     assert {x.doc_id: x.component_id for x in simhash.similar_components(frame(spark, texts)).collect()} == want
@@ -266,11 +267,71 @@ def test_near_copies_of_one_fingerprint(spark):
         other = r.sample(base, len(base))
         near = [moved(r, base, 2) for _ in range(6)]
         texts += [" ".join(other), hub, *near[: g % 6 + 1], *([moved(r, other, 1)] if g % 2 else [])]
-    assert len({simhash.fingerprint(t.encode(), 1, True) for t in texts}) <= 12
+    assert len({simhash.word_fingerprints(t.encode())[0] for t in texts}) <= 12
     want = candidate_roots(texts)
     assert {x.doc_id: x.component_id for x in simhash.similar_components(frame(spark, texts)).collect()} == want
 
 
+def test_pairs_over_one_vocabulary(spark):
+    """Thirty pairs of near copies whose texts all have the same words: every pair is found, nothing else."""
+    r = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(240)]
+    texts = []
+    for _ in range(30):
+        one = r.sample(vocabulary, len(vocabulary))
+        two = list(one)
+        two[-1], two[-2] = two[-2], two[-1]
+        texts += [" ".join(one), " ".join(two)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_components(frame(spark, texts)).collect()}
+    assert got == {k: k - k % 2 for k in range(60)}
+
+
+def test_two_thousand_members_of_a_key(spark):
+    """One fingerprint with 2000 texts in a thousand pairs, and one with 2000 copies of a hub: no link is lost."""
+    r = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(60)]
+    texts = []
+    for _ in range(1000):
+        one = r.sample(vocabulary, len(vocabulary))
+        texts += [" ".join(one), " ".join([*one[:-2], one[-1], one[-2]])]
+    hub = [f"h{k}" for k in range(300)]
+    texts += [" ".join(hub), *(moved(r, hub, 2) for _ in range(2000))]
+    got = {x.doc_id: x.component_id for x in simhash.similar_components(frame(spark, texts)).collect()}
+    assert all(got[k] == k - k % 2 for k in range(2000))
+    hubs = [t.split() for t in texts[2000:]]
+    near = {tuple(hubs[0][i : i + 5]) for i in range(296)}
+    like = [len(near & (own := {tuple(w[i : i + 5]) for i in range(296)})) / len(near | own) for w in hubs]
+    assert sum(x >= 0.8 for x in like) > 1500 and all(got[2000 + k] == 2000 for k, x in enumerate(like) if x >= 0.8)
+
+
+def test_recall_of_near_copies(spark):
+    """Of all pairs with a similarity of 0.8 or more, found by their rarest common shingles, 95 of 100 are in one component."""
+    if not os.path.isdir("/root/testdata/sf0.1"):
+        pytest.skip("test tables are not here")
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {t: k for k, t in df.orderBy(F.desc("doc_id")).collect()}
+    texts = {k: t for t, k in texts.items() if t}
+    sets = {k: set(simhash.shingle_set(t.encode(), 5).tolist()) for k, t in texts.items()}
+    times = Counter(x for own in sets.values() for x in own)
+    filed, pairs = {}, []
+    for k in sorted(sets, key=lambda k: len(sets[k])):
+        own = sorted(sets[k], key=lambda x: (times[x], x))
+        for j in {j for x in own[: len(own) - math.ceil(0.8 * len(own)) + 1] for j in filed.get(x, ())}:
+            if len(sets[j] & sets[k]) >= 0.8 * len(sets[j] | sets[k]):
+                pairs.append((j, k))
+        for x in own[: len(own) - math.ceil(0.8 * len(own)) + 1]:
+            filed.setdefault(x, []).append(k)
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()}
+    assert len(pairs) > 40 and sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_names_that_clash_with_helpers(spark):
+    rows = [(1, "a b c d e f g", 1, 1, 1, 1, 1, 1), (2, "a b c d e f g", 2, 2, 2, 2, 2, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, kept int, n int, __id int, __row int, mark int")
+    assert simhash.keep_one_of_near(df).collect() == [rows[0]]
+    assert exact.keep_one_of_equal(df).collect() == [rows[1]]
+
+
 def test_near_copies_of_odd_rows(spark, empty, docs, texts):
     assert simhash.keep_one_of_near(empty).count() == 0
     got = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
@@ -371,8 +432,69 @@ def test_language_keeps_texts_where_none_is_known(spark):
 
 def test_language_backs_off():
     model = language.LanguageModel([("en", "night", 9), ("de", "nacht", 9)])
-    assert model.word_scores("nightly").argmax() == model.langs.index("en") and model.word_scores("nachts").argmax() == model.langs.index("de")
-    assert not model.word_scores("漢").any()
+    nightly, nachts, none = model.scores(["nightly", "nachts", "漢"])
+    assert nightly.argmax() == model.langs.index("en") and nachts.argmax() == model.langs.index("de") and not none.any()
+
+
+def test_language_scores_by_hand(spark, texts):
+    """Counts, back-off and shares written out one by one."""
+    rows = [(k, t, ["en", "fr", None, "de"][k % 4]) for k, t in enumerate(texts)] + [(k, f"unseen{k} wörter and tokens", None) for k in range(900, 930)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    cut = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    langs, tables = ["de", "en", "fr"], {n: {} for n in (0, 5, 4, 3, 2, 1)}
+    parts = lambda w, n: [w] if n == 0 else list(w) if n == 1 else [f"\2{w}\3"[i : i + n] for i in range(len(w) + 3 - n)]
+    for k, t, lang in rows:
+        if lang and t and zlib.crc32(str(k).encode()) % 5:
+            for w in cut(t):
+                for n, table in tables.items():
+                    for g in parts(w, n):
+                        table.setdefault(g, Counter())[lang] += 1
+    sums = {n: Counter() for n in tables}
+    for n, table in tables.items():
+        for c in table.values():
+            sums[n].update(c)
+    log = lambda n, g, lang: math.log((tables[n][g][lang] + 0.5) / (sums[n][lang] + 0.5 * (len(tables[n]) + 1)))
+    got = {r.doc_id: r for r in language.identify(df).collect()}
+    for k, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t) or k % 7 and len(t) > 5000:
+            continue
+        total = dict.fromkeys(langs, 0.0)
+        for w, times in Counter(cut(t)).items():
+            for n in tables:
+                known = [g for g in parts(w, n) if g in tables[n]]
+                if known:
+                    for lang in langs:
+                        total[lang] += times * sum(log(n, g, lang) for g in known) / len(known)
+                    break
+        best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+        share = 1 / sum(math.exp(min(700, total[x] - total[best])) for x in langs)
+        assert got[k].score == pytest.approx(share, rel=1e-3, abs=1e-6), (k, t)
+        if share > 0.5 + 1e-6:
+            assert got[k].lang_pred == best
+
+
+def test_remembered_parts_are_bounded():
+    from loomspark.llm.common import Remembered
+
+    known = Remembered(1 << 16)
+    for k in range(40):
+        keys = {"often", *(f"{k}-{j}" for j in range(50))}
+        missing = known.missing(keys)
+        assert ("often" in missing) == (k == 0) and keys - set(missing) <= known.new.keys()
+        known.learn({x: b"v" for x in missing})
+        assert len(known.new) + len(known.old) < (1 << 16) / Remembered.EACH + 60
+
+
+def test_word_windows_tell_complementary_words_apart(spark):
+    """Two words whose polynomial hashes modulo 2 ** 64 are equal for any base."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(12))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"{w} {tail}" for x in (one, other) for w in (x, x[:200], x[:256], x[:257])] + [f"{one} {tail}"]
+    got = sorted((r.doc_id, r.n_removed) for r in substrings.word_window_dedup(frame(spark, texts)).collect())
+    assert got == [(k, 0) for k in range(8)] + [(8, 13)]
 
 
 def test_byte_dedup(docs, texts):
@@ -407,6 +529,25 @@ def test_suffix_arrays_and_prefixes(monkeypatch):
                 assert lcp[b] == n
 
 
+def test_induction_sorts_every_level(monkeypatch):
+    """On text of a shard's kind the reduced strings have large alphabets; they too are sorted by induction alone."""
+    r, sizes, each = random.Random(7), [], suffixes._induce_each
+    monkeypatch.setattr(suffixes, "_induce_each", lambda s, small, leftmost, counts: sizes.append(len(counts)) or each(s, small, leftmost, counts))
+    words_ = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    half = " ".join(r.choice(words_) for _ in range(5000))
+    text = (half + "\n" + half[7000:20000] + "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" + half).encode()
+    assert suffixes.suffix_array(np.frombuffer(text, dtype=np.uint8)).tolist() == sorted(range(len(text)), key=lambda k: text[k:])
+    assert sizes and max(sizes) > 1024
+
+
+def test_equal_prints_of_different_stretches(monkeypatch):
+    """Bytes decide: with a hash that is always the same, nothing else is removed."""
+    a, b = b"x" * 60, b"y" * 60
+    order = np.array([0, 2, 1])
+    same = np.zeros(3, dtype=np.uint64)
+    assert suffixes._distinct(order, [same, same], [a, b, a]).tolist() == [True, False, True]
+
+
 def test_word_window_dedup(docs, texts):
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     first = {}
