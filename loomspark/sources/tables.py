@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,13 @@ from pyspark.sql import Window as W
 
 
 def workspace(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which executors share; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomspark-")
+    """A fresh folder under spark.checkpoint.dir, which executors share; a temporary one only where that is unset and one
+    machine does all the work."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="loomspark-")
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
