@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..sources.tables import latest_record
 
@@ -24,6 +25,51 @@ def judged(requests: DataFrame, cache: DataFrame, keys: list[str], answer: Calla
     return hit.withColumn("cached", F.lit(True)).unionByName(asked.join(answer(asked).select(*on, "answer"), on, "left").withColumn("cached", F.lit(False)))
 
 
+#: Axes of one turn that are asked for a direction.
+MOST_ACTIVE = 4
+
+
+def two_stage_scores(turns: DataFrame, keys: list[str], axes: list, screen: Callable[[DataFrame], DataFrame], direct: Callable[[DataFrame], DataFrame], most: int = MOST_ACTIVE) -> DataFrame:
+    """keys, axis, score, evidence, failed of every turn and axis: 0 where nothing is said.
+
+    screen returns keys, triggered (an array of axes) and failed; unknown axes are left out, then the first `most` stay.
+    direct sees a row for each turn and axis that is left (with the turn's columns) and returns keys, axis, direction,
+    evidence and failed; a direction other than 1 and -1 counts as none. failed marks a turn of which any call failed: its
+    zeros may be no zeros.
+    """
+    known = F.array(*map(F.lit, axes))
+    screened = screen(turns).select(*keys, F.slice(F.filter("triggered", lambda a: F.array_contains(known, a)), 1, most).alias("triggered"), F.coalesce("failed", F.lit(False)).alias("__screen"))
+    asked = turns.join(screened.where("not __screen").select(*keys, F.explode(F.array_distinct("triggered")).alias("axis")), keys)
+    got = direct(asked).select(*keys, "axis", "direction", "evidence", F.coalesce("failed", F.lit(False)).alias("__direct"))
+    lost = got.groupBy(*keys).agg(F.bool_or("__direct").alias("__lost"))
+    every = turns.select(*keys, F.explode(known).alias("axis")).join(screened.select(*keys, "__screen"), keys, "left").join(lost, keys, "left").join(got, [*keys, "axis"], "left")
+    said = F.col("direction").isin(1, -1) & ~F.coalesce("__direct", F.lit(False))
+    failed = F.coalesce("__screen", F.lit(False)) | F.coalesce("__lost", F.lit(False))
+    return every.select(*keys, "axis", F.when(said, F.col("direction").cast("int")).otherwise(0).alias("score"), F.when(said, F.coalesce("evidence", F.lit(""))).otherwise("").alias("evidence"), failed.alias("failed"))
+
+
+# The calls that change files, and those that plan, in a rendered turn.
+EDIT_CALLS = ("Edit", "MultiEdit", "Write", "NotebookEdit")
+PLAN_CALLS = ("EnterPlanMode", "ExitPlanMode")
+
+
+def rendered_turns(blocks: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, text, n_calls, edit_calls, edits_before_text, plan_mode of each turn, from its blocks in order.
+
+    blocks: keys, order, kind (said, called or returned), name (of the tool), body. What was said and called is a line
+    each, what came back an indented one on which line ends are spaces; blank texts are left out.
+    """
+    kind, body = F.col("kind"), F.trim(F.coalesce("body", F.lit("")))
+    line = F.when((kind == "said") & (body != ""), F.concat(F.lit("ASSISTANT: "), body)).when(kind == "called", F.concat(F.lit("TOOL "), F.coalesce("name", F.lit("")), F.lit(": "), body)).when(kind == "returned", F.concat(F.lit("  -> "), F.replace(body, F.lit("\n"), F.lit(" "))))
+    first = F.min(F.when((kind == "said") & (body != ""), F.col(order)))
+    edit = (kind == "called") & F.col("name").isin(*EDIT_CALLS)
+    rows = blocks.withColumns({"__line": line, "__first": first.over(W.partitionBy(*keys))})
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("__line").isNotNull(), F.struct(order, "__line")))), lambda s: s["__line"])  # one turn's
+    early = edit & (F.col("__first").isNull() | (F.col(order) < F.col("__first")))
+    plan = (kind == "called") & F.col("name").isin(*PLAN_CALLS)
+    return rows.groupBy(*keys).agg(F.array_join(lines, "\n").alias("text"), F.count_if(kind == "called").alias("n_calls"), F.count_if(edit).alias("edit_calls"), F.count_if(early).alias("edits_before_text"), F.coalesce(F.bool_or(plan), F.lit(False)).alias("plan_mode"))
+
+
 def stub_answer(labels: list[str]) -> Callable[[DataFrame], DataFrame]:
     """An offline stand-in: a label by the hash of the prompt."""
 

@@ -63,6 +63,22 @@ def profiles(turns: DataFrame, threshold: float, least_sessions: int) -> DataFra
     return per.withColumn("confidence", conf).where((F.col("high") != F.col("low")) & (conf >= threshold) & (F.col("sessions") >= least_sessions)).select("user_id", "axis", F.when(F.col("high") > F.col("low"), "high").otherwise("low").alias("direction"), F.round("confidence", 6).alias("confidence"), "sessions")
 
 
+def of_exactly(sessions: DataFrame, entity: str, session: str, n: int) -> DataFrame:
+    """The rows of entities with exactly n sessions, so that all weigh alike."""
+    per = sessions.groupBy(entity).agg(F.countDistinct(session).alias("__n")).where(F.col("__n") == n).select(entity)
+    return sessions.join(per, entity, "left_semi")
+
+
+def retained_values(counts: DataFrame, threshold: float) -> DataFrame:
+    """user_id, axis, value: the confidence with the sign of the majority where it is above the threshold, else 0.
+
+    counts: user_id, axis, high, low.
+    """
+    c = laplace_confidence(F.col("high"), F.col("low"))
+    direction = F.signum(F.col("high") - F.col("low"))
+    return counts.select("user_id", "axis", F.when((c > threshold) & (direction != 0), direction * c).otherwise(0.0).alias("value"))
+
+
 def evidence_profiles(records: DataFrame, threshold: float, least_sessions: int) -> DataFrame:
     """user_id, axis, direction, confidence, high_confidence, high_turns, low_turns, supporting, contradicting (sessions).
 

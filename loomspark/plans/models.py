@@ -21,6 +21,28 @@ def l1_cached_judgments(t):
     return got.select("event_id", F.when(F.col("cached"), F.col("answer")).alias("kept"), "cached")
 
 
+@query("""WITH x AS (SELECT event_id, list_distinct(list_filter([event_id % 14, 40, (event_id * 3) % 14, (event_id + 5) % 14], lambda a: a < 14)) AS active, event_id % 11 = 0 AS lost FROM events WHERE event_type = 'signup')
+SELECT event_id, CAST(a AS BIGINT) AS axis, CAST(CASE WHEN lost OR NOT list_contains(active, a) OR (event_id + a) % 7 = 0 OR (event_id + a) % 5 = 0 THEN 0 WHEN (event_id + a) % 2 = 0 THEN 1 ELSE -1 END AS INTEGER) AS score,
+lost OR len(list_filter(active, lambda b: (event_id + b) % 7 = 0)) > 0 AS failed FROM x, (SELECT unnest(range(0, 14)) AS a)""")
+def l1_two_stage_scores(t):
+    """A stand-in screens and directs: some screens fail, some directions do, some are none."""
+    turns, k = t.events.where("event_type = 'signup'").select("event_id"), F.col("event_id")
+    screen = lambda df: df.withColumns({"triggered": F.array(k % 14, F.lit(40).cast("long"), (k * 3) % 14, (k + 5) % 14), "failed": k % 11 == 0})
+    sum_ = k + F.col("axis")
+    direct = lambda df: df.withColumns({"direction": F.when(sum_ % 5 == 0, 7).when(sum_ % 2 == 0, 1).otherwise(-1), "evidence": F.lit("said"), "failed": sum_ % 7 == 0})
+    return L.two_stage_scores(turns, ["event_id"], list(range(14)), screen, direct).select("event_id", F.col("axis").cast("long").alias("axis"), "score", "failed")
+
+
+@query("""SELECT conv_id, string_agg(CASE role WHEN 'assistant' THEN 'ASSISTANT: ' || trim(text) WHEN 'user' THEN 'TOOL ' || CASE WHEN turn % 3 = 0 THEN 'Edit' ELSE 'Read' END || ': ' || trim(text) ELSE '  -> ' || replace(trim(text), chr(10), ' ') END, chr(10) ORDER BY turn) AS text,
+CAST(count(*) FILTER (WHERE role = 'user') AS BIGINT) AS n_calls, CAST(count(*) FILTER (WHERE role = 'user' AND turn % 3 = 0) AS BIGINT) AS edit_calls, CAST(count(*) FILTER (WHERE role = 'user' AND turn % 3 = 0 AND (f IS NULL OR turn < f)) AS BIGINT) AS edits_before_text, false AS plan_mode
+FROM (SELECT *, min(turn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS f FROM conversations) GROUP BY 1""")
+def l6_rendered_turns(t):
+    role = F.col("role")
+    kind = F.when(role == "assistant", "said").when(role == "user", "called").otherwise("returned")
+    blocks = t.conversations.select("conv_id", "turn", kind.alias("kind"), F.when(F.col("turn") % 3 == 0, "Edit").otherwise("Read").alias("name"), F.col("text").alias("body"))
+    return L.rendered_turns(blocks, ["conv_id"], "turn")
+
+
 @query("SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN axis >= 14 THEN 'unknown axis' WHEN label NOT IN ('high', 'low', 'na') THEN 'unknown label' WHEN axis IN (0, 3) AND label = 'low' THEN 'no low side' WHEN label <> 'na' AND trim(evidence) = '' THEN 'no evidence' WHEN label = 'na' AND trim(evidence) <> '' THEN 'evidence without label' END AS reason FROM (SELECT event_id % 15 AS axis, CASE event_type WHEN 'purchase' THEN 'high' WHEN 'error' THEN 'low' WHEN 'view' THEN 'odd' ELSE 'na' END AS label, CASE WHEN event_id % 2 = 0 THEN 'said' ELSE ' ' END AS evidence FROM events)) GROUP BY 1")
 def l2_judgment_checks(t):
     kind = F.col("event_type")

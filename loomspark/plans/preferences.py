@@ -46,6 +46,30 @@ def v910_profiles(t):
     return P.profiles(P.turn_scores(t.events), 0.6, 2)
 
 
+@query(f"WITH {SESSIONS}, c AS (SELECT user_id, axis, sum(high) AS h, sum(low) AS l FROM v GROUP BY 1, 2) SELECT user_id, axis, round(CASE WHEN h <> l AND (greatest(h, l) + 1.0::DOUBLE) / (h + l + 2) > 0.6 THEN sign(h - l) * (greatest(h, l) + 1.0::DOUBLE) / (h + l + 2) ELSE 0 END, 6) AS value FROM c")
+def c10_retained_values(t):
+    counts = session_vectors(t).groupBy("user_id", "axis").agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
+    return P.retained_values(counts, 0.6).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {SESSIONS} SELECT user_id, axis, round(avg(mean), 6) AS mean FROM v WHERE user_id IN (SELECT user_id FROM v GROUP BY 1 HAVING count(DISTINCT session) = 5) GROUP BY 1, 2")
+def c10_balanced_profiles(t):
+    """Profiles of the users with exactly five sessions."""
+    return P.of_exactly(session_vectors(t), "user_id", "session", 5).groupBy("user_id", "axis").agg(F.round(F.avg("mean"), 6).alias("mean"))
+
+
+@query()
+def c10_confident_clusters(t):
+    """Clusters of users by their retained values, axes without one at zero."""
+    from ..operators import geometry as G
+    from ..operators.statistics import packed
+
+    counts = session_vectors(t).groupBy("user_id", "axis").agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
+    rows = packed(P.retained_values(counts, 0.6), "user_id", "axis", F.col("value"), list(range(P.AXES)))
+    filled = rows.select("user_id", F.transform("v", lambda x: F.coalesce(x, F.lit(0.0))).alias("v"))
+    return G.kmeans(filled, "user_id", "v", 3, seed=3, starts=5, rounds=10)[0]
+
+
 def _records(t):
     label = F.when(F.col("score") > 0, "high").when(F.col("score") < 0, "low").otherwise("na")
     return P.turn_scores(t.events).select("user_id", "axis", "session", "turn_number", label.alias("label"), "value")

@@ -47,6 +47,21 @@ def s7_discovery(t):
     return S.inventory({name: t.spark.read.parquet(path) for name, path in found.items()})
 
 
+@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id % 2 = 1 AND role = 'user'")
+def s8_one_split(t):
+    """A data set of two splits, of which one is read with a predicate."""
+    where = S.workspace(t.spark)
+    t.conversations.withColumn("split", F.when(F.col("conv_id") % 2 == 0, "train").otherwise("test")).write.partitionBy("split").parquet(where)
+    return S.read_split(t.spark, where, "test", F.col("role") == "user").select("conv_id", "turn", "role")
+
+
+@query("SELECT n_nationkey, 'NAME' AS name, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'REGION', CAST(n_regionkey AS VARCHAR) FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 'EMPTY', '' FROM nation")
+def x17_env_lines(t):
+    more = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("\r\nREGION="), F.col("n_regionkey").cast("string"))).otherwise(F.lit("\n#REGION=9"))
+    text = F.concat(F.lit('# settings\n\n NAME = "'), "n_name", F.lit('"\nno setting\n=nameless'), more, F.lit("\nNAME=later\nEMPTY=''\n"))
+    return S.env_lines(t.nation.select("n_nationkey", text.alias("text")), ["n_nationkey"], "text")
+
+
 def _columns_sql() -> str:
     """A row for each column of two tables: its kind, the name it is known by, rows and distinct values."""
     known = {"n_name": "'name'", "n_regionkey": "'region'", "r_name": "'name'", "r_regionkey": "'region'"}

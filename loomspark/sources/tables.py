@@ -77,6 +77,22 @@ def schema_report(tables: dict[str, DataFrame], logical: dict[str, list[str]]) -
     return out
 
 
+def read_split(spark: SparkSession, folder: str, split: str, keep: Column | None = None) -> DataFrame:
+    """One split of a data set laid out as folder/split=name, with a row predicate that reaches the scan."""
+    rows = spark.read.parquet(folder).where(F.col("split") == split).drop("split")
+    return rows if keep is None else rows.where(keep)
+
+
+def env_lines(files: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, name, value of KEY=VALUE lines; blank lines, comments and lines without a name are left out, quotes around a
+    value go, and of a name that comes again the first line counts."""
+    lines = files.select(*keys, F.posexplode(F.split(text, r"\r?\n")).alias("no", "line")).withColumn("line", F.trim("line"))
+    parts = F.regexp_extract("line", r"^([^=]*)=(.*)$", 1), F.regexp_extract("line", r"^([^=]*)=(.*)$", 2)
+    bare = F.regexp_replace(F.regexp_replace(F.trim(parts[1]), r'^"+|"+$', ""), r"^'+|'+$", "")
+    rows = lines.where("line <> '' and not startswith(line, '#')").select(*keys, "no", F.trim(parts[0]).alias("name"), bare.alias("value")).where("name <> ''")
+    return rows.groupBy(*keys, "name").agg(F.min_by("value", "no").alias("value"))
+
+
 def read_toml(spark: SparkSession, path: str) -> DataFrame:
     """key, value of a TOML file's entries; keys of tables are joined by dots, lists and dates are text. A small file, read
     through Spark so that any store works."""

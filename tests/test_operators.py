@@ -444,3 +444,62 @@ def test_cache_decides_what_is_asked(spark):
 
     assert {r.id: (r.answer, r.cached) for r in L.judged(asks, cache, ["id"], answer).collect()} == {1: ("new", True), 2: ("asked", False), 3: ("asked", False)}
     assert sorted(seen) == [2, 3]
+
+
+def test_two_stage_scores(spark):
+    from loomspark.operators import judging as L
+
+    turns = spark.createDataFrame([(k,) for k in range(1, 6)], "id int")
+    screened = {1: (["a", "zz", "b"], False), 2: (["a", "b", "c", "d", "e"], False), 3: ([], True), 4: (["c"], None), 5: (["e", "e"], False)}
+    table = spark.createDataFrame([(k, *v) for k, v in screened.items()], "id int, triggered array<string>, failed boolean")
+    seen = []
+
+    def direct(asked):
+        seen.extend((r.id, r.axis) for r in asked.collect())
+        return asked.withColumns({"direction": F.when(F.col("axis") == "b", -1.0).when(F.col("axis") == "c", 3.0).otherwise(1.0), "evidence": F.lit("x"), "failed": (F.col("id") == 1) & (F.col("axis") == "b")})
+
+    got = {(r.id, r.axis): (r.score, r.evidence, r.failed) for r in L.two_stage_scores(turns, ["id"], list("abcde"), lambda df: df.join(table, "id"), direct).collect()}
+    assert set(seen) == {(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (2, "d"), (4, "c"), (5, "e")} and len(got) == 25
+    assert got[1, "a"] == (1, "x", True) and got[1, "b"] == (0, "", True) and got[2, "b"] == (-1, "x", False) and got[2, "c"] == (0, "", False) and got[2, "e"] == (0, "", False)
+    assert got[3, "a"] == (0, "", True) and got[4, "c"] == (0, "", False) and got[5, "e"] == (1, "x", False)
+
+
+def test_rendered_turn(spark):
+    from loomspark.operators import judging as L
+
+    rows = [(1, 1, "called", "Edit", "f"), (1, 2, "returned", None, "a\nb"), (1, 3, "said", None, "  "), (1, 4, "said", None, "done "), (1, 5, "called", "ExitPlanMode", None), (2, 1, "returned", None, None)]
+    got = {r.id: r for r in L.rendered_turns(spark.createDataFrame(rows, "id int, i int, kind string, name string, body string"), ["id"], "i").collect()}
+    assert got[1].text == "TOOL Edit: f\n  -> a b\nASSISTANT: done\nTOOL ExitPlanMode: " and tuple(got[1])[2:] == (2, 1, 1, True)
+    assert tuple(got[2])[1:] == ("  -> ", 0, 0, 0, False)
+
+
+def test_settings_lines(spark):
+    text = "# c\nA = \"x y\"\nB='q'\nA=second\n=no\nplain\nC=\nD=a=b"
+    got = {r.name: r.value for r in T.env_lines(spark.createDataFrame([(1, text), (2, None)], "id int, t string"), ["id"], "t").collect()}
+    assert got == {"A": "x y", "B": "q", "C": "", "D": "a=b"}
+
+
+def test_profiles_with_evidence(spark):
+    rows = [("u", 1, "s1", 1, "high", "a"), ("u", 1, "s2", 2, "high", "  b  c"), ("u", 1, "s2", 3, "low", ""), ("u", 2, "s1", 4, "high", "d"), ("u", 2, "s1", 5, "low", "e"), ("u", 3, "s1", 6, "na", "f")]
+    df = spark.createDataFrame(rows, "user_id string, axis int, session string, turn_number int, label string, said string")
+    got = {r.axis: tuple(r)[2:] for r in P.evidence_profiles(df, 0.6, 2).collect()}
+    assert got == {1: ("high", 0.6, True, 2, 1, 2, 1), 2: (None, 0.0, False, 1, 1, 0, 0), 3: (None, 0.0, False, 0, 0, 0, 0)}
+    assert [(r.axis, r.place, r.message) for r in P.ordered_evidence(df, F.col("said")).orderBy("axis", "place").collect()] == [(1, 1, "a"), (1, 2, "b c"), (2, 1, "d"), (2, 2, "e")]
+
+
+def test_trust_by_hand(spark):
+    train = spark.createDataFrame([("u", "a", 1), ("u", "a", 1), ("v", "a", -1), ("w", "a", 1)], "user string, axis string, score int")
+    test = spark.createDataFrame([("u", "a", 1), ("v", "a", 1), ("x", "a", 1), ("v", "b", -1)], "user string, axis string, score int")
+    seen, profiles = S.future_observations(train, test, "user", "axis", "score", 10.0)
+    rows = {(r.user, r.axis): r for r in seen.collect()}
+    assert set(rows) == {("u", "a"), ("v", "a"), ("v", "b")}  # only users of both times, who alone make the population
+    assert rows["u", "a"].population_p == pytest.approx(0.5 / 2) and rows["u", "a"].user_p == pytest.approx((2.5 + 2) / 12) and rows["u", "a"].minority
+    assert rows["v", "a"].population_p == pytest.approx(2.5 / 3) and rows["v", "b"].population_p == 0.5 and not rows["v", "a"].minority
+    gates = {r.method: r for r in S.trust_gates(seen, "user", [2], [(1, 0.9)], [3]).collect()}
+    assert (gates["always"].personalized, gates["support>=2"].personalized, gates["support>=1,consistency>=0.9"].personalized, gates["continuous 3"].personalized) == (3, 1, 2, 2)
+    loss = -(math.log(4.5 / 12) + math.log(2.5 / 3) + math.log(0.5)) / 3
+    assert gates["support>=2"].log_loss == pytest.approx(loss) and gates["support>=2"].improvement == pytest.approx(-(math.log(0.25) + math.log(2.5 / 3) + math.log(0.5)) / 3 - loss)
+    soft = 2 / 5 * (4.5 / 12) + 3 / 5 * 0.25
+    base = -math.log(0.25)
+    assert gates["continuous 3"].mean_user_gain == pytest.approx(((base + math.log(soft)) + (math.log((1 / 4) * (10 * 2.5 / 3) / 11 + (3 / 4) * 2.5 / 3) - math.log(2.5 / 3)) / 2) / 2)
+    assert {(r.user, r.axis) for r in profiles.collect()} == {(u, a) for u in "uv" for a in "ab"}
