@@ -72,7 +72,7 @@ class Bpe:
         for k in sorted(usable.values(), key=lambda k: made[k]):  # a part that is unsound makes the whole unsound
             if made[k] >= 0:
                 self.sound[k] &= self.sound[left[k]] and self.sound[right[k]]
-        self.words, self.spaced = C.Remembered(8 << 20), C.Remembered(64 << 20)  # chunks, and chunks behind a space
+        self.words, self.spaced = C.Remembered(8 << 20), C.Remembered(96 << 20)  # chunks, and chunks behind a space
         self.counts = {"proposed": 0, "merged": 0}
 
     def _trie(self, usable: dict[bytes, int]) -> None:
@@ -321,7 +321,7 @@ def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFram
             for piece in C.slices(batch, 4 * C.STEP_BYTES, "ids"):
                 yield run(piece)
 
-    return encoded.select("doc_id", "ids").mapInArrow(all_, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(C.tidied(all_), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:

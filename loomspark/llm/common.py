@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import re
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; a longer text makes a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 4 << 20
+STEP_ROWS = 50_000
 #: Bytes of one Arrow batch between Spark and a worker; a longer row makes a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Rows that Spark decodes of a Parquet file at once.
 BATCH_ROWS = 256
 
@@ -112,6 +114,25 @@ def slices(batch: pa.RecordBatch, most: int = STEP_BYTES, column: str = "text")
         start = end
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most: int = STEP_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in pieces of `most` bytes of text, or one row, and of about STEP_ROWS rows at most."""
+    held, size, rows = [], 0, 0
+    for batch in batches:
+        for piece in slices(batch, most, column):
+            n = pc.sum(pc.binary_length(piece.column(column))).as_py() or 0
+            if held and (size + n > most or rows > STEP_ROWS):
+                yield joined_batches(held)
+                held, size, rows = [], 0, 0
+            held.append(piece)
+            size, rows = size + n, rows + piece.num_rows
+    if held:
+        yield joined_batches(held)
+
+
+def joined_batches(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """Texts as UTF-8 bytes, null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
@@ -121,17 +142,45 @@ def ids(batch: pa.RecordBatch) -> list[int | None]:
     return batch.column("doc_id").to_pylist()
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def tidy() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, whose batches leave in pieces of about BATCH_BYTES at most, or one row, and after which a worker gives back
+    what it no longer needs: workers live on and serve other stages."""
+
+    def whole(batches):
+        try:
+            for out in run(batches):
+                rows = out.num_rows
+                step = max(1, rows * BATCH_BYTES // max(out.nbytes, 1))
+                for k in range(0, rows, step):
+                    yield out.slice(k, step)
+        finally:
+            tidy()
+
+    return whole
+
+
 def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = STEP_BYTES) -> DataFrame:
     """mapInArrow over bounded pieces; f makes one batch, or None, of each."""
 
     def run(batches):
-        for batch in batches:
-            for piece in slices(batch, most):
-                out = f(piece)
-                if out is not None and out.num_rows:
-                    yield out
+        for piece in pieces(batches, most):
+            out = f(piece)
+            if out is not None and out.num_rows:
+                yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def joined(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

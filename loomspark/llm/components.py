@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
+#: Pairs that one task writes.
+ROWS = 200_000
+
+
 def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     """One step. pairs: (a, b) with a > b. A node's smallest neighbour comes from a partially aggregated minimum, so
     no neighbourhood is ever collected."""
@@ -34,6 +38,8 @@ def components(links: DataFrame) -> DataFrame:
         if state[0] == 0 or state == before:
             break
         before, last = state, pairs
-        pairs = C.materialise(_stars(_stars(pairs, True), False), "pairs")
+        # As many tasks write as there are rows for: a round leaves about as many pairs as it found.
+        tasks = min(C.parts(pairs.sparkSession), -(-state[0] // ROWS))
+        pairs = C.materialise(_stars(_stars(pairs, True), False).coalesce(tasks), "pairs")
         C.discard(last)
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

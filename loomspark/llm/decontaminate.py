@@ -195,15 +195,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, bl
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches, shared=shared):
-            for batch in batches:
-                for piece in C.slices(batch):
-                    machine, _ = _machine(shared)
-                    chunks = [b" " + b" ".join(folded(x)) + b" " for x in C.raw(piece)]
-                    starts = np.cumsum([0] + [len(c) + 1 for c in chunks])
-                    keep = np.ones(len(chunks), dtype=bool)
-                    for b, _ in machine.search(b"\n".join(chunks)):
-                        keep[np.searchsorted(starts, b, side="right") - 1] = False
-                    yield piece.filter(pa.array(keep))
-
-        out = out.mapInArrow(clean, docs.schema)
+            for piece in C.pieces(batches):
+                machine, _ = _machine(shared)
+                chunks = [b" " + b" ".join(folded(x)) + b" " for x in C.raw(piece)]
+                starts = np.cumsum([0] + [len(c) + 1 for c in chunks])
+                keep = np.ones(len(chunks), dtype=bool)
+                for b, _ in machine.search(b"\n".join(chunks)):
+                    keep[np.searchsorted(starts, b, side="right") - 1] = False
+                yield piece.filter(pa.array(keep))
+
+        out = out.mapInArrow(C.tidied(clean), docs.schema)
     return out

@@ -160,8 +160,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     columns of docs, whatever their names, are not read.
     """
     n = C.parts(docs.sparkSession)
-    local = C.materialise(C.texts(docs).mapInArrow(_local, LOCAL), "exact")
-    live = local.select("digest", "batch", "top", "n").repartition(n, "digest").mapInArrow(_global, "digest binary, keep_id long, keep_batch long, group_size long")
+    local = C.materialise(C.texts(docs).mapInArrow(C.tidied(_local), LOCAL), "exact")
+    live = local.select("digest", "batch", "top", "n").repartition(n, "digest").mapInArrow(C.tidied(_global), "digest binary, keep_id long, keep_batch long, group_size long")
     return local.join(live, "digest").select("*", F.posexplode("ids").alias("at", "doc_id")).select(
         "doc_id",
         "keep_id",

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,6 +26,10 @@ REMEMBERED, EACH = 24 << 20, 200
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
 def gram_hashes(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the n-grams of all words, with a mark at either end (none for single characters), and the place
     in `words` of each."""
@@ -40,16 +45,18 @@ def gram_hashes(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    """Log frequencies for each language: of words, and of the n-grams of each length in GRAMS, which are known by hash."""
+    """Log frequencies for each language: of words, and of the n-grams of each length in GRAMS. Both are known by hash."""
 
     def __init__(self, counts: list[tuple[str, str, int]]):
         self.langs = sorted({lang for lang, _, _ in counts})
         at = {lang: k for k, lang in enumerate(self.langs)}
-        self.words = {w: k for k, w in enumerate(dict.fromkeys(w for _, w, _ in counts))}
-        table = np.zeros((len(self.words), len(self.langs)))
-        np.add.at(table, ([self.words[w] for _, w, _ in counts], [at[lang] for lang, _, _ in counts]), [n for _, _, n in counts])
-        self.word_logs, self.grams = self._logs(table), {}
-        words = list(self.words)
+        place = {w: k for k, w in enumerate(dict.fromkeys(w for _, w, _ in counts))}
+        table = np.zeros((len(place), len(self.langs)))
+        np.add.at(table, ([place[w] for _, w, _ in counts], [at[lang] for lang, _, _ in counts]), [n for _, _, n in counts])
+        words = list(place)
+        hashes = word_hashes(words)
+        order = np.argsort(hashes)
+        self.words, self.word_logs, self.grams = hashes[order], self._logs(table)[order], {}
         for n in GRAMS:
             hashes, owner = gram_hashes(words, n)
             keys, place = np.unique(hashes, return_inverse=True)
@@ -66,9 +73,13 @@ class LanguageModel:
         """A row for each word, a column for each language; of an unseen word the mean over its longest n-grams of
         which any is known, zeros where none is."""
         out = np.zeros((len(words), len(self.langs)))
-        row = np.fromiter((self.words.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        out[row >= 0] = self.word_logs[row[row >= 0]]
-        open_ = np.flatnonzero(row < 0)
+        if not len(words) or not len(self.words):
+            return out
+        hashes = word_hashes(words)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        known = self.words[at] == hashes
+        out[known] = self.word_logs[at[known]]
+        open_ = np.flatnonzero(~known)
         for n in GRAMS:
             keys, logs = self.grams[n]
             if not len(open_) or not len(keys):
@@ -164,7 +175,7 @@ def fit(docs: DataFrame, sample_docs: int = 4000) -> LanguageModel:
             rows = [(lang, w, n) for lang, words in found.items() for w, n in words.items()]
             yield C.batch_of(["lang", "word", "n"], [list(x) for x in zip(*rows, strict=True)] or [[], [], []], [pa.string(), pa.string(), pa.int64()])
 
-    counts = training.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    counts = training.mapInArrow(C.tidied(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     return LanguageModel(sorted(zip(*(counts.column(k).to_pylist() for k in range(3)), strict=True)))
 
 
@@ -205,10 +216,9 @@ def keep_known(docs: DataFrame, sample_docs: int = 4000) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_docs))  # bounded by the sample
 
     def run(batches):
-        for batch in batches:
-            for piece in C.slices(batch):
-                scorer, texts = _scorer(shared), piece.column("text").to_pylist()
-                known = [x != "und" for x in scorer.predict(texts)[0]] if scorer.model.langs else [bool(x and LETTER.search(x)) for x in texts]
-                yield piece.filter(pa.array(known, type=pa.bool_()))
+        for piece in C.pieces(batches):
+            scorer, texts = _scorer(shared), piece.column("text").to_pylist()
+            known = [x != "und" for x in scorer.predict(texts)[0]] if scorer.model.langs else [bool(x and LETTER.search(x)) for x in texts]
+            yield piece.filter(pa.array(known, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.tidied(run), docs.schema)

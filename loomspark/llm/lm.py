@@ -183,7 +183,7 @@ def fit(counted: DataFrame, path: str, rounds: int = 2) -> np.ndarray:
             k = np.flatnonzero(total)
             yield C.batch_of(["piece", "n"], [k, total[k]], [pa.int32(), pa.float64()])
 
-        got = counted.select("words", "sizes", "counts").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row for each piece at most
+        got = counted.select("words", "sizes", "counts").mapInArrow(C.tidied(expect), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row for each piece at most
         total = PRIOR * prior
         np.add.at(total, got.column("piece").to_numpy(), got.column("n").to_numpy())
         logs = _logs(total / total.sum())
@@ -284,9 +284,9 @@ def score_documents(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model
                 own, n_ = words[k : k + 100_000], c[k : k + 100_000]
                 yield C.batch_of(["bucket", "words", "sizes", "counts", "distinct", "tokens"], [[bucket], [b"".join(own)], [np.array([len(w) for w in own], dtype="<u4").tobytes()], [n_.astype("<i8").tobytes()], [int((n_ > 0).sum())], [int(n_.sum())]], [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()])
 
-    made = C.materialise(rows.mapInArrow(gather, BODY), "lm-words")
+    made = C.materialise(rows.mapInArrow(C.tidied(gather), BODY), "lm-words")
     lists = made.where("kind = 0").select("bucket", "batch", "words", "sizes", "counts").repartition(n, "bucket").sortWithinPartitions("bucket")
-    counted = C.materialise(lists.mapInArrow(total, "bucket int, words binary, sizes binary, counts binary, distinct long, tokens long"), "lm-counts")
+    counted = C.materialise(lists.mapInArrow(C.tidied(total), "bucket int, words binary, sizes binary, counts binary, distinct long, tokens long"), "lm-counts")
     distinct, all_tokens = counted.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     model = spark.sparkContext.broadcast(fit(counted, path))  # a weight for each piece of the vocabulary
 
@@ -326,7 +326,7 @@ def score_documents(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model
 
     none = F.lit(None).cast("binary")
     body = made.where("kind = 1").select("batch", "bucket", none.alias("counts"), none.alias("logs"), "docs", "tokens", "owners", "places", "times")
-    answers = lists.mapInArrow(reply, "batch long, bucket int, counts binary, logs binary").select("*", *[none.alias(c) for c in ("docs", "tokens", "owners", "places", "times")])
+    answers = lists.mapInArrow(C.tidied(reply), "batch long, bucket int, counts binary, logs binary").select("*", *[none.alias(c) for c in ("docs", "tokens", "owners", "places", "times")])
     met = body.unionByName(answers).repartition(n, "batch").sortWithinPartitions("batch", F.col("bucket") < 0, "bucket")
-    out = met.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = met.mapInArrow(C.tidied(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(all_tokens)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Forest
                 marks = [xxhash.xxh3_64_intdigest(t) >> 1 for t in C.raw(piece)]
                 yield C.batch_of(["doc_id", "y", "mark", "x"], [C.ids(piece), piece.column("__y").to_pylist(), marks, list(x)], [pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())])
 
-    rows = C.texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, y double, mark long, x array<double>")
+    rows = C.texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(C.tidied(run), "doc_id long, y double, mark long, x array<double>")
     # Of rows that repeat an id one, so that no more than sample_rows rows reach the driver.
     got = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("x", "mark").alias("x")).toArrow()
     if not got.num_rows:
@@ -169,5 +169,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000
             for piece, x in _features(C.slices(batch)):
                 yield C.batch_of(["doc_id", "score"], [C.ids(piece), shared.value.predict(x)], [pa.int64(), pa.float64()])
 
-    out = C.texts(docs).mapInArrow(run, "doc_id long, score double")
+    out = C.texts(docs).mapInArrow(C.tidied(run), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(C.crc_fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -283,11 +283,11 @@ def near_links(prints: DataFrame, bits: int = 3, dense: int = 0) -> DataFrame:
     under keys of `dense` members at most, all links."""
     parts = segments(bits)
     n = C.parts(prints.sparkSession)
-    filed = prints.select("print").distinct().mapInArrow(_file(parts, False, bits), "kind long, value long, print long")
-    met = C.materialise(filed.repartition(n, "kind", "value").sortWithinPartitions("kind", "value").mapInArrow(_meet(bits, False, dense), EDGE), "links")
-    again = met.where("kind >= 0").select("kind", "value", F.col("a").alias("print")).mapInArrow(_file(parts, True, bits), "kind long, value long, kind2 long, value2 long, print long")
+    filed = prints.select("print").distinct().mapInArrow(C.tidied(_file(parts, False, bits)), "kind long, value long, print long")
+    met = C.materialise(filed.repartition(n, "kind", "value").sortWithinPartitions("kind", "value").mapInArrow(C.tidied(_meet(bits, False, dense)), EDGE), "links")
+    again = met.where("kind >= 0").select("kind", "value", F.col("a").alias("print")).mapInArrow(C.tidied(_file(parts, True, bits)), "kind long, value long, kind2 long, value2 long, print long")
     keys = ["kind", "value", "kind2", "value2"]
-    crowds = again.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_meet(bits, True, dense), EDGE)
+    crowds = again.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(C.tidied(_meet(bits, True, dense)), EDGE)
     return met.where("kind < 0").select("a", "b").unionByName(crowds.select("a", "b")).distinct()
 
 
@@ -395,7 +395,7 @@ def _left_apart(nodes: DataFrame, checked: DataFrame, known: DataFrame, bits: in
     dealt = rows.join(many, "group").withColumn("own", F.pmod(F.xxhash64("node"), "many")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
     keys = ["group", "lo", "hi"]
     met = dealt.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", *PRINTS, "shingles")
-    return met.repartition(C.parts(nodes.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(_blocks(bits, similarity), "a long, b long")
+    return met.repartition(C.parts(nodes.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(C.tidied(_blocks(bits, similarity)), "a long, b long")
 
 
 def _candidates(nodes: DataFrame, column: str, bits: int) -> DataFrame:
@@ -441,7 +441,7 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, bits: int) -> tup
             yield C.batch_of(["a", "b", "holds"], [batch.column("a"), batch.column("b"), keep], [pa.int64(), pa.int64(), pa.bool_()])
 
     met = pairs.join(known.select(F.col("node").alias("x"), F.col("shingles").alias("s")), "x").join(known.select(F.col("node").alias("y"), F.col("shingles").alias("t")), "y")
-    checked = C.materialise(met.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(verify, "a long, b long, holds boolean"), "checked")
+    checked = C.materialise(met.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(C.tidied(verify), "a long, b long, holds boolean"), "checked")
     joined = components(checked.where("holds").select("a", "b").unionByName(_left_apart(nodes, checked, known, bits, similarity)))
     C.discard(pairs, known, checked)
     return prints.select("doc_id", "hash"), nodes.select("hash", "node", "first"), joined

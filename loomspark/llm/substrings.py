@@ -191,7 +191,7 @@ def word_window_dedup(docs: DataFrame, width: int = 13, sketch_bits: int | None
             close()
         yield from out.rest()
 
-    spans = read.mapInArrow(gather, ENTRIES).repartition(C.parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(settle, V.SPANS)
+    spans = read.mapInArrow(C.tidied(gather), ENTRIES).repartition(C.parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidied(settle), V.SPANS)
     runs = V.runs_by_document(spans)
 
     def keep(piece):

@@ -216,20 +216,19 @@ def write_tokens(docs: DataFrame, where: str, tokenizer: str = "word_bpe_49k.jso
         def flush():
             return C.batch_of(["part", "seq", "base", "first_doc", "n_docs", "n_ids", "content"], [[key], [seq], [base], [held_docs[0]], [len(held_docs)], [n], [write_file(held_docs, held_ids, bits)]], [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()])
 
-        for batch in batches:
-            for piece in C.slices(batch):
-                for doc, got in zip(C.ids(piece), encoder(path).encode_batch([x or "" for x in piece.column("text").to_pylist()]), strict=True):
-                    one = np.append(np.frombuffer(got, dtype="<u4"), np.uint32(end_id))
-                    if held_docs and n + len(one) > FILE_IDS:
-                        yield flush()
-                        seq, base, held_docs, held_ids, n = seq + 1, base + n, [], [], 0
-                    held_docs.append(doc)
-                    held_ids.append(one)
-                    n += len(one)
+        for piece in C.pieces(batches):
+            for doc, got in zip(C.ids(piece), encoder(path).encode_batch([x or "" for x in piece.column("text").to_pylist()]), strict=True):
+                one = np.append(np.frombuffer(got, dtype="<u4"), np.uint32(end_id))
+                if held_docs and n + len(one) > FILE_IDS:
+                    yield flush()
+                    seq, base, held_docs, held_ids, n = seq + 1, base + n, [], [], 0
+                held_docs.append(doc)
+                held_ids.append(one)
+                n += len(one)
         if held_docs:
             yield flush()
 
-    ordered.mapInArrow(run, "part int, seq int, base long, first_doc long, n_docs long, n_ids long, content binary").write.option("compression", "uncompressed").parquet(where)
+    ordered.mapInArrow(C.tidied(run), "part int, seq int, base long, first_doc long, n_docs long, n_ids long, content binary").write.option("compression", "uncompressed").parquet(where)
 
 
 def read_tokens(spark, where: str) -> DataFrame:
@@ -254,7 +253,7 @@ def _from_files(spark, where: str, with_ids: bool) -> DataFrame:
                 docs = [None if no else d for d, no in zip(f.docs.tolist(), f.null.tolist(), strict=True)]
                 yield C.batch_of(["doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"], [docs, begins + batch.column("start")[k].as_py(), f.ends - begins, [bytes(x) if with_ids else zlib.crc32(x) for x in cut]], [pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_ids else pa.int64()])
 
-    return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids binary' if with_ids else 'ids_crc32 long'}")
+    return placed.mapInArrow(C.tidied(run), f"doc_id long, start long, n_tokens long, {'ids binary' if with_ids else 'ids_crc32 long'}")
 
 
 def token_index(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, where: str | None = None) -> DataFrame:

@@ -118,42 +118,45 @@ def fitting_bits(docs: DataFrame) -> int:
     return min(MOST, max(FEWEST, (size // 4).bit_length()))
 
 
-#: Share of a task's documents, and number of them, from which a key counts as common there.
-COMMON, LEAST = 0.02, 64
-#: Common keys that are reported at most, the most frequent ones first.
-REPORTED = 100_000
+#: Keys of a task that are looked at together, and occurrences among them from which a key counts as common.
+UNIT, LEAST = 500_000, 64
+#: Common keys that are reported at most, the most frequent ones first, and the parts in which they are summed.
+REPORTED, SUMS = 100_000, 64
 
 
 def repeated_cells(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The cells that are met twice, over all documents, and keys that are common in some part of them.
 
-    Each task's sketch leaves in slices, which are merged apart from each other; the driver gets one bit for each
-    cell, a size that `bits` fixes whatever the input, and REPORTED keys at most. Which keys are reported only decides
-    how work is spread.
+    Each task's sketch leaves in slices, which are merged apart from each other, and so do its common keys; the driver
+    gets one bit for each cell, a size that `bits` fixes whatever the input, and REPORTED keys at most. Which keys are
+    reported only decides how work is spread. A key with a share of LEAST / UNIT of all is common in some unit.
     """
 
     def gather(batches):
         own, common = Sketch(bits), Counter()
-        held, size, docs_ = [], 0, 0
+        held, size = [], 0
 
         def settle():
             joined = np.concatenate(held)
             own.add(joined)
             found, n = np.unique(joined, return_counts=True)
-            some = n >= max(LEAST, COMMON * docs_)
+            some = n >= LEAST
             common.update(dict(zip(found[some].tolist(), n[some].tolist(), strict=True)))
 
         for batch in batches:
             for piece in C.slices(batch, PIECE):
                 held.append(keys(piece))
-                size, docs_ = size + len(held[-1]), docs_ + piece.num_rows
-                if size > 500_000:
+                size += len(held[-1])
+                if size > UNIT:
                     settle()
-                    held, size, docs_ = [], 0, 0
+                    held, size = [], 0
         if held:
             settle()
-        if common:
-            yield C.batch_of(["slice", "once", "twice"], [[-1], [np.array(list(common), dtype="<u8").tobytes()], [np.array(list(common.values()), dtype="<u8").tobytes()]], [pa.int32(), pa.binary(), pa.binary()])
+        found = np.array(list(common), dtype="<u8")
+        times, part = np.array(list(common.values()), dtype="<u8"), found % np.uint64(SUMS)
+        for k in np.unique(part).tolist():
+            own_part = part == k
+            yield C.batch_of(["slice", "once", "twice"], [[-1 - k], [found[own_part].tobytes()], [times[own_part].tobytes()]], [pa.int32(), pa.binary(), pa.binary()])
         for k, at in enumerate(range(0, len(own.once), Sketch.SLICE)):
             once, twice = own.once[at : at + Sketch.SLICE], own.twice[at : at + Sketch.SLICE]
             if once.any():
@@ -161,12 +164,15 @@ def repeated_cells(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]
 
     def merge(batches):
         held: dict[int, list] = {}
-        common: Counter = Counter()
+        common: dict[int, Counter] = {}
         for batch in batches:
             for k, once, twice in zip(*(batch.column(c).to_pylist() for c in ("slice", "once", "twice")), strict=True):
                 if k < 0:
+                    sums = common.setdefault(k, Counter())
                     for key, n in zip(np.frombuffer(once, "<u8").tolist(), np.frombuffer(twice, "<u8").tolist(), strict=True):
-                        common[key] += n
+                        sums[key] += n
+                    if len(sums) > 4 * REPORTED:
+                        common[k] = Counter(dict(sums.most_common(REPORTED)))
                     continue
                 once, twice = (np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in (once, twice))
                 if k in held:
@@ -175,22 +181,22 @@ def repeated_cells(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]
                     have[0] |= once
                 else:
                     held[k] = [once.copy(), twice.copy()]
-        if common:
-            top = sorted(common, key=lambda x: (-common[x], x))[:REPORTED]
-            yield C.batch_of(["slice", "twice"], [[-1], [np.array(top, dtype="<u8").tobytes()]], [pa.int32(), pa.binary()])
+        for k, sums in common.items():
+            top = sorted(sums, key=lambda x: (-sums[x], x))[: -(-REPORTED // SUMS)]  # noqa: B023
+            yield C.batch_of(["slice", "twice"], [[k], [np.array(top, dtype="<u8").tobytes()]], [pa.int32(), pa.binary()])
         for k, (_, twice) in held.items():
             yield C.batch_of(["slice", "twice"], [[k], [zlib.compress(twice.tobytes(), 1)]], [pa.int32(), pa.binary()])
 
-    merged = docs.mapInArrow(gather, "slice int, once binary, twice binary").repartition(C.parts(docs.sparkSession), "slice").mapInArrow(merge, "slice int, twice binary")
+    merged = docs.mapInArrow(C.tidied(gather), "slice int, once binary, twice binary").repartition(C.parts(docs.sparkSession), "slice").mapInArrow(C.tidied(merge), "slice int, twice binary")
     out = np.zeros(Sketch.ROWS << (bits - 3), dtype=np.uint8)
-    often = np.empty(0, dtype=np.uint64)
-    for row in merged.toLocalIterator():
+    often = [np.empty(0, dtype=np.uint64)]
+    for row in merged.collect():  # compressed bits, as many as the sketch has, and REPORTED keys
         if row[0] < 0:
-            often = np.sort(np.frombuffer(bytes(row[1]), "<u8"))
+            often.append(np.frombuffer(bytes(row[1]), "<u8"))
             continue
         got = np.frombuffer(zlib.decompress(bytes(row[1])), dtype=np.uint8)
         out[row[0] * Sketch.SLICE : row[0] * Sketch.SLICE + len(got)] = got
-    return out, often
+    return out, np.sort(np.concatenate(often))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -288,7 +294,7 @@ def runs_by_document(spans: DataFrame) -> DataFrame:
             yield close()
 
     n = C.parts(spans.sparkSession)
-    return spans.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, key long, starts binary, lens binary")
+    return spans.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidied(run), "doc_id long, key long, starts binary, lens binary")
 
 
 def covered(starts: bytes | None, lens: bytes | None, width: int) -> tuple[np.ndarray, np.ndarray]:

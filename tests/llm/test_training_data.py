@@ -575,7 +575,6 @@ def test_common_anchors_change_nothing(docs, op, monkeypatch):
 
     f = substrings.word_window_dedup if op == "words" else suffixes.byte_dedup
     want = sorted(map(tuple, f(docs).collect()))
-    monkeypatch.setattr(windows, "COMMON", 0.0)
     monkeypatch.setattr(windows, "LEAST", 1)
     assert sorted(map(tuple, f(docs).collect())) == want
 
