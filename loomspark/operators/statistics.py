@@ -53,10 +53,11 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     """chi2, df, p of independence, and Cramer's v. Nulls are left out."""
     df = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
     cells = df.groupBy(row, column).agg(F.count("*").alias("o"))
-    rows, cols, all_ = cells.groupBy(row).agg(F.sum("o").alias("r")), cells.groupBy(column).agg(F.sum("o").alias("c")), cells.agg(F.sum("o").alias("n"))
-    grid = rows.crossJoin(cols).join(cells, [row, column], "left").crossJoin(all_)  # distinct values by distinct values
-    e = F.col("r") * F.col("c") / F.col("n")
-    per = grid.agg(F.sum((F.coalesce("o", F.lit(0)) - e) * (F.coalesce("o", F.lit(0)) - e) / e).alias("chi2"), F.countDistinct(row).alias("rows"), F.countDistinct(column).alias("cols"), F.max("n").alias("n"))
+    rows, cols = cells.groupBy(row).agg(F.sum("o").alias("r")), cells.groupBy(column).agg(F.sum("o").alias("c"))
+    met = cells.join(rows, row).join(cols, column)  # cells that nobody is in add nothing to the sum of squares
+    share = F.sum(F.col("o").cast("double") * F.col("o") / (F.col("r").cast("double") * F.col("c")))
+    per = met.agg(share.alias("s"), F.countDistinct(row).alias("rows"), F.countDistinct(column).alias("cols"), F.sum("o").alias("n"))
+    per = per.withColumn("chi2", F.greatest(F.col("n") * (F.col("s") - 1), F.lit(0.0)))
     free = (F.col("rows") - 1) * (F.col("cols") - 1)
     return per.select("chi2", free.alias("df"), ST.chi_square_tail("chi2", free).alias("p"), F.sqrt(F.try_divide("chi2", F.col("n") * (F.least("rows", "cols") - 1))).alias("v"))
 
