@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import itertools
 import os
 import re
@@ -159,6 +160,7 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     what it no longer needs: workers live on and serve other stages."""
 
     def whole(batches):
+        gc.set_threshold(200_000, 20, 20)  # the many lists and strings of a step hold no cycles
         try:
             for out in run(batches):
                 rows = out.num_rows

@@ -150,10 +150,6 @@ class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        if not fits(spec):
-            raise ValueError(f"{path} does not drop white space and part words as this encoder does")
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -205,7 +201,9 @@ def write_tokens(docs: DataFrame, where: str, tokenizer: str = "word_bpe_49k.jso
     columns of docs, whatever their names, are not read. A tokenizer file of another format than `fits` is refused.
     """
     path = C.vocabulary_path(tokenizer)
-    encoder(path)  # refuses here, not in a task
+    with open(path, encoding="utf-8") as f:
+        if not fits(json.load(f)):
+            raise ValueError(f"{path} does not drop white space and part words as this encoder does")
     spark = docs.sparkSession
     ordered = C.texts(docs).repartitionByRange(C.parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
