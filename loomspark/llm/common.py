@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import itertools
 import os
 import re
@@ -155,12 +154,11 @@ def tidy() -> None:
         _TRIM(0)
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], give_back: bool = True):
     """run, whose batches leave in pieces of about BATCH_BYTES at most, or one row, and after which a worker gives back
     what it no longer needs: workers live on and serve other stages."""
 
     def whole(batches):
-        gc.set_threshold(200_000, 20, 20)  # the many lists and strings of a step hold no cycles
         try:
             for out in run(batches):
                 rows = out.num_rows
@@ -168,7 +166,8 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
                 for k in range(0, rows, step):
                     yield out.slice(k, step)
         finally:
-            tidy()
+            if give_back:
+                tidy()
 
     return whole
 

@@ -226,7 +226,7 @@ def write_tokens(docs: DataFrame, where: str, tokenizer: str = "word_bpe_49k.jso
         if held_docs:
             yield flush()
 
-    ordered.mapInArrow(C.tidied(run), "part int, seq int, base long, first_doc long, n_docs long, n_ids long, content binary").write.option("compression", "uncompressed").parquet(where)
+    ordered.mapInArrow(C.tidied(run, False), "part int, seq int, base long, first_doc long, n_docs long, n_ids long, content binary").write.option("compression", "uncompressed").parquet(where)
 
 
 def read_tokens(spark, where: str) -> DataFrame:
