@@ -160,7 +160,7 @@ def _names(s: np.ndarray, leftmost: np.ndarray, symbols: int) -> np.ndarray:
         rank[live] = group + place[first][np.cumsum(fresh) - 1]
         many = np.repeat(np.diff(np.append(first, len(live))), np.diff(np.append(first, len(live)))) > 1
         far += per
-        live = live[many & (size[live] > far)]
+        live = live[many & (size[live] >= far)]  # one that ends here meets the longer ones once more, to stand behind them
         live = live[np.argsort(live)]
     return np.unique(rank, return_inverse=True)[1]
 

@@ -67,14 +67,15 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.mark.parametrize("sf", [SF, SF.replace("0.001", "0.01")])
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
-def test_query_matches_sql(spark, name):
-    if not os.path.isdir(SF):
+def test_query_matches_sql(spark, name, sf):
+    if not os.path.isdir(sf):
         pytest.skip("test tables are not here")
     c = duckdb.connect()
-    for path in glob.glob(f"{SF}/*.parquet"):
+    for path in glob.glob(f"{sf}/*.parquet"):
         c.sql(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
-    df, want = queries.QUERIES[name](spark, SF), c.sql(queries.ORACLES[name])
+    df, want = queries.QUERIES[name](spark, sf), c.sql(queries.ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     at = [want.columns.index(x) for x in df.columns]
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
@@ -540,6 +541,37 @@ def test_induction_sorts_every_level(monkeypatch):
     assert sizes and max(sizes) > 1024
 
 
+def test_names_of_substrings_at_the_width_of_a_key():
+    """Substrings whose lengths are multiples of the symbols in a key, beside longer ones that begin alike."""
+    r = random.Random(12)
+    for case in range(200):
+        symbols = r.choice([3, 5, 256])
+        per = 63 // symbols.bit_length()
+        stems = [[r.randrange(2, min(symbols, 4)) for _ in range(3 * per)] for _ in range(2)]
+        cuts, s = [], []
+        for _ in range(r.randint(2, 40)):
+            cuts.append(len(s))
+            s += r.choice(stems)[: r.choice([per - 1, per, per + 1, 2 * per - 1, 2 * per, 2 * per + 1, 3 * per]) - 1]
+        cuts.append(len(s))
+        s = np.array([*s, 0])
+        got = suffixes._names(s, np.array(cuts, dtype=np.int32), symbols)
+        parts = [tuple(s[a : b + 1].tolist()) + (symbols,) for a, b in zip(cuts, cuts[1:])] + [(0, symbols)]
+        want = {x: k for k, x in enumerate(sorted(set(parts)))}
+        assert got.tolist() == [want[x] for x in parts], case
+
+
+def test_suffix_arrays_of_real_text():
+    """Shards as operator 5 makes them: 10 ** 5 bytes of the test documents, every suffix against the next."""
+    if not os.path.isdir(SF):
+        pytest.skip("test tables are not here")
+    rows = duckdb.sql(f"select text from '{SF}/documents.parquet' where text is not null order by doc_id").fetchall()
+    whole = "\0".join(r[0] for r in rows).encode()
+    for start in (0, 100_000):
+        t = whole[start : start + 100_000]
+        sa = suffixes.suffix_array(np.frombuffer(t, dtype=np.uint8))
+        assert sorted(sa.tolist()) == list(range(len(t))) and all(t[a:] < t[b:] for a, b in zip(sa.tolist(), sa.tolist()[1:]))
+
+
 def test_equal_prints_of_different_stretches(monkeypatch):
     """Bytes decide: with a hash that is always the same, nothing else is removed."""
     a, b = b"x" * 60, b"y" * 60
