@@ -49,4 +49,41 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-SQL = {"op5_suffix_array": _SUFFIXES, "op6_substring": _WINDOWS, "op8_decontaminate": _BENCHMARK, "op9_exact": _EXACT}
+
+
+def _merkle(levels: int = 24, group_levels: int = 8) -> str:
+    """Trees of up to 2 ** levels leaves a language, and 2 ** group_levels languages: a step for each level."""
+    shown = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+    leaf = lambda n: "sha256(" + " || ".join(shown(x) for x in ("doc_id", "source", "lang", n, "text")) + ")"
+    # crc32 of the id's digits: bytes, each followed by eight marks for a shift by one bit.
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
+
+    def tree(name: str, leaves: str, depth: int) -> list[str]:
+        """CTEs name0, name1, ...: (g, pos, n, h) of each level, a finished tree's root going on alone."""
+        out = [f"{name}0 AS MATERIALIZED ({leaves})"]
+        for k in range(depth):
+            out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT g, pos // 2 AS pos, max((n + 1) // 2) AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE max(h) END AS h FROM {name}{k} GROUP BY g, pos // 2)")
+        return out
+
+    def climb(start: str, name: str, node: str, depth: int, first: str) -> list[str]:
+        """CTEs that walk up from each row's node: proof so far and folded digest so far."""
+        out, last = [], first
+        for k in range(depth):
+            sib, at = f"coalesce(s.h, '')", f"(r.{node} >> {k})"
+            fold = f"CASE WHEN o.n = 1 THEN r.fold WHEN {at} % 2 = 1 THEN sha256({sib} || r.fold) ELSE sha256(r.fold || {sib}) END"
+            out.append(f"{start}{k} AS (SELECT r.* REPLACE (r.proof || {sib} AS proof, {fold} AS fold) FROM {last} r JOIN {name}{k} o ON o.g = r.{'g' if name == 't' else 'top'} AND o.pos = {at} LEFT JOIN {name}{k} s ON s.g = o.g AND s.pos = xor({at}, 1))")
+            last = f"{start}{k}"
+        return out
+
+    rows = f"rows_ AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('n_chars')} AS leaf, CASE WHEN {crc} % 7 = 0 THEN {leaf('(n_chars + 1)')} ELSE {leaf('n_chars')} END AS fold FROM documents)"
+    placed = "placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM rows_)"
+    steps = [rows, placed, *tree("t", "SELECT g, pos, n, leaf AS h FROM placed", levels)]
+    steps.append(f"roots AS MATERIALIZED (SELECT g AS lang_g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS place, count(*) OVER () AS many FROM t{levels})")
+    steps += tree("u", "SELECT '' AS g, place AS pos, many AS n, subroot AS h FROM roots", group_levels)
+    steps.append(f"begun AS (SELECT p.doc_id, p.g, '' AS top, p.pos, r.place, p.leaf, r.subroot, (SELECT h FROM u{group_levels}) AS root, '' AS proof, p.fold FROM placed p JOIN roots r ON r.lang_g = p.g)")
+    steps += climb("c", "t", "pos", levels, "begun") + climb("e", "u", "place", group_levels, f"c{levels - 1}")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM e{group_levels - 1}"
+
+
+SQL = {"op11_merkle_manifest": _merkle(), "op5_suffix_array": _SUFFIXES, "op6_substring": _WINDOWS, "op8_decontaminate": _BENCHMARK, "op9_exact": _EXACT}

@@ -68,11 +68,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import checked_manifest, tampered_leaf
+
+    docs = table(spark, sf_dir, "documents")
+    return checked_manifest(docs, tampered_leaf(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_simhash, op4_language, op5_suffix_array, op6_substring, op7_lm, op8_decontaminate, op9_exact, op10_token_files, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_simhash, op4_language, op5_suffix_array, op6_substring, op7_lm, op8_decontaminate, op9_exact, op10_token_files, op11_merkle_manifest, pipeline)}
 ORACLES = SQL
