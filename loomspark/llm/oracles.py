@@ -86,4 +86,25 @@ def _merkle(levels: int = 24, group_levels: int = 8) -> str:
     return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM e{group_levels - 1}"
 
 
-SQL = {"op11_merkle_manifest": _merkle(), "op5_suffix_array": _SUFFIXES, "op6_substring": _WINDOWS, "op8_decontaminate": _BENCHMARK, "op9_exact": _EXACT}
+_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, max(page_id) OVER g AS top, row_number() OVER (g ORDER BY page_id DESC) = 1 AS first FROM pages WINDOW g AS (PARTITION BY coalesce(html, ''))),
+h AS (SELECT *, sha1(t) AS x FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(x, 1 + 5 * (k // 4), 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT first THEN top END AS refers_to
+FROM h
+"""
+
+
+SQL = {"op13_warc": _WARC, "op12_hard_negatives": _NEGATIVES, "op11_merkle_manifest": _merkle(), "op5_suffix_array": _SUFFIXES, "op6_substring": _WINDOWS, "op8_decontaminate": _BENCHMARK, "op9_exact": _EXACT}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .oracles import SQL
@@ -75,11 +76,24 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked_manifest(docs, tampered_leaf(docs))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives(vectors, anchor=F.col("vec_id") % 100 == 0)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_simhash, op4_language, op5_suffix_array, op6_substring, op7_lm, op8_decontaminate, op9_exact, op10_token_files, op11_merkle_manifest, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_simhash, op4_language, op5_suffix_array, op6_substring, op7_lm, op8_decontaminate, op9_exact, op10_token_files, op11_merkle_manifest, op12_hard_negatives, op13_warc, pipeline)}
 ORACLES = SQL
