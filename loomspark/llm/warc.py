@@ -30,7 +30,6 @@ from . import common as C
 FILE_BYTES = 8 << 20
 #: Bytes that are inflated at once.
 CHUNK = 64 << 10
-FINE = 4
 #: Texts of a task that it remembers, to tell copies that will not stay.
 KNOWN = 100_000
 
@@ -241,17 +240,16 @@ def records_in(d: bytes) -> Iterator[tuple]:
         at = end
 
 
-def inflate(d: bytes, at: int, step: int = CHUNK) -> tuple[bytes, int, str | None]:
-    """Content of the member at a place, its end, and what failed; content is then what came before the failure."""
+def inflate(d: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Content of the member at a place, its end, and what failed. Where it is cut off, content is what there is; of a damaged
+    one it is nothing, since no checksum says which part is right."""
     press, out, place, view = zlib.decompressobj(31), [], at, memoryview(d)
     try:
         while not press.eof and place < len(d):
-            out.append(press.decompress(view[place : place + step]))
-            place = min(len(d), place + step)
+            out.append(press.decompress(view[place : place + CHUNK]))
+            place = min(len(d), place + CHUNK)
     except zlib.error as e:
-        if step > FINE:  # once more in small steps, for what precedes the failure
-            return inflate(d, at, FINE)
-        return b"".join(out), place, "gzip: " + re.sub(r".*: ", "", str(e))
+        return b"", place, "gzip: " + re.sub(r".*: ", "", str(e))
     if not press.eof:
         return b"".join(out), place, "gzip: cut off"
     return b"".join(out), place - len(press.unused_data), None
@@ -261,7 +259,7 @@ def _starts_here(d: bytes, at: int) -> bool:
     """Whether a whole member that begins with a record that passes, or such a record, is at a place."""
     content = d
     if d.startswith(MAGIC, at):
-        content, _, wrong = inflate(d, at)  # what fails does so within a few bytes, or is a member that is damaged
+        content, _, wrong = inflate(d, at)
         if wrong:
             return False
         at = 0
@@ -276,7 +274,7 @@ def salvage(d: bytes) -> Iterator[tuple]:
     """(start, end, place within the member or None, record or None, failed check or None) of a file's content.
 
     start and end are places in the file; together the entries leave out no byte but those of empty members. Of a member
-    that breaks off, the records before the break that have a digest of their own are given too. Content of a damaged
+    that is cut off, the records before the cut that have a digest of their own are given too. Content of a damaged
     record that is itself a whole record which passes all checks is taken for one.
     """
     at = 0
@@ -309,7 +307,7 @@ def read_warc(spark: SparkSession, where: str, payload: bool = True) -> DataFram
     """A row for each record (kind 'record') and each quarantined gap (kind 'gap') of the files under `where`.
 
     path, start, end: the bytes of the file that the record's member, the record or the gap takes (a record saved from a
-    member that breaks off: end = start); inner: the place within the member's content; reason: the check that failed. Then
+    member that is cut off: end = start); inner: the place within the member's content; reason: the check that failed. Then
     the record's fields, with payload_digest as bare base32 SHA-1 and payload_bytes; for a revisit both are those it states,
     and payload is empty. Without `payload` that column is null. Files may be compressed or not, or both in turn; empty ones
     give no row. A file is read whole by one task, so keep external archives within an executor's memory.
