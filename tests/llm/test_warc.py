@@ -122,7 +122,7 @@ def test_reasons_and_gaps():
         gaps = [e for e in got if e[4]]
         assert [e[:2] for e in gaps] == [span] and gaps[0][4].startswith(reason) and set(ids(got)) == left
     plain = some_records(3)
-    for reason, old, new in (("length beyond", b"Content-Length: ", b"Content-Length: 9999"), ("length", b"Content-Length: ", b"Content-Length: x"), ("block digest", b"HTTP/1.1 200", b"HTTP/1.1 201"), ("header lacks", b"WARC-Type", b"WARC-Tipe"), ("no version", b"WARC/1.1", b"WARC-1.1"), ("header line", b"WARC-Date:", b"WARC-Date ")):
+    for reason, old, new in (("length beyond", b"Content-Length: ", b"Content-Length: 9999"), ("length", b"Content-Length: ", b"Content-Length: x"), ("block digest", b"HTTP/1.1 200", b"HTTP/1.1 201"), ("header lacks", b"WARC-Type", b"WARC-Tipe"), ("no version", b"WARC/1.1", b"WARC-1.1"), ("header line", b"WARC-Type: ", b"WARC-Type ")):
         at = plain[1].index(old)
         hurt = plain[1][:at] + new + plain[1][at + len(old) :]
         got = list(warc.salvage(plain[0] + hurt + plain[2]))
