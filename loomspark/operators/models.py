@@ -1,4 +1,4 @@
-"""Small models on bounded tables: principal axes, matching of centres, linkage order, trees that explain clusters.
+"""Small models on bounded tables: principal axes, matching of centres, linkage order.
 
 Their inputs are clusters, axes or stated samples. Sums over all rows stay in plans; what is left for Python is a
 matrix with a row for each axis or cluster.
@@ -7,7 +7,6 @@ matrix with a row for each axis or cluster.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,59 +79,3 @@ def leaf_order(x: np.ndarray) -> list[int]:
         _, i, j = min(pairs)
         groups[i] = groups[i] + groups.pop(j)
     return groups[0] if groups else []
-
-
-def best_split(counts: pd.DataFrame, axes: list[str]) -> tuple[str, float, str] | None:
-    """The split of lowest impurity: from counts of (axis, value, label), missing values going to either side."""
-    best = None
-    for axis in axes:
-        own = counts[counts.axis == axis]
-        wide = own.pivot_table(index="value", columns="label", values="n", aggfunc="sum", fill_value=0, dropna=False)
-        known = wide[wide.index.notna()].sort_index()
-        missing = own[own.value.isna()].groupby("label").n.sum().reindex(known.columns, fill_value=0).to_numpy()
-        total = known.to_numpy().sum(axis=0)
-        for value, left in zip(known.index[:-1], np.cumsum(known.to_numpy(), axis=0)[:-1], strict=True):
-            for side in ("left", "right") if missing.sum() else ("left",):
-                a, b = (left + missing, total - left) if side == "left" else (left, total - left + missing)
-                impurity = sum(g.sum() - (g**2).sum() / g.sum() for g in (a, b) if g.sum())
-                if best is None or impurity < best[0] - 1e-12:
-                    best = (float(impurity), axis, float(value), side)
-    return best and best[1:]
-
-
-def binned(df: DataFrame, axes: list[str], bins: int) -> DataFrame:
-    """Values of the axes raised to the next of `bins` quantiles; values of axes that have no more distinct ones stay."""
-    steps = F.array(*[F.lit((k + 1) / bins) for k in range(bins)])
-    found = df.agg(*[F.struct(F.approx_count_distinct(a, 0.01).alias("n"), F.percentile_approx(a, steps, 20_000).alias("q")).alias(a) for a in axes]).first()  # one row
-    out = df
-    for a in axes:
-        if found[a]["q"] and found[a]["n"] > bins:
-            cuts = sorted(set(found[a]["q"]))
-            value = F.col(a)
-            next_cut = F.get(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= value), F.lit(0))  # noqa: B023
-            out = out.withColumn(a, F.when(value.isNotNull(), F.coalesce(next_cut, F.lit(cuts[-1]))))
-    return out
-
-
-def explain_labels(df: DataFrame, label: str, axes: list[str], depth: int = 3, least: int = 5, bins: int = 200) -> list[dict]:
-    """A tree as rows (node, depth, axis, threshold, missing_goes, label, n). Each level is one aggregation over all
-    rows, to counts of the distinct values of each axis, which are its quantiles where it has more than `bins`: the
-    driver gets nodes x axes x bins x labels counts at most."""
-    current, out = binned(df, axes, bins).withColumn("__node", F.lit(1)), []
-    for level in range(depth + 1):
-        long = current.select("__node", label, *axes).unpivot(["__node", label], axes, "axis", "value")
-        counts = long.groupBy("__node", "axis", "value", F.col(label).alias("label")).agg(F.count("*").alias("n")).toPandas()
-        rule = None
-        for node, own in counts.groupby("__node"):
-            sizes = own[own.axis == axes[0]].groupby("label").n.sum()
-            split = best_split(own, axes) if level < depth and len(sizes) > 1 and sizes.sum() >= 2 * least else None
-            out.append({"node": int(node), "depth": level, "axis": split and split[0], "threshold": split and split[1], "missing_goes": split and split[2], "label": min(sizes[sizes == sizes.max()].index), "n": int(sizes.sum())})
-            if split:
-                axis, threshold, side = split
-                go_left = F.when(F.col(axis).isNull(), F.lit(side == "left")).otherwise(F.col(axis) <= threshold)
-                child = F.when(go_left, F.lit(2 * node)).otherwise(F.lit(2 * node + 1))
-                rule = F.when(F.col("__node") == int(node), child) if rule is None else rule.when(F.col("__node") == int(node), child)
-        if rule is None:
-            break
-        current = current.withColumn("__node", rule).where("__node is not null")
-    return out

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.tables import workspace
+
 
 def last_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The last k rows of each key, in the order's reverse."""
@@ -78,3 +80,38 @@ def step_up(df: DataFrame, p: str, bins: int = 1000) -> DataFrame:
     own = F.min("__q").over(w.rowsBetween(0, W.unboundedFollowing))
     q = ranked.join(F.broadcast(later), "__bin").select("__p", F.least(F.lit(1.0), own, F.col("__later")).alias("q"))
     return df.join(q, F.col(p).eqNullSafe(F.col("__p")), "left").drop("__p")
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
+    """Adds, for each name, `upto_` (the sum over the rows of the same keys up to this one) and `all_` (over all of them), and
+    `following`, the next row's order. Rows of the same keys have distinct orders, none of them null.
+
+    Rows are dealt in ranges of (keys, order) and written; running sums stay within a range, and a table with a row for each
+    range and key tells what stands before and after it. So one key may hold all rows.
+    """
+    spark = df.sparkSession
+    where = workspace(spark)
+    ranged = df.withColumns({f"__{n}": c for n, c in sums.items()}).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, order)
+    ranged.withColumn("__range", F.spark_partition_id()).write.parquet(where)
+    rows = spark.read.parquet(where)
+    totals = rows.groupBy("__range", *keys).agg(F.min(order).alias("__first"), *[F.sum(f"__{n}").alias(f"__t_{n}") for n in sums])
+    by_key = W.partitionBy(*keys)  # a row for each range that the key is in
+    before = by_key.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    stands = totals.select("__range", *keys, F.lead("__first").over(by_key.orderBy("__range")).alias("__then"), *[c for n in sums for c in (F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}"), F.sum(f"__t_{n}").over(by_key).alias(f"all_{n}"))])
+    own = W.partitionBy("__range", *keys).orderBy(order)
+    run = rows.withColumns({"following": F.lead(order).over(own), **{f"upto_{n}": F.sum(f"__{n}").over(own.rowsBetween(W.unboundedPreceding, 0)) for n in sums}})
+    met = run.join(stands, ["__range", *keys])
+    met = met.withColumns({"following": F.coalesce("following", "__then"), **{f"upto_{n}": F.col(f"upto_{n}") + F.col(f"__b_{n}") for n in sums}})
+    return met.drop("__range", "__then", *[x for n in sums for x in (f"__{n}", f"__b_{n}")])
+
+
+def exact_percentile(df: DataFrame, value: str, at: float = 0.5) -> DataFrame:
+    """One row, `percentile`: the value at a share of the sorted rows, between two rows linearly; nulls do not count. No task
+    holds more than a range of the distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).withColumn("__one", F.lit(0))
+    run = running_sums(counts, ["__one"], "v", {"n": F.col("n")})
+    spot = F.lit(at) * (F.col("all_n") - 1)
+    low, high = F.floor(spot), F.ceil(spot)
+    covers = lambda k: (F.col("upto_n") > k) & (F.col("upto_n") - F.col("n") <= k)
+    ends = run.agg(F.max(F.when(covers(low), F.col("v"))).alias("a"), F.max(F.when(covers(high), F.col("v"))).alias("b"), F.max(spot - low).alias("share"))
+    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("percentile"))

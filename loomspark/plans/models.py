@@ -9,6 +9,7 @@ from ..functions import vectors as V
 from ..operators import geometry as G
 from ..operators import judging as L
 from ..operators import models as M
+from ..operators import trees as TR
 from .catalogue import query
 
 
@@ -123,11 +124,46 @@ def c13_leaf_order(t):
     return t.spark.createDataFrame([(k, rows[j][0]) for k, j in enumerate(order)], "place int, label int")
 
 
+_PER = """WITH per AS (SELECT user_id, CAST(floor(max(value)) % 4 AS INTEGER) AS label, round(avg(value), 0) AS mean_value, CAST(nullif(count(*) FILTER (WHERE event_type = 'error'), 12) AS DOUBLE) AS errors, median(value) FILTER (WHERE event_type = 'click') AS clicked FROM events GROUP BY 1)"""
+_AXES = ["mean_value", "errors", "clicked"]
+
+
+def _per_user(t):
+    """Users with a label and three axes, one with gaps."""
+    return t.events.groupBy("user_id").agg(
+        (F.floor(F.max("value")) % 4).cast("int").alias("label"),
+        F.round(F.avg("value"), 0).alias("mean_value"),
+        F.nullif(F.count_if(F.col("event_type") == "error"), F.lit(12)).cast("double").alias("errors"),
+        F.percentile(F.when(F.col("event_type") == "click", F.col("value")), 0.5).alias("clicked"),
+    )
+
+
 @query()
 def c14_explaining_tree(t):
-    per = t.events.groupBy("user_id").agg(F.round(F.avg("value"), 0).alias("mean_value"), F.count_if(F.col("event_type") == "error").cast("double").alias("errors"))
-    rows = M.explain_labels(per.withColumn("label", (F.col("mean_value") > 50).cast("int")), "label", ["mean_value", "errors"], 2)
-    return t.spark.createDataFrame(rows, "node int, depth int, axis string, threshold double, missing_goes string, label int, n int")
+    """An exact tree of depth 2, with leaves of five users or more."""
+    rows = TR.explain_labels(_per_user(t), "label", _AXES, 2)
+    return t.spark.createDataFrame(rows, "node int, depth int, axis string, threshold double, missing_goes string, gain double, label int, n int, counts array<int>")
+
+
+@query(f"""{_PER}, long AS (SELECT user_id, label, 0 AS axis, mean_value AS v FROM per UNION ALL SELECT user_id, label, 1, errors FROM per UNION ALL SELECT user_id, label, 2, clicked FROM per),
+d AS (SELECT axis, v + (lead(v) OVER (PARTITION BY axis ORDER BY v) - v) / 2 AS t FROM (SELECT DISTINCT axis, v FROM long WHERE v IS NOT NULL)),
+s AS (SELECT axis, t, missing_left, label, count(*) AS n, count(*) FILTER (WHERE CASE WHEN v IS NULL THEN missing_left ELSE v <= t END) AS l FROM long JOIN d USING (axis), (SELECT unnest([true, false]) AS missing_left) WHERE t IS NOT NULL GROUP BY 1, 2, 3, 4),
+g AS (SELECT axis, t, missing_left, sum(l) AS nl, sum(n - l) AS nr, round((CAST(sum(l * l) AS DOUBLE) / sum(l) + CAST(sum((n - l) * (n - l)) AS DOUBLE) / sum(n - l)) / sum(n) - CAST(sum(n * n) AS DOUBLE) / (sum(n) * sum(n)), 12) AS gain FROM s GROUP BY 1, 2, 3 HAVING sum(l) >= 5 AND sum(n - l) >= 5)
+SELECT ['mean_value', 'errors', 'clicked'][axis + 1] AS axis, round(t, 6) AS threshold, CASE WHEN missing_left THEN 'left' ELSE 'right' END AS missing_goes, round(gain, 9) AS gain, CAST(nl AS BIGINT) AS n_left, CAST(nr AS BIGINT) AS n_right FROM g ORDER BY g.gain DESC, g.axis, t, missing_left DESC LIMIT 1""")
+def c14_first_split(t):
+    """The root's split, over all axes, thresholds and ways of missing values."""
+    per = _per_user(t)
+    tree = {r["node"]: r for r in TR.explain_labels(per, "label", _AXES, 1)}
+    root = tree[1]
+    return t.spark.createDataFrame([(root["axis"], round(root["threshold"], 6), root["missing_goes"], round(root["gain"], 9), tree[2]["n"], tree[3]["n"])], "axis string, threshold double, missing_goes string, gain double, n_left long, n_right long")
+
+
+@query()
+def c14_tree_predictions(t):
+    """Each user's leaf and whether it is right; the rows of the tree are checked by hand-made trees."""
+    per = _per_user(t)
+    got = TR.predicted(per, TR.explain_labels(per, "label", _AXES, 3))
+    return got.select("user_id", "label", "tree_prediction", (F.col("label") == F.col("tree_prediction")).alias("correct"))
 
 
 @query("SELECT conv_id, turn, CAST(len(string_split(text, ' ')) AS BIGINT) AS said FROM conversations WHERE role = 'user' AND length(text) >= 20")

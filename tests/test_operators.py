@@ -311,16 +311,6 @@ def test_step_up_by_hand(spark):
     assert got.keys() == want.keys() and all(got[k] == (pytest.approx(v) if v is not None else None) for k, v in want.items())
 
 
-def test_many_values_are_binned(spark):
-    from loomspark.operators import models as M
-
-    df = spark.range(5000).select((F.col("id") / 7).alias("x"), (F.col("id") % 3).cast("double").alias("y"), (F.col("id") >= 2500).cast("int").alias("l"))
-    few = M.binned(df, ["x", "y"], 50)
-    assert few.select("x").distinct().count() <= 50 and few.where("y in (0, 1, 2)").count() == 5000
-    tree = M.explain_labels(df, "l", ["x", "y"], 1, bins=50)
-    assert tree[0]["axis"] == "x" and abs(tree[0]["threshold"] - 2500 / 7) < 10
-
-
 def test_crossed_refuses_a_large_side(spark):
     assert J.crossed(spark.range(3), spark.range(4).withColumnRenamed("id", "b"), 4).count() == 12
     with pytest.raises(ValueError, match="more than"):
@@ -414,15 +404,6 @@ def test_leaf_order_keeps_neighbours_together():
     assert M.leaf_order(np.zeros((0, 1))) == []
 
 
-def test_tree_sends_missing_values_where_they_fit(spark):
-    from loomspark.operators import models as M
-
-    rows = [(1.0, "a")] * 6 + [(2.0, "b")] * 6 + [(None, "b")] * 4
-    tree = M.explain_labels(spark.createDataFrame(rows, "x double, l string"), "l", ["x"], 2)
-    assert (tree[0]["axis"], tree[0]["threshold"], tree[0]["missing_goes"]) == ("x", 1.0, "right")
-    assert sorted((r["label"], r["n"]) for r in tree[1:]) == [("a", 6), ("b", 10)]
-
-
 def test_principal_axes(spark):
     from loomspark.operators import models as M
 
