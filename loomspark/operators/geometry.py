@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import vectors as V
 from ..sources.tables import workspace
+from . import tiles
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -104,33 +105,19 @@ def prediction_strength(train: DataFrame, test: DataFrame, key: str, vector: str
     return pair_agreement(own.join(via, key), "cluster", "via")
 
 
-#: Anchors that meet all rows at once.
-ANCHORS = 4096
-
-
-def distances(df: DataFrame, key: str, vector: str, label: str, anchors: DataFrame | None = None, measure=V.euclidean) -> DataFrame:
-    """a, la, b, lb, d: of every anchor (rows of df, all by default) the distance to all other rows.
-
-    Anchors meet the rows in blocks of about ANCHORS, each broadcast, so that neither side is shuffled; what follows
-    sums or ranks by anchor. The work is anchors times rows, as the measure asks: give fewer anchors for large tables.
-    """
-    side = lambda rows, n: rows.select(F.col(key).alias(n), F.col(label).alias(f"l{n}"), V.doubles(F.col(vector)).alias(f"v{n}"))
-    first, second = side(df if anchors is None else anchors, "a"), side(df, "b")
-    blocks = -(-first.count() // ANCHORS) or 1
-    out = None
-    for k in range(blocks):
-        block = first if blocks == 1 else first.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == k)
-        met = second.crossJoin(F.broadcast(block)).where("a <> b").select("a", "la", "b", "lb", measure(F.col("va"), F.col("vb")).alias("d"))
-        out = met if out is None else out.unionByName(met)
-    return out
+def distances(df: DataFrame, key: str, vector: str, label: str, anchors: DataFrame | None = None, masked: bool = False) -> DataFrame:
+    """a, la, b, lb, d: of every anchor (rows of df, all by default) the distance to all other rows, by tiles; keys are
+    distinct. masked: root mean square over the places that both have, null without any. The rows are anchors times rows, as
+    asked: where a sum or a rank will do, take silhouette, discriminability or ranked, which give no pairs out."""
+    return tiles.all_distances(df, key, vector, label, anchors, tiles.masked_rms if masked else tiles.euclidean)
 
 
 def silhouette(df: DataFrame, key: str, vector: str, label: str, anchors: DataFrame | None = None, masked: bool = False) -> DataFrame:
-    """key, silhouette of every anchor (all rows by default) by exact distances to all rows; partial sums are kept, pairs
-    are not. A row alone in its cluster has 0. masked: root mean square over the places that both rows have, pairs
+    """key, silhouette of every anchor (all rows by default) by exact distances to all rows; tiles give sums out, pairs
+    never exist. A row alone in its cluster has 0. masked: root mean square over the places that both rows have, pairs
     without any left out; a row without a distance on either side is left out."""
-    d = distances(df, key, vector, label, anchors, V.masked_rms if masked else V.euclidean)
-    means = d.groupBy("a", "la", "lb").agg(F.avg("d").alias("d"))
+    sums = tiles.label_sums(df, key, vector, label, anchors, tiles.masked_rms if masked else tiles.euclidean)
+    means = sums.groupBy("a", "la", "lb").agg((F.sum("s") / F.sum("n")).alias("d"))
     per = means.groupBy("a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("other"))
     if masked:
         per = per.where("own is not null and other is not null")

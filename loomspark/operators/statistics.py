@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 
 from ..functions import stats as ST
 from ..functions import vectors as V
+from ..sources.tables import stored
+from . import tiles
 from .resampling import bootstrap_weights
 
 
@@ -172,35 +174,12 @@ def trust_gates(observations: DataFrame, entity: str, supports: list[int], pairs
     return out.join(ci, "method")
 
 
-#: Queries that meet all candidates at once.
-QUERIES = 1024
-
-
 def packed(df: DataFrame, entity: str, axis: str, value: Column, axes: list) -> DataFrame:
     """entity, v: the values in the order of the axes, null where there is none."""
     m = F.map_from_entries(F.collect_list(F.struct(axis, value.alias("__v"))))  # a value for each axis
     return df.groupBy(entity).agg(m.alias("__m")).select(entity, F.array(*[F.col("__m")[a] for a in axes]).alias("v"))
 
 
-def ranked_against(queries: DataFrame, candidates: DataFrame, score: Column, keys: list[str]) -> DataFrame:
-    """keys, rank, best_other: where each query's own candidate (column b equal to a) ranks among all, smallest score
-    first; ties go to the smaller candidate; scores are rounded to nine digits. Queries without an own candidate are left
-    out.
-
-    queries: keys (a among them) and what score needs; candidates: b and the same. Queries meet the candidates in
-    blocks, broadcast one after the other; only counts come out.
-    """
-    own = queries.join(candidates, F.col("a") == F.col("b")).select(*queries.columns, F.round(score, 9).alias("own")).where("own is not null")
-    blocks = -(-own.count() // QUERIES) or 1
-    out = []
-    for k in range(blocks):
-        block = own if blocks == 1 else own.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == k)
-        met = candidates.crossJoin(F.broadcast(block)).withColumn("__s", F.round(score, 9))
-        better = (F.col("__s") < F.col("own")) | ((F.col("__s") == F.col("own")) & (F.col("b") < F.col("a")))
-        out.append(met.groupBy(*keys).agg((F.count_if(better) + 1).alias("rank"), F.min(F.when(F.col("a") != F.col("b"), F.col("__s"))).alias("best_other")))
-    return functools.reduce(DataFrame.unionByName, out)
-
-
 def likelihood_retrieval(observations: DataFrame, profiles: DataFrame, entity: str, axis: str, queries: Column) -> DataFrame:
     """entity, mode, n_observations, rank: where the own profile ranks among all by the mean log likelihood of the held-out
     observations: of all, of those that go with the others' majority, of those against it, and weighted by surprisal."""
@@ -212,7 +191,12 @@ def likelihood_retrieval(observations: DataFrame, profiles: DataFrame, entity: s
     p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("p")))
     logs = profiles.withColumn("__l", F.array(F.ln(p), F.ln(1 - p)))
     known = packed(logs, entity, axis, F.col("__l"), axes).select(F.col(entity).alias("b"), F.flatten("v").alias("l"))
-    return ranked_against(asked, known, -F.try_divide(V.dot(F.col("w"), F.col("l")), F.col("all")), ["a", "mode", "n_observations"]).select(F.col("a").alias(entity), "mode", "n_observations", "rank")
+    known, asked = stored(known.withColumnRenamed("l", "v")), stored(asked)
+    mean = F.transform("w", lambda x: F.try_divide(x, F.col("all")))
+    asked = asked.select("a", "mode", "n_observations", mean.alias("w"))
+    own = asked.join(known, F.col("a") == F.col("b")).select("a", "mode", "n_observations", F.round(-V.dot(F.col("w"), F.col("v")), 9).alias("own"), F.col("w").alias("v")).where("own is not null")
+    got = tiles.ranked(own, known, ["a", "mode", "n_observations"], "own", tiles.minus_dot)
+    return got.select(F.col("a").alias(entity), "mode", "n_observations", "rank")
 
 
 def retrieval(early: DataFrame, late: DataFrame, entity: str, axis: str, value: str, queries: Column) -> DataFrame:
@@ -222,22 +206,13 @@ def retrieval(early: DataFrame, late: DataFrame, entity: str, axis: str, value:
     axes = sorted(sd)
     scale = F.create_map(*[x for a in axes for x in (F.lit(a), F.lit(float(sd[a])))])
     side = lambda df, n, v: packed(df.where(F.col(value).isNotNull() & F.col(axis).isin(axes)), entity, axis, F.col(value) / scale[F.col(axis)], axes).select(F.col(entity).alias(n), F.col("v").alias(v))
-    asked, known = side(early.where(queries), "a", "va"), side(late, "b", "vb")
-    got = ranked_against(asked, known, V.masked_rms(F.col("va"), F.col("vb")), ["a"])
+    asked, known = side(early.where(queries), "a", "v"), side(late, "b", "v")
+    asked, known = stored(asked), stored(known)
+    own = asked.join(known.withColumnRenamed("v", "w"), F.col("a") == F.col("b")).select("a", F.round(V.masked_rms(F.col("v"), F.col("w")), 9).alias("own"), "v").where("own is not null")
+    got = tiles.ranked(own, known, ["a"], "own", tiles.masked_rms)
     return got.select(F.col("a").alias(entity), "rank", F.col("best_other").alias("nearest"))
 
 
-def discriminability(distances: DataFrame, a: str, b: str, la: str, lb: str, d: str) -> DataFrame:
-    """score: how often a row's distance to another of its label is below that to one of another label; ties count half,
-    labels weigh alike. From ranks within each anchor: sorted once, not joined to itself."""
-    w = W.partitionBy(a).orderBy(d)
-    same = (F.col(la) == F.col(lb)).cast("double")
-    run = distances.where(F.col(a) != F.col(b)).withColumns({"__s": same, "__below": F.sum(1 - same).over(w.rangeBetween(W.unboundedPreceding, W.currentRow)), "__at": F.sum(1 - same).over(W.partitionBy(a, d)), "__all": F.sum(1 - same).over(W.partitionBy(a))})
-    per = run.where("__s = 1 and __all > 0").withColumn("w", 1 - (F.col("__below") - F.col("__at") / 2) / F.col("__all"))
-    by_anchor = per.groupBy(la, a).agg(F.avg("w").alias("w"))
-    return by_anchor.groupBy(la).agg(F.avg("w").alias("w")).agg(F.avg("w").alias("score"))
-
-
 def trust_grid(df: DataFrame, confidence: str, support: str, hit: Column, levels: list[float], supports: list[int]) -> DataFrame:
     """confidence, support, kept, accuracy of each pair of thresholds, in one pass."""
     cells = F.array(*[F.struct(F.lit(c).alias("confidence"), F.lit(s).alias("support"), F.count_if((F.col(confidence) >= c) & (F.col(support) >= s)).alias("kept"), ST.ratio(F.count_if((F.col(confidence) >= c) & (F.col(support) >= s) & hit), F.count_if((F.col(confidence) >= c) & (F.col(support) >= s))).alias("accuracy")) for c in levels for s in supports])

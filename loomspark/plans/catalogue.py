@@ -36,5 +36,5 @@ def query(sql: str | None = None):
     return register
 
 
-for _module in ("scans", "relational", "aggregates", "preferences", "sequences", "texts", "statistics", "geometry", "models", "evidence", "studies"):
+for _module in ("scans", "relational", "aggregates", "preferences", "sequences", "texts", "statistics", "geometry", "models", "evidence", "studies", "personas"):
     importlib.import_module(f"loomspark.plans.{_module}")

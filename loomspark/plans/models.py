@@ -192,5 +192,5 @@ def c10_masked_distances(t):
     """Places that either side lacks do not count."""
     masked = F.transform(V.doubles(F.col("embedding")), lambda v, i: F.when((i + 1 + F.col("vec_id")) % 3 != 0, v))
     e = t.embeddings.withColumn("masked", masked)
-    d = G.distances(e, "vec_id", "masked", "label", e.where("vec_id % 100 = 0"), V.masked_rms)  # a stated query set against all rows
+    d = G.distances(e, "vec_id", "masked", "label", e.where("vec_id % 100 = 0"), masked=True)  # a stated query set against all rows
     return d.select("a", "b", F.round("d", 6).alias("d"))

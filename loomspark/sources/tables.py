@@ -23,6 +23,13 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to a fresh folder and read from there: for what is read more than once."""
+    where = workspace(df.sparkSession)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def discover(spark: SparkSession, folder: str, names: list[str]) -> dict[str, str]:
     """The place of each table: a flat file, a folder of that name, or one below data/. Missing tables are left out.
 

@@ -18,6 +18,7 @@ from loomspark.operators import preferences as P
 from loomspark.operators import resampling as R
 from loomspark.operators import sequences as Q
 from loomspark.operators import statistics as S
+from loomspark.operators import tiles
 from loomspark.sources import tables as T
 
 
@@ -269,10 +270,10 @@ def test_masked_kmeans(spark):
     assert label[0] == label[1] == label[2] != label[3] == label[4] == label[5] and sorted(map(tuple, model["centers"])) == [pytest.approx((0.05, 0.05)), pytest.approx((5.05, 5.0))]
 
 
-def test_blocks_of_anchors_do_not_matter(spark, monkeypatch):
+def test_tiles_do_not_matter(spark, monkeypatch):
     df = spark.createDataFrame([(k, [float(k % 7), float(k % 3)], k % 4) for k in range(60)], "k int, v array<double>, l int")
     whole = sorted(map(tuple, G.silhouette(df, "k", "v", "l").collect()))
-    monkeypatch.setattr(G, "ANCHORS", 9)
+    monkeypatch.setattr(tiles, "TILE", 9)
     assert sorted(map(tuple, G.silhouette(df, "k", "v", "l").collect())) == [(k, pytest.approx(v)) for k, v in whole]
     assert sorted(r.k for r in G.silhouette(df, "k", "v", "l", df.where("k < 5")).collect()) == [0, 1, 2, 3, 4]
 
