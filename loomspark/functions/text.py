@@ -94,16 +94,26 @@ def joined_hash(*parts: Column) -> Column:
 
 
 def multiset_recall(needle: Column, haystack: Column) -> Column:
-    """Share of the needle's entries, repeats counted, that the haystack has; 1 for an empty needle."""
+    """Share of the needle's entries, repeats counted, that the haystack has; 1 for an empty needle. Null entries match none.
+
+    Both arrays are sorted and merged within the row: no shuffle, and steps as many as there are entries.
+    """
+    known = lambda x: F.sort_array(F.filter(x, lambda y: y.isNotNull()))
+
+    def step(s: Column, m: Column) -> Column:
+        x, y = F.get(s["a"], m["i"]), F.get(s["b"], m["j"])
+        both = F.when(x.isNull() | y.isNull(), 0)  # one side is at its end
+        up = lambda goes: both.when(goes, 1).otherwise(0)
+        return F.struct((m["i"] + up(x <= y)).alias("i"), (m["j"] + up(y <= x)).alias("j"), (m["n"] + up(x == y)).alias("n"))
 
     def of(s: Column) -> Column:
-        a, b = s["a"], s["b"]
-        times = lambda x, y: F.size(F.filter(x, lambda z: z == y))
-        hits = F.aggregate(F.array_distinct(a), F.lit(0).cast("long"), lambda n, y: n + F.least(times(a, y), times(b, y)).cast("long"))
-        return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(hits / F.nullif(F.size(a), F.lit(0)))
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
+        steps = F.array_repeat(F.lit(0), F.size(s["a"]) + F.size(s["b"]))
+        hits = F.aggregate(steps, start, lambda m, _: step(s, m), lambda m: m["n"])
+        return F.when(s["size"] == 0, F.lit(1.0)).otherwise(hits / F.nullif(s["size"], F.lit(0)))
 
-    # One element, so that both arrays are made once and not for every entry.
-    return F.get(F.transform(F.array(F.struct(needle.alias("a"), haystack.alias("b"))), of), F.lit(0))
+    # One element, so that both arrays are made once and not for every step.
+    return F.get(F.transform(F.array(F.struct(known(needle).alias("a"), known(haystack).alias("b"), F.size(needle).alias("size"))), of), F.lit(0))
 
 
 def json_list(x: Column) -> Column:

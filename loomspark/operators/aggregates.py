@@ -68,15 +68,3 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
     """Counts and row shares of the stated values."""
     n = df.groupBy(row).agg(F.count("*").alias("total"), *[F.count_if(F.col(column) == v).alias(v) for v in values])
     return n.select(row, *values, *[F.round(F.try_divide(F.col(v), F.col("total")), 6).alias(f"{v}_share") for v in values])
-
-
-def multiset_recalls(df: DataFrame, keys: list[str], needle: str, haystack: str) -> DataFrame:
-    """keys, recall: the share of the needle's entries, repeats counted, that the haystack has; 1 for an empty needle.
-
-    Entries are counted, not compared with each other, so that long lists cost no more than their length. keys must tell
-    the rows apart.
-    """
-    side = lambda c, n: df.select(*keys, F.explode(F.col(c)).alias("__x"), F.lit(n).alias("__side"))
-    counts = side(needle, 0).unionByName(side(haystack, 1)).groupBy(*keys, "__x").agg(F.count_if(F.col("__side") == 0).alias("a"), F.count_if(F.col("__side") == 1).alias("b"))
-    per = counts.groupBy(*keys).agg(F.sum(F.least("a", "b")).alias("both"), F.sum("a").alias("all"))
-    return df.select(*keys).join(per, keys, "left").select(*keys, F.when(F.coalesce("all", F.lit(0)) == 0, F.lit(1.0)).otherwise(F.col("both") / F.col("all")).alias("recall"))

@@ -7,6 +7,7 @@ matrix with a row for each axis or cluster.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +15,24 @@ from ..functions import vectors as V
 
 
 def covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population covariance: sums over rows in a plan, a cell for each pair of axes on the driver."""
-    x = df.select(F.posexplode(V.doubles(F.col(vector))).alias("i", "v"), F.monotonically_increasing_id().alias("r"))
-    width = df.select(F.max(F.size(vector))).first()[0] or 0
-    means = {r.i: r.m for r in x.groupBy("i").agg(F.avg("v").alias("m")).collect()}  # a row for each axis
-    pairs = df.select(V.doubles(F.col(vector)).alias("v")).select("v", F.posexplode("v").alias("i", "a")).select("i", "a", F.posexplode("v").alias("j", "b")).where("i <= j")
-    out = np.zeros((width, width))
-    for r in pairs.groupBy("i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("m")).collect():  # a row for each pair of axes
-        out[r.i, r.j] = out[r.j, r.i] = r.m - means[r.i] * means[r.j]
-    return np.array([means[k] for k in range(width)]), out
+    """Mean and population covariance, in one pass: each task adds up its rows' products as matrices and hands on a row for
+    each axis, and an aggregate adds these; the driver gets a row for each axis. Rows with a null vector are left out."""
+    known = df.where(F.col(vector).isNotNull()).select(V.doubles(F.col(vector)).alias("v"))
+    width = known.select(F.max(F.size("v"))).first()[0] or 0
+
+    def sums(batches):
+        n, total, cross = 0, np.zeros(width), np.zeros((width, width))
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            n, total, cross = n + len(x), total + x.sum(axis=0), cross + x.T @ x
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([n] * width, pa.int64()), pa.array(total), pa.array(list(cross), pa.list_(pa.float64()))], names=["i", "n", "s", "c"])
+
+    if not width:
+        return np.zeros(0), np.zeros((0, 0))
+    rows = known.mapInArrow(sums, "i int, n long, s double, c array<double>").groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.array(*[F.sum(F.col("c")[j]) for j in range(width)]).alias("c")).orderBy("i").collect()
+    mean = np.array([r["s"] / r["n"] for r in rows])
+    return mean, np.array([r["c"] for r in rows]) / rows[0]["n"] - np.outer(mean, mean)
 
 
 def principal_axes(df: DataFrame, key: str, vector: str, k: int = 2) -> tuple[DataFrame, list[float]]:
@@ -71,11 +81,42 @@ def matched_centers(a: np.ndarray, b: np.ndarray) -> tuple[list[int], float]:
 
 
 def leaf_order(x: np.ndarray) -> list[int]:
-    """Rows in the order of an average-linkage tree; ties take the earlier pair."""
-    groups = [[k] for k in range(len(x))]
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-    while len(groups) > 1:
-        pairs = [(d[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
-        _, i, j = min(pairs)
-        groups[i] = groups[i] + groups.pop(j)
-    return groups[0] if groups else []
+    """Rows in the order of an average-linkage tree; ties take the earlier pair.
+
+    Sums of distances between groups are kept, and of each group the nearest later one: a merge adds two rows of sums, and
+    looks anew only where the nearest one was of the merged pair, so that the work is quadratic.
+    """
+    n = len(x)
+    if n < 2:
+        return list(range(n))
+    sums = np.stack([np.sqrt(((x - row) ** 2).sum(axis=1)) for row in x])
+    size, groups, alive = np.ones(n), [[k] for k in range(n)], np.ones(n, dtype=bool)
+    near, far = np.full(n, -1), np.full(n, np.inf)
+
+    def look(i: int) -> None:
+        later = np.flatnonzero(alive[i + 1 :]) + i + 1
+        if len(later):
+            d = sums[i, later] / (size[i] * size[later])
+            k = int(d.argmin())
+            near[i], far[i] = later[k], d[k]
+        else:
+            near[i], far[i] = -1, np.inf
+
+    for i in range(n):
+        look(i)
+    for _ in range(n - 1):
+        i = int(far.argmin())
+        j = int(near[i])
+        groups[i] += groups[j]
+        alive[j], far[j] = False, np.inf
+        sums[i] += sums[j]
+        sums[:, i] = sums[i]
+        size[i] += size[j]
+        before = np.flatnonzero(alive[:i])
+        d = sums[before, i] / (size[before] * size[i])
+        closer = (d < far[before]) | ((d == far[before]) & (i < near[before]))
+        stale = np.flatnonzero(alive & ((near == i) | (near == j)))
+        near[before[closer]], far[before[closer]] = i, d[closer]
+        for k in {i, *stale.tolist()} - set(before[closer].tolist()):
+            look(k)
+    return groups[int(np.flatnonzero(alive)[0])]

@@ -284,6 +284,8 @@ def f15_band_grid(t):
     return per.groupBy("lo", "hi").agg(F.count_if(F.col("n") >= 3).alias("users"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def f17_not_done_yet(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large order so far."""
+    done = t.orders.where("o_totalprice > 400000").select("o_custkey")
+    return t.customer.join(done, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")

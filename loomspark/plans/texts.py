@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.text import multiset_recall
 from ..operators import diffs as D
 from .catalogue import query
 
@@ -116,12 +117,10 @@ def h3_seeded_shuffle(t):
 @query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS i, len(string_split(text, ' ')) AS n FROM documents), c AS (SELECT doc_id, x, count(*) FILTER (WHERE i <= n // 2) AS a, count(*) FILTER (WHERE i > n // 2) AS b FROM w GROUP BY 1, 2) SELECT doc_id, round(CASE WHEN sum(a) = 0 THEN 1.0 ELSE sum(least(a, b)) / sum(a) END, 6) AS recall FROM c GROUP BY 1")
 def r2_multiset_recall(t):
     """How much of a text's first half comes again in the second, by words."""
-    from ..operators.aggregates import multiset_recalls
-
     w = F.split("text", " ")
-    half = F.floor(F.size(w) / 2).cast("int")
-    rows = t.documents.select("doc_id", F.slice(w, F.lit(1), half).alias("a"), F.slice(w, half + 1, F.size(w)).alias("b"))
-    return multiset_recalls(rows, ["doc_id"], "a", "b").withColumn("recall", F.round("recall", 6))
+    rows = t.documents.select("doc_id", w.alias("w"), F.floor(F.size(w) / 2).cast("int").alias("half"))
+    first, rest = F.slice("w", F.lit(1), F.col("half")), F.slice("w", F.col("half") + 1, F.size("w"))
+    return rows.select("doc_id", F.round(multiset_recall(first, rest), 6).alias("recall"))
 
 
 @query("SELECT event_id, CAST(len(list_intersect([user_id % 4, user_id % 6], [event_id % 4, event_id % 6])) AS BIGINT) AS common, CAST(len(list_distinct([user_id % 4, user_id % 6, event_id % 4])) AS BIGINT) AS distinct_n FROM events")
