@@ -31,6 +31,8 @@ MAGIC = b"LOOMTOK1"
 ODD = re.compile("[\x1c-\x1f]")
 CHUNK = re.compile(r"(?:[^\s]|[\x1c-\x1f])+")
 BLOCK = 4096
+#: Where a null doc_id stands in the order of ids.
+NULL_FIRST = np.iinfo(np.int64).min
 #: Ids after which a file ends.
 FILE_IDS = 1 << 19
 
@@ -197,29 +199,44 @@ def write_tokens(docs: DataFrame, where: str, tokenizer: str = "word_bpe_49k.jso
     base counts the ids of the part's files before this one.
 
     Null text counts as empty and gives the end id alone. A null doc_id comes first. Rows that repeat an id keep an
-    order by text. An empty table gives no file. A text of more ids than a file has makes a file of its own. Other
+    order by their tokens. An empty table gives no file. A text of more ids than a file has makes a file of its own. Other
     columns of docs, whatever their names, are not read. A tokenizer file of another format than `fits` is refused.
     """
     path = C.vocabulary_path(tokenizer)
     with open(path, encoding="utf-8") as f:
-        if not fits(json.load(f)):
-            raise ValueError(f"{path} does not drop white space and part words as this encoder does")
+        spec = json.load(f)
+    if not fits(spec):
+        raise ValueError(f"{path} does not drop white space and part words as this encoder does")
+    size = 1 + max([end_id, *spec["model"]["vocab"].values(), *[t["id"] for t in spec.get("added_tokens") or []]])
     spark = docs.sparkSession
-    ordered = C.texts(docs).repartitionByRange(C.parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    own, bits = C.texts(docs), bits_for(size)
+    parts, unit = C.parts(spark), "<u2" if bits <= 16 else "<u4"
+    # Ids alone tell where ranges end; texts are encoded where they lie, and their tokens, not they, go to their range.
+    known = own.select("doc_id").where("doc_id is not null")
+    ends = np.unique(np.array(known.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (8 * parts)), dtype=np.int64)) if parts > 1 else np.empty(0, dtype=np.int64)
+
+    def encode(batches):
+        for piece in C.pieces(batches):
+            got = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(end_id)).astype(unit).tobytes() for x in encoder(path).encode_batch([x or "" for x in piece.column("text").to_pylist()])]
+            part = np.searchsorted(ends, np.array([d if d is not None else NULL_FIRST for d in C.ids(piece)], dtype=np.int64), side="right").astype(np.int32)
+            yield C.batch_of(["part", "doc_id", "ids"], [part, piece.column("doc_id"), got], [pa.int32(), pa.int64(), pa.binary()])
+
+    encoded = own.mapInArrow(C.tidied(encode, False), "part int, doc_id long, ids binary")
+    ordered = encoded.repartitionById(len(ends) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
 
     def run(batches):
-        bits = bits_for(encoder(path).size)
-        key, seq, base, held_docs, held_ids, n = C.task_key(), 0, 0, [], [], 0
+        key, seq, base, held_docs, held_ids, n = None, 0, 0, [], [], 0
 
         def flush():
             return C.batch_of(["part", "seq", "base", "first_doc", "n_docs", "n_ids", "content"], [[key], [seq], [base], [held_docs[0]], [len(held_docs)], [n], [write_file(held_docs, held_ids, bits)]], [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()])
 
-        for piece in C.pieces(batches):
-            for doc, got in zip(C.ids(piece), encoder(path).encode_batch([x or "" for x in piece.column("text").to_pylist()]), strict=True):
-                one = np.append(np.frombuffer(got, dtype="<u4"), np.uint32(end_id))
-                if held_docs and n + len(one) > FILE_IDS:
+        for batch in batches:
+            for part, doc, got in zip(batch.column("part").to_pylist(), C.ids(batch), batch.column("ids"), strict=True):
+                one = np.frombuffer(got.as_buffer(), dtype=unit)
+                if held_docs and (part != key or n + len(one) > FILE_IDS):
                     yield flush()
-                    seq, base, held_docs, held_ids, n = seq + 1, base + n, [], [], 0
+                    seq, base, held_docs, held_ids, n = (seq + 1, base + n, [], [], 0) if part == key else (0, 0, [], [], 0)
+                key = part
                 held_docs.append(doc)
                 held_ids.append(one)
                 n += len(one)
