@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import common as C
+from . import windows as V
 from .components import components
+from .substrings import Words
 
 #: Members of a key up to which all its links are candidates, where each is verified later; of larger ones a shortest
 #: forest is tried first, and what its failing links leave apart is compared in blocks.
@@ -314,14 +316,13 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))] if words else [], dtype="<u8"))
 
 
-def _alike(rows: pa.Table, bits: int, similarity: float) -> list[tuple[int, int]]:
+def _alike(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
     """Links (node, node) that hold, just enough to join all that such links join.
 
-    One of the fingerprints within `bits` and, of two blocks, pairs across them only. A set met with many others is counted against
-    all at once, by the texts of each shingle.
+    Of two blocks, pairs across them only. A set met with many others is counted against all at once, by the texts of each
+    shingle.
     """
     node, own, lo, hi = (rows[c].to_numpy() for c in ("node", "own", "lo", "hi"))
-    prints = [rows[c].to_numpy().view(np.uint64) for c in PRINTS]
     sets = [np.frombuffer(x, "<u8") for x in rows["shingles"].to_pylist()]
     n, size = len(sets), np.array([len(x) for x in sets])
     root = np.arange(n)
@@ -330,8 +331,7 @@ def _alike(rows: pa.Table, bits: int, similarity: float) -> list[tuple[int, int]
     begin, at = np.cumsum(times) - times, np.concatenate([[0], np.cumsum(size)])
     out = []
     for i in range(n - 1):
-        ok = np.logical_or.reduce([np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= bits for fp in prints])
-        ok &= root[i + 1 :] != root[i]
+        ok = root[i + 1 :] != root[i]
         ok &= np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]) - 1e-9
         if lo[0] != hi[0]:
             ok &= own[i + 1 :] != own[i]
@@ -351,14 +351,14 @@ def _alike(rows: pa.Table, bits: int, similarity: float) -> list[tuple[int, int]
     return out
 
 
-def _blocks(bits: int, similarity: float):
+def _blocks(similarity: float):
     """Reducer over rows sorted by group, lo, hi: the links of each such key."""
 
     def run(batches):
         held_key, held = None, []
 
         def close():
-            got = _alike(pa.Table.from_batches(held), bits, similarity) if sum(map(len, held)) > 1 else []
+            got = _alike(pa.Table.from_batches(held), similarity) if sum(map(len, held)) > 1 else []
             return C.batch_of(["a", "b"], [[a for a, _ in got], [b for _, b in got]], [pa.int64()] * 2)
 
         for batch in batches:
@@ -379,10 +379,10 @@ def _blocks(bits: int, similarity: float):
     return run
 
 
-def _left_apart(nodes: DataFrame, checked: DataFrame, known: DataFrame, bits: int, similarity: float) -> DataFrame:
+def _left_apart(checked: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that hold where a candidate's failure could hide them. checked: candidates (a, b, holds).
 
-    All pairs with a fingerprint within `bits` lie inside a group that candidates join. A group is done when all its
+    All pairs that are alike lie inside a group that candidates join. A group is done when all its
     candidates hold, or when all its pairs were candidates. Of others every text meets every block of its group, with
     its shingles.
     """
@@ -390,12 +390,12 @@ def _left_apart(nodes: DataFrame, checked: DataFrame, known: DataFrame, bits: in
     of_node = checked.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("tried"), F.count_if(~F.col("holds")).alias("lost"))  # so that a text with very many candidates is one row
     tried = of_node.join(groups, "node").groupBy("group").agg(F.sum("tried").alias("tried"), F.sum("lost").alias("lost")).where("lost > 0")
     still = groups.groupBy("group").agg(F.count("*").alias("n")).join(tried, "group").where("tried < n * (n - 1) div 2").select("group", "n")
-    rows = C.materialise(groups.join(still, "group").join(nodes.select("node", *PRINTS), "node").join(known, "node"), "apart")
+    rows = C.materialise(groups.join(still, "group").join(known, "node"), "apart")
     many = rows.groupBy("group").agg(F.ceil(F.greatest(F.first("n") / BLOCK, F.sum(F.length("shingles")) / BLOCK_BYTES, F.lit(1))).alias("many"))
     dealt = rows.join(many, "group").withColumn("own", F.pmod(F.xxhash64("node"), "many")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
     keys = ["group", "lo", "hi"]
-    met = dealt.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", *PRINTS, "shingles")
-    return met.repartition(C.parts(nodes.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(C.tidied(_blocks(bits, similarity)), "a long, b long")
+    met = dealt.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "shingles")
+    return met.repartition(C.parts(known.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(C.tidied(_blocks(similarity)), "a long, b long")
 
 
 def _candidates(nodes: DataFrame, column: str, bits: int) -> DataFrame:
@@ -406,6 +406,69 @@ def _candidates(nodes: DataFrame, column: str, bits: int) -> DataFrame:
     return between.unionByName(inside)
 
 
+def _shingle_keys(piece: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document (place in the piece) and hash of its distinct shingles, by document; fewer words make one shingle."""
+    words = Words([t.lower() for t in C.raw(piece)])
+    n = len(words.doc)
+    first = np.cumsum(words.counts) - words.counts
+    at = np.flatnonzero(words.doc[: max(0, n - shingle + 1)] == words.doc[shingle - 1 :])
+    docs, keys = [words.doc[at]], [words.chained(0, at, shingle)]
+    for few in range(1, shingle):
+        own = np.flatnonzero(words.counts == few)
+        docs.append(own)
+        keys.append(words.chained(0, first[own], few))
+    doc, key = np.concatenate(docs), np.concatenate(keys)
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    fresh = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])) if len(doc) else np.empty(0, dtype=bool)
+    return doc[fresh], key[fresh]
+
+
+def _rare_candidates(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """x, y: links that join all texts whose sets of shingles are alike to `similarity`, and more.
+
+    In any order of all shingles, two such sets of n and m share one of the first n - ceil(similarity * n) + 1 and m - ...:
+    here the rarest come first. Most texts are done after one look at a sketch: as many of their shingles as that occur
+    nowhere else. Of the others the shingles that may repeat are counted, and the rarest filed; a shingle of up to DENSE
+    texts links all of them, of a larger one all are linked to its first.
+    """
+    spark, texts, bits = docs.sparkSession, C.texts(docs).select("text"), V.fitting_bits(docs)
+
+    def once(piece):
+        doc, key = _shingle_keys(piece, shingle)
+        return key
+
+    cells, _ = V.repeated_cells(texts, once, bits)
+    twice = spark.sparkContext.broadcast(cells)
+
+    def survivors(piece):
+        doc, key = _shingle_keys(piece, shingle)
+        raw, out = C.raw(piece), []
+        n = np.bincount(doc, minlength=len(raw))
+        shared = V.Sketch.repeated(twice.value, bits, key)
+        many = np.bincount(doc[shared], minlength=len(raw))
+        rarest = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1 - (n - many)
+        ends = np.cumsum(n)
+        for k in np.flatnonzero((rarest > 0) & (many > 0)).tolist():
+            own = slice(ends[k] - n[k], ends[k])
+            out.append((hashlib.sha256(raw[k]).digest(), int(rarest[k]), key[own][shared[own]].view(np.int64)))
+        return C.batch_of(["hash", "rarest", "keys"], [list(c) for c in zip(*out, strict=True)], [pa.binary(), pa.int64(), pa.list_(pa.int64())]) if out else None
+
+    found = C.materialise(C.map_slices(texts, survivors, "hash binary, rarest long, keys array<long>", V.PIECE), "survivors")
+    filed = found.dropDuplicates(["hash"]).join(nodes.select("hash", "node"), "hash").select("node", "rarest", F.explode("keys").alias("key"))
+    filed = C.materialise(filed, "filed")
+    times = filed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    ranked = filed.join(times, "key", "left").groupBy("node").agg(F.first("rarest").alias("rarest"), F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "key"))).alias("s"))  # one text's
+    posts = ranked.select("node", F.explode(F.slice("s", F.lit(1), F.col("rarest").cast("int"))).alias("p")).where("p.times > 1").select("node", F.col("p.key").alias("key"))
+    posts = C.materialise(posts, "posts")
+    heads = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
+    met = posts.join(heads, "key")
+    few = met.where(F.col("n") <= DENSE).select("key", "node")
+    pairs = few.select("key", F.col("node").alias("x")).join(few.select("key", F.col("node").alias("y")), "key").where("x < y").select("x", "y")
+    stars = met.where((F.col("n") > DENSE) & (F.col("head") < F.col("node"))).select(F.col("head").alias("x"), F.col("node").alias("y"))
+    return pairs.unionByName(stars).distinct()
+
+
 def _similar(docs: DataFrame, shingle: int, similarity: float, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, hash), distinct texts (hash, node, first: the smallest doc_id), and the components (node, root) of
     their links. A text is known by its SHA-256, a node by a number."""
@@ -418,7 +481,7 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, bits: int) -> tup
     prints = C.materialise(C.map_slices(C.texts(docs), prints_of, "doc_id long, hash binary, " + ", ".join(f"{c} long" for c in PRINTS)), "prints")
     nodes = prints.groupBy("hash").agg(*[F.first(c).alias(c) for c in PRINTS], F.min("doc_id").alias("first"))
     nodes = C.materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = functools.reduce(DataFrame.unionByName, [_candidates(nodes, c, bits) for c in PRINTS])
+    pairs = functools.reduce(DataFrame.unionByName, [*[_candidates(nodes, c, bits) for c in PRINTS], _rare_candidates(docs, nodes, shingle, similarity)])
     pairs = C.materialise(pairs.distinct(), "candidates")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
 
@@ -442,7 +505,7 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, bits: int) -> tup
 
     met = pairs.join(known.select(F.col("node").alias("x"), F.col("shingles").alias("s")), "x").join(known.select(F.col("node").alias("y"), F.col("shingles").alias("t")), "y")
     checked = C.materialise(met.select(F.col("x").alias("a"), F.col("y").alias("b"), "s", "t").mapInArrow(C.tidied(verify), "a long, b long, holds boolean"), "checked")
-    joined = components(checked.where("holds").select("a", "b").unionByName(_left_apart(nodes, checked, known, bits, similarity)))
+    joined = components(checked.where("holds").select("a", "b").unionByName(_left_apart(checked, known, similarity)))
     C.discard(pairs, known, checked)
     return prints.select("doc_id", "hash"), nodes.select("hash", "node", "first"), joined
 
@@ -452,8 +515,9 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     similarity of `similarity` or more.
 
     Candidates are pairs of which one of the PRINTS fingerprints of the distinct words, by independent hashes, differs at
-    `bits` places or fewer, equal ones included. Links that join each group of them are verified first, on the whole shingle
-    sets; where one fails, all texts of the group are compared in full. Equal texts are one, and so are all without
+    `bits` places or fewer, equal ones included, and, so that none is lost, those that share one of their rarest shingles.
+    Links that join each group of them are verified first, on the whole shingle sets; where one fails, all texts of the
+    group are compared in full. Equal texts are one, and so are all without
     words, nulls among them. component_id is the smallest doc_id, null where all are; repeated rows share it; an empty
     table gives an empty result. Other columns of docs, whatever their names, are not read.
     """

@@ -219,16 +219,15 @@ def test_near_copies_are_verified(spark):
     assert {r.doc_id for r in kept.collect()} == set(got.values()) and "digest" in kept.columns
 
 
-def candidate_roots(texts, bits=5):
-    """Of each id the smallest id that links of similar_roots between fingerprints within `bits` lead to."""
+def candidate_roots(texts):
+    """Of each id the smallest id that links of a similarity of 0.8 or more lead to."""
     n = range(len(texts))
     words = [t.encode().lower().split() for t in texts]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
-    prints = [simhash.word_fingerprints(t.encode()) for t in texts]
     root = list(n)
     for a in n:
         for b in range(a):
-            if root[a] != root[b] and min((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= bits and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = sorted((root[a], root[b]))
                 root = [x if r == y else r for r in root]
     return dict(zip(n, root, strict=True))
@@ -305,8 +304,21 @@ def test_two_thousand_members_of_a_key(spark):
     assert sum(x >= 0.8 for x in like) > 1500 and all(got[2000 + k] == 2000 for k, x in enumerate(like) if x >= 0.8)
 
 
+def test_near_copies_of_few_distinct_words(spark):
+    """Texts of 120 words over few distinct ones, and copies with a new word: fingerprints differ a lot, no link is lost."""
+    r, texts = random.Random(13), []
+    for k in range(160):
+        own = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range((2, 5, 12, 40)[k % 4])]
+        w = [r.choice(own) for _ in range(120)]
+        texts += [" ".join(w), " ".join([*w[:60], f"new{k}", *w[60:]])]
+    texts += ["one two three", "One  two three", "one two", "one"]
+    want = candidate_roots(texts)
+    assert sum(want[k] != k for k in want) > 100
+    assert {x.doc_id: x.component_id for x in simhash.similar_components(frame(spark, texts)).collect()} == want
+
+
 def test_recall_of_near_copies(spark):
-    """Of all pairs with a similarity of 0.8 or more, found by their rarest common shingles, 95 of 100 are in one component."""
+    """Of all pairs with a similarity of 0.8 or more, found by their rarest common shingles, 99 of 100 are in one component."""
     if not os.path.isdir("/root/testdata/sf0.1"):
         pytest.skip("test tables are not here")
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
@@ -323,7 +335,7 @@ def test_recall_of_near_copies(spark):
         for x in own[: len(own) - math.ceil(0.8 * len(own)) + 1]:
             filed.setdefault(x, []).append(k)
     got = {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()}
-    assert len(pairs) > 40 and sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+    assert len(pairs) > 40 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
 
 
 def test_names_that_clash_with_helpers(spark):
