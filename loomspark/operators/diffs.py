@@ -157,16 +157,17 @@ def _changes(a: list[str], b: list[str]) -> list:
     return [o for o in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal"]
 
 
+def line_delta(old: str, new: str) -> tuple[list[str], list[str]]:
+    a, b = ([" ".join(x.split()) for x in t.splitlines() if x.strip()] for t in (old, new))
+    ops = _changes(a, b)
+    return [x for o in ops for x in b[o[3] : o[4]]], [x for o in ops for x in a[o[1] : o[2]]]
+
+
 @F.pandas_udf(T.StructType([T.StructField("added", T.ArrayType(T.StringType())), T.StructField("deleted", T.ArrayType(T.StringType()))]))
 def edit_delta(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Lines that only the new, and only the old text has at a place, by longest matching blocks of the squeezed,
     non-empty lines; null counts as empty."""
-    rows = []
-    for a, b in zip(old.fillna(""), new.fillna(""), strict=True):
-        a, b = ([" ".join(x.split()) for x in t.splitlines() if x.strip()] for t in (a, b))
-        ops = _changes(a, b)
-        rows.append(([x for o in ops for x in b[o[3] : o[4]]], [x for o in ops for x in a[o[1] : o[2]]]))
-    return pd.DataFrame(rows, columns=["added", "deleted"])
+    return pd.DataFrame([line_delta(a, b) for a, b in zip(old.fillna(""), new.fillna(""), strict=True)], columns=["added", "deleted"])
 
 
 @F.pandas_udf(T.LongType())

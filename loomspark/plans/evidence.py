@@ -21,11 +21,13 @@ def x7_tool_families(t):
     return t.nation.select("n_nationkey", E.tool_family(F.get(names, (F.col("n_nationkey") % 10).cast("int"))).alias("f")).select("n_nationkey", "f.family", "f.shown")
 
 
-@query("""SELECT p_partkey, CAST(0 AS INTEGER) AS action, 'f' || CAST(p_partkey AS VARCHAR) AS path, CASE p_partkey % 5 WHEN 0 THEN 'edit' WHEN 1 THEN 'edit' WHEN 2 THEN 'write' ELSE 'update' END AS operation,
+_ACTIONS = """SELECT p_partkey, CAST(0 AS INTEGER) AS action, 'f' || CAST(p_partkey AS VARCHAR) AS path, CASE p_partkey % 5 WHEN 0 THEN 'edit' WHEN 1 THEN 'edit' WHEN 2 THEN 'write' ELSE 'update' END AS operation,
 CASE WHEN p_partkey % 5 = 2 THEN p_name || '|' || p_brand ELSE p_name END AS added, CASE WHEN p_partkey % 5 IN (0, 1) THEN 'a' WHEN p_partkey % 5 = 2 THEN '' ELSE p_brand END AS deleted FROM part WHERE p_partkey % 5 < 4
 UNION ALL SELECT p_partkey, 2, 'f' || CAST(p_partkey AS VARCHAR), 'write', 'c', '' FROM part WHERE p_partkey % 5 = 1
-UNION ALL SELECT p_partkey, 1, 'g.py', 'add', p_type, '' FROM part WHERE p_partkey % 5 = 3""")
-def e8_write_actions(t):
+UNION ALL SELECT p_partkey, 1, 'g.py', 'add', p_type, '' FROM part WHERE p_partkey % 5 = 3"""
+
+
+def _calls(t):
     """One edit, a list of edits with an entry that is none, a new file, a patch of two files, and a tool that only reads."""
     k, path = F.col("p_partkey") % 5, F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
     one = F.to_json(F.struct(path.alias("filePath"), F.lit("a\nkept").alias("oldText"), F.concat("p_name", F.lit("\n kept ")).alias("newText")))
@@ -34,10 +36,24 @@ def e8_write_actions(t):
     patch = F.to_json(F.struct(F.concat(F.lit("*** Begin Patch\n*** Update File: "), path, F.lit("\n@@\n-"), "p_brand", F.lit("\n+"), "p_name", F.lit("\n kept\n*** Add File: g.py\n+"), "p_type", F.lit("\n*** End Patch")).alias("patchText")))
     tool = F.get(F.array(*map(F.lit, ("edit", "MultiEdit", "Write", "apply-patch", "Read"))), k.cast("int"))
     rows = t.part.select("p_partkey", tool.alias("tool"), F.when(k == 0, one).when(k == 1, many).when(k == 2, new).when(k == 3, patch).otherwise(one).alias("payload"))
-    got = E.write_actions(rows, ["p_partkey"], "tool", "payload")
+    return rows
+
+
+@query(_ACTIONS)
+def e8_write_actions(t):
+    got = E.write_actions(_calls(t), ["p_partkey"], "tool", "payload")
     return got.select("p_partkey", "action", "path", "operation", F.array_join("added", "|").alias("added"), F.array_join("deleted", "|").alias("deleted"))
 
 
+@query(_ACTIONS)
+def e8_actions_from_sql(t):
+    """The same from SQL text, by a table function."""
+    from ..functions.tables import register
+
+    register(t.spark)
+    return t.spark.sql("SELECT c.p_partkey, a.action, a.path, a.operation, array_join(a.added, '|') AS added, array_join(a.deleted, '|') AS deleted FROM {calls} c, LATERAL write_actions(c.tool, c.payload, CAST(NULL AS STRING)) a", calls=_calls(t))
+
+
 @query("""SELECT p_size AS session, p_partkey, 'c' || CAST(p_partkey AS VARCHAR) AS com, 'src/f' || CAST(p_partkey AS VARCHAR) || '.py' AS commit_path, round(s / 4.0, 4) AS added_recall,
 1.0::DOUBLE AS deleted_recall, round((s / 4.0 + 1) / 2, 4) AS changed_text_recall, round(s / 4.0, 4) AS survival_recall, CASE WHEN s = 4 THEN 'exact' WHEN s >= 2.8 THEN 'strong' WHEN s >= 1.2 THEN 'moderate' ELSE 'weak' END AS confidence,
 CASE p_partkey % 3 WHEN 0 THEN 'mixed' WHEN 1 THEN 'agent' ELSE '' END AS share

@@ -65,6 +65,24 @@ def l5_verdicts(t):
     return t.events.where("event_type = 'purchase'").select("event_id", L.verdict(text).alias("verdict"))
 
 
+def _slow_judge(prompt: str, attempt: int) -> str:
+    """A stand-in for a service: some prompts fail at first, some always."""
+    if len(prompt) % 17 == 0 or len(prompt) % 5 == 0 and attempt == 0:
+        raise TimeoutError("no answer in time")
+    return '{"verdict": "pass"}' if len(prompt) % 2 else "verdict: fail"
+
+
+@query("SELECT conv_id || ':' || turn AS id, n % 17 = 0 AS failed, CAST(CASE WHEN n % 17 = 0 THEN 3 WHEN n % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts, CASE WHEN n % 17 = 0 THEN NULL WHEN n % 2 = 1 THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations WHERE role = 'user')")
+def l5_called_verdicts(t):
+    """Calls with a bounded number in flight, tried again and logged; verdicts of their answers."""
+    from ..operators.calls import called
+    from ..sources.tables import workspace
+
+    asked = t.conversations.where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    got = called(asked, "id", "text", _slow_judge, workspace(t.spark), attempts=3, wait=0.0)
+    return got.select("id", "failed", "attempts", L.verdict(F.col("answer")).alias("verdict"))
+
+
 @query("SELECT user_id, round(e + 0.2::DOUBLE * s, 6) AS score, round(CASE WHEN a = 0 THEN NULL ELSE (b - a) * 100.0 / a END, 6) AS change FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS e, count(*) FILTER (WHERE event_type = 'signup') AS s, count(*) FILTER (WHERE event_type = 'signup' AND event_id % 2 = 0) AS a, count(*) FILTER (WHERE event_type = 'signup' AND event_id % 2 = 1) AS b FROM events GROUP BY 1)")
 def m5_correction_scores(t):
     kind, odd = F.col("event_type"), F.col("event_id") % 2

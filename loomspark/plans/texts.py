@@ -154,13 +154,29 @@ def e4_name_status(t):
     return D.name_status(t.part.select("p_partkey", text.alias("n")), ["p_partkey"], "n")
 
 
-@query("SELECT p_partkey, 'update' AS kind, 'f' || CAST(p_size AS VARCHAR) || '.py' AS path, p_name AS added, p_brand AS deleted FROM part UNION ALL SELECT p_partkey, 'add', 'g.py', p_type, '' FROM part")
-def e5_patch_actions(t):
+_FILES = "SELECT p_partkey, 'update' AS kind, 'f' || CAST(p_size AS VARCHAR) || '.py' AS path, p_name AS added, p_brand AS deleted FROM part UNION ALL SELECT p_partkey, 'add', 'g.py', p_type, '' FROM part"
+
+
+def _patch_texts(t):
     text = F.concat_ws("\n", F.lit("*** Begin Patch"), F.concat(F.lit("*** Update File: f"), F.col("p_size").cast("string"), F.lit(".py")), F.lit("@@"), F.concat(F.lit("-"), "p_brand"), F.concat(F.lit("+"), "p_name"), F.lit("*** Add File: g.py"), F.concat(F.lit("+"), "p_type"), F.lit("*** End Patch"))
-    d = D.patch_actions(t.part.select("p_partkey", text.alias("x")), ["p_partkey"], "x")
+    return t.part.select("p_partkey", text.alias("x"))
+
+
+@query(_FILES)
+def e5_patch_actions(t):
+    d = D.patch_actions(_patch_texts(t), ["p_partkey"], "x")
     return d.select("p_partkey", "kind", "path", F.array_join("added", "|").alias("added"), F.array_join("deleted", "|").alias("deleted"))
 
 
+@query(_FILES)
+def e5_files_from_sql(t):
+    """The same from SQL text, by a table function that Catalyst inlines."""
+    from ..functions.tables import register
+
+    register(t.spark)
+    return t.spark.sql("SELECT p.p_partkey, f.operation AS kind, f.path, array_join(f.added, '|') AS added, array_join(f.deleted, '|') AS deleted FROM {patches} p, LATERAL patch_files(p.x) f", patches=_patch_texts(t))
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN '' WHEN 2 THEN p_name || '|' || p_brand ELSE '' END AS added,
 CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN '' WHEN 2 THEN '' ELSE p_brand END AS deleted, CAST(CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS BIGINT) AS n FROM part""")
 def e67_edit_delta(t):
