@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import vectors as V
 from ..operators import geometry as G
 from ..operators import joins as J
+from ..operators import notes as N
 from ..operators import preferences as P
 from .catalogue import query
 from .preferences import SESSIONS
@@ -74,6 +75,26 @@ def l10_lint(t):
     return t.conversations.select("conv_id", "turn", F.array_join(F.array_compact(rules), ";").alias("faults"))
 
 
+@query("""SELECT memory, 'testing.md' AS file, CASE memory % 4 WHEN 1 THEN 'example is not in the recordings' WHEN 2 THEN 'example is dated after the session' ELSE 'stance has no way to apply it' END AS rule,
+CASE memory % 4 WHEN 1 THEN 'check all ' || CAST(memory AS VARCHAR) || ' tests before' WHEN 2 THEN '2024-02-01' ELSE 'plan/thorough' END AS detail FROM (SELECT DISTINCT conv_id AS memory FROM conversations) WHERE memory % 4 > 0""")
+def l10_memory_notes(t):
+    """A note for each conversation, quoting what was said in it: rightly, wrongly, from the future, or without advice."""
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit("\nalways  check the "), F.col("conv_id").cast("string"), F.lit(" tests before we ship"))
+    recordings = t.conversations.select(F.col("conv_id").alias("memory"), said.alias("text"))
+    k, memories = F.col("memory") % 4, t.conversations.select(F.col("conv_id").alias("memory")).distinct()
+    quote = F.concat(F.when(k == 1, "check all ").otherwise("check the "), F.col("memory").cast("string"), F.lit(" tests before"))
+    note = F.concat(
+        F.lit("---\ndescription: Testing\n---\nPhase: Quality\nDimension: TST · Testing\n\n## plan — before planning tests\nStance: thorough (n=2)\nHow to apply:"),
+        F.when(k == 3, "").otherwise(" always."), F.lit("\nExamples:\n- "), F.when(k == 2, "2024-02-01").otherwise("2024-01-01"), F.lit(' "'), quote, F.lit('"\n'),
+    )
+    ledger = "2024-01-01 | TST | plan | thorough | a | no\n2024-01-01 | TST | plan | thorough | b | no"
+    index = "# Memory\nNotes.\n## Quality\n- [TST · Testing](testing.md) — before planning tests"
+    both = F.array(*[F.struct(F.lit(n).alias("file"), x.alias("text")) for n, x in (("testing.md", note), (N.LEDGER, F.lit(ledger)), (N.INDEX, F.lit(index)))])
+    files = memories.select("memory", F.lit("2024-01-05").alias("session_date"), F.inline(both))
+    topic = N.Topic("TST", "Testing", "testing.md", "Quality", ["thorough", "minimal"], {"plan": "before planning tests"})
+    return N.lint(files, recordings, [topic], ["Quality"], "Notes.", "- none")
+
+
 @query("SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-01-01' GROUP BY 1, 2")
 def q_pricing_summary(t):
     price = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
