@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import squeezed, token_estimate
+from ..sources.tables import stored
 
 # Fixed values of the layout.
 MODES = ("discuss", "plan", "build", "verify", "ship", "configure")
@@ -44,9 +45,21 @@ def _map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for k, v in pairs.items() for x in (k, v)]) if pairs else F.create_map().cast("map<string, string>")
 
 
-def _fault(rows: DataFrame, rule: str, when: Column | None = None, detail: Column | None = None, file: Column | None = None) -> DataFrame:
-    rows = rows if when is None else rows.where(when)
-    return rows.select("memory", (F.col("file") if file is None else file).alias("file"), F.lit(rule).alias("rule"), F.coalesce(F.lit("") if detail is None else detail.cast("string"), F.lit("")).alias("detail"))
+def _fault(rows: DataFrame, rule: str, when: Column | None = None, detail: Column | None = None) -> tuple:
+    """A check of rows (memory, file and what the check needs)."""
+    return rows, rule, F.lit(True) if when is None else when, F.coalesce((F.lit("") if detail is None else detail).cast("string"), F.lit(""))
+
+
+def _found(checks: list[tuple]) -> DataFrame:
+    """The faults of all checks: those of the same rows are looked for in one pass."""
+    tables: dict[int, list[tuple]] = {}
+    for check in checks:
+        tables.setdefault(id(check[0]), []).append(check)
+    out = []
+    for own in tables.values():
+        each = F.array(*[F.when(when, F.struct(F.lit(rule).alias("rule"), detail.alias("detail"))) for _, rule, when, detail in own])
+        out.append(own[0][0].select("memory", "file", F.explode(F.filter(each, lambda f: f.isNotNull())).alias("f")).select("memory", "file", "f.rule", "f.detail"))
+    return functools.reduce(DataFrame.unionByName, out).distinct()
 
 
 def _starts(line: str) -> Column:
@@ -85,10 +98,11 @@ def not_recorded(quotes: DataFrame, recordings: DataFrame) -> DataFrame:
     A segment of four words or more has whole words inside: it meets only recordings with its second and third word in a row;
     shorter ones meet all recordings of their memory. Both are then verified.
     """
+    quotes = stored(quotes)
     segments = quotes.select("memory", "quote").distinct().select("memory", "quote", F.explode(F.filter(F.transform(F.split("quote", r"…|\.\.\."), squeezed), lambda s: s != "")).alias("s"))
     words = F.split("s", " ")
     segments = segments.withColumn("gram", F.when(F.size(words) >= 4, F.concat_ws(" ", F.get(words, F.lit(1)), F.get(words, F.lit(2)))))
-    texts = recordings.select("memory", squeezed(F.col("text")).alias("body")).withColumn("rec", F.xxhash64("memory", "body"))
+    texts = stored(recordings.select("memory", squeezed(F.col("text")).alias("body")).withColumn("rec", F.xxhash64("memory", "body")))
     w = F.split("body", " ")
     pairs = F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b)))
     needed = segments.where("gram is not null").select("memory", "gram").distinct()
@@ -107,7 +121,7 @@ def lint(files: DataFrame, recordings: DataFrame, topics: list[Topic], phases: l
     files: memory, session_date (yyyy-mm-dd), file, text; recordings: memory, text. topics, phases and modes are as few as
     the layout names; everything else is joined. A null text is an empty one.
     """
-    files = files.withColumn("text", F.coalesce("text", F.lit("")))
+    files = stored(files.select("memory", "session_date", "file", F.coalesce("text", F.lit("")).alias("text")))  # each check reads it
     of_file = {t.file: t for t in topics}
     at = lambda pairs: F.element_at(_map(pairs), F.col("file"))
     out = [_fault(files, "file name is not one of the fixed set", ~F.col("file").isin(*of_file, *OTHER_FILES))]
@@ -121,7 +135,7 @@ def lint(files: DataFrame, recordings: DataFrame, topics: list[Topic], phases: l
         *[_fault(notes, "layout line is missing", ~F.contains("text", line), line) for line in (F.concat(F.lit("Phase: "), "phase"), F.concat(F.lit("Dimension: "), "code", F.lit(" · "), "name"))],
         _fault(notes, "too many tokens", tokens > MOST_TOKENS, tokens),
     ]
-    lines = note_lines(notes.select("memory", "file", "session_date", "text"))
+    lines = stored(note_lines(notes.select("memory", "file", "session_date", "text")))
     heads = lines.where(F.col("line").rlike(HEAD)).select("memory", "file", "section", "mode", "phrase")
     place = F.coalesce(F.array_position(F.array(*map(F.lit, MODES)), F.col("mode")).cast("int"), F.lit(0))
     place = F.when(place == 0, 99).otherwise(place)
@@ -141,7 +155,7 @@ def lint(files: DataFrame, recordings: DataFrame, topics: list[Topic], phases: l
     stances = stances.withColumns({"side": F.nullif(side, F.lit("")), "code": at({f: t.code for f, t in of_file.items()})})
     named = stances.where("side is not null").select("memory", "file", "section", "block", "mode", "side", "code")
     sides = F.element_at(F.create_map(*[x for f, t in of_file.items() for x in (F.lit(f), F.array(*[F.lit(s.lower()) for s in t.sides]))]), F.col("file")) if of_file else F.array().cast("array<string>")
-    counts = ledger_counts(files)
+    counts = stored(ledger_counts(files))
     spot = ["memory", "code", "mode", "side"]
     kept = (F.coalesce("n", F.lit(0)) >= 2) | F.coalesce("corrected", F.lit(False))
     here = F.concat_ws("/", "mode", "side")
@@ -175,10 +189,10 @@ def lint(files: DataFrame, recordings: DataFrame, topics: list[Topic], phases: l
     owed = owed.join(named.select(*spot).distinct(), spot, "left_anti").join(conflicts, ["memory", "file"], "left").where(~F.contains(F.coalesce("conflicts", F.lit("")), F.col("side")))
     out.append(_fault(owed, "kept stance is missing", None, F.concat(here, F.lit(" "), F.col("n").cast("string"))))
     out += _index_faults(files, notes, heads, topics, phases, intro, project_line)
-    return functools.reduce(DataFrame.unionByName, out).distinct()
+    return _found(out)
 
 
-def _index_faults(files: DataFrame, notes: DataFrame, heads: DataFrame, topics: list[Topic], phases: list[str], intro: str, project_line: str) -> list[DataFrame]:
+def _index_faults(files: DataFrame, notes: DataFrame, heads: DataFrame, topics: list[Topic], phases: list[str], intro: str, project_line: str) -> list[tuple]:
     index = files.where(F.col("file") == INDEX)
     lines = index.select("memory", "file", F.posexplode(F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")).alias("no", "line"))
     opening = lines.where("no < 2").groupBy("memory").agg(F.max(F.when(F.col("no") == 0, F.col("line"))).alias("a"), F.max(F.when(F.col("no") == 1, F.col("line"))).alias("b"))

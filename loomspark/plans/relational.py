@@ -190,9 +190,10 @@ def j29_attached_text(t):
     return t.conversations.select("conv_id", "turn").join(b, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("said", F.lit("")).alias("said"))
 
 
-@query("WITH q AS (SELECT conv_id, turn, [substr(text, 3, 12), substr(text, 9, 9)] AS segs FROM conversations WHERE role = 'user') SELECT q.conv_id, q.turn AS quoted, c.turn AS found FROM q JOIN conversations c ON q.conv_id = c.conv_id AND contains(c.text, segs[1]) AND contains(c.text, segs[2])")
+@query("SELECT q.conv_id, q.turn AS quoted, c.turn AS found FROM conversations q JOIN conversations c ON q.conv_id = c.conv_id AND q.role = 'user' AND q.text IS NOT NULL AND c.text IS NOT NULL AND len(list_filter(string_split(q.text, '. '), lambda s: NOT contains(c.text, s))) = 0")
 def j30_contained_quotes(t):
-    q = t.conversations.where("role = 'user'").select("conv_id", F.col("turn").alias("quoted"), F.array(F.substring("text", 3, 12), F.substring("text", 9, 9)).alias("segs"))
+    """Turns that hold every sentence of a user's turn, of the whole text."""
+    q = t.conversations.where("role = 'user'").select("conv_id", F.col("turn").alias("quoted"), F.split("text", r"\. ").alias("segs"))
     return q.join(t.conversations, "conv_id").where(F.forall("segs", lambda s: F.contains("text", s))).select("conv_id", "quoted", F.col("turn").alias("found"))
 
 
