@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -195,3 +196,16 @@ def test_files_of_few_ids(spark, monkeypatch, tmp_path):
     where = f"file://{tmp_path}/t"
     tokenfile.write_tokens(frame(spark, texts), where)
     assert sorted(map(tuple, tokenfile._from_files(spark, where, False).collect())) == whole
+
+
+def test_lm_gains_by_each_round(spark, monkeypatch):
+    """Log likelihood a token of held-out documents: the vocabulary's weights alone, then after one and two rounds."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables are not here")
+    fit, seen = lm.fit, []
+    for rounds in (0, 1, 2):
+        monkeypatch.setattr(lm, "fit", lambda counted, file, rounds=rounds: fit(counted, file, rounds))
+        rows = [r for r in lm.score_documents(spark.read.parquet(path)).collect() if r.held_out]
+        seen.append(sum(r.score for r in rows) / sum(r.n_tokens for r in rows))
+    assert seen[0] < seen[1] < seen[2] and seen[1] - seen[0] > 0.3
