@@ -131,3 +131,29 @@ def unnumbered(text: Column) -> Column:
     first = F.slice(lines, 1, 20)
     numbered = F.size(F.filter(first, lambda x: x.rlike(pattern))) * 2 > F.size(first)
     return F.when(numbered, F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, pattern, "")), "\n")).otherwise(text)
+
+
+def audited_runs(plan: DataFrame, attempts: DataFrame, keys: list[str], skill: str, condition: str) -> DataFrame:
+    """keys, attempt, status, reward, faults of every planned run: a row for each attempt, so that a failure which was tried
+    again stays seen, and one with status `missing` where there is none. status is valid where nothing is at fault.
+
+    plan: keys and the skill's SHA-256 that is to be installed; attempts: keys, attempt, and the texts result, install and
+    invocations, JSON objects each; null and unreadable ones count as empty.
+    """
+    read = lambda c: F.coalesce(F.try_parse_json(c), F.parse_json(F.lit("{}")))
+    rows = plan.join(attempts, keys, "left").withColumns({"__r": read("result"), "__i": read("install"), "__v": read("invocations")})
+    rewards = F.coalesce(F.try_variant_get("__r", "$.verifier_result.rewards", "map<string, variant>"), F.create_map().cast("map<string, variant>"))
+    text = lambda c, path: F.try_variant_get(c, path, "string")
+    unchanged = (F.schema_of_variant(F.try_variant_get("__i", "$.agents_unchanged", "variant")) == "BOOLEAN") & F.try_variant_get("__i", "$.agents_unchanged", "boolean")
+    fine = {
+        "exception": text("__r", "$.exception_info").isNull(),
+        "no reward": F.map_contains_key(rewards, F.lit("reward")),
+        "other condition": text("__i", "$.condition") == condition,
+        "agents changed": unchanged,
+        "other skill": text("__i", "$.skill_sha256") == F.col(skill),
+        "no invocation": F.size(F.try_variant_get("__v", "$", "map<string, variant>")) > 0,
+    }
+    faults = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in fine.items()]))
+    there = F.col("attempt").isNotNull()
+    out = rows.withColumns({"__f": F.when(there, faults).otherwise(F.array(F.lit("no result"))), "reward": F.when(F.map_contains_key(rewards, F.lit("reward")), F.try_variant_get("__r", "$.verifier_result.rewards.reward", "double"))})
+    return out.select(*keys, "attempt", F.when(~there, "missing").when(F.size("__f") == 0, "valid").otherwise("failed").alias("status"), "reward", F.col("__f").alias("faults"))

@@ -67,6 +67,23 @@ def l8_run_audit(t):
     return t.events.groupBy("user_id").agg(verdict.alias("verdict"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN k > 0 THEN 0 END AS attempt, CASE k WHEN 0 THEN 'missing' WHEN 1 THEN 'valid' WHEN 6 THEN 'valid' ELSE 'failed' END AS status, CASE WHEN k NOT IN (0, 3) THEN 0.5::DOUBLE END AS reward,
+CASE k WHEN 0 THEN 'no result' WHEN 2 THEN 'exception' WHEN 3 THEN 'no reward' WHEN 4 THEN 'agents changed' WHEN 5 THEN 'other skill' ELSE '' END AS faults FROM (SELECT o_orderkey, o_orderkey % 7 AS k FROM orders)
+UNION ALL SELECT o_orderkey, 1, 'failed', NULL, 'no reward;other condition;agents changed;other skill;no invocation' FROM orders WHERE o_orderkey % 7 = 6""")
+def l8_audited_runs(t):
+    """Planned runs and their attempts: none, one, one with each kind of fault, and a second one that cannot be read."""
+    from ..operators.judging import audited_runs
+
+    k = F.col("o_orderkey") % 7
+    plan = t.orders.select("o_orderkey", F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("sha"))
+    result = F.concat(F.lit('{"exception_info":'), F.when(k == 2, '{"type":"x"}').otherwise("null"), F.lit(',"verifier_result":{"rewards":{'), F.when(k == 3, "").otherwise('"reward":0.5'), F.lit("}}}"))
+    install = F.concat(F.lit('{"condition":"skill","agents_unchanged":'), F.when(k == 4, '"true"').otherwise("true"), F.lit(',"skill_sha256":"'), F.when(k == 5, "0").otherwise(F.col("sha")), F.lit('"}'))
+    first = plan.where(k > 0).select("o_orderkey", F.lit(0).alias("attempt"), result.alias("result"), install.alias("install"), F.lit('{"skill_invocation_calls":1}').alias("invocations"))
+    second = plan.where(k == 6).select("o_orderkey", F.lit(1).alias("attempt"), F.lit("{").alias("result"), F.lit(None).cast("string").alias("install"), F.lit("{}").alias("invocations"))
+    got = audited_runs(plan, first.unionByName(second), ["o_orderkey"], "sha", "skill")
+    return got.withColumn("faults", F.array_join("faults", ";"))
+
+
 @query("SELECT conv_id, turn, list_filter([CASE WHEN length(text) > 400 THEN 'too long' END, CASE WHEN NOT regexp_matches(text, '[.!?]\\s*$') THEN 'no end' END, CASE WHEN contains(text, '  ') THEN 'double space' END], lambda x: x IS NOT NULL)::VARCHAR AS faults FROM conversations".replace("::VARCHAR AS faults", " AS f").replace("SELECT conv_id, turn, list_filter", "SELECT conv_id, turn, array_to_string(list_filter").replace(" AS f FROM", ", ';') AS faults FROM"))
 def l10_lint(t):
     """Each rule gives its name or null; a row keeps the names."""
