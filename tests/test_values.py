@@ -31,8 +31,8 @@ def test_projection_keeps_the_groups_apart(blobs):
 
 def test_trust_intervals_hold_the_mean(spark):
     """Users who all gain alike leave no width; others' interval holds their mean."""
-    alike = spark.createDataFrame([(u, 1, 0.5, 0.9, 9, 9) for u in range(20)] , "user_id int, y int, population_p double, user_p double, pos int, m int")
-    mixed = spark.createDataFrame([(u, u % 2, 0.5, 0.8, 9, 9) for u in range(40)], "user_id int, y int, population_p double, user_p double, pos int, m int")
+    alike = spark.createDataFrame([(u, 1, 0.5, 0.9, 9, 9) for u in range(20)] , "user_id int, y int, population_p double, user_p double, pos int, n int")
+    mixed = spark.createDataFrame([(u, u % 2, 0.5, 0.8, 9, 9) for u in range(40)], "user_id int, y int, population_p double, user_p double, pos int, n int")
     for df, wide in ((alike, False), (mixed, True)):
         r = S.trust_gates(df, "user_id", [5], [], [], replicates=200, seed=1).where("method = 'always'").first()
         assert r.ci_low <= r.mean_user_gain + 1e-12 and r.mean_user_gain <= r.ci_high + 1e-12 and (r.ci_high - r.ci_low > 1e-6) == wide
