@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,9 +34,10 @@ def shuffled(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
 
 
 def random_parts(df: DataFrame, keys: list[str], seed: int, replicates: int, fraction: float) -> DataFrame:
-    """Adds replicate and part: in each replicate floor(n * fraction) rows, by hash, are `first`, the others `rest`."""
+    """Adds replicate and part: in each replicate floor(n * fraction) rows, by hash, are `first`, the others `rest`. The
+    fraction is the decimal number that it is written as: 0.7 of 90 rows are 63, though the double below 0.7 makes 62."""
     each = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    n = df.agg(F.floor(F.count("*") * F.lit(fraction)).alias("__first"))  # one row
+    n = df.agg(F.floor(F.count("*") * F.lit(Decimal(str(fraction)))).cast("long").alias("__first"))  # one row
     return numbered(each, keys, seed, ["replicate"], "__place").crossJoin(F.broadcast(n)).withColumn("part", F.when(F.col("__place") <= F.col("__first"), "first").otherwise("rest")).drop("__place", "__first")
 
 

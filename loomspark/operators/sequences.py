@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,7 +22,8 @@ def chronological_split(df: DataFrame, keys: list[str], order: list[str], fracti
     the rest. Keys with a single row have no part. upwards rounds the future's share up instead of the past's down."""
     w = W.partitionBy(*keys)
     n = F.count("*").over(w)
-    past = (n - F.ceil(n * F.lit(1 - fraction))) if upwards else F.floor(n * F.lit(fraction))
+    share = Decimal(str(fraction))  # as written: 0.7 of 90 rows are 63
+    past = (n - F.ceil(n * F.lit(1 - share))) if upwards else F.floor(n * F.lit(share))
     past = F.greatest(F.lit(least), F.least(past, n - 1))
     return df.withColumns({"__i": F.row_number().over(w.orderBy(*order)), "__n": n, "__past": past}).withColumn("part", F.when(F.col("__n") > F.lit(1), F.when(F.col("__i") <= F.col("__past"), "past").otherwise("future"))).drop("__i", "__n", "__past")
 

@@ -184,7 +184,7 @@ def _future(t):
     rows = P.turn_scores(t.events).where("score <> 0")
     w = W.partitionBy("user_id")
     rows = rows.withColumns({"i": F.row_number().over(w.orderBy("turn_number")), "n": F.count("*").over(w)})
-    early = F.col("i") <= F.lit(0.7) * F.col("n")
+    early = F.expr("i <= 0.7 * n")  # a decimal, exact for any n
     return S.future_observations(rows.where(early), rows.where(~early), "user_id", "axis", "score")
 
 
