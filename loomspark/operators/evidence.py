@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import head_and_tail, plain_name
 from .diffs import edge_confidence, edit_delta, patch_sections, text_recall, unified_patch
-from .joins import suffix_match
+from .joins import suffix_meetings
 
 # The plain names of each family of tools, and how much of such a call is shown.
 FAMILIES = (
@@ -84,8 +84,7 @@ def matched_edges(actions: DataFrame, commits: DataFrame, by: list[str], action_
     file has. New text that a commit has decides; old text only where there is no new one.
     """
     files = unified_patch(commits.select(*by, commit, patch), [*by, commit], patch)
-    met = actions.select(*by, *action_keys, "path").join(commits.select(*by, commit), by)
-    found = suffix_match(met, files.select(*by, commit, F.col("path").alias("candidate")), [*by, commit], "path", "candidate", [*by, *action_keys, commit]).where("matched is not null")
+    found = suffix_meetings(actions.select(*by, *action_keys, "path"), files.select(*by, commit, F.col("path").alias("candidate")), by, "path", "candidate", action_keys, [commit])
     sides = files.select(*by, commit, F.col("path").alias("matched"), F.col("added").alias("__a"), F.col("deleted").alias("__d"))
     rows = found.join(actions, [*by, *action_keys]).join(sides, [*by, commit, "matched"])
     scored = rows.select(*by, *action_keys, commit, F.col("matched").alias("commit_path"), "added", "deleted", text_recall(F.col("added"), F.col("__a")).alias("ra"), text_recall(F.col("deleted"), F.col("__d")).alias("rd"))

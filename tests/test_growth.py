@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomspark.operators import joins as J
 from loomspark.operators import resampling as R
 from loomspark.operators import sequences as Q
 
@@ -12,3 +13,13 @@ def test_shares_are_decimals(spark):
     assert R.random_parts(df, ["k"], 1, 1, 0.7).where("part = 'first'").count() == 63
     split = Q.chronological_split(df.withColumn("g", F.lit(1)), ["g"], ["k"], 0.7)
     assert split.where("part = 'past'").count() == 63
+
+
+def test_paths_meet_base_names_only(spark):
+    """Paths of a session meet the commits that have a file of their name; no join is on the session alone."""
+    left = spark.createDataFrame([("s", 1, "/w/a/x.py"), ("s", 2, "y.py"), ("s", 3, "none.py"), ("t", 4, "/w/a/x.py"), ("s", 5, None)], "s string, id int, path string")
+    right = spark.createDataFrame([("s", "c1", "a/x.py"), ("s", "c1", "x.py"), ("s", "c2", "b/x.py"), ("s", "c3", "a/y.py"), ("s", "c3", "b/y.py"), ("s", "c4", "q/y.py"), ("s", "c4", "q/y.py")], "s string, c string, f string")
+    got = J.suffix_meetings(left, right, ["s"], "path", "f", ["id"], ["c"])
+    assert sorted(tuple(r) for r in got.collect()) == [("s", 1, "c1", "a/x.py"), ("s", 1, "c2", "b/x.py"), ("s", 2, "c4", "q/y.py")]
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert joins and all("__b" in x for x in joins)
