@@ -122,3 +122,9 @@ def chi_square_tail(x: pd.Series, df: pd.Series) -> pd.Series:
 def f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """P(X >= f) of an F variable; for summary rows, not for data."""
     return pd.Series([None if pd.isna(v) or not (a > 0 and b > 0) else _beta(b / (b + a * v), b / 2, a / 2) for v, a, b in zip(f, d1, d2, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+    """P(X >= k) of n draws, by the incomplete beta function, for any n; for summary rows, not for data."""
+    return pd.Series([1.0 if a <= 0 or q >= 1 else 0.0 if a > m else _beta(q, a, m - a + 1) for a, m, q in zip(k, n, p, strict=True)], dtype="float64")

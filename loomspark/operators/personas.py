@@ -74,7 +74,7 @@ def identifiability_summary(table: DataFrame, candidates: int) -> DataFrame:
         got = got.crossJoin(F.broadcast(exact_percentile(table, column).withColumnRenamed("percentile", name)))  # one row each
     n, one, five = F.col("n_queries"), F.lit(1.0 / candidates), F.lit(min(5.0 / candidates, 1.0))
     low, high = ST.wilson(F.col("top1_matches"), n, Z)
-    survival = lambda k, p: F.when(p >= 1, F.lit(1.0)).otherwise(ST.binomial_survival(F.col(k).cast("int"), n.cast("int"), p))
+    survival = lambda k, p: ST.binomial_tail(F.col(k), n, p)
     return got.withColumns({
         "chance_top1": one, "top1_accuracy": F.col("top1_matches") / n, "top1_ci95_low": low, "top1_ci95_high": high, "top1_chance_p_value": survival("top1_matches", one),
         "chance_top5": five, "top5_accuracy": F.col("top5_matches") / n, "top5_chance_p_value": survival("top5_matches", five),

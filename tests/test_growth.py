@@ -37,3 +37,46 @@ def test_links_that_close_a_circle_are_dropped_by_the_task(spark):
     links = spark.createDataFrame([*pairs, (300, 301), (301, 302), (303, 302), (7, 7)], "a long, b long").repartition(3)
     got = {r.node: r.root for r in K.components(links).collect()}
     assert got == {**{k: 0 for k in range(200)}, **{k: 300 for k in (300, 301, 302, 303)}}
+
+
+def test_tiles_meet_without_a_shuffle_of_copies(spark):
+    """What is exchanged are sums of a part, never tiles or runs of distances."""
+    import random
+
+    from loomspark.operators import geometry as G
+    from loomspark.operators import tiles
+
+    r = random.Random(4)
+    df = spark.createDataFrame([(k, [r.gauss(0, 1) for _ in range(3)], k % 3) for k in range(300)], "k long, v array<double>, l int")
+    for got in (G.silhouette(df, "k", "v", "l"), tiles.discriminability(df, "k", "v", "l")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert "collect_list" not in plan
+
+
+def test_a_rank_by_squares_is_the_rank_by_rounded_distances():
+    """Equal rows, ties to nine digits and rows far from zero count as in a plain comparison."""
+    import numpy as np
+
+    from loomspark.operators import tiles
+
+    r = np.random.default_rng(1)
+    for shift in (0.0, 1000.0):
+        b = np.round(r.normal(size=(300, 4)), 1) + shift
+        a = np.vstack([b[:40], np.round(r.normal(size=(40, 4)), 1) + shift])
+        plain = np.round(np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2) / 4), 9)
+        own = plain[np.arange(80), np.arange(80) + 7]
+        place, mine = np.arange(80) + 7, (np.arange(80), np.arange(80) + 7)
+        n, some, best = tiles._counted(a, b, own, place, mine, tiles.masked_rms, 9)
+        plain[mine] = np.inf
+        assert n.tolist() == ((plain < own[:, None]) | ((plain == own[:, None]) & (np.arange(300) < place[:, None]))).sum(axis=1).tolist()
+        assert best.tolist() == plain.argmin(axis=1).tolist() and some.tolist() == plain.min(axis=1).tolist()
+
+
+def test_binomial_tail_of_many_draws(spark):
+    """The sum over all draws takes n * n steps; at a million draws it would not end."""
+    from loomspark.functions import stats as ST
+
+    df = spark.createDataFrame([(3, 20, 0.1), (0, 5, 0.5), (5, 5, 0.5), (500_000, 1_000_000, 0.5), (6, 5, 0.5)], "k long, n long, p double")
+    got = [x.t for x in df.select(ST.binomial_tail("k", "n", "p").alias("t")).collect()]
+    assert [round(x, 6) for x in got] == [0.323073, 1.0, 0.03125, 0.500399, 0.0]
