@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import vectors as V
@@ -30,8 +33,8 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, seed: int = 0, starts:
     """key, cluster, distance by the best of several starts, and its centers and inertia. Rows without a vector are left out.
 
     A start is the k rows with the smallest hashes under its seed. All starts advance in one pass: each row finds its
-    nearest centre of every start, and sums by start and cluster come from partial aggregates; the driver holds the
-    centres alone. An empty cluster takes another row by hash. Rounds end when no start changes.
+    nearest centre of every start in an Arrow worker, which hands on a row of sums for each start and cluster; the driver
+    holds the centres alone. An empty cluster takes another row by hash. Rounds end when no start changes.
 
     masked: nulls in a vector are left out of distances (mean squares) and means; a start's nulls count as zero, an axis
     that no member has and an empty cluster keep their centre.
@@ -50,22 +53,65 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, seed: int = 0, starts:
 
     centers = [drawn(k, str(s)) for s in range(starts)]
 
-    def measured(v: Column, c: Column) -> Column:
-        if not masked:
-            return V.squared_distance(v, c)
-        rms = V.masked_rms(v, c)
-        return F.coalesce(rms * rms, F.lit(float("inf")))
-
-    def assigned(options: list[list[list[float]]]) -> DataFrame:
-        """A row for each point and start: s, v, cluster, d."""
-        every = F.broadcast(df.sparkSession.createDataFrame([(options,)], "c array<array<array<double>>>"))  # one row
-        best = lambda rows: F.array_min(F.transform(rows, lambda c, i: F.struct(measured(F.col("v"), c).alias("d"), i.alias("cluster"))))
-        return points.crossJoin(every).select(key, "v", F.posexplode(F.transform("c", best)).alias("s", "m")).select(key, "v", "s", "m.cluster", "m.d")
+    def nearest_of(batch: pa.RecordBatch, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors (NaN for null), nearest centre of each (ties: the first), squared or mean squared distance to it."""
+        v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+        d = np.empty((len(v), len(start)))
+        for c, center in enumerate(start):
+            apart = v - center
+            if masked:
+                there = ~np.isnan(apart)
+                n = there.sum(axis=1)
+                d[:, c] = np.where(n > 0, np.where(there, apart * apart, 0).sum(axis=1) / np.maximum(n, 1), np.inf)
+            else:
+                d[:, c] = (apart * apart).sum(axis=1)
+        at = d.argmin(axis=1)
+        return v, at, d[np.arange(len(v)), at]
+
+    def slices(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                yield batch.slice(at, 1024)
+
+    def sums_of(options: list[list[list[float]]]) -> DataFrame:
+        """s, cluster, mean, d: of each start and cluster the members' mean by place, null where none has the place, and the
+        sum of their distances. A row for each start and cluster comes from a task."""
+        every = np.array(options, dtype=np.float64)
+
+        def run(batches):
+            shape = every.shape[:2]
+            total, count, away, rows = np.zeros(every.shape), np.zeros(every.shape), np.zeros(shape), np.zeros(shape, dtype=np.int64)
+            for piece in slices(batches):
+                for s, start in enumerate(every):
+                    v, at, d = nearest_of(piece, start)
+                    hot = (at[:, None] == np.arange(shape[1])).astype(np.float64)
+                    there = ~np.isnan(v)
+                    total[s] += hot.T @ np.where(there, v, 0)
+                    count[s] += hot.T @ there
+                    away[s] += np.bincount(at, np.nan_to_num(d, nan=0.0, posinf=np.inf), shape[1])
+                    rows[s] += np.bincount(at, minlength=shape[1])
+            s, c = np.nonzero(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(c, pa.int32()), pa.array(list(total[s, c]), pa.list_(pa.float64())), pa.array(list(count[s, c]), pa.list_(pa.float64())), pa.array(away[s, c])], names=["s", "cluster", "t", "n", "d"])
+
+        part = points.mapInArrow(run, "s int, cluster int, t array<double>, n array<double>, d double")
+        mean = [F.try_divide(F.sum(F.col("t")[i]), F.sum(F.col("n")[i])) for i in range(width)]
+        return part.groupBy("s", "cluster").agg(F.array(*mean).alias("mean"), F.sum("d").alias("d"))
+
+    def assigned(start: list[list[float]]) -> DataFrame:
+        """key, cluster, distance of each point."""
+        centers = np.array(start, dtype=np.float64)
+
+        def run(batches):
+            for piece in slices(batches):
+                _, at, d = nearest_of(piece, centers)
+                yield pa.RecordBatch.from_arrays([piece.column(key), pa.array(at, pa.int32()), pa.array(np.sqrt(d), from_pandas=True)], names=[key, "cluster", "distance"])
+
+        return points.mapInArrow(run, T.StructType([points.schema[key], T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.DoubleType())]))
 
     live, inertia = set(range(starts)), {}
     for turn in range(rounds):
         some = sorted(live)
-        sums = assigned([centers[s] for s in some]).groupBy("s", "cluster").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(width)]).alias("mean"), F.sum("d").alias("d")).collect()  # starts x k rows
+        sums = sums_of([centers[s] for s in some]).collect()  # starts x k rows
         inertia |= {s: 0.0 for s in some}
         moved = {(some[r["s"]], r["cluster"]): r["mean"] for r in sums}
         for r in sums:
@@ -84,8 +130,7 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, seed: int = 0, starts:
         if not live:
             break
     best = min(range(starts), key=lambda s: (round(inertia[s], 9), s))
-    out = assigned([centers[best]]).select(key, "cluster", F.sqrt("d").alias("distance"))
-    return out, {"centers": centers[best], "inertia": inertia[best]}
+    return assigned(centers[best]), {"centers": centers[best], "inertia": inertia[best]}
 
 
 def pair_agreement(df: DataFrame, own: str, other: str) -> DataFrame:
