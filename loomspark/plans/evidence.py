@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as ST
 from ..operators import evidence as E
+from ..sources.tables import spread
 from .catalogue import query
 
 
@@ -35,7 +36,8 @@ def _calls(t):
     new = F.to_json(F.struct(path.alias("file_path"), F.concat("p_name", F.lit("\n\n"), "p_brand").alias("content")))
     patch = F.to_json(F.struct(F.concat(F.lit("*** Begin Patch\n*** Update File: "), path, F.lit("\n@@\n-"), "p_brand", F.lit("\n+"), "p_name", F.lit("\n kept\n*** Add File: g.py\n+"), "p_type", F.lit("\n*** End Patch")).alias("patchText")))
     tool = F.get(F.array(*map(F.lit, ("edit", "MultiEdit", "Write", "apply-patch", "Read"))), k.cast("int"))
-    rows = t.part.select("p_partkey", tool.alias("tool"), F.when(k == 0, one).when(k == 1, many).when(k == 2, new).when(k == 3, patch).otherwise(one).alias("payload"))
+    part = spread(t.part.select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
+    rows = part.select("p_partkey", tool.alias("tool"), F.when(k == 0, one).when(k == 1, many).when(k == 2, new).when(k == 3, patch).otherwise(one).alias("payload"))
     return rows
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.text import multiset_recall
 from ..operators import diffs as D
+from ..sources.tables import spread
 from .catalogue import query
 
 
@@ -196,7 +197,7 @@ def e910_fuzzy_edges(t):
     needle = F.array(*map(line, (3, 0, 1, 2)))
     there = F.slice(needle, F.lit(2), (F.col("p_partkey") % 4).cast("int"))
     near = F.when(F.col("p_partkey") % 3 == 0, F.array(F.concat(F.left(line(3), F.lit(31)), F.lit("X")))).otherwise(F.array().cast("array<string>"))
-    d = t.part.select("p_partkey", D.text_recall(needle, F.concat(there, near)).alias("recall"))
+    d = spread(t.part.select("p_partkey"), "p_partkey").select("p_partkey", D.text_recall(needle, F.concat(there, near)).alias("recall"))
     return d.select("p_partkey", F.round("recall", 6).alias("recall"), D.edge_confidence(F.lit(True), F.col("recall"), F.lit(True)).alias("confidence"))
 
 

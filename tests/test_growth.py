@@ -92,3 +92,12 @@ def test_overlaps_are_counted_without_pairs(spark):
     got = {x.k: (x.concurrent, x.colliding) for x in J.overlap_counts(df, "g", ["k"], ("lo", "hi"), "kinds").collect()}
     meets = lambda a, b: a[0] != b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]
     assert got == {a[0]: (sum(meets(a, b) for b in rows), sum(meets(a, b) and bool(set(a[4]) & set(b[4])) for b in rows)) for a in rows}
+
+
+def test_costly_rows_of_a_small_file_are_many_tasks(spark, tmp_path):
+    """A few hundred kilobytes are one task's by size; each row's likenesses take a quarter of a millisecond."""
+    from loomspark.plans import catalogue
+
+    spark.range(400).selectExpr("id as p_partkey", "'n' as p_name", "'b' as p_brand", "'t' as p_type").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("e910_fuzzy_edges", "e8_actions_from_sql"):
+        assert catalogue.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() > 1
