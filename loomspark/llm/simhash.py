@@ -424,42 +424,168 @@ def _shingle_keys(piece: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.n
     return doc[fresh], key[fresh]
 
 
+PACKED = "bucket int, piece long, docs binary, keys binary, times binary, hashes binary, needs binary"
+PACKED_NAMES = ["bucket", "piece", "docs", "keys", "times", "hashes", "needs"]
+PACKED_TYPES = [pa.int32(), pa.int64()] + [pa.binary()] * 5
+#: Shingles of a task that are handed on together, and bytes of input that a bucket of shingles stands for.
+GATHERED, BUCKET_BYTES = 400_000, 4 << 20
+
+
+def _filed_shingles(shingle: int, similarity: float, buckets: int):
+    """Mapper from texts to rows of PACKED: of each bucket the documents (by place in the piece) and shingles, 40 bits each,
+    and of each piece the texts' hashes and, in `needs`, how many first shingles count and how many even ones there are.
+
+    All even shingles go, and of the odd ones those that are still among a text's first where it has few even ones."""
+
+    def run(batches):
+        held, size, number = [], 0, C.counter()
+
+        def flush():
+            piece = next(number)
+            first = np.cumsum([0, *(len(h[0]) for h in held)])
+            doc = np.concatenate([h[2] + k for h, k in zip(held, first)])
+            key = np.concatenate([h[3] for h in held])
+            bucket = (key & np.uint64(0xFFFFFF)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            doc, key, bucket = doc[order].astype("<u4"), key[order] >> np.uint64(24), bucket[order]
+            five = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            needs = np.concatenate([h[1] for h in held]).astype("<u4")
+            out = [(piece % buckets, piece, None, None, None, b"".join(x for h in held for x in h[0]), V.squeeze(needs))]
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True) if len(bucket) else ():
+                out.append((int(bucket[x]), piece, V.squeeze(doc[x:y]), five[x:y].tobytes(), None, None, None))
+            held.clear()
+            return C.batch_of(PACKED_NAMES, [list(c) for c in zip(*out, strict=True)], PACKED_TYPES)
+
+        for batch in batches:
+            for piece in C.slices(batch, V.PIECE):
+                doc, key = _shingle_keys(piece, shingle)
+                raw = C.raw(piece)
+                n = np.bincount(doc, minlength=len(raw))
+                need = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+                odd = (key >> np.uint64(24)) & np.uint64(1) == 1
+                even = np.bincount(doc[~odd], minlength=len(raw))
+                at = np.flatnonzero(odd)
+                count = np.bincount(doc[at], minlength=len(raw))
+                place = np.arange(len(at)) - (np.cumsum(count) - count)[doc[at]]
+                goes = ~odd
+                goes[at] = place < (need - even)[doc[at]]
+                held.append(([hashlib.sha256(t).digest() for t in raw], np.stack([need, even], axis=1), doc[goes], key[goes]))
+                size += int(goes.sum())
+                if size >= GATHERED:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _shared_shingles(batches):
+    """Reducer over rows of PACKED sorted by bucket: of each piece the shingles that several texts have, and in how many."""
+    held, bucket = [], None
+
+    def close():
+        docs = [V.loosen(d, "<u4") for _, d, _ in held]
+        size = np.array([len(d) for d in docs])
+        wide = np.zeros((int(size.sum()), 8), dtype=np.uint8)
+        wide[:, :5] = np.frombuffer(b"".join(k for _, _, k in held), dtype=np.uint8).reshape(-1, 5)
+        key = wide.view("<u8").reshape(-1)
+        order = np.argsort(key)
+        ranked = key[order]
+        start = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        wide_of = np.diff(np.append(start, len(ranked)))
+        times = np.empty(len(key), dtype="<u4")
+        times[order] = np.repeat(wide_of, wide_of)
+        out, end = [], 0
+        for (piece, _, keys), doc, n in zip(held, docs, size.tolist(), strict=True):
+            own = times[end : end + n]
+            end += n
+            if (some := own > 1).any():
+                five = np.frombuffer(keys, dtype=np.uint8).reshape(-1, 5)[some]
+                out.append((bucket, piece, V.squeeze(doc[some]), five.tobytes(), V.squeeze(own[some]), None, None))
+        held.clear()
+        return out
+
+    def batch_of(rows):
+        return C.batch_of(PACKED_NAMES, [list(c) for c in zip(*rows, strict=True)], PACKED_TYPES)
+
+    for batch in batches:
+        passed = []
+        for row in zip(*(batch.column(c).to_pylist() for c in PACKED_NAMES), strict=True):
+            if row[0] != bucket and held:
+                passed += close()
+            bucket = row[0]
+            if row[5] is None:
+                held.append(row[1:4])
+            else:
+                passed.append(row)
+        if passed:
+            yield batch_of(passed)
+    if held and (rows := close()):
+        yield batch_of(rows)
+
+
+def _first_shingles(batches):
+    """Reducer over rows of PACKED sorted by piece: hash, keys: the shared ones among the first shingles of each text that
+    has any."""
+    held, piece = [], None
+
+    def close():
+        meta = next((h for h in held if h[5] is not None), None)
+        rest = [h for h in held if h[5] is None]
+        if meta is None or not rest:
+            return None
+        need, even = V.loosen(meta[6], "<u4").astype(np.int64).reshape(-1, 2).T
+        doc = np.concatenate([V.loosen(h[2], "<u4") for h in rest]).astype(np.int64)
+        times = np.concatenate([V.loosen(h[4], "<u4") for h in rest]).astype(np.int64)
+        wide = np.zeros((len(doc), 8), dtype=np.uint8)
+        wide[:, :5] = np.frombuffer(b"".join(h[3] for h in rest), dtype=np.uint8).reshape(-1, 5)
+        key = wide.view("<i8").reshape(-1)
+        odd = key & 1
+        key = key << 23 | np.repeat([h[0] for h in rest], [len(h[3]) // 5 for h in rest])
+        order = np.lexsort((key, times, odd, doc))
+        doc, key, odd = doc[order], key[order], odd[order]
+        count = np.bincount(doc, minlength=len(need))
+        alone = even - np.bincount(doc[odd == 0], minlength=len(need))  # these come first
+        first = np.cumsum(count) - count
+        goes = (odd == 1) | (np.arange(len(doc)) - first[doc] < (need - alone)[doc])
+        doc, key = doc[goes], key[goes]
+        cuts = [0, *(np.flatnonzero(doc[1:] != doc[:-1]) + 1).tolist(), len(doc)]
+        out = {}  # texts that the piece has twice count once
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True) if len(doc) else ():
+            out[meta[5][32 * doc[x] : 32 * doc[x] + 32]] = key[x:y]
+        return C.batch_of(["hash", "keys"], [list(out), list(out.values())], [pa.binary(), pa.list_(pa.int64())]) if out else None
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in PACKED_NAMES), strict=True):
+            if row[1] != piece and held:
+                if (got := close()) is not None:
+                    yield got
+                held = []
+            piece = row[1]
+            held.append(row)
+    if held and (got := close()) is not None:
+        yield got
+
+
 def _rare_candidates(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """x, y: links that join all texts whose sets of shingles are alike to `similarity`, and more.
 
     In any order of all shingles, two such sets of n and m share one of the first n - ceil(similarity * n) + 1 and m - ...:
-    here the rarest come first. Most texts are done after one look at a sketch: as many of their shingles as that occur
-    nowhere else. Of the others the shingles that may repeat are counted, and the rarest filed; a shingle of up to DENSE
-    texts links all of them, of a larger one all are linked to its first.
+    here even shingles (by their hash) come first, the rarest of them before others, then odd ones. So only even shingles
+    are counted, and the odd ones that are among the first of a text with few even ones. Each goes once, packed, to its
+    bucket, where all that are equal meet; what several texts have goes back to the piece it came from, and there most texts
+    are done: as many of their shingles as that occur nowhere else. Both grow with the input alone, whatever its size, and
+    nothing is held but a bucket or a piece. A shingle of up to DENSE texts links all of them, of a larger one all are linked
+    to its first.
     """
-    spark, texts, bits = docs.sparkSession, C.texts(docs).select("text"), V.fitting_bits(docs)
-
-    def once(piece):
-        doc, key = _shingle_keys(piece, shingle)
-        return key
-
-    cells, _ = V.repeated_cells(texts, once, bits)
-    twice = spark.sparkContext.broadcast(cells)
-
-    def survivors(piece):
-        doc, key = _shingle_keys(piece, shingle)
-        raw, out = C.raw(piece), []
-        n = np.bincount(doc, minlength=len(raw))
-        shared = V.Sketch.repeated(twice.value, bits, key)
-        many = np.bincount(doc[shared], minlength=len(raw))
-        rarest = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1 - (n - many)
-        ends = np.cumsum(n)
-        for k in np.flatnonzero((rarest > 0) & (many > 0)).tolist():
-            own = slice(ends[k] - n[k], ends[k])
-            out.append((hashlib.sha256(raw[k]).digest(), int(rarest[k]), key[own][shared[own]].view(np.int64)))
-        return C.batch_of(["hash", "rarest", "keys"], [list(c) for c in zip(*out, strict=True)], [pa.binary(), pa.int64(), pa.list_(pa.int64())]) if out else None
-
-    found = C.materialise(C.map_slices(texts, survivors, "hash binary, rarest long, keys array<long>", V.PIECE), "survivors")
-    filed = found.dropDuplicates(["hash"]).join(nodes.select("hash", "node"), "hash").select("node", "rarest", F.explode("keys").alias("key"))
-    filed = C.materialise(filed, "filed")
-    times = filed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    ranked = filed.join(times, "key", "left").groupBy("node").agg(F.first("rarest").alias("rarest"), F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "key"))).alias("s"))  # one text's
-    posts = ranked.select("node", F.explode(F.slice("s", F.lit(1), F.col("rarest").cast("int"))).alias("p")).where("p.times > 1").select("node", F.col("p.key").alias("key"))
+    n = C.parts(docs.sparkSession)
+    buckets = min(1 << 23, max(4 * n, V.expected_bytes(docs) // BUCKET_BYTES))
+    filed = C.texts(docs).select("text").mapInArrow(C.tidied(_filed_shingles(shingle, similarity, buckets)), PACKED)
+    shared = filed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidied(_shared_shingles), PACKED)
+    first = shared.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(C.tidied(_first_shingles), "hash binary, keys array<long>")
+    posts = first.dropDuplicates(["hash"]).join(nodes.select("hash", "node"), "hash").select("node", F.explode("keys").alias("key"))
     posts = C.materialise(posts, "posts")
     heads = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
     met = posts.join(heads, "key")

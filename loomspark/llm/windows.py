@@ -112,10 +112,14 @@ class Sketch:
 FEWEST, MOST = 20, 27
 
 
+def expected_bytes(docs: DataFrame) -> int:
+    """Bytes that Spark expects docs to have."""
+    return int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def fitting_bits(docs: DataFrame) -> int:
     """Bits of a sketch with about one cell for every two bytes that Spark expects docs to have, between FEWEST and MOST."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(MOST, max(FEWEST, (size // 4).bit_length()))
+    return min(MOST, max(FEWEST, (expected_bytes(docs) // 4).bit_length()))
 
 
 #: Keys of a task that are looked at together, and occurrences among them from which a key counts as common.

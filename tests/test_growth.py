@@ -142,3 +142,49 @@ def test_costly_rows_of_a_small_file_are_many_tasks(spark, tmp_path):
     spark.range(400).selectExpr("id as p_partkey", "'n' as p_name", "'b' as p_brand", "'t' as p_type").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     for name in ("e910_fuzzy_edges", "e8_actions_from_sql"):
         assert catalogue.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() > 1
+
+
+def test_different_texts_leave_nothing_however_many_shingles(spark, monkeypatch):
+    """Shingles are counted exactly: no filter of a fixed size fills up, so that texts without a like are handed on."""
+    import random
+
+    from loomspark.llm import common as C
+    from loomspark.llm import simhash
+    from loomspark.llm import windows as V
+
+    r, written, own = random.Random(8), {}, C.materialise
+    monkeypatch.setattr(V, "FEWEST", 10)
+    monkeypatch.setattr(V, "MOST", 10)
+    monkeypatch.setattr(C, "materialise", lambda df, label: (out := own(df, label), written.update({label: out.count()}))[0])
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(120)) for _ in range(150)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[3] + " more"])], "doc_id long, text string")
+    assert simhash.keep_one_of_near(df).count() == 150
+    assert written["posts"] <= 2 * 25 and "filed" not in written and written.get("survivors", 0) <= 2
+
+
+def test_rarest_shingles_join_all_that_are_alike(spark, monkeypatch):
+    """Short texts, whose even shingles are too few, long ones, copies and empty ones, against all pairs by hand."""
+    import hashlib
+    import random
+
+    from loomspark.llm import components as K
+    from loomspark.llm import simhash
+
+    r = random.Random(5)
+    texts = ["", " "]
+    for k in range(60):
+        w = [f"w{r.randrange(40)}" for _ in range(r.choice([3, 5, 6, 9, 14, 25, 80]))]
+        texts += [" ".join(w), " ".join(w), " ".join([*w, "x"]), " ".join([f"y{k}", *w])][: r.randint(1, 4)]
+    texts += ["common words that all of these have " + " ".join(f"u{r.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    for gathered, dense in ((400_000, 16), (300, 1)):
+        monkeypatch.setattr(simhash, "GATHERED", gathered)
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        different = sorted(set(texts))
+        nodes = spark.createDataFrame([(bytearray(hashlib.sha256(t.encode()).digest()), k) for k, t in enumerate(different)], "hash binary, node long")
+        links = simhash._rare_candidates(docs, nodes, 5, 0.8)
+        root = {x.node: x.root for x in K.components(links.selectExpr("x as a", "y as b")).collect()}
+        sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in different]
+        alike = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+        assert len(alike) > 25 and all(root.get(i, -1) == root.get(j, -2) for i, j in alike)
+        assert len(root) < len(different) - 30  # texts that only share a common passage are no candidates
