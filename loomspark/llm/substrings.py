@@ -1,4 +1,4 @@
-"""Substring dedup on words: a count-min prefilter, then exact grouping of the windows it estimates as repeated.
+"""Substring dedup on words: a prefilter of repeated anchors, then exact grouping of the windows that pass it.
 
 A window of `width` words is counted by its anchor, the smallest hash among its five-word parts: a part is in at least
 as many documents as any window around it, so the estimate is never below the window's count, and a document has far

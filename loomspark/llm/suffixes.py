@@ -272,8 +272,24 @@ class Stretches:
         self.anchor = C.mixed(anchor[begin])
 
 
-ENTRIES = "bucket int, anchor binary, length binary, text binary, stretch binary, row binary, pos binary, docs binary, keys binary"
-ENTRY_NAMES = ["bucket", "anchor", "length", "text", "stretch", "row", "pos", "docs", "keys"]
+#: What a task sends to a shard: its different stretches (anchor, length, text), and all their occurrences (stretch, document
+#: and place), whose numbers are one value, so that a shard's share may be small.
+ENTRIES = "bucket int, anchor binary, text binary, numbers binary"
+ENTRY_NAMES = ["bucket", "anchor", "text", "numbers"]
+
+
+def _packed_numbers(length, stretch, row, pos, docs, keys) -> bytes:
+    """length of each stretch; of each occurrence stretch, row of its document and place; document and key of each row."""
+    return V.squeeze(np.concatenate([[len(docs)], length, stretch, row, pos, docs.astype("<i8").view("<u4"), keys.astype("<i4").view("<u4")]).astype("<u4"))
+
+
+def _unpacked_numbers(x: bytes, stretches: int) -> tuple[np.ndarray, ...]:
+    """length, stretch, pos, and document and key of each occurrence."""
+    x = V.loosen(x, "<u4")
+    d = int(x[0])
+    many = (len(x) - 1 - stretches - 3 * d) // 3
+    length, stretch, row, pos, docs, keys = np.split(x[1:], np.cumsum([stretches, many, many, many, 2 * d]))
+    return length.astype(np.int64), stretch.astype(np.int64), pos.astype(np.int64), docs.view("<i8")[row], keys.view("<i4").astype(np.int64)[row]
 
 
 def _runs_within(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,22 +309,33 @@ def _settled(held: list, width: int) -> list[np.ndarray]:
     """Document, key, first window and length of the removed runs, for all occurrences of a bucket's stretches."""
     anchor, print_, length, texts = [], [], [], []
     stretch, doc, key, pos = [], [], [], []
-    at = 0
-    for a, size, text, s, row, where, docs, keys in held:
-        size, text = V.loosen(size, "<u4").astype(np.int64), V.loosen(text, np.uint8)
-        anchor.append(np.frombuffer(a, "<u8"))
-        length.append(size)
-        ends = np.cumsum(size)
-        print_.append(V.Rolling(text).of(ends - size, ends))
+    at, near, size = 0, [], 0
+
+    def hashed():
+        """Prints of the stretches that came last, some shares of a shard at once."""
+        text, wide = np.concatenate([t for t, _ in near]), np.concatenate([n for _, n in near])
+        ends = np.cumsum(wide)
+        print_.append(V.Rolling(text).of(ends - wide, ends))
         whole = text.tobytes()
-        del text
-        texts += [whole[x:y] for x, y in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-        row = V.loosen(row, "<u4")
-        stretch.append(V.loosen(s, "<u4").astype(np.int64) + at)
-        doc.append(V.loosen(docs, "<i8")[row])
-        key.append(V.loosen(keys, "<i4").astype(np.int64)[row])
-        pos.append(V.loosen(where, "<u4").astype(np.int64))
-        at += len(size)
+        texts.extend([whole[x:y] for x, y in zip((ends - wide).tolist(), ends.tolist(), strict=True)])
+        near.clear()
+
+    for a, text, numbers in held:
+        anchor.append(np.frombuffer(a, "<u8"))
+        n, s, where, docs, keys = _unpacked_numbers(numbers, len(anchor[-1]))
+        near.append((V.loosen(text, np.uint8), n))
+        length.append(n)
+        stretch.append(s + at)
+        doc.append(docs)
+        key.append(keys)
+        pos.append(where)
+        at += len(n)
+        size += len(near[-1][0])
+        if size >= V.PIECE:
+            hashed()
+            size = 0
+    if near:
+        hashed()
     anchor, print_, length, stretch, doc, key, pos = map(np.concatenate, (anchor, print_, length, stretch, doc, key, pos))
     # Equal stretches of different tasks become one.
     order = np.lexsort((length, print_, anchor))
@@ -394,15 +421,16 @@ def byte_dedup(docs: DataFrame, width: int = 50, sketch_bits: int | None = None)
             o_cuts = np.searchsorted(bucket[of][occ], np.unique(bucket))
             o_ends = np.append(o_cuts[1:], len(occ))
             place = np.empty(len(kept), dtype=np.int64)
-            out = []
+            table, whose = np.unique(np.stack([doc, key]), axis=1, return_inverse=True)
+            whose, out = whose.reshape(-1), []
             for x, y, u, v in zip(cuts, ends, o_cuts, o_ends, strict=True):
                 own, rows_ = by[x:y], occ[u:v]
                 place[own] = np.arange(len(own))
                 at = order[rows_]
-                table, row = np.unique(np.stack([doc[at], key[at]]), axis=1, return_inverse=True)
+                mine, row = np.unique(whose[at], return_inverse=True)
                 k = kept[own]
-                out.append((int(bucket[own[0]]), anchor[k].tobytes(), V.squeeze(length[k].astype("<u4")), V.squeeze(b"".join([texts[i] for i in k.tolist()])), V.squeeze(place[of[rows_]].astype("<u4")), V.squeeze(row.astype("<u4")), V.squeeze(pos[at].astype("<u4")), V.squeeze(table[0].astype("<i8")), V.squeeze(table[1].astype("<i4"))))
-            return C.batch_of(ENTRY_NAMES, [list(x) for x in zip(*out, strict=True)], [pa.int32()] + [pa.binary()] * 8)
+                out.append((int(bucket[own[0]]), anchor[k].tobytes(), V.squeeze(b"".join([texts[i] for i in k.tolist()])), _packed_numbers(length[k], place[of[rows_]], row, pos[at], table[0][mine], table[1][mine])))
+            return C.batch_of(ENTRY_NAMES, [list(x) for x in zip(*out, strict=True)], [pa.int32()] + [pa.binary()] * 3)
 
         for batch in batches:
             for piece in C.slices(batch, V.PIECE):

@@ -1,7 +1,8 @@
-"""What substring dedup and suffix-array dedup share: rolling hashes, count-min sketches, packed exchanges, coverage."""
+"""What substring dedup and suffix-array dedup share: rolling hashes, sketches of repeated keys, packed exchanges, coverage."""
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -67,49 +68,53 @@ def once_a_document(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 class Sketch:
-    """Count-min sketch of counters that stop at two, as bit sets: cells met once at least, and twice at least.
+    """A set of well mixed 64-bit keys as bits: each of ROWS hashes sets one, in the part that the key's first bits choose.
 
-    Two rows of 2 ** bits cells each. An estimate is never below the true count (up to two).
+    Whoever is in it is found; of others as many as there are cells set, to the power ROWS. Beyond the first 40 bits keys
+    are not told apart. 2 ** (bits + 1) cells in all.
     """
 
     ROWS = 2
-    SLICE = 1 << 18
+    PARTS = 256
 
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.once = np.zeros(self.ROWS << (bits - 3), dtype=np.uint8)
-        self.twice = np.zeros_like(self.once)
-
-    @staticmethod
-    def cells(keys: np.ndarray, bits: int, row: int) -> np.ndarray:
-        return ((keys >> np.uint64(32 * row)) & np.uint64((1 << bits) - 1)).astype(np.int64) + (row << bits) if bits <= 32 else (C.mixed(keys + np.uint64(row)) >> np.uint64(64 - bits)).astype(np.int64) + (row << bits)
+    @classmethod
+    def width(cls, bits: int) -> int:
+        """Bits of a place within a part."""
+        return min(32, max(3, bits + 1 - (cls.PARTS - 1).bit_length()))
 
-    @staticmethod
-    def _set(bitmap: np.ndarray, cells: np.ndarray) -> None:
-        if len(cells):
-            byte = cells >> 3
-            start = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
-            bitmap[byte[start]] |= np.bitwise_or.reduceat(np.left_shift(1, cells & 7).astype(np.uint8), start)
+    @classmethod
+    def places(cls, rest: np.ndarray, bits: int, row: int) -> np.ndarray:
+        """Within its part, by the 32 bits of a key that follow those of the part."""
+        mixed = rest if not row else rest * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
+        return (mixed >> np.uint64(32 - cls.width(bits))).astype(np.int64)
 
     @staticmethod
-    def has(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        return (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
+    def split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Part of each key, and the 32 bits that follow."""
+        return (keys >> np.uint64(56)).astype(np.int64), keys >> np.uint64(24) & np.uint64(0xFFFFFFFF)
 
-    def add(self, keys: np.ndarray) -> None:
-        """keys: well mixed, one at least for each document that has it."""
-        for row in range(self.ROWS):
-            cells, n = np.unique(self.cells(keys, self.bits, row), return_counts=True)
-            self._set(self.twice, cells[(n > 1) | self.has(self.once, cells)])
-            self._set(self.once, cells)
+    @classmethod
+    def part(cls, rest: np.ndarray, bits: int) -> np.ndarray:
+        """The bits of one part that holds these keys."""
+        out = np.zeros(1 << cls.width(bits), dtype=bool)
+        for row in range(cls.ROWS):
+            out[cls.places(rest, bits, row)] = True
+        return np.packbits(out, bitorder="little")
 
     @classmethod
-    def repeated(cls, twice: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
-        """Whether the estimate is two or more."""
-        return np.logical_and.reduce([cls.has(twice, cls.cells(keys, bits, row)) for row in range(cls.ROWS)])
+    def repeated(cls, cells: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+        """Whether the cells may hold each key."""
+        part, rest = cls.split(keys)
+        part <<= cls.width(bits)
+        found = np.ones(len(keys), dtype=bool)
+        for row in range(cls.ROWS):
+            at = part + cls.places(rest, bits, row)
+            found &= (cells[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return found
 
 
-#: The least and the most bits of a sketch that follows its input: two broadcast bit sets of 2 ** bits bits.
-FEWEST, MOST = 20, 27
+#: The least and the most bits of a sketch that follows its input: 2 ** (bits + 1) bits are broadcast.
+FEWEST, MOST = 20, 29
 
 
 def expected_bytes(docs: DataFrame) -> int:
@@ -118,8 +123,19 @@ def expected_bytes(docs: DataFrame) -> int:
 
 
 def fitting_bits(docs: DataFrame) -> int:
-    """Bits of a sketch with about one cell for every two bytes that Spark expects docs to have, between FEWEST and MOST."""
-    return min(MOST, max(FEWEST, (expected_bytes(docs) // 4).bit_length()))
+    """Bits of a sketch with about one cell for every eight bytes that Spark expects docs to have, between FEWEST and MOST: it
+    holds repeated keys only."""
+    return min(MOST, max(FEWEST, (expected_bytes(docs) // 16).bit_length()))
+
+
+def packed_sorted(x: np.ndarray) -> bytes:
+    """Sorted unsigned 32-bit integers: their steps, by planes of bytes, compressed."""
+    return squeeze(np.diff(x.astype("<u4"), prepend=np.zeros(1, dtype="<u4")).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked_sorted(x: bytes) -> np.ndarray:
+    planes = loosen(x, np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1), dtype=np.uint32)
 
 
 #: Keys of a task that are looked at together, and occurrences among them from which a key counts as common.
@@ -129,46 +145,52 @@ REPORTED, SUMS = 100_000, 64
 
 
 def repeated_cells(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cells that are met twice, over all documents, and keys that are common in some part of them.
+    """A sketch of the keys that are met twice, over all documents, and keys that are common in some part of them.
 
-    Each task's sketch leaves in slices, which are merged apart from each other, and so do its common keys; the driver
-    gets one bit for each cell, a size that `bits` fixes whatever the input, and REPORTED keys at most. Which keys are
-    reported only decides how work is spread. A key with a share of LEAST / UNIT of all is common in some unit.
+    Keys are counted exactly, whatever their number: each task sends its different keys, 40 bits of each, sorted and packed,
+    to the parts that they belong to, and a part holds those alone that several tasks have, or one has twice. The driver gets
+    2 ** (bits + 1) bits, and REPORTED keys at most. Which keys are reported only decides how work is spread. A key with a
+    share of LEAST / UNIT of all is common in some unit.
     """
 
     def gather(batches):
-        own, common = Sketch(bits), Counter()
+        common = Counter()
         held, size = [], 0
 
         def settle():
-            joined = np.concatenate(held)
-            own.add(joined)
-            found, n = np.unique(joined, return_counts=True)
+            found, n = np.unique(np.concatenate(held), return_counts=True)
             some = n >= LEAST
             common.update(dict(zip(found[some].tolist(), n[some].tolist(), strict=True)))
+            part, rest = Sketch.split(found)
+            cuts = np.searchsorted(part, np.arange(Sketch.PARTS + 1))
+            out = [(k, packed_sorted(rest[x:y][n[x:y] == 1]), packed_sorted(rest[x:y][n[x:y] > 1])) for k, (x, y) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if y > x]
+            return C.batch_of(["slice", "once", "twice"], [list(x) for x in zip(*out, strict=True)] or [[], [], []], [pa.int32(), pa.binary(), pa.binary()])
 
         for batch in batches:
             for piece in C.slices(batch, PIECE):
                 held.append(keys(piece))
                 size += len(held[-1])
                 if size > UNIT:
-                    settle()
+                    yield settle()
                     held, size = [], 0
         if held:
-            settle()
+            yield settle()
         found = np.array(list(common), dtype="<u8")
         times, part = np.array(list(common.values()), dtype="<u8"), found % np.uint64(SUMS)
         for k in np.unique(part).tolist():
             own_part = part == k
             yield C.batch_of(["slice", "once", "twice"], [[-1 - k], [found[own_part].tobytes()], [times[own_part].tobytes()]], [pa.int32(), pa.binary(), pa.binary()])
-        for k, at in enumerate(range(0, len(own.once), Sketch.SLICE)):
-            once, twice = own.once[at : at + Sketch.SLICE], own.twice[at : at + Sketch.SLICE]
-            if once.any():
-                yield C.batch_of(["slice", "once", "twice"], [[k], [zlib.compress(once.tobytes(), 1)], [zlib.compress(twice.tobytes(), 1)]], [pa.int32(), pa.binary(), pa.binary()])
 
     def merge(batches):
-        held: dict[int, list] = {}
+        held: list[np.ndarray] = []
+        current: int | None = None
         common: dict[int, Counter] = {}
+
+        def close():
+            own, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return C.batch_of(["slice", "twice"], [[current], [zlib.compress(Sketch.part(own[n > 1].astype(np.uint64), bits).tobytes(), 1)]], [pa.int32(), pa.binary()])
+
         for batch in batches:
             for k, once, twice in zip(*(batch.column(c).to_pylist() for c in ("slice", "once", "twice")), strict=True):
                 if k < 0:
@@ -178,28 +200,26 @@ def repeated_cells(docs: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]
                     if len(sums) > 4 * REPORTED:
                         common[k] = Counter(dict(sums.most_common(REPORTED)))
                     continue
-                once, twice = (np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in (once, twice))
-                if k in held:
-                    have = held[k]
-                    have[1] |= twice | have[0] & once
-                    have[0] |= once
-                else:
-                    held[k] = [once.copy(), twice.copy()]
+                if k != current and held:
+                    yield close()
+                current = k
+                again = unpacked_sorted(twice)
+                held += [unpacked_sorted(once), again, again]
+        if held:
+            yield close()
         for k, sums in common.items():
             top = sorted(sums, key=lambda x: (-sums[x], x))[: -(-REPORTED // SUMS)]  # noqa: B023
             yield C.batch_of(["slice", "twice"], [[k], [np.array(top, dtype="<u8").tobytes()]], [pa.int32(), pa.binary()])
-        for k, (_, twice) in held.items():
-            yield C.batch_of(["slice", "twice"], [[k], [zlib.compress(twice.tobytes(), 1)]], [pa.int32(), pa.binary()])
 
-    merged = docs.mapInArrow(C.tidied(gather), "slice int, once binary, twice binary").repartition(C.parts(docs.sparkSession), "slice").mapInArrow(C.tidied(merge), "slice int, twice binary")
-    out = np.zeros(Sketch.ROWS << (bits - 3), dtype=np.uint8)
+    merged = docs.mapInArrow(C.tidied(gather), "slice int, once binary, twice binary").repartition(C.parts(docs.sparkSession), "slice").sortWithinPartitions("slice").mapInArrow(C.tidied(merge), "slice int, twice binary")
+    size = 1 << (Sketch.width(bits) - 3)
+    out = np.zeros(Sketch.PARTS * size, dtype=np.uint8)
     often = [np.empty(0, dtype=np.uint64)]
     for row in merged.collect():  # compressed bits, as many as the sketch has, and REPORTED keys
         if row[0] < 0:
             often.append(np.frombuffer(bytes(row[1]), "<u8"))
-            continue
-        got = np.frombuffer(zlib.decompress(bytes(row[1])), dtype=np.uint8)
-        out[row[0] * Sketch.SLICE : row[0] * Sketch.SLICE + len(got)] = got
+        else:
+            out[row[0] * size : (row[0] + 1) * size] = np.frombuffer(zlib.decompress(bytes(row[1])), dtype=np.uint8)
     return out, np.sort(np.concatenate(often))
 
 
@@ -208,13 +228,23 @@ def keyed(docs: DataFrame) -> DataFrame:
     return C.texts(docs).withColumn("key", F.hash("doc_id", "text").cast("long"))
 
 
-def squeeze(x: np.ndarray | bytes) -> bytes:
+@functools.cache
+def _squeezer(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+@functools.cache
+def _loosener() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
+def squeeze(x: np.ndarray | bytes, level: int | None = None) -> bytes:
     """What goes over the wire in one value: compressed, since ids, places and texts there repeat a lot."""
-    return zstandard.compress(bytes(x) if isinstance(x, bytes) else x.tobytes(), 1 if not isinstance(x, bytes) else 3)
+    return _squeezer(level or (3 if isinstance(x, bytes) else 1)).compress(x if isinstance(x, bytes) else x.tobytes())
 
 
 def loosen(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(x), kind)
+    return np.frombuffer(_loosener().decompress(x), kind)
 
 
 #: Removed windows on their way back: for a bucket of documents, the document, its key, first window and length of runs.

@@ -188,3 +188,34 @@ def test_rarest_shingles_join_all_that_are_alike(spark, monkeypatch):
         alike = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
         assert len(alike) > 25 and all(root.get(i, -1) == root.get(j, -2) for i, j in alike)
         assert len(root) < len(different) - 30  # texts that only share a common passage are no candidates
+
+
+def test_keys_that_come_once_fill_no_sketch(spark):
+    """30 000 different keys in a sketch of 8 192 bits: only those that two documents have are in it."""
+    import numpy as np
+
+    from loomspark.llm import common as C
+    from loomspark.llm import windows as V
+
+    def keys(piece):
+        found = [C.mixed(np.arange(int(t) * 100, int(t) * 100 + 100, dtype=np.uint64) + np.uint64(1)) for t in C.raw(piece)]
+        return np.sort(np.concatenate([*found, *[C.mixed(np.arange(50, 60, dtype=np.uint64))] * (len(found) > 0)]))
+
+    docs = spark.range(300).selectExpr("cast(id as string) as text").repartition(6)
+    cells, _ = V.repeated_cells(docs, keys, 12)
+    every = C.mixed(np.arange(30_000, dtype=np.uint64) + np.uint64(1))
+    found = V.Sketch.repeated(cells, 12, every)
+    assert found[49:59].all() and found.sum() < 30
+
+
+def test_a_small_share_of_a_shard_is_read_back_whole():
+    import numpy as np
+
+    from loomspark.llm import suffixes
+
+    r = np.random.default_rng(2)
+    for n, m, d in ((1, 1, 1), (3, 9, 4), (200, 700, 50)):
+        length, stretch, row, pos = r.integers(50, 90, n), r.integers(0, n, m), r.integers(0, d, m), r.integers(0, 2**31, m)
+        docs, keys = r.integers(-(2**62), 2**62, d), r.integers(-(2**31), 2**31, d)
+        got = suffixes._unpacked_numbers(suffixes._packed_numbers(length, stretch, row, pos, docs, keys), n)
+        assert all((x == y).all() for x, y in zip(got, (length, stretch, pos, docs[row], keys[row]), strict=True))
