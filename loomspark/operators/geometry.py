@@ -161,12 +161,18 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str, anchors: DataFr
     """key, silhouette of every anchor (all rows by default) by exact distances to all rows; tiles give sums out, pairs
     never exist. A row alone in its cluster has 0. masked: root mean square over the places that both rows have, pairs
     without any left out; a row without a distance on either side is left out."""
-    sums = tiles.label_sums(df, key, vector, label, anchors, tiles.masked_rms if masked else tiles.euclidean)
-    means = sums.groupBy("a", "la", "lb").agg((F.sum("s") / F.sum("n")).alias("d"))
-    per = means.groupBy("a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("other"))
+    return silhouettes(df, key, vector, [label], anchors, masked).select(key, "silhouette")
+
+
+def silhouettes(df: DataFrame, key: str, vector: str, labels: list[str], anchors: DataFrame | None = None, masked: bool = False) -> DataFrame:
+    """key, by, silhouette: silhouette under each of several columns of labels, by the column's place; distances are taken once
+    for all of them."""
+    sums = tiles.label_sums(df, key, vector, labels, anchors, tiles.masked_rms if masked else tiles.euclidean)
+    means = sums.groupBy("a", "by", "la", "lb").agg((F.sum("s") / F.sum("n")).alias("d"))
+    per = means.groupBy("a", "by").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("other"))
     if masked:
         per = per.where("own is not null and other is not null")
-    return per.select(F.col("a").alias(key), F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("other", "own")), F.lit(0.0)).alias("silhouette"))
+    return per.select(F.col("a").alias(key), "by", F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("other", "own")), F.lit(0.0)).alias("silhouette"))
 
 
 def standardised(df: DataFrame, entity: str, axis: str, value: str, ddof: int = 0) -> DataFrame:

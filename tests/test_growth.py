@@ -219,3 +219,20 @@ def test_a_small_share_of_a_shard_is_read_back_whole():
         docs, keys = r.integers(-(2**62), 2**62, d), r.integers(-(2**31), 2**31, d)
         got = suffixes._unpacked_numbers(suffixes._packed_numbers(length, stretch, row, pos, docs, keys), n)
         assert all((x == y).all() for x, y in zip(got, (length, stretch, pos, docs[row], keys[row]), strict=True))
+
+
+def test_distances_are_taken_once_for_all_labels(spark):
+    """The same figures as for each column of labels alone, from one product of the tiles."""
+    import random
+
+    from loomspark.operators import geometry as G
+
+    r = random.Random(6)
+    df = spark.createDataFrame([(k, [r.gauss(k % 3, 1) for _ in range(4)], k % 3, k % 5) for k in range(90)], "k long, v array<double>, l int, m int")
+    got = G.silhouettes(df, "k", "v", ["l", "m"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Cross") == 1
+    both = {(x.k, x.by): x.silhouette for x in got.collect()}
+    for by, label in enumerate(("l", "m")):
+        for x in G.silhouette(df, "k", "v", label).collect():
+            assert abs(both.pop((x.k, by)) - x.silhouette) < 1e-12
+    assert not both
