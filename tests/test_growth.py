@@ -236,3 +236,12 @@ def test_distances_are_taken_once_for_all_labels(spark):
         for x in G.silhouette(df, "k", "v", label).collect():
             assert abs(both.pop((x.k, by)) - x.silhouette) < 1e-12
     assert not both
+
+
+def test_a_crowded_day_is_few_tiles(spark, monkeypatch):
+    """An interval is copied to each tile that it meets; 12 000 of a group's day are no more than two tiles a task."""
+    tiles, own = [], J.stored
+    monkeypatch.setattr(J, "stored", lambda df: (out := own(df), tiles.append(out.count() if "__rows" in out.columns else 0))[0])
+    df = spark.range(12_000).selectExpr("1 as g", "id as k", "timestamp_ntz '2024-01-05 00:00:00' + make_dt_interval(0, 0, 0, id * 5) as lo").withColumn("hi", F.col("lo"))
+    got = J.self_overlaps(df.unionAll(df.where("k < 9").withColumn("k", F.col("k") - 100)), "g", "k", ("lo", "hi"), 86400)
+    assert got.count() == 9 and 0 < sum(tiles) <= 8
